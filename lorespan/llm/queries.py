@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import packed_output, quality, sharding, vector_packing
+from lorespan.llm import packed_output, quality, sharding, substrings, vector_packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -33,6 +33,19 @@ def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_on_shards(_documents(spark, sf_dir), SHARDS, SLOTS)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_matrix, op4_vector_packing, op7_weak_supervision, op8_shard_lookup)}
+def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_matrix,
+        op4_vector_packing,
+        op7_weak_supervision,
+        op8_shard_lookup,
+        op10_difference_cover,
+    )
+}
 
 ORACLE_SQL = {"op8_shard_lookup": sharding.duckdb_sql(SHARDS, SLOTS)}
