@@ -21,6 +21,8 @@ from lorespan.llm.tokens import encoder
 
 GROUP_DOCS = 4096
 GROUP_TOKENS = 2 << 20
+#: Matrix rows in one Arrow batch: a few hundred kB, so that neither side holds large buffers.
+BATCH_ROWS = 64
 SCHEMA = "row_id long, n_tokens int, n_segments int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, ids_dtype string"
 
 
@@ -125,8 +127,8 @@ def _packer(path: str, context: int, end_id: int, pad_id: int, dtype: str):
 
         def flush(keys, ids):
             rows = best_fit([len(x) for x in ids], context)
-            for at in range(0, len(rows), 1024):
-                yield emit(keys, ids, rows[at : at + 1024])
+            for at in range(0, len(rows), BATCH_ROWS):
+                yield emit(keys, ids, rows[at : at + BATCH_ROWS])
 
         keys, ids, held = [], [], 0
         for batch in batches:
