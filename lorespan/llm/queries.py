@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import packed_output, quality, sharding, substrings, vector_packing
+from lorespan.llm import packed_output, parity_join, quality, sharding, substrings, vector_packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -24,6 +24,10 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_examples(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_groups(_documents(spark, sf_dir), parity_join.Similarity(shingle=3, num=9, den=10))
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(_documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -42,6 +46,7 @@ QUERIES = {
     for f in (
         op1_token_matrix,
         op4_vector_packing,
+        op6_parity_sketch_join,
         op7_weak_supervision,
         op8_shard_lookup,
         op10_difference_cover,
