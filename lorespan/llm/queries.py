@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import packed_output, parity_join, quality, sharding, substrings, vector_packing
+from lorespan.llm import decontamination, language, packed_output, parity_join, quality, sharding, substrings, vector_packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -20,10 +20,21 @@ def op1_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_output.packed_ids(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", language.held_out())
+    model = language.fit(docs.filter("not held_out"))
+    return language.identify(docs, model, ["doc_id", "held_out"])
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_examples(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contaminated_documents(_documents(spark, sf_dir), benchmark).drop("item_ids", "spans")
+
+
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_groups(_documents(spark, sf_dir), parity_join.Similarity(shingle=3, num=9, den=10))
 
@@ -45,7 +56,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_matrix,
+        op2_nearest_centroid,
         op4_vector_packing,
+        op5_fm_index,
         op6_parity_sketch_join,
         op7_weak_supervision,
         op8_shard_lookup,
