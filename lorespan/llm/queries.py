@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontamination, language, packed_output, parity_join, quality, sharding, substrings, vector_packing
+from lorespan.llm import decontamination, language, packed_output, parity_join, quality, sharding, substrings, transducer, vector_packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -48,6 +48,10 @@ def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_on_shards(_documents(spark, sf_dir), SHARDS, SLOTS)
 
 
+def op9_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(_documents(spark, sf_dir), BYTE_BPE)
+
+
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(_documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES = {
         op6_parity_sketch_join,
         op7_weak_supervision,
         op8_shard_lookup,
+        op9_token_transducer,
         op10_difference_cover,
     )
 }

@@ -7,14 +7,17 @@ of its own, and its words are hashed block by block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 2 << 20
-_BLOCK = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands a worker at once (by number of rows alone, long texts have no bound).
+BATCH_BYTES = 4 << 20
+_BLOCK = 2 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -72,6 +75,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def mapped(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow(function, schema) with batches of bounded size, which holds for the session from now on."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches, with the text column's bytes and offsets; about ``limit`` bytes or one text each."""
     for batch in batches:
@@ -111,22 +120,26 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (and length), independent for each seed."""
-        codes = _byte_codes(seed)
-        if self.lower:
-            codes = codes[LOWER]
-        out = np.empty(len(self), _U)
-        at = 0
-        while at < len(self):
-            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + _BLOCK)))
-            begin, end = int(self.starts[at]), int(self.ends[to - 1])
-            power, inverse = _tables(end - begin + 1)
-            sums = np.zeros(end - begin + 1, _U)
-            np.cumsum(codes[self.raw[begin:end]] * power[: end - begin], out=sums[1:])
-            a, b = self.starts[at:to] - begin, self.ends[at:to] - begin
-            out[at:to] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U))
-            at = to
-        return out
+        return span_hashes(self.raw, self.starts, self.ends, seed, self.lower)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes (and length) of each span, spans in order; independent for each seed."""
+    codes = _byte_codes(seed)
+    if lower:
+        codes = codes[LOWER]
+    out = np.empty(len(starts), _U)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _BLOCK)))
+        begin, end = int(starts[at]), int(ends[to - 1])
+        power, inverse = _tables(end - begin + 1)
+        sums = np.zeros(end - begin + 1, _U)
+        np.cumsum(codes[raw[begin:end]] * power[: end - begin], out=sums[1:])
+        a, b = starts[at:to] - begin, ends[at:to] - begin
+        out[at:to] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U))
+        at = to
+    return out
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
