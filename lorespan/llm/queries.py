@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontamination, language, packed_output, parity_join, quality, sharding, substrings, transducer, vector_packing
+from lorespan.llm import decontamination, language, licenses, packed_output, parity_join, quality, sharding, substrings, transducer, vector_packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -26,6 +26,10 @@ def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
+def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(_documents(spark, sf_dir))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_examples(_documents(spark, sf_dir), BYTE_BPE)
 
@@ -61,6 +65,7 @@ QUERIES = {
     for f in (
         op1_token_matrix,
         op2_nearest_centroid,
+        op3_license_compression,
         op4_vector_packing,
         op5_fm_index,
         op6_parity_sketch_join,
