@@ -1,7 +1,66 @@
-"""A training corpus from documents."""
-STAGES = []
+"""A training corpus from documents: language ID, near duplicates, repeated passages, decontamination, packing.
+
+Every stage but the last returns the columns of documents. A row with a null doc_id takes no part in
+comparisons between documents and stays; null, empty and letterless texts go in the first stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespan.llm.decontamination import contaminated_documents
+from lorespan.llm.language import fit, identify
+from lorespan.llm.parity_join import Similarity, one_of_each_group
+from lorespan.llm.queries import BYTE_BPE
+from lorespan.llm.store import settle
+from lorespan.llm.substrings import remove_repeats
+from lorespan.llm.vector_packing import pack_examples
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language, learned from a bounded sample of the labelled ones; rejected ones go."""
+    return identify(docs, fit(docs), docs.columns).filter("not rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a Jaccard similarity of 0.8 on five-word shingles, the smallest doc_id."""
+    return one_of_each_group(docs, Similarity(shingle=5, num=8, den=10))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word passages that an earlier document has; documents of nothing else go."""
+    cut = remove_repeats(docs).filter("n_words_removed = 0 or n_words_removed < n_words_before")
+    length = F.when(F.col("n_words_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", length).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less than a twentieth of which is benchmark passages."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contaminated_documents(docs, benchmark, keep=docs.columns).filter("not contaminated").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of at most 1,024 tokens."""
+    return pack_examples(docs, BYTE_BPE)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Similarity components, exact windows over all texts and token ids are not SQL's; tests/llm hold it against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

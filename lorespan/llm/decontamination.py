@@ -96,8 +96,7 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, block: Phrases) -> Iterat
         yield where, size, which, (offsets, items)
 
 
-def _find(blocks, window: int, names):
-    item_names = names
+def _find(blocks, window: int, item_names, own_names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts, hashes, counts):
@@ -132,9 +131,9 @@ def _find(blocks, window: int, names):
                 flags = hit[first[d] : first[d + 1]].astype(np.int8)
                 cuts = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
                 spans.append([{"first": a, "last": b - 1} for a, b in cuts.reshape(-1, 2).tolist()])
-            held_columns = pa.Table.from_batches(parts).drop_columns(["t"]).combine_chunks()
+            held_columns = pa.Table.from_batches(parts).select(own_names).combine_chunks()
             columns = [pa.array(counts, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array((n_hit > 0) & (20 * n_hit >= counts)), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
-            own = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in held_columns.columns]
+            own = [c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in held_columns.columns]
             yield pa.RecordBatch.from_arrays([*own, *columns], names=[*held_columns.column_names, *(c.split()[0] for c in SCHEMA.split(", "))])
 
         parts, hashes, counts, n, docs = [], [], [], 0, 0
@@ -154,7 +153,7 @@ def _find(blocks, window: int, names):
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns ``keep`` (default doc_id) of each row, and what it holds of the benchmark.
+    """The columns ``keep`` (default doc_id; the text's may be among them) of each row, and what it holds of the benchmark.
 
     n_words; n_hit, words inside an occurrence of a window of some item; n_items and item_ids (as sorted
     text), items with such a window; spans, the merged hit words as first and last word number; contaminated,
@@ -178,7 +177,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
             close()
             texts, size = [], 0
     close()
-    source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("t"))
-    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = source.mapInArrow(_find(blocks, window, spark.sparkContext.broadcast(names)), f"{kinds}, {SCHEMA}")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(c.split()[0] for c in SCHEMA.split(", ")))
+    inner = {c: "t" if c == text_col else f"k{i}" for i, c in enumerate(keep)}
+    source = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items() if i != "t"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    kinds = ", ".join(f"{i} {source.schema[i].dataType.simpleString()}" for i in inner.values())
+    out = T.mapped(source, _find(blocks, window, spark.sparkContext.broadcast(names), list(inner.values())), f"{kinds}, {SCHEMA}")
+    return out.select(*(F.col(i).alias(c) for c, i in inner.items()), *(c.split()[0] for c in SCHEMA.split(", ")))

@@ -33,7 +33,7 @@ _ROWS = 64
 class Settings:
     bits: int = 13
     clusters: int = 4
-    sample: int = 600
+    sample: int = 500
     languages: int = 256
     rejection: float = 0.5
     rounds: int = 20
@@ -136,7 +136,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
         raise ValueError(f"between 1 and {settings.languages} labels are needed, not {len(sizes)}")
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, settings.sample / n)))])
     part = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("k").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    found = rows.filter(part < share[F.col("label")]).select("label", "t").mapInArrow(_vectors(settings.bits), "label string, slots array<int>, counts array<float>").toArrow()
+    chosen = rows.filter(part < share[F.col("label")]).select("label", "t")
+    found = T.mapped(chosen, _vectors(settings.bits), "label string, slots array<int>, counts array<float>").toArrow()
     found = found.sort_by([("label", "ascending")])
     names = np.array(found.column("label").to_pylist(), object)
     counts = np.zeros((len(names), settings.dims), np.float32)
@@ -150,9 +151,12 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
     centroids = np.vstack([_clusters(vectors[names == x], settings.clusters, settings.rounds, rng) for x in labels]).T.astype(np.float32)
     model = Model(settings, labels, idf, np.ascontiguousarray(centroids), np.zeros(41))
     # what own texts reach at each length, short ones from parts of long ones
-    for sample in (counts, *(rng.binomial(counts.astype(np.int64), min(1.0, f)).astype(np.float32) for f in (0.3, 0.1, 0.03, 0.01, 0.003))):
-        for size, cosine in zip(length_class(sample), (unit(weigh(sample, idf)) @ model.centroids).max(axis=1), strict=True):
-            model.floor[size] = cosine if not model.floor[size] else min(model.floor[size], cosine)
+    for at in range(0, len(counts), 128):
+        part = counts[at : at + 128].astype(np.int64)
+        for share in (1.0, 0.3, 0.1, 0.03, 0.01, 0.003):
+            drawn = rng.binomial(part, share).astype(np.float32)
+            for size, cosine in zip(length_class(drawn), (unit(weigh(drawn, idf)) @ model.centroids).max(axis=1), strict=True):
+                model.floor[size] = cosine if not model.floor[size] else min(model.floor[size], cosine)
     model.floor *= settings.rejection
     return model
 
@@ -161,7 +165,7 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
-def _predict(shared):
+def _predict(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         labels = pa.array([*model.labels, UNKNOWN])
@@ -172,11 +176,8 @@ def _predict(shared):
                 which, score, rejected = model.predict(trigram_counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.settings.bits))
                 which = np.where(lettered[a:b], which, len(model.labels))
                 score = np.where(lettered[a:b], score, 0.0)
-                own = [c.slice(a, b - a) for c, f in zip(part.columns, part.schema, strict=True) if f.name not in ("t", "lettered")]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, labels.take(pa.array(which)), pa.array(score.astype(float)), pa.array(rejected | ~lettered[a:b])],
-                    names=[*(f.name for f in part.schema if f.name not in ("t", "lettered")), "lang_pred", "score", "rejected"],
-                )
+                own = [part.column(part.schema.get_field_index(n)).slice(a, b - a) for n in names]
+                yield pa.RecordBatch.from_arrays([*own, labels.take(pa.array(which)), pa.array(score.astype(float)), pa.array(rejected | ~lettered[a:b])], names=[*names, "lang_pred", "score", "rejected"])
 
     return run
 
@@ -186,16 +187,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
 
     Null and letterless texts are ``und`` with score 0 and rejected. Of equal cosines the first label in
     sorted order wins. Repeated rows stay, and an empty table gives no rows. The three new names must not be
-    in ``keep``.
+    in ``keep``, which must name a column and may name the text's.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), text.alias("t"), has_letter(text).alias("lettered"))
-    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    inner = {c: "t" if c == text_col else f"k{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items() if i != "t"), text.alias("t"), has_letter(text).alias("lettered"))
+    kinds = ", ".join(f"{i} {rows.schema[i].dataType.simpleString()}" for i in inner.values())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double, rejected boolean")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "rejected")
-
-
+    out = T.mapped(rows, _predict(shared, list(inner.values())), f"{kinds}, lang_pred string, score double, rejected boolean")
+    return out.select(*(F.col(i).alias(c) for c, i in inner.items()), "lang_pred", "score", "rejected")
 
 
 def held_out() -> Column:
