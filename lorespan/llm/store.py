@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,18 @@ def settle(rows: DataFrame) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ids, rows whose key is not), by a bitmap of ``2**bits`` hashed keys.
+
+    The first holds every row with a listed key, and few others until ids outnumber the bitmap; an exact join
+    has to follow. The second never needs one, so its rows need no shuffle. The bitmap is broadcast as at
+    most ``2**(bits - 6)`` 64-bit words, whatever the data's size.
+    """
+    word = F.expr(f"cast(pmod(xxhash64({key}), {1 << bits}) div 64 as int)")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
+    words = settle(ids.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_")))
+    marked = rows.withColumns({"word_": word, "bit_": bit}).join(F.broadcast(words), "word_", "left")
+    hit = F.coalesce(F.col("bits_").bitwiseAND(F.col("bit_")) != 0, F.lit(False))
+    return tuple(marked.filter(x).select(*rows.columns) for x in (hit, ~hit))

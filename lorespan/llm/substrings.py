@@ -11,9 +11,9 @@ members; so if both texts hash short anchor windows only at cover positions, any
    removed where it also starts in a document with a smaller id;
 4. covered words are cut.
 
-Anchors and windows are reduced to smallest and largest id by streaming aggregation, never gathered, and
-no pairs of documents are made, so a passage that a third of all documents share costs as much a row as
-any other. The texts are dealt once by id and that exchange serves every pass.
+Anchors and windows are reduced to smallest and largest id in every map task, never gathered, and no pairs
+of documents are made, so a passage that a third of all documents share costs as much a row as any other.
+Texts are shuffled only where a bitmap of ids says that they may have a copy or a shared window.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.llm import text as T
+from lorespan.llm.store import settle, split_by_ids
 
 #: A perfect difference set modulo 31, each shift being one difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -62,25 +63,31 @@ def _anchors(plan: _Plan):
             n = max(0, len(words) - plan.anchor + 1)
             of = words.text_of()
             ok = T.whole_window(words, plan.anchor) & plan.cover[place[:n] % plan.period] & (words.counts >= plan.window)[of[:n]]
-            at = np.flatnonzero(ok)
-            keys = T.windows(hashes, plan.anchor)[at]
-            yield pa.RecordBatch.from_arrays([T.signed(keys), part.column(0).take(pa.array(of[at])), pa.array(place[at], pa.int32())], names=["h", "k", "place"])
+            at, keys = _once_a_text(np.flatnonzero(ok), of, T.windows(hashes, plan.anchor))
+            yield pa.RecordBatch.from_arrays([T.signed(keys), part.column(0).take(pa.array(of[at]))], names=["h", "k"])
 
     return run
 
 
-def _listed(part: pa.RecordBatch, column: str, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in the slice, their rows in the list's values) of each text's list of word places.
+def _once_a_text(at: np.ndarray, of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) without those whose hash comes earlier in the same text."""
+    keys = hashes[at]
+    _, first = np.unique(T.mix(keys + of[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+    return at[first], keys[first]
 
-    Places past a text's end are left out: they can only come from another row with the same id.
-    """
+
+def _in_list(part: pa.RecordBatch, column: str, of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which positions have a hash that is in their text's list."""
     lists = part.column(part.schema.get_field_index(column))
     counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    values = lists.flatten()
-    places = (values.field(0) if pa.types.is_struct(values.type) else values).to_numpy(zero_copy_only=False).astype(np.int64)
-    of = np.repeat(np.arange(len(counts)), counts)
-    ok = np.flatnonzero(places < words.counts[of])
-    return words.first[:-1][of[ok]] + places[ok], ok
+    out = np.zeros(len(hashes), bool)
+    if counts.any():
+        values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        salt = np.uint64(0xD6E8FEB86659FD93)
+        listed = T.mix(values + np.repeat(np.arange(len(counts)), counts).astype(np.uint64) * salt)
+        some = np.flatnonzero((counts > 0)[of[: len(hashes)]])
+        out[some] = np.isin(T.mix(hashes[some] + of[some].astype(np.uint64) * salt), listed)
+    return out
 
 
 def _windows(plan: _Plan):
@@ -91,18 +98,16 @@ def _windows(plan: _Plan):
             if not len(whole):
                 continue
             # a shared window holds an anchor that both its texts hashed
-            met = np.zeros(len(words), bool)
-            met[_listed(part, "places", words)[0]] = True
+            of, met = words.text_of(), np.zeros(len(words), bool)
+            anchors = T.windows(hashes, plan.anchor)
+            met[: len(anchors)] = _in_list(part, "met", of, anchors) & plan.cover[place[: len(anchors)] % plan.period]
             sums = np.zeros(len(words) + 1, np.int64)
             np.cumsum(met, out=sums[1:])
             n = len(whole)
             at = np.flatnonzero(whole & (sums[plan.period : plan.period + n] > sums[:n]))
-            first = T.windows(hashes, plan.window)[at]
+            at, first = _once_a_text(at, of, T.windows(hashes, plan.window))
             second = T.windows(words.hashes(seed=2), plan.window, seed=9)[at] >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays(
-                [T.signed(first), pa.array(second.astype(np.int64)), part.column(0).take(pa.array(words.text_of()[at])), pa.array(place[at], pa.int32())],
-                names=["h", "h2", "k", "place"],
-            )
+            yield pa.RecordBatch.from_arrays([T.signed(first), pa.array(second.astype(np.int64)), part.column(0).take(pa.array(of[at]))], names=["h", "h2", "k"])
 
     return run
 
@@ -120,13 +125,8 @@ def _cut(plan: _Plan, carried: list[str], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in T.slices(batches, "t"):
             words, hashes, _ = plan.words(raw, offsets)
-            at, row = _listed(part, "starts", words)
-            if len(at):
-                own = T.windows(hashes, plan.window)
-                wanted = part.column(part.schema.get_field_index("starts")).flatten().field(1).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-                ok = at < len(own)
-                ok[ok] = own.view(np.int64)[at[ok]] == wanted[ok]
-                at = at[ok]
+            own = T.windows(hashes, plan.window)
+            at = np.flatnonzero(T.whole_window(words, plan.window) & _in_list(part, "gone", words.text_of(), own))
             copy = part.column(part.schema.get_field_index("copy")).to_numpy(zero_copy_only=False).astype(bool)
             gone = removed_words(words, at, plan.window, copy & (words.counts >= plan.window))
             sums = np.zeros(len(words) + 1, np.int64)
@@ -158,24 +158,53 @@ def cut_text(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
     return head + b"".join(text[starts[a] : ends[b - 1]] for a, b in edges.reshape(-1, 2).tolist())
 
 
-def _removals(docs: DataFrame, plan: _Plan) -> DataFrame:
-    """docs (k, t, ...) with ``copy`` and ``starts`` (removed windows: word place, hash)."""
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """Of docs (k, t): each k with a text that a smaller k also has, that text's MD5 and its smallest k."""
     keyed = docs.filter(F.col("k").isNotNull() & F.col("t").isNotNull()).select("k", F.md5("t").alias("m"))
     first = keyed.groupBy("m").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
-    copies = keyed.join(first, "m").filter("k > first").groupBy("k").agg(F.collect_set("m").alias("copied"))
-    marked = docs.join(copies, "k", "left").withColumn("copy", F.coalesce(F.array_contains("copied", F.md5("t")), F.lit(False))).drop("copied")
-    live = marked.filter(~F.col("copy") & F.col("k").isNotNull())
-    kind = docs.schema["k"].dataType.simpleString()
+    return settle(keyed.join(first.drop("last"), "m").filter("k > first").distinct())
+
+
+def copied_texts(copies: DataFrame) -> DataFrame:
+    return copies.groupBy("k").agg(F.collect_set("m").alias("copied"))
+
+
+def is_copy() -> Column:
+    return F.coalesce(F.array_contains("copied", F.md5("t")), F.lit(False))
+
+
+def without_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """docs less the rows that exact_copies lists; only rows whose k is listed are shuffled."""
+    listed, others = split_by_ids(docs, "k", copies)
+    return others.unionByName(listed.join(copied_texts(copies), "k", "left").filter(~is_copy()).select(*docs.columns))
 
-    anchors = live.mapInArrow(_anchors(plan), f"h long, k {kind}, place int").repartition("h")
+
+def _cut_rows(docs: DataFrame, plan: _Plan, carried: list[str], digest: bool) -> DataFrame:
+    """docs (k, t, ...): the carried columns, numbers of words and removed words, and what is kept.
+
+    Aggregates come before the joins with the rows they stand for, both sides dealt as AQE sees fit: a hash
+    that very many documents share is aggregated in every map task and its rows are split in the join.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    copies = exact_copies(docs.select("k", "t"))
+    live = without_copies(docs.select("k", "t").filter(F.col("k").isNotNull()), copies)
+
+    anchors = T.mapped(live, _anchors(plan), f"h long, k {kinds['k']}")
     shared = anchors.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h")
-    places = anchors.join(shared.hint("shuffle_hash"), "h").groupBy("k").agg(F.collect_list("place").alias("places"))
+    met = settle(anchors.join(shared, "h").select("k", "h"))
 
-    found = live.join(places, "k").mapInArrow(_windows(plan), f"h long, h2 long, k {kind}, place int").repartition("h", "h2")
-    least = found.groupBy("h", "h2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h", "h2", "lo")
-    later = found.join(least.hint("shuffle_hash"), ["h", "h2"]).filter("k > lo")
-    starts = later.groupBy("k").agg(F.collect_list(F.struct("place", "h")).alias("starts"))
-    return marked.join(starts, "k", "left")
+    near = split_by_ids(live, "k", met)[0].join(met.groupBy("k").agg(F.collect_list("h").alias("met")), "k")
+    found = T.mapped(near, _windows(plan), f"h long, h2 long, k {kinds['k']}")
+    least = found.groupBy("h", "h2").agg(F.min("k").alias("lo"))
+    gone = settle(found.join(least, ["h", "h2"]).filter("k > lo").select("k", "h"))
+
+    touched, others = split_by_ids(docs, "k", gone.select("k").unionByName(copies.select("k")))
+    lists = gone.groupBy("k").agg(F.collect_list("h").alias("gone"))
+    changed = touched.join(copied_texts(copies), "k", "left").join(lists, "k", "left").withColumn("copy", is_copy()).drop("copied")
+    whole = others.withColumns({"copy": F.lit(False), "gone": F.lit(None).cast("array<bigint>")})
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), "words_ long", "removed_ long", "kept_ string"])
+    first, second = (T.mapped(x, _cut(plan, carried, digest), schema) for x in (changed, whole))
+    return first.unionByName(second)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,9 +221,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, cove
     inner = {c: f"c{i}_" for i, c in enumerate(names)}
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"), *(F.col(f"`{c}`").alias(i) for c, i in inner.items() if c != text_col))
     carried = [i for c, i in inner.items() if c != text_col] + ["t"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), "words_ long", "removed_ long", "kept_ string"])
-    out = _removals(rows, plan).mapInArrow(_cut(plan, carried, False), schema)
+    out = _cut_rows(rows, plan, carried, False)
     text = F.when(F.col("t").isNotNull(), F.col("kept_")).alias(text_col)
     return out.select(*(text if c == text_col else F.col(inner[c]).alias(c) for c in names), F.col("words_").alias("n_words_before"), F.col("removed_").alias("n_words_removed"))
 
@@ -203,7 +230,6 @@ def removal_digest(docs: DataFrame, window: int = 50, period: int = PERIOD, cove
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by spaces; cases as in remove_repeats."""
     plan = _Plan(window, period, cover)
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
-    out = _removals(rows, plan).mapInArrow(_cut(plan, ["k"], True), f"k {kind}, words_ long, removed_ long, kept_ string")
+    out = _cut_rows(rows, plan, ["k"], True)
     return out.select(F.col("k").alias("doc_id"), F.col("words_").alias("n_words"), F.col("removed_").alias("n_removed"), F.col("kept_").alias("kept_sha256"))
 
