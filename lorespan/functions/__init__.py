@@ -1 +1,166 @@
-"""Subpackage."""
+"""Scalar functions of the engine, as column expressions."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+#: Letters with diacritics and what they fold to.
+FOLD_FROM = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
+FOLD_TO = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: File extensions by language.
+LANGUAGES = {
+    "rust": ("rs",), "python": ("py", "pyi"), "typescript": ("ts",), "tsx": ("tsx",), "javascript": ("js", "mjs", "cjs"), "jsx": ("jsx",),
+    "go": ("go",), "java": ("java",), "csharp": ("cs",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hxx"), "ruby": ("rb",),
+    "bash": ("sh", "bash"), "php": ("php",), "swift": ("swift",),
+}
+#: What the search syntax gives a meaning to.
+SEARCH_SYNTAX = "\"'()*+-:^{}"
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the last path part; null without one, or if the dot comes first."""
+    found = F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
+    return F.when(found != "", found)
+
+
+def language(path: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for name, endings in LANGUAGES.items() for e in endings for x in (e, name)])
+    return F.try_element_at(table, extension(path))
+
+
+def route(path: Column) -> Column:
+    """doc, code or skip."""
+    return F.when(extension(path).isin("md", "markdown"), "doc").when(language(path).isNotNull(), "code").otherwise("skip")
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the UTF-8 bytes."""
+    return F.floor(F.octet_length(text) / 4).cast("long")
+
+
+def collapse(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def node_id(path: Column, name: Column, signature: Column) -> Column:
+    return F.md5(F.concat_ws("\x00", path, name, signature))
+
+
+def signature_hash(signature: Column) -> Column:
+    return F.substring(F.md5(collapse(signature)), 1, 8)
+
+
+def note_hash(anchor_type: Column, anchor_value: Column, text: Column) -> Column:
+    empty = F.lit("")
+    return F.sha2(F.concat_ws("|", F.coalesce(anchor_type, empty), F.coalesce(anchor_value, empty), F.lower(collapse(text))), 256)
+
+
+def identifier_words(name: Column) -> Column:
+    """``getUserById`` becomes ``getUserById get user by id``; a name of one part stays as it is."""
+    apart = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    parts = F.filter(F.split(F.lower(F.regexp_replace(apart, r"[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")
+    return F.when(F.size(parts) > 1, F.concat_ws(" ", name, F.array_join(parts, " "))).otherwise(name)
+
+
+def sanitise(query: Column) -> Column:
+    """The search syntax's characters become spaces, and spaces are collapsed."""
+    return F.trim(F.regexp_replace(F.translate(query, SEARCH_SYNTAX, " " * len(SEARCH_SYNTAX)), r"\s+", " "))
+
+
+def terms(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, diacritics folded."""
+    return F.regexp_extract_all(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def is_test_path(path: Column) -> Column:
+    return F.lower(path).rlike("test|spec")
+
+
+def is_node_id(value: Column) -> Column:
+    return value.rlike("^[0-9a-fA-F]{32}$")
+
+
+def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
+    return F.when(b == 0, F.lit(otherwise)).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
+def recency(at: Column, as_of: Column) -> Column:
+    """exp(-0.01 * hours); the future counts as now."""
+    return F.exp(F.greatest(F.lit(0.0), (as_of - at) / F.lit(3600.0)) * F.lit(-0.01))
+
+
+def normalised_levenshtein(a: Column, b: Column) -> Column:
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longest))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """0 if both arrays are empty."""
+    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def nearest_rank(values: Column, percent: float) -> Column:
+    """The value at round(percent / 100 * (n - 1)) of a sorted array; 0 if empty."""
+    place = F.round(F.lit(percent / 100) * (F.size(values) - 1)).cast("int") + 1
+    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(F.try_element_at(values, place))
+
+
+def one_star_glob(value: Column, pattern: str) -> Column:
+    """A glob with at most one ``*``."""
+    head, star, tail = pattern.partition("*")
+    if not star:
+        return value == pattern
+    return value.startswith(head) & value.endswith(tail) & (F.length(value) >= len(head) + len(tail))
+
+
+def branch_name(name: Column) -> Column:
+    """Characters that file names do not take become underscores."""
+    return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")
+
+
+def _jaro(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    taken, order = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                order.append(c)
+                break
+    if not order:
+        return 0.0
+    other = [c for c, t in zip(b, taken, strict=True) if t]
+    swaps = sum(x != y for x, y in zip(order, other, strict=True)) // 2
+    m = len(order)
+    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+
+
+def jaro_winkler_of(a: str | None, b: str | None) -> float | None:
+    """The prefix of up to four characters counts where the Jaro similarity is over 0.7."""
+    if a is None or b is None:
+        return None
+    base = _jaro(a, b)
+    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return base + 0.1 * same * (1 - base) if base > 0.7 else base
+
+
+@F.pandas_udf(DoubleType())
+def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    known: dict = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = jaro_winkler_of(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
