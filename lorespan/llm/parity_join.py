@@ -4,16 +4,19 @@ A document's set of word shingles is XOR-hashed into a bit sketch: each shingle
 sketches differ in at most as many bits as the sets' symmetric difference has members. Sets of similar size
 (a size band) share a sketch of so many blocks that a pair at the threshold, whose difference is at most D,
 leaves blocks untouched. Untouched blocks hold the same shingles in both documents; a block's key also
-carries the XOR of its shingles' 64-bit hashes. Ordering blocks by number, a pair at the threshold has a
-common key among the first D + 1 of each document's blocks (prefix argument), so only those are joined.
+carries the XOR of its shingles' 64-bit hashes and their number. Whatever fixed order keys have, a pair at
+the threshold has a common one among the first D + 1 of each document's keys (prefix argument). That is
+used twice:
 
-Blocks of fewer than two shingles are weak keys; they are used only by documents that have no more than D
-stronger ones, level by level (two shingles, one, none), which keeps the join complete.
+1. blocks with most shingles first: D + 1 keys of every document meet, and documents that share none are done;
+2. for the others, all their blocks' keys, rarest first. Keys of one document only come before the others,
+   so a document with more than D of those is done, as is nearly every one that shares a mere passage.
 
 Members of a key are never paired with each other. Equal member sets under many keys are kept once; each
 document is verified against the key's smallest member, components are formed, and only where a key's
-members still lie in different components are those pairs verified too. Every linked pair is thus either
-verified or joined already by other links.
+members still lie in different components are those pairs compared: first, inside the join, by the Hamming
+distance of their sketches, which leaves few others than links, then by their sets. Every linked pair is thus
+either verified or joined already by other links.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan.llm import text as T
 from lorespan.llm.components import connected_components
-from lorespan.llm.store import settle
+from lorespan.llm.store import settle, split_by_ids
+from lorespan.llm.substrings import exact_copies, without_copies
 
-SKETCH_WORDS = 8
+#: 64-bit words of the sketch that is compared bit by bit.
+SKETCH_WORDS = 16
 _U = np.uint64
 
 
@@ -41,8 +46,8 @@ class Similarity:
     shingle: int = 5
     num: int = 8
     den: int = 10
-    growth: float = 2.0
-    slack: float = 1.4
+    growth: float = 1.5
+    slack: float = 1.2
 
     def __post_init__(self):
         if not 0 < self.num <= self.den or self.shingle < 1 or self.growth * self.num < self.den:
@@ -83,12 +88,25 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return (np.concatenate(out) if out else np.zeros(0, _U)), counts
 
 
-def block_keys(tokens: np.ndarray, counts: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, their texts) of sets given one after another."""
-    keys, texts = [], []
-    if not len(tokens):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    bands = like.bands(int(counts.max()))
+@dataclass
+class Keys:
+    """One entry a key: its text, the group of bands it is for, and the document's D and blocks in that group."""
+
+    key: np.ndarray
+    text: np.ndarray
+    group: np.ndarray
+    most: np.ndarray
+    blocks: np.ndarray
+
+
+def block_keys(tokens: np.ndarray, counts: np.ndarray, like: Similarity, every: bool = False) -> Keys:
+    """Keys of sets given one after another: of the D + 1 fullest blocks, or of every block.
+
+    A group is named by the smaller document's band, so a document belongs to its own band's group and, if
+    smaller linked documents may lie in the band below, to that one's.
+    """
+    parts = [[np.zeros(0, _U)], *([np.zeros(0, np.int64)] for _ in range(4))]
+    bands = like.bands(int(counts.max(initial=0)))
     top = np.searchsorted(bands, counts, "right") - 1
     low = np.searchsorted(bands, -(-counts * like.num // like.den), "right") - 1
     spot = T.mix(tokens ^ _U(0x5851F42D4C957F2D)) >> _U(32)
@@ -103,31 +121,28 @@ def block_keys(tokens: np.ndarray, counts: np.ndarray, like: Similarity) -> tupl
         base = np.concatenate([[0], np.cumsum(blocks)])
         place = np.full(len(counts), -1)
         place[own] = np.arange(len(own))
-        mine = place[of] >= 0 if len(own) < len(counts) else slice(None)
+        mine = np.flatnonzero(chosen[of])
         p = place[of[mine]]
         at = base[p] + ((spot[mine] * blocks[p].astype(_U)) >> _U(32)).astype(np.int64)
         word, held = np.zeros(base[-1], _U), np.bincount(at, minlength=base[-1])
         np.bitwise_xor.at(word, at, tokens[mine])
         of_block = np.repeat(np.arange(len(own)), blocks)
         number = np.arange(base[-1]) - base[of_block]
-        use, open_to = np.zeros(base[-1], bool), np.ones(len(own), bool)
-        for level in (2, 1, 0):
-            strong = held >= level
-            ranks = np.cumsum(strong)
-            before = np.concatenate([[0], ranks])[base]
-            use |= strong & (ranks - before[of_block] <= allowed[of_block] + 1) & open_to[of_block]
-            open_to &= before[1:] - before[:-1] <= allowed
-        b = np.flatnonzero(use)
+        b = np.arange(base[-1])
+        if not every:
+            b = np.argsort((of_block << 39) | ((0x7FFF - np.minimum(held, 0x7FFF)) << 24) | number)
+            b = b[np.arange(base[-1]) - base[of_block] <= allowed[of_block]]
         label = (number[b] + (group[own][of_block[b]] << 40)).astype(_U) * _U(0x9E3779B97F4A7C15) + held[b].astype(_U)
-        keys.append(T.mix(word[b] ^ T.mix(label)))
-        texts.append(own[of_block[b]])
-    return np.concatenate(keys), np.concatenate(texts)
+        found = T.mix(word[b] ^ T.mix(label)), own[of_block[b]], group[own][of_block[b]], allowed[of_block[b]], blocks[of_block[b]]
+        for part, x in zip(parts, found, strict=True):
+            part.append(x)
+    return Keys(*map(np.concatenate, parts))
 
 
 def sketches(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A parity sketch of 64 * SKETCH_WORDS bits of each set."""
     out = np.zeros((len(counts), SKETCH_WORDS), _U)
-    bit = T.mix(tokens ^ _U(0xA0761D6478BD642F)) >> _U(64 - 6 - 3)
+    bit = (T.mix(tokens ^ _U(0xA0761D6478BD642F)) >> _U(32)) * _U(64 * SKETCH_WORDS) >> _U(32)
     at = np.repeat(np.arange(len(counts)), counts) * SKETCH_WORDS + (bit >> _U(6)).astype(np.int64)
     np.bitwise_xor.at(out.reshape(-1), at, _U(1) << (bit & _U(63)))
     return out
@@ -142,11 +157,14 @@ def _sizes(like: Similarity):
     return run
 
 
-def _keys(like: Similarity):
+def _keys(like: Similarity, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in T.slices(batches, "t"):
-            keys, texts = block_keys(*shingle_sets(raw, offsets, like.shingle), like)
-            yield pa.RecordBatch.from_arrays([T.signed(keys), part.column(0).take(pa.array(texts))], names=["key", "k"])
+            keys = block_keys(*shingle_sets(raw, offsets, like.shingle), like, every)
+            columns = [T.signed(keys.key), part.column(0).take(pa.array(keys.text))]
+            if every:
+                columns += [pa.array(x, pa.int32()) for x in (keys.group, keys.most, keys.blocks)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "k", "grp", "most", "blocks"][: len(columns)])
 
     return run
 
@@ -164,38 +182,53 @@ def _sets(like: Similarity):
     return run
 
 
-def _linked(like: Similarity) -> Column:
-    """On columns a, b (tokens) and sa, sb (sketches): size bound, then Hamming bound, then the sets themselves."""
-    a, b = F.size("a").cast("long"), F.size("b").cast("long")
-    sizes = (like.den * F.least(a, b)) >= (like.num * F.greatest(a, b))
-    hamming = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = hamming * (like.den + like.num) <= (a + b) * (like.den - like.num)
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    return F.when(sizes & near, like.den * common >= like.num * (a + b - common)).otherwise(False)
+def _may_link(like: Similarity, x: str, y: str) -> Column:
+    """Whether sizes and sketches (structs ``x`` and ``y`` of n, w0, w1, ...) allow a link: never false for linked sets."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    hamming = sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (like.den * F.least(a, b) >= like.num * F.greatest(a, b)) & (hamming * (like.den + like.num) <= (a + b) * (like.den - like.num))
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    words = [F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)]
+    return sets.select("k", F.struct(F.size("tokens").cast("long").alias("n"), *words).alias("mark"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    x = sets.select(F.col("k").alias("x"), F.col("sketch").alias("sa"), F.col("tokens").alias("a"))
-    y = sets.select(F.col("k").alias("y"), F.col("sketch").alias("sb"), F.col("tokens").alias("b"))
-    return pairs.join(x, "x").join(y, "y").filter(_linked(like)).select("x", "y")
+    """The pairs (x, y) whose sets are linked."""
+    own = sets.select("k", F.col("tokens"))
+    both = pairs.join(own.toDF("x", "a"), "x").join(own.toDF("y", "b"), "y")
+    a, b, common = F.size("a").cast("long"), F.size("b").cast("long"), F.size(F.array_intersect("a", "b")).cast("long")
+    return both.filter(like.den * common >= like.num * (a + b - common)).select("x", "y")
 
 
 def links(docs: DataFrame, like: Similarity) -> DataFrame:
     """docs (k, t): pairs (x, y) of linked ids whose components are those of all linked pairs."""
     docs = docs.filter(F.col("k").isNotNull() & F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
-    keyed = docs.select("k", F.md5("t").alias("m"))
-    first = keyed.groupBy("m").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
-    copies = keyed.join(first, "m").filter("k > first").select("k", "m", "first")
-    copied = copies.groupBy("k").agg(F.collect_set("m").alias("copied"))
-    marked = docs.join(copied, "k", "left")
-    live = marked.filter(~F.coalesce(F.array_contains("copied", F.md5("t")), F.lit(False))).select("k", "t")
     kind = docs.schema["k"].dataType.simpleString()
+    copies = exact_copies(docs)
+    live = without_copies(docs, copies)
+
+    def several(keys: DataFrame) -> DataFrame:
+        return keys.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+
+    keys = T.mapped(live, _keys(like, False), f"key long, k {kind}")
+    ids = settle(keys.join(several(keys).drop("n"), "key").select("k").distinct())
+    near = split_by_ids(live, "k", ids)[0].join(ids, "k", "left_semi")
+
+    keys = T.mapped(near, _keys(like, True), f"key long, k {kind}, grp int, most int, blocks int")
+    met = keys.join(several(keys), "key")
+    text = Window.partitionBy("k", "grp")
+    rank = F.row_number().over(text.orderBy("n", "key"))
+    own = F.col("blocks") - F.count("*").over(text)  # keys that no other document has
+    shared = settle(met.withColumn("rank", rank).withColumn("own", own).filter("own + rank <= most + 1").select("key", "k"))
 
-    keys = live.mapInArrow(_keys(like), f"key long, k {kind}").repartition("key")
-    seen = keys.groupBy("key").agg(F.min("k").alias("hub"), F.max("k").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("sum")).filter("hub < last")
+    seen = shared.groupBy("key").agg(F.min("k").alias("hub"), F.max("k").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("sum")).filter("hub < last")
     once = seen.groupBy("hub", "last", "n", "sum").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "hub", "weight")
-    members = settle(keys.join(once.hint("shuffle_hash"), "key"))
-    sets = settle(live.join(members.select("k").distinct(), "k", "left_semi").mapInArrow(_sets(like), f"k {kind}, sketch array<long>, tokens array<long>"))
+    members = settle(shared.join(once, "key"))
+    ids = members.select("k").distinct()
+    near = split_by_ids(live, "k", ids)[0].join(ids, "k", "left_semi")
+    sets = settle(T.mapped(near, _sets(like), f"k {kind}, sketch array<long>, tokens array<long>"))
 
     tried = members.filter("k > hub").groupBy("k", "hub").agg(F.sum("weight").alias("w")).groupBy("k").agg(F.max(F.struct("w", "hub")).alias("best"))
     tried = settle(tried.select(F.col("k").alias("x"), F.col("best.hub").alias("y")))
@@ -204,9 +237,10 @@ def links(docs: DataFrame, like: Similarity) -> DataFrame:
 
     placed = members.join(own, members["k"] == own["node"], "left").select("key", "k", F.coalesce("component", "k").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = settle(placed.join(split, "key"))
-    x, y = open_.select("key", F.col("k").alias("x"), F.col("c").alias("cx")), open_.select("key", F.col("k").alias("y"), F.col("c").alias("cy"))
-    rest = x.join(y, "key").filter("x > y and cx <> cy").select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
+    open_ = settle(placed.join(split, "key").join(_marks(sets), "k"))
+    x, y = (open_.select("key", F.col("k").alias(n), F.col("c").alias(f"c{n}"), F.col("mark").alias(f"m{n}")) for n in "xy")
+    apart = (x["key"] == y["key"]) & (F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & _may_link(like, "mx", "my")
+    rest = x.join(y, apart).select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
     return sure.unionByName(settle(_verified(rest, sets, like))).unionByName(copies.select(F.col("k").alias("x"), F.col("first").alias("y")))
 
 
@@ -219,7 +253,7 @@ def similar_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    sizes = rows.mapInArrow(_sizes(like), f"k {kind}, n_shingles long")
+    sizes = T.mapped(rows, _sizes(like), f"k {kind}, n_shingles long")
     found = connected_components(links(rows, like))
     out = sizes.join(found, sizes["k"] == found["node"], "left")
     return out.select(F.col("k").alias("doc_id"), "n_shingles", F.coalesce("component", "k").alias("component_id"))
@@ -228,5 +262,6 @@ def similar_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str
 def one_of_each_group(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no smaller linked id stands for; all columns. Of equal ids all rows stay."""
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    gone = connected_components(links(rows, like)).select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = settle(connected_components(links(rows, like)).select(F.col("node").alias(id_col)))
+    listed, others = split_by_ids(docs, id_col, gone)
+    return others.unionByName(listed.join(gone, id_col, "left_anti"))
