@@ -1 +1,179 @@
-"""To come."""
+"""Traversals, ranks, detectors and identity over the node and edge tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lorespan import functions as fn
+from lorespan.adapters import Tables
+from lorespan.operators import graph as g
+from lorespan.plans.registry import query
+
+C = F.col
+
+
+def edges(t: Tables) -> DataFrame:
+    return t.links.select(C("from_key").alias("src"), C("to_key").alias("dst"), "kind", "weight")
+
+
+def starts(t: Tables, *keys: str) -> DataFrame:
+    return t.nodes.filter(C("key").isin(*keys)).select(C("key").alias("start"))
+
+
+def files(t: Tables) -> DataFrame:
+    return t.nodes.select(C("key").alias("node"), "file_path")
+
+
+_STARTS = "(VALUES ('s3'), ('c11'), ('n4')) v(start)"
+
+
+def _bfs(step: str, hops: int, begin: str = _STARTS) -> str:
+    return f""" , step AS ({step}), walk(start, node, depth) AS (SELECT start, start, 0 FROM {begin} UNION SELECT w.start, s.dst, w.depth + 1 FROM walk w JOIN step s ON s.src = w.node WHERE w.depth < {hops})
+SELECT start, node, min(depth) AS depth FROM walk GROUP BY 1, 2 HAVING min(depth) > 0"""
+
+
+_OUT = "SELECT DISTINCT from_key AS src, to_key AS dst FROM links"
+_IN = "SELECT DISTINCT to_key AS src, from_key AS dst FROM links"
+
+
+@query(_bfs(_OUT, 2), "links", recursive=True)
+def bfs_out(t: Tables) -> DataFrame:
+    return g.bfs(edges(t), starts(t, "s3", "c11", "n4"), 2)
+
+
+@query(_bfs(_IN, 2, "(VALUES ('n4'), ('p7')) v(start)"), "links", recursive=True)
+def bfs_in(t: Tables) -> DataFrame:
+    return g.bfs(g.reversed_edges(edges(t)), starts(t, "n4", "p7"), 2)
+
+
+@query(f""" , f AS ({_OUT}), b AS ({_IN}), near AS (SELECT 's3' AS start, dst AS node, 1 AS depth FROM f WHERE src = 's3' UNION SELECT 's3', dst, 1 FROM b WHERE src = 's3' UNION SELECT 'n4', dst, 1 FROM f WHERE src = 'n4' UNION SELECT 'n4', dst, 1 FROM b WHERE src = 'n4')
+SELECT start, node, depth FROM near WHERE node <> start""", "links")
+def bfs_bidirectional(t: Tables) -> DataFrame:
+    return g.bfs_both(edges(t), starts(t, "s3", "n4"), 1)
+
+
+@query(_bfs("SELECT DISTINCT from_key AS src, to_key AS dst FROM links WHERE from_key NOT IN (SELECT from_key FROM links GROUP BY 1 HAVING count(*) > 50)", 3), "links", recursive=True)
+def bfs_degree_cap(t: Tables) -> DataFrame:
+    """Suppliers are hubs over the cap and end the walk; customers are not."""
+    return g.bfs(edges(t), starts(t, "s3", "c11", "n4"), 3, degree_cap=50)
+
+
+_CAPPED = "SELECT DISTINCT {a} AS src, {b} AS dst FROM links WHERE {a} NOT IN (SELECT {a} FROM links GROUP BY 1 HAVING count(*) > 50)"
+
+
+@query(f""" , f AS ({_CAPPED.format(a='from_key', b='to_key')}), b AS ({_CAPPED.format(a='to_key', b='from_key')}),
+asked(start, intent, back, forth) AS (VALUES ('c11', 'debug', 3, 2), ('c12', 'refactor', 0, 5), ('p7', 'understand', 2, 2), ('c9', 'extend', 0, 2)),
+walk(start, intent, side, node, depth) AS (SELECT start, intent, s.side, start, 0 FROM asked, (VALUES (0), (1)) s(side) UNION
+  SELECT w.start, w.intent, w.side, n.dst, w.depth + 1 FROM walk w JOIN asked a USING (start, intent) JOIN (SELECT 0 AS way, * FROM b UNION ALL SELECT 1, * FROM f) n ON n.src = w.node AND n.way = w.side WHERE w.depth < CASE w.side WHEN 0 THEN a.back ELSE a.forth END)
+SELECT start, intent, node, min(depth) AS depth FROM walk WHERE depth > 0 AND node <> start GROUP BY 1, 2, 3""", "links", recursive=True)
+def intent_traversal(t: Tables) -> DataFrame:
+    asked = t.spark.sql("select * from values ('c11', 'debug'), ('c12', 'refactor'), ('p7', 'understand'), ('c9', 'extend') as a(start, intent)")
+    return g.intent_traversal(edges(t), asked)
+
+
+def _small(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, suppliers and parts, with the calls between them."""
+    keep = ~C("src").startswith("c") & ~C("dst").startswith("c")
+    return edges(t).filter(keep).select("src", "dst"), t.nodes.filter(~C("key").startswith("c")).select(C("key").alias("node"))
+
+
+def _rank_sql(rounds: int, reference: bool) -> str:
+    text = """ , e AS (SELECT from_key AS src, to_key AS dst FROM links WHERE from_key NOT LIKE 'c%' AND to_key NOT LIKE 'c%'), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1),
+base AS (SELECT key AS node, deg IS NULL AS dangling, (SELECT count(*) FROM nodes WHERE key NOT LIKE 'c%')::DOUBLE AS n FROM nodes LEFT JOIN deg ON src = key WHERE key NOT LIKE 'c%'), r0 AS (SELECT *, 1.0::DOUBLE / n AS rank FROM base)"""
+    for k in range(rounds):
+        jump = "(s.nd - coalesce(i.linked, 0))" if reference else "(s.nd + s.d)"
+        text += f""", i{k} AS (SELECT e.dst AS node, sum(r.rank / d.deg) AS inc, sum(DISTINCT_RANK) AS linked FROM e JOIN r{k} r ON r.node = e.src JOIN deg d ON d.src = e.src GROUP BY 1)""".replace("sum(DISTINCT_RANK)", "sum(r.rank)")
+        text += f""", s{k} AS (SELECT sum(CASE WHEN dangling THEN rank ELSE 0 END) AS d, sum(CASE WHEN dangling THEN 0 ELSE rank END) AS nd FROM r{k}), q{k} AS (SELECT b.*, 0.85 * coalesce(i.inc, 0) + 0.85 * s.d / b.n + 0.15 / b.n * {jump} AS rank FROM base b LEFT JOIN i{k} i USING (node), s{k} s)"""
+        text += f", r{k + 1} AS (SELECT node, dangling, n, {'rank / sum(rank) OVER ()' if reference else 'rank'} AS rank FROM q{k})"
+    return text + f" SELECT node, round(rank * 1e6, 4) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(3, True), "nodes links")
+def pagerank_reference(t: Tables) -> DataFrame:
+    """Three rounds; links here are distinct pairs, so that counting edges and pairs is the same."""
+    return g.pagerank(*_small(t), rounds=3).select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
+
+
+@query(_rank_sql(3, False), "nodes links")
+def pagerank_standard(t: Tables) -> DataFrame:
+    return g.pagerank(*_small(t), rounds=3, variant="standard").select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
+
+
+@query(""" SELECT kind, count(*) AS n_edges, sum(weight) AS weight, count(DISTINCT from_key) AS sources, count(DISTINCT to_key) AS targets FROM links GROUP BY 1
+UNION ALL SELECT 'top ' || to_key, count(*), sum(weight), NULL, NULL FROM links WHERE to_key IN (SELECT to_key FROM links GROUP BY 1 ORDER BY count(*) DESC, to_key LIMIT 10) GROUP BY to_key""", "links")
+def graph_stats_topk(t: Tables) -> DataFrame:
+    kinds = t.links.groupBy("kind").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"), F.countDistinct("from_key").alias("sources"), F.countDistinct("to_key").alias("targets"))
+    into = t.links.groupBy("to_key").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")).orderBy(C("n_edges").desc(), "to_key").limit(10)
+    return kinds.unionByName(into.select(F.concat(F.lit("top "), "to_key").alias("kind"), "n_edges", "weight"), allowMissingColumns=True)
+
+
+@query(" SELECT l.to_key AS node, array_to_string(list_sort(list_distinct(list(n.file_path))), ',') AS files FROM links l JOIN nodes n ON n.key = l.from_key GROUP BY 1", "nodes links")
+def reverse_index(t: Tables) -> DataFrame:
+    return g.reverse_index(edges(t), files(t)).select(C("dst").alias("node"), F.array_join("files", ",").alias("files"))
+
+
+@query(""" SELECT DISTINCT b.file_path AS changed, a.file_path FROM links l JOIN nodes a ON a.key = l.from_key JOIN nodes b ON b.key = l.to_key WHERE b.file_path IN ('part/Brand_3.go', 'region/2.rs') AND a.file_path <> b.file_path""", "nodes links")
+def affected_files(t: Tables) -> DataFrame:
+    changed = t.spark.sql("select * from values ('part/Brand_3.go'), ('region/2.rs') as c(file_path)")
+    return g.affected_files(edges(t), files(t), changed)
+
+
+@query(f""" , added(src, dst) AS (VALUES ('r1', 's3'), ('r2', 'c11'), ('p3', 'p4'), ('n4', 'c11'), ('r0', 'n0'), ('n7', 'n7'), ('r0', 's1'), ('r3', 's2')), step AS ({_OUT}),
+walk(start, node, depth) AS (SELECT dst, dst, 0 FROM added UNION SELECT w.start, s.dst, w.depth + 1 FROM walk w JOIN step s ON s.src = w.node WHERE w.depth < 4)
+SELECT DISTINCT a.src, a.dst FROM added a JOIN walk w ON w.start = a.dst AND w.node = a.src""", "links", recursive=True)
+def cycle_check(t: Tables) -> DataFrame:
+    added = t.spark.sql("select * from values ('r1', 's3'), ('r2', 'c11'), ('p3', 'p4'), ('n4', 'c11'), ('r0', 'n0'), ('n7', 'n7'), ('r0', 's1'), ('r3', 's2') as a(src, dst)")
+    return g.closes_cycle(edges(t), added, 4)
+
+
+@query(f""" , step AS ({_IN}), walk(start, node, depth) AS (SELECT start, start, 0 FROM (VALUES ('n4'), ('p7'), ('r1'), ('c11'), ('p100')) v(start) UNION SELECT w.start, s.dst, w.depth + 1 FROM walk w JOIN step s ON s.src = w.node WHERE w.depth < 3)
+SELECT start, count(DISTINCT CASE WHEN depth = 1 THEN node END) AS callers, count(DISTINCT node) AS visited, count(DISTINCT CASE WHEN depth = 1 THEN node END) > 20 OR count(DISTINCT node) > 50 AS large FROM walk GROUP BY 1""", "links", recursive=True)
+def blast_radius(t: Tables) -> DataFrame:
+    return g.blast_radius(edges(t), starts(t, "n4", "p7", "r1", "c11", "p100"))
+
+
+@query(""" , busy AS (SELECT session_id FROM sessions GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT key FROM nodes WHERE kind = 'Function' AND key NOT IN (SELECT to_key FROM links))
+SELECT n.key, count(*) AS sessions FROM n JOIN busy ON n.key = 'c' || substr(session_id, 2) GROUP BY 1""", "nodes links sessions")
+def dead_end(t: Tables) -> DataFrame:
+    """Symbols nothing calls, that a session of at least ten actions is at."""
+    alone = g.without_callers(t.nodes.filter("kind = 'Function'").select(C("key").alias("node")), edges(t), files(t))
+    busy = t.sessions.groupBy("session_id").count().filter("count >= 10").select(F.concat(F.lit("c"), F.substring("session_id", 2, 99)).alias("node"))
+    return alone.join(busy, "node").groupBy(C("node").alias("key")).agg(F.count("*").alias("sessions"))
+
+
+@query(" SELECT key FROM nodes WHERE kind = 'Method' AND key NOT IN (SELECT to_key FROM links WHERE from_key IN (SELECT key FROM nodes WHERE regexp_matches(lower(CASE WHEN seq % 50 = 0 THEN 'tests/' || file_path ELSE file_path END), 'test|spec')))", "nodes links")
+def untested(t: Tables) -> DataFrame:
+    path = F.when(C("seq") % 50 == 0, F.concat(F.lit("tests/"), C("file_path"))).otherwise(C("file_path"))
+    tests = t.nodes.filter(fn.is_test_path(path)).select(C("key").alias("node"))
+    return g.without_callers(t.nodes.filter("kind = 'Method'").select(C("key").alias("node")), edges(t), tests).select(C("node").alias("key"))
+
+
+@query(" SELECT file_path FROM files WHERE file_type = 'code' AND file_path NOT IN (SELECT 'web/' || (seq - 1000000) || '.js' FROM nodes WHERE kind = 'Interface')", "nodes files")
+def blind_spot(t: Tables) -> DataFrame:
+    known = t.nodes.filter("kind = 'Interface'").select(F.concat(F.lit("web/"), (C("seq") - 1000000).cast("string"), F.lit(".js")).alias("file_path"))
+    return t.files.filter("file_type = 'code'").join(known, "file_path", "left_anti").select("file_path")
+
+
+_PAIRS = """ , o AS (SELECT key, name, signature, checksum, file_path, seq FROM nodes WHERE kind = 'Method' AND seq % 40 = 0), c AS (SELECT key, name, signature, checksum, file_path, seq FROM nodes WHERE kind = 'Method' AND seq % 40 = 1),
+p AS (SELECT o.key AS old_id, c.key AS new_id, o.file_path, o.name AS a, c.name AS b, o.signature AS sa, c.signature AS sb, o.checksum = c.checksum AS same, list_distinct([o.seq % 3, o.seq % 5]) AS na, list_distinct([c.seq % 3, c.seq % 5]) AS nb FROM o JOIN c USING (file_path)),
+q AS (SELECT *, regexp_extract(sa, '\\((.*)\\)', 1) AS ia, regexp_extract(sb, '\\((.*)\\)', 1) AS ib FROM p),
+s AS (SELECT old_id, new_id, file_path, jaro_winkler_similarity(a, b) * 0.3 + (1.0 * 0.6 + 1.0 * 0.4) * 0.25 + CASE WHEN same THEN 0.25 ELSE 0.0 END + len(list_intersect(na, nb)) / len(list_distinct(list_concat(na, nb))) * 0.15 + 0.05 AS score FROM q)"""
+
+
+def _pairs(t: Tables) -> DataFrame:
+    rows = t.nodes.filter("kind = 'Method'").select("key", "name", "signature", "checksum", "file_path", "seq", F.array_distinct(F.array(C("seq") % 3, C("seq") % 5)).alias("neighbours"))
+    old = rows.filter("seq % 40 = 0").select("file_path", *(C(c).alias(f"old_{n}") for c, n in (("key", "id"), ("name", "name"), ("signature", "signature"), ("checksum", "checksum"), ("neighbours", "neighbours"))))
+    new = rows.filter("seq % 40 = 1").select("file_path", *(C(c).alias(f"new_{n}") for c, n in (("key", "id"), ("name", "name"), ("signature", "signature"), ("checksum", "checksum"), ("neighbours", "neighbours"))))
+    return g.symbol_similarity(old.join(new, "file_path").withColumn("same_file", F.lit(1.0)))
+
+
+@query(_PAIRS + " SELECT old_id, new_id, round(score, 6) AS score FROM s", "nodes")
+def cross_similarity(t: Tables) -> DataFrame:
+    """Parts' signatures all name the parameters type and size and return nothing, so signatures agree."""
+    return _pairs(t).select("old_id", "new_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def greedy_identity_match(t: Tables) -> DataFrame:
+    return g.greedy_matching(_pairs(t).filter("score > 0.6"), ["file_path"])
