@@ -1 +1,221 @@
-"""To come."""
+"""Chunks, BM25, hybrid search, intents, scores and capsules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lorespan import functions as fn
+from lorespan.adapters import EPOCH, Tables
+from lorespan.operators import capsule as cap
+from lorespan.operators import retrieval as r
+from lorespan.plans.registry import query
+
+C = F.col
+
+
+def _terms(column: str) -> str:
+    return f"regexp_extract_all(translate(lower({column}), '{fn.FOLD_FROM}', '{fn.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_CHUNKS = """ , raw AS (SELECT file_path, regexp_split_to_array(regexp_replace(content, '\\r?\\n$', ''), '\\r?\\n') AS ls FROM markdown WHERE length(content) > 0),
+l AS (SELECT file_path, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM raw),
+s AS (SELECT *, sum(CASE WHEN text LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line) AS section FROM l),
+p AS (SELECT *, CASE WHEN count(*) OVER w > 200 THEN (line - min(line) OVER w) // 100 ELSE 0 END AS piece FROM s WINDOW w AS (PARTITION BY file_path, section)),
+g AS (SELECT file_path, section, piece, min(line) + 1 AS start_line, max(line) + 1 AS end_line, string_agg(text, chr(10) ORDER BY line) AS content FROM p GROUP BY 1, 2, 3),
+h AS (SELECT file_path, section, trim(regexp_replace(max(text) FILTER (text LIKE '#%'), '^#+', '')) AS heading FROM s GROUP BY 1, 2),
+chunks AS (SELECT g.file_path, row_number() OVER (PARTITION BY g.file_path ORDER BY start_line) - 1 AS chunk_index, heading, start_line, end_line, content, strlen(content) // 4 AS token_estimate, substr(md5(content), 1, 8) AS content_hash FROM g JOIN h USING (file_path, section) WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> '')"""
+
+
+@query(_CHUNKS + " SELECT file_path, chunk_index, heading, start_line, end_line, token_estimate, content_hash FROM chunks", "markdown")
+def markdown_chunks(t: Tables) -> DataFrame:
+    return r.chunk_markdown(t.markdown).drop("content")
+
+
+def _bm25_sql(asked: str, mode: str = "and") -> str:
+    """On tables d(id, text) and asked rows (qid, phrase, phrases, size, off, term, prefix)."""
+    return f""", asked(qid, phrase, phrases, size, off, term, prefix) AS (VALUES {asked}), t AS (SELECT id, {_terms('text')} AS ts FROM d), tok AS (SELECT id, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM t),
+n AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_len FROM t), a AS (SELECT qid, phrase, phrases, size, off, term FROM asked WHERE NOT prefix UNION ALL SELECT qid, phrase, phrases, size, off, v.term FROM asked JOIN (SELECT DISTINCT term FROM tok) v ON starts_with(v.term, asked.term) WHERE prefix),
+w AS (SELECT qid, phrase, phrases, size, id, pos - off AS at FROM tok JOIN a USING (term) GROUP BY ALL HAVING count(DISTINCT off) = size), f AS (SELECT qid, phrase, phrases, id, count(*) AS f FROM w GROUP BY ALL), dn AS (SELECT qid, phrase, count(*) AS n FROM f GROUP BY ALL),
+sc AS (SELECT qid, id, phrases, count(*) AS have, sum((CASE WHEN ln((n_docs - dn.n + 0.5) / (dn.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - dn.n + 0.5) / (dn.n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ts) / mean_len))) AS score FROM f JOIN dn USING (qid, phrase) JOIN t USING (id), n GROUP BY ALL),
+hits AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE {'have = phrases' if mode == 'and' else 'true'})"""
+
+
+def _queries(t: Tables, *texts: str) -> DataFrame:
+    return t.spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "qid int, query string")
+
+
+def _show(scores: DataFrame, k: int) -> DataFrame:
+    return r.top_hits(scores, k).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+def _nodes(t: Tables) -> DataFrame:
+    return t.nodes.select(C("key").alias("id"), F.concat_ws(" ", "name", "signature").alias("text"))
+
+
+_D_NODES = " , d AS (SELECT key AS id, name || ' ' || signature AS text FROM nodes)"
+_SHOW = " SELECT qid, id, round(score, 6) AS score FROM hits WHERE rank <= {0}"
+
+
+@query(_D_NODES + _bm25_sql("(0, 0, 2, 1, 0, 'red', false), (0, 1, 2, 1, 0, 'widget', false), (1, 0, 1, 1, 0, 'economy', false)") + _SHOW.format(20), "nodes")
+def bm25_nodes(t: Tables) -> DataFrame:
+    return _show(r.bm25(_nodes(t), _queries(t, "red widget", "economy")), 20)
+
+
+@query(" , d AS (SELECT id, text || ' ' || tags AS text FROM notes)" + _bm25_sql("(0, 0, 2, 1, 0, 'assistant', false), (0, 1, 2, 1, 0, 't3', false), (1, 0, 2, 1, 0, 'the', false), (1, 1, 2, 1, 0, 'user', false)", "or") + _SHOW.format(10), "notes")
+def bm25_notes(t: Tables) -> DataFrame:
+    docs = t.notes.select("id", F.concat_ws(" ", "text", "tags").alias("text"))
+    return _show(r.bm25(docs, _queries(t, "assistant t3", "the user"), mode="or"), 10)
+
+
+@query(_CHUNKS.replace(" , raw", " , raw", 1) + " , d AS (SELECT file_path || '#' || chunk_index AS id, coalesce(heading, '') || ' ' || content AS text FROM chunks)" + _bm25_sql("(0, 0, 2, 1, 0, 'the', false), (0, 1, 2, 1, 0, 'thing', false), (1, 0, 1, 1, 0, 'de', false)") + _SHOW.format(10), "markdown")
+def bm25_docs(t: Tables) -> DataFrame:
+    chunks = r.chunk_markdown(t.markdown)
+    docs = chunks.select(F.concat("file_path", F.lit("#"), C("chunk_index").cast("string")).alias("id"), F.concat_ws(" ", F.coalesce("heading", F.lit("")), "content").alias("text"))
+    return _show(r.bm25(docs, _queries(t, "the thing", "de")), 10)
+
+
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'wid', true), (1, 0, 2, 1, 0, 'bl', true), (1, 1, 2, 1, 0, 'small', false)") + _SHOW.format(15), "nodes")
+def bm25_prefix(t: Tables) -> DataFrame:
+    return _show(r.bm25(_nodes(t), _queries(t, "wid*", "bl* small")), 15)
+
+
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 2, 0, 'red', false), (0, 0, 1, 2, 1, 'widget', false), (1, 0, 2, 2, 0, 'small', false), (1, 0, 2, 2, 1, 'ring', false), (1, 1, 2, 1, 0, 'economy', false)") + _SHOW.format(15), "nodes")
+def bm25_phrase(t: Tables) -> DataFrame:
+    return _show(r.bm25(_nodes(t), _queries(t, "red_widget", "small_ring economy")), 15)
+
+
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ , cen AS (SELECT to_key AS id, sum(weight) AS centrality FROM links GROUP BY 1),
+top AS (SELECT h.*, coalesce(centrality, 0.0) AS centrality FROM hits h LEFT JOIN cen USING (id) WHERE rank <= 50)
+SELECT qid, id, round(0.6 * score / greatest(1e-10, max(score) OVER w) + 0.4 * centrality / greatest(1e-10, max(centrality) OVER w), 6) AS combined FROM top WINDOW w AS (PARTITION BY qid)""", "nodes links")
+def hybrid_search(t: Tables) -> DataFrame:
+    centrality = t.links.groupBy(C("to_key").alias("id")).agg(F.sum("weight").alias("centrality"))
+    return r.hybrid(r.bm25(_nodes(t), _queries(t, "ring", "promo")), centrality).select("qid", "id", F.round("combined", 6).alias("combined"))
+
+
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'bolt', false), (1, 0, 1, 1, 0, 'customer', false)") + " SELECT qid, id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS closeness FROM hits WHERE rank <= 5", "nodes")
+def disambiguation(t: Tables) -> DataFrame:
+    """The five best symbols of a name; alternatives lie within 1.2 times the best one's magnitude, so all do."""
+    hits = r.top_hits(r.bm25(_nodes(t), _queries(t, "bolt", "customer")), 5)
+    close = C("score") / F.max("score").over(Window.partitionBy("qid"))
+    return hits.filter("true").select("qid", "id", C("rank").cast("long").alias("rank"), F.round(close, 6).alias("closeness"))
+
+
+_PROMPTS = ["", "why is this function crashing", "fix the bug in auth", "refactor the auth module", "explain how auth works", "add caching to the query engine", "review the database module", "getUser function", "the code has a bug so rename it", "who calls main", "audit security of auth", "  Fn(x: i32)  ", "***", "prefix address", "creat a thing", "xyzzy"]
+_PROMPT_ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PROMPTS))
+
+
+@query(f"SELECT qid, trim(regexp_replace(translate(q, '\"''()*+-:^{{}}', '           '), '\\s+', ' ', 'g')) AS clean FROM (VALUES {_PROMPT_ROWS}) v(qid, q)")
+def query_sanitiser(t: Tables) -> DataFrame:
+    return _queries(t, *_PROMPTS).select("qid", fn.sanitise(C("query")).alias("clean"))
+
+
+_KEYWORD_ROWS = ", ".join(f"({i}, '{k}', '{w}')" for i, (k, ws) in enumerate(r.KEYWORDS.items()) for w in ws)
+_INTENT_SQL = f"""WITH p(qid, query) AS (VALUES {_PROMPT_ROWS}), k(place, intent, kw) AS (VALUES {_KEYWORD_ROWS}), pk AS (SELECT qid, lower(query) AS q, place, intent, kw FROM p, k),
+ks AS (SELECT qid, place, intent, sum(CASE WHEN contains(q, kw) THEN CASE WHEN starts_with(q, kw) THEN 1.5 ELSE 1.0 END ELSE 0.0 END)::DOUBLE AS s FROM pk GROUP BY ALL HAVING sum(CASE WHEN contains(q, kw) THEN 1 ELSE 0 END) > 0),
+fs AS (SELECT qid, place, intent, max(greatest(jaro_winkler_similarity(q, kw), list_max(list_transform(regexp_split_to_array(trim(q), '\\s+'), lambda w: jaro_winkler_similarity(w, kw))))) AS s FROM pk WHERE q <> '' AND qid NOT IN (SELECT qid FROM ks) GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, place) AS r FROM (SELECT * FROM ks UNION ALL SELECT * FROM fs WHERE s > 0.7)), a AS (SELECT * FROM s WHERE r = 1), b AS (SELECT * FROM s WHERE r = 2)"""
+
+
+@query(_INTENT_SQL + " SELECT p.qid, coalesce(a.intent, 'understand') AS primary_intent, CASE WHEN a.s - b.s < 0.1 THEN b.intent END AS secondary, CASE WHEN a.s - b.s < 0.1 THEN 0.6 ELSE 1.0 END::DOUBLE AS primary_weight FROM p LEFT JOIN a USING (qid) LEFT JOIN b USING (qid)")
+def intent_fuzzy(t: Tables) -> DataFrame:
+    return r.intents(_queries(t, *_PROMPTS)).select("qid", C("primary").alias("primary_intent"), "secondary", "primary_weight")
+
+
+@query(_INTENT_SQL + " SELECT qid, intent, s AS score FROM ks")
+def intent_keywords(t: Tables) -> DataFrame:
+    rows = _queries(t, *_PROMPTS).withColumn("q", F.lower("query"))
+    scores = F.array(*[F.struct(F.lit(k).alias("intent"), s.alias("score")) for k, s in r.keyword_scores(C("q")).items()])
+    return rows.select("qid", F.explode(scores).alias("x")).select("qid", "x.intent", "x.score").filter("score > 0")
+
+
+@query(f"SELECT i.name = e.expected AS ok, count(*) AS n FROM ({_INTENT_SQL} SELECT p.qid, coalesce(a.intent, 'understand') AS name FROM p LEFT JOIN a USING (qid)) i JOIN (VALUES (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (10, 'review')) e(qid, expected) USING (qid) GROUP BY 1")
+def eval_intent_accuracy(t: Tables) -> DataFrame:
+    expected = t.spark.sql("select * from values (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (10, 'review') as e(qid, expected)")
+    return r.intents(_queries(t, *_PROMPTS)).join(expected, "qid").groupBy((C("primary") == C("expected")).alias("ok")).agg(F.count("*").alias("n"))
+
+
+_AS_OF = EPOCH + 3_000_000
+_PROX = "CASE anchor_type WHEN 'node' THEN CASE WHEN anchor_value = 'c17' THEN 1.0 WHEN anchor_value LIKE 'c1%' THEN 0.7 ELSE 0.5 END WHEN 'file' THEN CASE WHEN anchor_value = 'f1' THEN 0.8 WHEN anchor_value LIKE 'f1%' THEN 0.5 ELSE 0.4 END WHEN 'scope' THEN 0.6 ELSE 0.3 END"
+
+
+def _near():
+    here, near = C("anchor_value").isin("c17", "f1"), C("anchor_value").rlike("^[cf]1")
+    return r.proximity(C("anchor_type"), here, near)
+
+
+@query(f" SELECT id, ({_PROX})::DOUBLE AS proximity FROM notes", "notes")
+def proximity_levels(t: Tables) -> DataFrame:
+    return t.notes.select("id", _near().alias("proximity"))
+
+
+@query(f""" SELECT id, round(greatest(0, least(1, (0.2 + 0.25 * ({_PROX}) + 0.15 * exp(-0.01 * greatest(0, ({_AS_OF} - updated_at) / 3600.0)) + 0.2 * quality) * CASE WHEN stale THEN 0.6 ELSE 1.0 END * CASE kind WHEN 'pitfall' THEN 1.2 WHEN 'strategy' THEN 1.1 WHEN 'context' THEN 0.8 ELSE 1.0 END))::DOUBLE, 6) AS score FROM notes""", "notes")
+def note_scores(t: Tables) -> DataFrame:
+    recency = fn.recency(C("updated_at"), F.lit(_AS_OF))
+    return t.notes.select("id", F.round(r.note_score(F.lit(None).cast("double"), _near(), recency, C("quality"), C("stale"), C("kind")), 6).alias("score"))
+
+
+@query("SELECT doc_id, round(greatest(0, least(1, 0.7 * (doc_id % 11) / 10.0 + 0.3 * CASE WHEN source = 'src1' THEN 1 ELSE 0 END))::DOUBLE, 6) AS score FROM documents")
+def doc_scores(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.round(r.doc_score(C("doc_id") % 11 / 10.0, C("source") == "src1"), 6).alias("score"))
+
+
+@query(f" SELECT id, round(exp(-0.01 * greatest(0, ({_AS_OF - 2_000_000} - updated_at) / 3600.0)), 6) AS recency FROM notes", "notes")
+def recency_decay(t: Tables) -> DataFrame:
+    return t.notes.select("id", F.round(fn.recency(C("updated_at"), F.lit(_AS_OF - 2_000_000)), 6).alias("recency"))
+
+
+@query(f" SELECT event_id, round(0.5 * exp(-0.01 * greatest(0, ({_AS_OF} - timestamp) / 3600.0)) + 0.15, 6) AS score FROM sessions", "sessions")
+def session_activity_scores(t: Tables) -> DataFrame:
+    return t.sessions.select("event_id", F.round(r.session_score(fn.recency(C("timestamp"), F.lit(_AS_OF))), 6).alias("score"))
+
+
+@query(""" , x AS (SELECT anchor_value AS label, id, quality, row_number() OVER (PARTITION BY anchor_type, anchor_value ORDER BY quality DESC, id) AS r, count(*) OVER (PARTITION BY anchor_type, anchor_value) AS n FROM notes WHERE anchor_type IN ('file', 'scope'))
+SELECT label, id FROM x WHERE n <= 5 OR r <= 3 UNION ALL SELECT label, '[+' || (n - 3) || ' more notes on ' || label || ']' FROM x WHERE n > 5 AND r = 4""", "notes")
+def note_distillation(t: Tables) -> DataFrame:
+    rows = t.notes.filter(C("anchor_type").isin("file", "scope")).select("anchor_type", "anchor_value", C("anchor_value").alias("label"), "id", "quality", C("id").alias("content"))
+    return cap.distilled(rows, ["anchor_type", "anchor_value"]).select("label", C("content").alias("id"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT source, doc_id, length(text) // 4 AS tokens, row_number() OVER (PARTITION BY source ORDER BY -((doc_id * 7919) % 1000) / 1000.0, doc_id::VARCHAR) AS r FROM documents WHERE doc_id < 400),
+walk AS (SELECT source, 0::BIGINT AS r, 0::BIGINT AS used, NULL::BIGINT AS doc_id, false AS kept FROM (SELECT DISTINCT source FROM x) UNION ALL
+SELECT x.source, x.r, CASE WHEN w.used + x.tokens <= 3000 THEN w.used + x.tokens ELSE w.used END, x.doc_id, w.used + x.tokens <= 3000 FROM walk w JOIN x ON x.source = w.source AND x.r = w.r + 1)
+SELECT source, doc_id FROM walk WHERE kept""")
+def greedy_budget_trim(t: Tables) -> DataFrame:
+    rows = t.raw("documents").filter("doc_id < 400").select(C("source").alias("request_id"), F.lit("doc").alias("source"), C("doc_id").cast("string").alias("item"), F.floor(F.length("text") / 4).alias("tokens"), ((C("doc_id") * 7919) % 1000 / 1000.0).alias("score"), F.lit(False).alias("pinned"))
+    budgets = rows.select("request_id").distinct().withColumn("budget", F.lit(3000))
+    return cap.trimmed(rows, budgets).select(C("request_id").alias("source"), C("item").cast("long").alias("doc_id"))
+
+
+_REQUESTS = "(1, 'c17', 400, 'standard'), (2, 's3', 300, 'minimal'), (3, 'p7', 900, 'detailed'), (4, 'c34', 150, 'unknown'), (5, 'n4', 500, 'standard'), (6, 'c51', 60, 'detailed')"
+
+
+def _level(field: str) -> str:
+    return f"CASE detail WHEN 'minimal' THEN {getattr(cap.LEVELS['minimal'], field)} WHEN 'detailed' THEN {getattr(cap.LEVELS['detailed'], field)} ELSE {getattr(cap.LEVELS['standard'], field)} END"
+
+
+_CAPSULE_SQL = f""" , req(request_id, key, budget, detail) AS (VALUES {_REQUESTS}), cen AS (SELECT to_key AS item, sum(weight) AS centrality FROM links GROUP BY 1),
+nb AS (SELECT request_id, 'caller' AS source, from_key AS item, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, from_key) AS place, {_level('callers')} AS lim FROM req JOIN links ON to_key = key
+ UNION ALL SELECT request_id, 'callee', to_key, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, to_key), {_level('callees')} FROM req JOIN links ON from_key = key),
+nn AS (SELECT request_id, detail, r.key AS label, n.id, '[' || n.kind || '] ' || text AS content, quality, n.kind, stale, updated_at, row_number() OVER (PARTITION BY request_id ORDER BY quality DESC, n.id) AS r, count(*) OVER (PARTITION BY request_id) AS n FROM req r JOIN notes n ON anchor_type = 'node' AND anchor_value = r.key),
+nd AS (SELECT request_id, detail, label, id, content, quality, kind, stale, updated_at FROM nn WHERE n <= 5 OR r <= 3 UNION ALL SELECT request_id, detail, label, NULL, '[+' || (n - 3) || ' more notes on ' || label || ']', quality, kind, stale, updated_at FROM nn WHERE n > 5 AND r = 4),
+nc AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY quality DESC, id NULLS LAST) AS place FROM nd),
+cand AS (SELECT request_id, 'target' AS source, key AS item, signature AS content, 0 AS place, NULL::DOUBLE AS quality, NULL::VARCHAR AS kind, NULL::BOOLEAN AS stale, NULL::BIGINT AS updated_at FROM req JOIN (SELECT key, signature FROM nodes) USING (key)
+ UNION ALL SELECT request_id, source, item, signature, place, NULL, NULL, NULL, NULL FROM nb JOIN nodes ON nodes.key = item WHERE place <= lim
+ UNION ALL SELECT request_id, 'note', coalesce(id, 'more ' || label), content, place, quality, kind, stale, updated_at FROM nc WHERE place <= {_level('notes')}),
+sc AS (SELECT *, greatest(1, strlen(content) // 4) AS tokens, source <> 'note' AS pinned, CASE source WHEN 'target' THEN 1.0 WHEN 'note' THEN greatest(0, least(1, (0.2 + 0.25 + 0.15 * exp(-0.01 * greatest(0, ({_AS_OF} - updated_at) / 3600.0)) + 0.2 * quality) * CASE WHEN stale THEN 0.6 ELSE 1.0 END * CASE kind WHEN 'pitfall' THEN 1.2 WHEN 'strategy' THEN 1.1 WHEN 'context' THEN 0.8 ELSE 1.0 END)) ELSE 0.0 END::DOUBLE AS score FROM cand),
+lf AS (SELECT r.request_id, floor(r.budget * 0.9) - coalesce(sum(tokens) FILTER (pinned), 0) AS room FROM req r JOIN sc USING (request_id) GROUP BY r.request_id, r.budget),
+od AS (SELECT s.*, room, row_number() OVER (PARTITION BY s.request_id ORDER BY score DESC, source, item) AS r FROM sc s JOIN lf USING (request_id) WHERE NOT pinned AND room > 0),
+walk AS (SELECT request_id, 0::BIGINT AS r, 0::DOUBLE AS used, NULL::VARCHAR AS item, false AS kept FROM lf UNION ALL SELECT o.request_id, o.r, CASE WHEN w.used + o.tokens <= o.room THEN w.used + o.tokens ELSE w.used END, o.item, w.used + o.tokens <= o.room FROM walk w JOIN od o ON o.request_id = w.request_id AND o.r = w.r + 1),
+fin AS (SELECT * FROM sc WHERE pinned UNION ALL SELECT s.* FROM sc s JOIN walk w ON w.kept AND w.request_id = s.request_id AND w.item = s.item WHERE NOT s.pinned),
+sec AS (SELECT request_id, CASE source WHEN 'target' THEN 1 WHEN 'caller' THEN 2 WHEN 'callee' THEN 3 ELSE 4 END AS s, string_agg(content, chr(10) ORDER BY CASE WHEN pinned THEN 0 ELSE -score END, place, item) AS body, count(*) AS n FROM fin GROUP BY 1, 2),
+out AS (SELECT request_id, string_agg(['[!]', '[TARGET]', '[CALLERS]', '[CALLEES]', '[CONTEXT]'][s + 1] || chr(10) || body, chr(10) || chr(10) ORDER BY s) AS capsule, sum(n)::BIGINT AS items FROM sec GROUP BY 1)
+SELECT request_id, capsule, items, strlen(capsule) // 4 AS token_count FROM out"""
+
+
+@query(_CAPSULE_SQL, "nodes links notes", recursive=True)
+def capsule_sections(t: Tables) -> DataFrame:
+    requests = t.spark.sql(f"select * from values {_REQUESTS} as r(request_id, key, budget, detail)")
+    edges = t.links.select(C("from_key").alias("src"), C("to_key").alias("dst"), "weight")
+    centrality = edges.groupBy(C("dst").alias("item")).agg(F.sum("weight").alias("centrality"))
+    return cap.assemble(requests, t.nodes, edges, t.notes, centrality, _AS_OF)
