@@ -1 +1,144 @@
-"""Subpackage."""
+"""Readers and writers: source trees, telemetry lines, run logs, case files and versioned tables."""
+
+from __future__ import annotations
+
+import json
+import tomllib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespan import functions as fn
+from lorespan import schema
+
+C = F.col
+METRIC_EVENT = "timestamp string, event string, conversation_id string, generation_id string, model string, tool_name string, input_bytes long, output_bytes long, duration_ms long, context_tokens long, context_window_size long, context_usage_pct double, status string, loop_count int, file_path string"
+RUN_EVENT = "type string, session_id string, duration_ms long, message struct<id:string,usage:struct<input_tokens:long,output_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long>,content:array<struct<type:string,name:string,input:map<string,string>>>>"
+#: Log levels from least to most severe.
+LEVELS = ("trace", "debug", "info", "warn", "error")
+
+
+def source_files(spark: SparkSession, root: str, ignored: list[str] | None = None, docs: bool = False) -> DataFrame:
+    """(file_path, content, mtime) of files in known languages, or of markdown; hidden paths and paths that contain an
+    ignored pattern (less its ``**/`` and ``/**``) are left out."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    kind = fn.route(C("path"))
+    rows = rows.filter(kind == ("doc" if docs else "code")).filter(~C("path").rlike(r"/\.[^/]"))
+    for pattern in ignored or []:
+        rows = rows.filter(~C("path").contains(pattern.replace("**/", "").replace("/**", "")))
+    return rows.select(C("path").alias("file_path"), F.decode("content", F.lit("utf-8")).alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
+
+
+def json_lines(spark: SparkSession, path: str, ddl: str = METRIC_EVENT) -> DataFrame:
+    """JSON lines of a schema; lines that do not parse are skipped."""
+    return spark.read.schema(ddl).option("mode", "DROPMALFORMED").json(path)
+
+
+def run_events(spark: SparkSession, path: str) -> DataFrame:
+    """One row per event of an external run's log; lines that are no JSON object are skipped."""
+    parsed = spark.read.text(path).select(F.from_json("value", RUN_EVENT).alias("e")).filter(C("e").isNotNull() & C("e.type").isNotNull())
+    return parsed.select("e.*")
+
+
+def run_metrics(events: DataFrame) -> DataFrame:
+    """Per session: tokens by kind, tool calls and duration."""
+    used = C("message.usage")
+    calls = F.size(F.filter(F.coalesce("message.content", F.array()), lambda x: x["type"] == "tool_use"))
+    total = lambda c: F.coalesce(F.sum(used[c]), F.lit(0)).alias(c)
+    return events.groupBy("session_id").agg(total("input_tokens"), total("output_tokens"), total("cache_read_input_tokens"), total("cache_creation_input_tokens"), F.sum(calls).alias("tool_calls"), F.max("duration_ms").alias("duration_ms"))
+
+
+def log_lines(spark: SparkSession, path: str, level: str = "info", method: str | None = None, last: int = 50) -> DataFrame:
+    """The last lines of a JSON log at or above a level, newest first; schema timestamp, level, message, method."""
+    rows = json_lines(spark, path, "timestamp string, level string, message string, method string")
+    rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.lower("level"))
+    rows = rows.filter(rank >= LEVELS.index(level) + 1)
+    if method:
+        rows = rows.filter(C("method").contains(method))
+    return rows.orderBy(C("timestamp").desc()).limit(last)
+
+
+def cases(spark: SparkSession, path: str, key: str = "cases") -> DataFrame:
+    """Evaluation cases of a TOML file, one row each, values as text (lists as JSON)."""
+    with open(path, "rb") as f:
+        found = tomllib.load(f).get(key, [])
+    names = sorted({k for c in found for k in c})
+    if not names:
+        return spark.createDataFrame([], "name string")
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    return spark.createDataFrame([tuple(text(c.get(n)) for n in names) for c in found], ", ".join(f"`{n}` string" for n in names))
+
+
+def thresholds(path: str) -> dict[str, float]:
+    """Every number of a TOML file by its dotted name."""
+    with open(path, "rb") as f:
+        tree = tomllib.load(f)
+
+    def walk(node: dict, head: str) -> dict[str, float]:
+        out: dict[str, float] = {}
+        for k, v in node.items():
+            out |= walk(v, f"{head}{k}.") if isinstance(v, dict) else {head + k: float(v)} if isinstance(v, int | float) else {}
+        return out
+
+    return walk(tree, "")
+
+
+class Store:
+    """Tables under one root, each in numbered versions; a branch is a partition. Writing makes a new version, readers
+    see the newest complete one, so a writer that dies leaves nothing half done."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self, table: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        if not self._fs.exists(path):
+            return []
+        done = lambda p: self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(path) if s.getPath().getName().startswith("v") and done(s.getPath()))
+
+    def write(self, table: str, rows: DataFrame, branch: str = "main") -> int:
+        """Replaces the branch's rows; the other branches' rows are carried over."""
+        old = self._versions(table)
+        rows = schema.conform(rows, table).withColumn("branch", F.lit(branch))
+        if old:
+            kept = self.spark.read.parquet(f"{self.root}/{table}/v{old[-1]}").filter(C("branch") != branch)
+            rows = rows.unionByName(kept.select(*rows.columns))
+        new = old[-1] + 1 if old else 1
+        rows.write.mode("overwrite").partitionBy("branch").parquet(f"{self.root}/{table}/v{new}")
+        return new
+
+    def append(self, table: str, rows: DataFrame, branch: str = "main") -> None:
+        """Adds log rows to the newest version."""
+        version = (self._versions(table) or [1])[-1]
+        schema.conform(rows, table).withColumn("branch", F.lit(branch)).write.mode("append").partitionBy("branch").parquet(f"{self.root}/{table}/v{version}")
+
+    def read(self, table: str, branch: str = "main") -> DataFrame:
+        """The branch's rows; empty where nothing was written."""
+        old = self._versions(table)
+        if not old:
+            return self.spark.createDataFrame([], schema.TABLES[table])
+        ddl = schema.TABLES[table] + ", branch string"
+        return self.spark.read.schema(ddl).parquet(f"{self.root}/{table}/v{old[-1]}").filter(C("branch") == branch).drop("branch")
+
+
+def federated(stores: dict[str, Store], table: str, branch: str = "main") -> DataFrame:
+    """The tables of several stores with the store's name in ``repo``."""
+    out = None
+    for name, store in stores.items():
+        rows = store.read(table, branch).withColumn("repo", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no stores")
+    return out
+
+
+def as_text(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Columns cut to widths with an ellipsis, as text."""
+    cut = lambda c, n: F.when(F.length(C(c).cast("string")) > n, F.concat(F.substring(C(c).cast("string"), 1, n - 1), F.lit("…"))).otherwise(C(c).cast("string"))
+    return rows.select(*(cut(c, n).alias(c) for c, n in widths.items()))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

@@ -1 +1,108 @@
-"""Subpackage."""
+"""Event streams: batched changes, sliding detectors, follow-ups, snapshots and sessions.
+
+Streams carry ``at`` (timestamp). Rows later than the watermark, ten minutes unless said otherwise, are left
+out. Each function gives a streaming DataFrame or starts a query; a batch DataFrame works the same way.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+C = F.col
+LATE = "10 minutes"
+
+
+def changes(stream: DataFrame, own_folder: str = ".index") -> DataFrame:
+    """Events (path, change) that matter: content changes outside the own folder."""
+    return stream.filter(~C("change").isin("access", "metadata") & ~C("path").contains(f"/{own_folder}/"))
+
+
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "350 milliseconds"):
+    """Starts a query that hands over each batch's distinct paths, once each; nothing is lost while a handler fails."""
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    unique = lambda rows, n: handle(rows.select("path").distinct(), n)
+    return stream.writeStream.foreachBatch(unique).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def snapshots(stream: DataFrame, seconds: int = 60, late: str = LATE) -> DataFrame:
+    """(start, n, total) of tumbling windows."""
+    w = F.window("at", f"{seconds} seconds")
+    return stream.withWatermark("at", late).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(C("w.start").alias("start"), "n", "total")
+
+
+def sliding_counts(stream: DataFrame, keys: list[str], span: str = "5 minutes", step: str = "1 minute", late: str = LATE) -> DataFrame:
+    w = F.window("at", span, step)
+    return stream.withWatermark("at", late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(C("w.start").alias("start"), *keys, "n")
+
+
+def sessions(stream: DataFrame, key: str, gap: str = "2 hours", late: str = LATE) -> DataFrame:
+    w = F.session_window("at", gap)
+    return stream.withWatermark("at", late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(key, C("w.start").alias("start"), C("w.end").alias("end"), "n")
+
+
+def follow_ups(capsules: DataFrame, actions: DataFrame, seconds: int = 300, late: str = LATE) -> DataFrame:
+    """Actions (session_id, at, event_type, file_path) within ``seconds`` of a capsule (capsule_id, session_id, at, file) on its file."""
+    a = capsules.withWatermark("at", late).select("capsule_id", C("session_id").alias("s"), C("at").alias("served"), "file")
+    b = actions.withWatermark("at", late)
+    near = (C("s") == C("session_id")) & (C("at") >= C("served")) & (C("at") <= C("served") + F.expr(f"interval {seconds} seconds")) & C("file_path").contains(C("file"))
+    return a.join(b, near).select("capsule_id", "session_id", "event_type", "at")
+
+
+def _edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def similarity(a: str, b: str) -> float:
+    return 1.0 if not a and not b else 1 - _edit_distance(a, b) / max(len(a), len(b))
+
+
+def thrashing_in(edits: list[tuple[float, str]], least: int = 3, span: float = 300, alike: float = 0.9) -> bool:
+    """Whether the edits (time, checksum) of the last ``span`` seconds are many and go back and forth."""
+    recent = [c for t, c in edits if t >= edits[-1][0] - span]
+    return len(recent) >= least and sum(similarity(x, y) > alike for x, y in zip(recent, recent[1:], strict=False)) >= 2
+
+
+def thrashing(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """(node, at) once for each node whose edits (node, at, checksum) thrash: a window of edits per node as state.
+
+    State goes when no edit came for 48 hours of event time.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fired, times, sums = state.get if state.exists else (False, [], [])
+        edits = list(zip(times, sums, strict=True))
+        found = []
+        rows = pd.concat(list(batches)).sort_values("at")
+        for at, checksum in zip(rows["at"], rows["checksum"], strict=True):
+            edits = [e for e in [*edits, (at.timestamp(), checksum)] if e[0] >= at.timestamp() - 300]
+            if not fired and thrashing_in(edits):
+                fired = True
+                found.append((key[0], at))
+        state.update((fired, [t for t, _ in edits], [c for _, c in edits]))
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + 48 * 3600 * 1000)
+        if found:
+            yield pd.DataFrame(found, columns=["node", "at"])
+
+    keyed = stream.withWatermark("at", late).groupBy("node")
+    return keyed.applyInPandasWithState(step, "node string, at timestamp", "fired boolean, times array<double>, sums array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def failed_searches(stream: DataFrame, least: int = 3, late: str = LATE) -> DataFrame:
+    """(session_id, query, misses) of searches that failed at least so often within an hour."""
+    w = F.window("at", "1 hour")
+    query = F.lower(F.trim("query"))
+    counts = stream.withWatermark("at", late).groupBy(w.alias("w"), "session_id", query.alias("query")).agg(F.count("*").alias("misses"))
+    return counts.filter(C("misses") >= least).select("session_id", "query", "misses")
