@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.llm import text as T
 from lorespan.llm.tokens import encoder
 
 GROUP_DOCS = 4096
@@ -159,7 +160,7 @@ def packed_ids(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int
         raise ValueError("context must be positive")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dtype = "<u2" if max(vocabulary - 1, end_id, pad_id) < 1 << 16 else "<u4"
-    return rows.mapInArrow(_packer(tokenizer, context, end_id, pad_id, dtype), SCHEMA)
+    return T.mapped(rows, _packer(tokenizer, context, end_id, pad_id, dtype), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.llm import text as T
 from lorespan.llm.tokens import encoder
 
 GROUP_DOCS = 4096
@@ -135,6 +136,8 @@ def _powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, i
     out, pieces, total = [], pieces[::-1], sum(p[2] for p in pieces)
     for bit in reversed(range(total.bit_length())):
         want, sequence = total & (1 << bit), []
+        if not want:
+            continue
         while want:
             d, at, n = pieces.pop()
             take = min(want, n)
@@ -191,4 +194,4 @@ def pack_examples(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), en
     """
     prompt = F.col(prompt_col) if prompt_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), prompt.cast("string").alias("prompt"))
-    return rows.mapInArrow(_packer(tokenizer, limits, end_id), SCHEMA)
+    return T.mapped(rows, _packer(tokenizer, limits, end_id), SCHEMA)
