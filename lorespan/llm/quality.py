@@ -92,7 +92,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rules' measures of each text; null and empty texts have zeros."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, MEASURES)
+    return T.mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _measure, MEASURES)
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -114,22 +114,26 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.7, accuracy: float = 0.8) -> tuple[float, np.ndarray]:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.7, false_alarm: float = 0.005, belief: float = 4.0) -> tuple[float, np.ndarray]:
     """(prior of good, probabilities[class, rule, vote]) by EM on distinct patterns of votes 0, 1, 2.
 
-    A rule starts as right with ``accuracy`` whenever it votes; classes bad = 0, good = 1. Every estimate has
-    one pseudo-count, so no probability is zero. Votes of one rule are taken as independent of the others'
-    given the class.
+    Classes are bad = 0, good = 1. Votes of one rule are taken as independent of the others' given the class,
+    which kinds of junk that exclude each other are not; so the rate of bad votes on good documents is held
+    near ``false_alarm`` by a prior that weighs ``belief`` times the good documents (0: plain likelihood).
+    Every estimate has one pseudo-count more, so no probability is zero.
     """
-    n_rules = patterns.shape[1]
-    p = np.empty((2, n_rules, 3))
-    p[0], p[1] = [accuracy * 0.7, 0.3, (1 - accuracy) * 0.7], [(1 - accuracy) * 0.7, 0.3, accuracy * 0.7]
     one_hot = (patterns[:, :, None] == np.arange(3)).astype(float)
+    p = np.empty((2, patterns.shape[1], 3))
+    p[0], p[1] = [0.25, 0.3, 0.45], [false_alarm, 0.3, 0.7 - false_alarm]
     for _ in range(rounds):
         good = posterior(patterns, prior, p)
         weights = np.stack([(1 - good) * counts, good * counts])
         prior = float((weights[1].sum() + 1) / (counts.sum() + 2))
         soft = np.einsum("cp,prv->crv", weights, one_hot) + 1 / 3
+        held = belief * weights[1].sum()
+        others = soft[1, :, 1:] / soft[1, :, 1:].sum(axis=1, keepdims=True)
+        soft[1, :, 0] += held * false_alarm
+        soft[1, :, 1:] += held * (1 - false_alarm) * others
         p = soft / soft.sum(axis=2, keepdims=True)
     return prior, p
 
