@@ -157,6 +157,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
             drawn = rng.binomial(part, share).astype(np.float32)
             for size, cosine in zip(length_class(drawn), (unit(weigh(drawn, idf)) @ model.centroids).max(axis=1), strict=True):
                 model.floor[size] = cosine if not model.floor[size] else min(model.floor[size], cosine)
+    for size in range(1, len(model.floor)):  # lengths that no training text has go by the next shorter ones
+        model.floor[size] = model.floor[size] or model.floor[size - 1]
     model.floor *= settings.rejection
     return model
 

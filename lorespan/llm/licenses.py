@@ -72,8 +72,8 @@ class Scan:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words without the full stops at their ends."""
-    return [w for w in (x.rstrip(".!?").lower() for x in _WORD.findall(text)) if w]
+    """Lower-cased words without the full stops at their ends; both spellings of license are one."""
+    return [w for w in (x.rstrip(".!?").lower().replace("licenc", "licens") for x in _WORD.findall(text)) if w]
 
 
 def differences(block: list[str], template: list[str]) -> list[str]:
