@@ -26,7 +26,7 @@ def source_files(spark: SparkSession, root: str, ignored: list[str] | None = Non
     rows = rows.filter(kind == ("doc" if docs else "code")).filter(~C("path").rlike(r"/\.[^/]"))
     for pattern in ignored or []:
         rows = rows.filter(~C("path").contains(pattern.replace("**/", "").replace("/**", "")))
-    return rows.select(C("path").alias("file_path"), F.decode("content", F.lit("utf-8")).alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
+    return rows.select(C("path").alias("file_path"), F.decode("content", "utf-8").alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
 def json_lines(spark: SparkSession, path: str, ddl: str = METRIC_EVENT) -> DataFrame:
