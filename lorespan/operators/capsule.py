@@ -112,7 +112,7 @@ def trimmed(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """rows (request_id, item, source, tokens, score, pinned, ...) that fit into budgets (request_id, budget).
 
     Pinned rows stay. Others are taken by falling score while they fit: one that does not is skipped, and
-    smaller ones after it may still fit. Ties go by source and item. The fold runs over one request's
+    smaller ones after it may still fit. Ties go by source and item, which name one row of a request. The fold runs over one request's
     candidates, whose number the caps bound.
     """
     pins = rows.groupBy("request_id").agg(F.coalesce(F.sum(F.when(C("pinned"), C("tokens"))), F.lit(0)).alias("used"))

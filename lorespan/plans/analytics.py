@@ -124,15 +124,17 @@ def rates_and_utilisation(t: Tables) -> DataFrame:
     return t.capsules.groupBy("session_id").agg(F.round(n / minutes, 6).alias("per_minute"), F.round(F.count_if(C("tokens_served") == 0) / n, 6).alias("empty_rate"), F.round(F.sum("tokens_served") / (n * 8000) * 100, 6).alias("utilisation"))
 
 
-@query("""WITH expected AS (SELECT item_id, unnest(list_slice(string_split(text, ' '), 1, 4)) AS word FROM benchmark), corpus AS (SELECT string_agg(text, ' ' ORDER BY doc_id) AS all_text FROM documents WHERE doc_id < 200)
-SELECT item_id, round(count_if(contains(all_text, word))::DOUBLE / count(*), 6) AS recall FROM expected, corpus GROUP BY 1""")
+def _terms_sql(column: str) -> str:
+    return f"regexp_extract_all(translate(lower({column}), '{fn.FOLD_FROM}', '{fn.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"""WITH expected AS (SELECT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark), seen AS (SELECT DISTINCT unnest({_terms_sql('text')}) AS term FROM documents)
+SELECT item_id, round(count(s.term)::DOUBLE / count(*), 6) AS recall FROM expected e LEFT JOIN seen s USING (term) GROUP BY 1""")
 def eval_recall(t: Tables) -> DataFrame:
-    """Share of each case's expected words that the result text holds; the text is one row of a bounded result."""
-    expected = t.raw("benchmark").select("item_id", F.explode(F.slice(F.split("text", " "), 1, 4)).alias("word"))
-    words = expected.select("word").distinct()
-    text = t.raw("documents").filter("doc_id < 200").select(C("text").alias("result"))
-    found = words.join(F.broadcast(text), C("result").contains(C("word")), "left_semi").withColumn("hit", F.lit(1))
-    return expected.join(found, "word", "left").groupBy("item_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    """Share of each case's expected terms that the corpus holds."""
+    expected = t.raw("benchmark").select("item_id", F.explode(fn.terms(C("text"))).alias("term"))
+    seen = t.raw("documents").select(F.explode(fn.terms(C("text"))).alias("term")).distinct().withColumn("hit", F.lit(1))
+    return expected.join(seen, "term", "left").groupBy("item_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query(""" , m AS (SELECT session_id, event_type AS metric, value / 100.0 AS value FROM sessions WHERE event_type <> 'start')

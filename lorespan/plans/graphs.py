@@ -72,15 +72,13 @@ def intent_traversal(t: Tables) -> DataFrame:
     return g.intent_traversal(edges(t), asked)
 
 
-def _small(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Regions, nations, suppliers and parts, with the calls between them."""
-    keep = ~C("src").startswith("c") & ~C("dst").startswith("c")
-    return edges(t).filter(keep).select("src", "dst"), t.nodes.filter(~C("key").startswith("c")).select(C("key").alias("node"))
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return edges(t).select("src", "dst"), t.nodes.select(C("key").alias("node"))
 
 
 def _rank_sql(rounds: int, reference: bool) -> str:
-    text = """ , e AS (SELECT from_key AS src, to_key AS dst FROM links WHERE from_key NOT LIKE 'c%' AND to_key NOT LIKE 'c%'), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1),
-base AS (SELECT key AS node, deg IS NULL AS dangling, (SELECT count(*) FROM nodes WHERE key NOT LIKE 'c%')::DOUBLE AS n FROM nodes LEFT JOIN deg ON src = key WHERE key NOT LIKE 'c%'), r0 AS (SELECT *, 1.0::DOUBLE / n AS rank FROM base)"""
+    text = """ , e AS (SELECT from_key AS src, to_key AS dst FROM links), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1),
+base AS (SELECT key AS node, deg IS NULL AS dangling, (SELECT count(*) FROM nodes)::DOUBLE AS n FROM nodes LEFT JOIN deg ON src = key), r0 AS (SELECT *, 1.0::DOUBLE / n AS rank FROM base)"""
     for k in range(rounds):
         jump = "(s.nd - coalesce(i.linked, 0))" if reference else "(s.nd + s.d)"
         text += f""", i{k} AS (SELECT e.dst AS node, sum(r.rank / d.deg) AS inc, sum(DISTINCT_RANK) AS linked FROM e JOIN r{k} r ON r.node = e.src JOIN deg d ON d.src = e.src GROUP BY 1)""".replace("sum(DISTINCT_RANK)", "sum(r.rank)")
@@ -92,12 +90,12 @@ base AS (SELECT key AS node, deg IS NULL AS dangling, (SELECT count(*) FROM node
 @query(_rank_sql(3, True), "nodes links")
 def pagerank_reference(t: Tables) -> DataFrame:
     """Three rounds; links here are distinct pairs, so that counting edges and pairs is the same."""
-    return g.pagerank(*_small(t), rounds=3).select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
+    return g.pagerank(*_graph(t), rounds=3).select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
 
 
 @query(_rank_sql(3, False), "nodes links")
 def pagerank_standard(t: Tables) -> DataFrame:
-    return g.pagerank(*_small(t), rounds=3, variant="standard").select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
+    return g.pagerank(*_graph(t), rounds=3, variant="standard").select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
 
 
 @query(""" SELECT kind, count(*) AS n_edges, sum(weight) AS weight, count(DISTINCT from_key) AS sources, count(DISTINCT to_key) AS targets FROM links GROUP BY 1
@@ -155,20 +153,20 @@ def blind_spot(t: Tables) -> DataFrame:
     return t.files.filter("file_type = 'code'").join(known, "file_path", "left_anti").select("file_path")
 
 
-_PAIRS = """ , o AS (SELECT key, name, signature, checksum, file_path, seq FROM nodes WHERE kind = 'Method' AND seq % 40 = 0), c AS (SELECT key, name, signature, checksum, file_path, seq FROM nodes WHERE kind = 'Method' AND seq % 40 = 1),
-p AS (SELECT o.key AS old_id, c.key AS new_id, o.file_path, o.name AS a, c.name AS b, o.signature AS sa, c.signature AS sb, o.checksum = c.checksum AS same, list_distinct([o.seq % 3, o.seq % 5]) AS na, list_distinct([c.seq % 3, c.seq % 5]) AS nb FROM o JOIN c USING (file_path)),
-q AS (SELECT *, regexp_extract(sa, '\\((.*)\\)', 1) AS ia, regexp_extract(sb, '\\((.*)\\)', 1) AS ib FROM p),
-s AS (SELECT old_id, new_id, file_path, jaro_winkler_similarity(a, b) * 0.3 + (1.0 * 0.6 + 1.0 * 0.4) * 0.25 + CASE WHEN same THEN 0.25 ELSE 0.0 END + len(list_intersect(na, nb)) / len(list_distinct(list_concat(na, nb))) * 0.15 + 0.05 AS score FROM q)"""
+_PAIRS = """WITH x AS (SELECT p_partkey AS key, p_name AS name, 'func ' || replace(p_name, ' ', '_') || '(type: ' || p_type || ', size: ' || p_size || ')' AS signature, p_brand || '/' || p_type || '/' || (p_size // 10) AS file_path, list_distinct([p_partkey % 3, p_partkey % 5]) AS near FROM part),
+p AS (SELECT o.key AS old_id, c.key AS new_id, o.file_path, o.name AS a, c.name AS b, o.signature = c.signature AS same, o.near AS na, c.near AS nb FROM x o JOIN x c USING (file_path) WHERE o.key % 2 = 0 AND c.key % 2 = 1),
+s AS (SELECT old_id, new_id, file_path, jaro_winkler_similarity(a, b) * 0.3 + (1.0 * 0.6 + 1.0 * 0.4) * 0.25 + CASE WHEN same THEN 0.25 ELSE 0.0 END + len(list_intersect(na, nb)) / len(list_distinct(list_concat(na, nb))) * 0.15 + 0.05 AS score FROM p)"""
 
 
 def _pairs(t: Tables) -> DataFrame:
-    rows = t.nodes.filter("kind = 'Method'").select("key", "name", "signature", "checksum", "file_path", "seq", F.array_distinct(F.array(C("seq") % 3, C("seq") % 5)).alias("neighbours"))
-    old = rows.filter("seq % 40 = 0").select("file_path", *(C(c).alias(f"old_{n}") for c, n in (("key", "id"), ("name", "name"), ("signature", "signature"), ("checksum", "checksum"), ("neighbours", "neighbours"))))
-    new = rows.filter("seq % 40 = 1").select("file_path", *(C(c).alias(f"new_{n}") for c, n in (("key", "id"), ("name", "name"), ("signature", "signature"), ("checksum", "checksum"), ("neighbours", "neighbours"))))
-    return g.symbol_similarity(old.join(new, "file_path").withColumn("same_file", F.lit(1.0)))
+    """Every part is an old or a new symbol; its file is its brand, type and size class, so files stay small."""
+    signature = F.concat(F.lit("func "), F.replace(C("p_name"), F.lit(" "), F.lit("_")), F.lit("(type: "), "p_type", F.lit(", size: "), C("p_size").cast("string"), F.lit(")"))
+    rows = t.raw("part").select(C("p_partkey").alias("id"), C("p_name").alias("name"), signature.alias("signature"), F.md5(signature).alias("checksum"), F.concat_ws("/", "p_brand", "p_type", F.floor(C("p_size") / 10).cast("string")).alias("file_path"), F.array_distinct(F.array(C("p_partkey") % 3, C("p_partkey") % 5)).alias("neighbours"))
+    side = lambda name, rest: rows.filter(C("id") % 2 == rest).select("file_path", *(C(c).alias(f"{name}_{c}") for c in ("id", "name", "signature", "checksum", "neighbours")))
+    return g.symbol_similarity(side("old", 0).join(side("new", 1), "file_path").withColumn("same_file", F.lit(1.0)))
 
 
-@query(_PAIRS + " SELECT old_id, new_id, round(score, 6) AS score FROM s", "nodes")
+@query(_PAIRS + " SELECT old_id, new_id, round(score, 6) AS score FROM s")
 def cross_similarity(t: Tables) -> DataFrame:
     """Parts' signatures all name the parameters type and size and return nothing, so signatures agree."""
     return _pairs(t).select("old_id", "new_id", F.round("score", 6).alias("score"))

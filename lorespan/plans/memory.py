@@ -36,10 +36,10 @@ def quality_decay(t: Tables) -> DataFrame:
     return m.decay(t.notes).select("id", F.round("quality", 6).alias("quality"))
 
 
-@query(""" SELECT id, stale OR (anchor_type = 'node' AND anchor_value IN (SELECT key FROM nodes WHERE seq % 3 = 0)) IS TRUE OR (anchor_type = 'file' AND updated_at < (SELECT max(timestamp) FROM sessions WHERE event_type = 'edit' AND file_path = anchor_value AND event_id < 500)) IS TRUE AS stale FROM notes""", "nodes sessions notes")
+@query(""" SELECT id, stale OR (anchor_type = 'node' AND anchor_value IN (SELECT key FROM nodes WHERE seq % 3 = 0)) IS TRUE OR (anchor_type = 'file' AND updated_at < (SELECT max(timestamp) FROM sessions WHERE event_type = 'edit' AND file_path = anchor_value)) IS TRUE AS stale FROM notes""", "nodes sessions notes")
 def staleness(t: Tables) -> DataFrame:
     nodes = t.nodes.select("key", F.lit("a").alias("old_sum"), F.when(C("seq") % 3 == 0, "b").otherwise("a").alias("new_sum"))
-    files = t.sessions.filter("event_type = 'edit' and event_id < 500").select(C("file_path").alias("file"), C("timestamp").alias("mtime"))
+    files = t.sessions.filter("event_type = 'edit'").select(C("file_path").alias("file"), C("timestamp").alias("mtime"))
     return m.mark_stale(t.notes, nodes, files).select("id", "stale")
 
 

@@ -58,9 +58,10 @@ def delete_by_file_anti(t: Tables) -> DataFrame:
     return ops.delete_matching(t.raw("documents"), t.raw("labels"), {"doc_id": "doc_id"}).select("doc_id", "lang")
 
 
-@query(""" SELECT kind, count(*) AS n, sum(weight) AS weight FROM links WHERE from_key IN (SELECT key FROM nodes WHERE seq % 5 <> 0) AND to_key IN (SELECT key FROM nodes WHERE seq % 5 <> 0) GROUP BY 1""", "nodes links")
+@query(""" SELECT kind, count(*) AS n, sum(weight) AS weight FROM links WHERE from_key IN (SELECT key FROM nodes WHERE kind <> 'Function') AND to_key IN (SELECT key FROM nodes WHERE kind <> 'Function') GROUP BY 1""", "nodes links")
 def load_graph_valid_edges(t: Tables) -> DataFrame:
-    return ops.valid_edges(t.links, t.nodes.filter("seq % 5 <> 0")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    """A table of nodes without functions: edges that lead to or from one are dropped."""
+    return ops.valid_edges(t.links, t.nodes.filter("kind <> 'Function'")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 @query(" SELECT key, id, signature_hash FROM nodes", "nodes")
@@ -184,12 +185,14 @@ def callers_callees(t: Tables) -> DataFrame:
     return into.unionByName(out)
 
 
-@query(""" SELECT a.id AS x, b.id AS y FROM notes a JOIN notes b ON a.anchor_type IS NOT DISTINCT FROM b.anchor_type AND a.anchor_value IS NOT DISTINCT FROM b.anchor_value AND a.kind = b.kind AND a.id < b.id WHERE a.created_at < 1704067200 + 300000 AND b.created_at < 1704067200 + 300000""", "notes")
+@query(""" , first AS (SELECT anchor_type, anchor_value, kind, min(id) AS first_id FROM notes GROUP BY ALL)
+SELECT n.id, f.first_id, n.id <> f.first_id AS repeats FROM notes n JOIN first f ON n.anchor_type IS NOT DISTINCT FROM f.anchor_type AND n.anchor_value IS NOT DISTINCT FROM f.anchor_value AND n.kind = f.kind""", "notes")
 def null_safe_dedup(t: Tables) -> DataFrame:
-    n = t.notes.filter("created_at < 1704067200 + 300000").select("id", "anchor_type", "anchor_value", "kind")
-    a, b = n.alias("a"), n.alias("b")
-    same = C("a.anchor_type").eqNullSafe(C("b.anchor_type")) & C("a.anchor_value").eqNullSafe(C("b.anchor_value")) & (C("a.kind") == C("b.kind")) & (C("a.id") < C("b.id"))
-    return a.join(b, same).select(C("a.id").alias("x"), C("b.id").alias("y"))
+    """Each note's first equal in anchor and kind, nulls being equal."""
+    first = t.notes.groupBy("anchor_type", "anchor_value", "kind").agg(F.min("id").alias("first_id")).alias("f")
+    n = t.notes.select("id", "anchor_type", "anchor_value", "kind").alias("n")
+    same = C("n.anchor_type").eqNullSafe(C("f.anchor_type")) & C("n.anchor_value").eqNullSafe(C("f.anchor_value")) & (C("n.kind") == C("f.kind"))
+    return n.join(first, same).select("id", "first_id", (C("id") != C("first_id")).alias("repeats"))
 
 
 @query(""" , scores AS (SELECT to_key AS key, sum(weight) AS w FROM links WHERE kind = 'Calls' GROUP BY 1) SELECT n.key, coalesce(s.w, 0.0) AS score FROM nodes n LEFT JOIN scores s USING (key) WHERE n.kind IN ('Method', 'Interface')""", "nodes links")

@@ -177,14 +177,16 @@ def note_distillation(t: Tables) -> DataFrame:
     return cap.distilled(rows, ["anchor_type", "anchor_value"]).select("label", C("content").alias("id"))
 
 
-@query("""WITH RECURSIVE x AS (SELECT source, doc_id, length(text) // 4 AS tokens, row_number() OVER (PARTITION BY source ORDER BY -((doc_id * 7919) % 1000) / 1000.0, doc_id::VARCHAR) AS r FROM documents WHERE doc_id < 400),
-walk AS (SELECT source, 0::BIGINT AS r, 0::BIGINT AS used, NULL::BIGINT AS doc_id, false AS kept FROM (SELECT DISTINCT source FROM x) UNION ALL
-SELECT x.source, x.r, CASE WHEN w.used + x.tokens <= 3000 THEN w.used + x.tokens ELSE w.used END, x.doc_id, w.used + x.tokens <= 3000 FROM walk w JOIN x ON x.source = w.source AND x.r = w.r + 1)
-SELECT source, doc_id FROM walk WHERE kept""")
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS tokens, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber::VARCHAR, concat_ws('|', l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT)) AS r FROM lineitem),
+walk AS (SELECT l_orderkey, 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS n FROM (SELECT DISTINCT l_orderkey FROM x) UNION ALL
+SELECT x.l_orderkey, x.r, CASE WHEN w.used + x.tokens <= 60 THEN w.used + x.tokens ELSE w.used END, CASE WHEN w.used + x.tokens <= 60 THEN w.n + 1 ELSE w.n END FROM walk w JOIN x ON x.l_orderkey = w.l_orderkey AND x.r = w.r + 1)
+SELECT l_orderkey, max(n) AS kept, max(used) AS used FROM walk GROUP BY 1 HAVING max(n) > 0""")
 def greedy_budget_trim(t: Tables) -> DataFrame:
-    rows = t.raw("documents").filter("doc_id < 400").select(C("source").alias("request_id"), F.lit("doc").alias("source"), C("doc_id").cast("string").alias("item"), F.floor(F.length("text") / 4).alias("tokens"), ((C("doc_id") * 7919) % 1000 / 1000.0).alias("score"), F.lit(False).alias("pinned"))
-    budgets = rows.select("request_id").distinct().withColumn("budget", F.lit(3000))
-    return cap.trimmed(rows, budgets).select(C("request_id").alias("source"), C("item").cast("long").alias("doc_id"))
+    """Each order's lines as a request's candidates: by falling discount, while their quantities fit into 60."""
+    item = F.concat_ws("|", *(c.cast("string") for c in (C("l_partkey"), C("l_suppkey"), F.round(C("l_extendedprice") * 100).cast("long"))))
+    rows = t.raw("lineitem").select(C("l_orderkey").alias("request_id"), C("l_linenumber").cast("string").alias("source"), item.alias("item"), C("l_quantity").cast("long").alias("tokens"), C("l_discount").alias("score"), F.lit(False).alias("pinned"))
+    budgets = rows.select("request_id").distinct().withColumn("budget", F.lit(60))
+    return cap.trimmed(rows, budgets).groupBy(C("request_id").alias("l_orderkey")).agg(F.count("*").alias("kept"), F.sum("tokens").alias("used"))
 
 
 _REQUESTS = "(1, 'c17', 400, 'standard'), (2, 's3', 300, 'minimal'), (3, 'p7', 900, 'detailed'), (4, 'c34', 150, 'unknown'), (5, 'n4', 500, 'standard'), (6, 'c51', 60, 'detailed')"
