@@ -32,6 +32,8 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int, degree_cap: int | None =
     steps = steps.distinct()
     if blocked is not None:
         steps = steps.join(blocked.select(C("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    if hops > 1:
+        steps = cut(steps)  # every hop reads them
     reached = starts.select("start", C("start").alias("node"), F.lit(0).alias("depth"))
     frontier = reached
     for depth in range(1, hops + 1):
@@ -66,7 +68,7 @@ INTENT_HOPS = {"debug": (3, 2, 0.5), "refactor": (0, 5, 0.0), "understand": (2,
 
 def intent_traversal(edges: DataFrame, requests: DataFrame, degree_cap: int = 50) -> DataFrame:
     """requests (start, intent): (start, intent, node, depth), the least depth on either way."""
-    out = None
+    edges, out = cut(edges.select("src", "dst")), None
     for intent, (back, forth, _) in INTENT_HOPS.items():
         own = requests.filter(C("intent") == intent)
         for hops, way in ((back, reversed_edges(edges)), (forth, edges)):
@@ -76,34 +78,33 @@ def intent_traversal(edges: DataFrame, requests: DataFrame, degree_cap: int = 50
     return out.groupBy("start", "intent", "node").agg(F.min("depth").alias("depth"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 30, variant: str = "reference", cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 30, variant: str = "reference") -> DataFrame:
     """(node, rank), ranks of sum 1. nodes: (node).
 
     ``standard``: rank = (1 - d)/n + d * (incoming + dangling/n). ``reference``: a node that v is linked from
     gives it no jump share, only every other node does; shares are then scaled to sum 1. Parallel edges count
-    for out-degrees and shares; links are by distinct pair.
+    for out-degrees and shares; links are by distinct pair. A round is one join with the edges, whose result is
+    checkpointed, and three sums that reach the driver.
     """
-    n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     pairs = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(degree, "src"))
     base = cut(nodes.join(degree.select(C("src").alias("node"), "deg"), "node", "left").select("node", C("deg").isNull().alias("dangling")))
-    ranks = base.select("node", "dangling", F.lit(1.0 / n).alias("rank"))
-    for k in range(rounds):
-        share = pairs.join(ranks.select(C("node").alias("src"), "rank"), "src")
+    n = base.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    ranks, total = base.withColumn("raw", F.lit(1.0 / n)), 1.0
+    sums = F.sum("raw").alias("all"), F.coalesce(F.sum(F.when(C("dangling"), C("raw"))), F.lit(0.0)).alias("loose")
+    state = ranks.agg(*sums).first()
+    for _ in range(rounds):
+        loose, tied = state["loose"] / total, (state["all"] - state["loose"]) / total
+        share = pairs.join(ranks.select(C("node").alias("src"), (C("raw") / total).alias("rank")), "src")
         into = share.groupBy(C("dst").alias("node")).agg(F.sum(C("rank") * C("times") / C("deg")).alias("in"), F.sum("rank").alias("linked"))
-        sums = ranks.agg(F.sum(F.when(C("dangling"), C("rank")).otherwise(0.0)).alias("d"), F.sum(F.when(~C("dangling"), C("rank")).otherwise(0.0)).alias("nd"))
-        joined = base.join(into, "node", "left").crossJoin(F.broadcast(sums))  # one row
-        come, linked = F.coalesce("in", F.lit(0.0)) * damping, F.coalesce("linked", F.lit(0.0))
-        jump = (C("nd") - linked) if variant == "reference" else (C("nd") + C("d"))
-        ranks = joined.select("node", "dangling", (come + damping * C("d") / n + (1 - damping) / n * jump).alias("rank"))
-        if variant == "reference":
-            total = ranks.agg(F.sum("rank").alias("total"))
-            ranks = ranks.crossJoin(F.broadcast(total)).select("node", "dangling", (C("rank") / C("total")).alias("rank"))
-        if (k + 1) % cut_every == 0 and k + 1 < rounds:
-            ranks = cut(ranks)
-    return ranks.select("node", "rank")
+        jump = tied - F.coalesce("linked", F.lit(0.0)) if variant == "reference" else F.lit(tied + loose)
+        raw = damping * F.coalesce("in", F.lit(0.0)) + damping * loose / n + (1 - damping) / n * jump
+        ranks = cut(base.join(into, "node", "left").select("node", "dangling", raw.alias("raw")))
+        state = ranks.agg(*sums).first()
+        total = state["all"] if variant == "reference" else 1.0
+    return ranks.select("node", (C("raw") / total).alias("rank"))
 
 
 def reverse_index(edges: DataFrame, files: DataFrame) -> DataFrame:
