@@ -173,6 +173,29 @@ def test_licenses(spark):
     assert licenses.license_notices(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_whole_license_texts_and_parts(spark):
+    texts = licenses.Scan().texts
+    flat = {k: " ".join(v.split()) for k, v in texts.items()}
+    grant = flat["MIT"][: flat["MIT"].index("The above")].strip()
+    commented = "\n".join(f" * {x}" for x in texts["BSD-3-Clause"].splitlines())
+    bulleted = texts["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")
+    header = flat["GPL-3.0"][flat["GPL-3.0"].index("This program is free software") :][:190]
+    wrapped = header.replace("either version 3 ", "either version\n# 3 ")
+    rows = [(i, f"Some prose about boats.\n\nCopyright (c) 2020 A\n\n{v}\nint main") for i, v in enumerate(texts.values())]
+    rows += [(100, grant), (101, f"/*\n * Copyright (c) 2020, A.\n{commented}\n */\nint x;"), (102, bulleted), (103, wrapped), (104, wrapped.replace("3", "7"))]
+    rows += [(105, f"{texts['MIT']}\n\n{texts['Apache-2.0']}"), (106, f"{texts['GPL-3.0']}\n\n{texts['MIT']}")]
+    rows += [(107, "the terms of the work in the case of a boat, any person obtaining a copy of it may do as they like with the sails and the rest of it")]
+    out: dict = {}
+    for r in licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    sure = {k: {r["license_id"] for r in v if r["confirmed"] and r["n_words"] >= 20} for k, v in out.items()}
+    for i, (name, text) in enumerate(texts.items()):
+        whole = [r for r in out[i] if r["confirmed"] and r["license_id"] == name and r["n_words"] > 0.8 * len(text.split())]
+        assert len(whole) == 1, name
+    assert sure[100] == {"MIT"} and sure[101] == {"BSD-3-Clause"} and sure[102] == {"BSD-2-Clause"} and sure[103] == {"GPL-3.0"}
+    assert not sure.get(104) and {"MIT", "Apache-2.0"} <= sure[105] and {"GPL-3.0", "MIT"} <= sure[106] and not sure.get(107)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6))
 def test_differences_are_fewest(block, template):
