@@ -1,11 +1,13 @@
 """Graph operators over node and edge tables: bounded traversal, ranks, detectors.
 
-Edges are (src, dst, weight). Traversals are breadth-first loops of at most ``hops`` joins; the frontier is
-distributed, its lineage is cut each round, and hubs over the degree cap are not expanded.
+Edges are (src, dst, weight). Traversals are breadth-first loops of at most ``hops`` joins, or until nothing new
+is found; the frontier is distributed, its lineage is cut each round, and hubs over the degree cap are not expanded.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(C("dst").alias("src"), C("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
-def bfs(edges: DataFrame, starts: DataFrame, hops: int, degree_cap: int | None = None, budget: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, hops: int | None, degree_cap: int | None = None, budget: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """(start, node, depth) of nodes reached from each start, itself left out; depth is the least.
 
+    ``hops`` of None means any depth.
+
     A node with more than ``degree_cap`` edges (parallel ones count) is not expanded, the start included. Blocked
     nodes are neither given nor expanded. ``budget`` keeps each start's first nodes by (depth, node), one at least.
     """
@@ -32,16 +36,18 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int, degree_cap: int | None =
     steps = steps.distinct()
     if blocked is not None:
         steps = steps.join(blocked.select(C("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-    if hops > 1:
+    if hops is None or hops > 1:
         steps = cut(steps)  # every hop reads them
     reached = starts.select("start", C("start").alias("node"), F.lit(0).alias("depth"))
     frontier = reached
-    for depth in range(1, hops + 1):
+    for depth in count(1) if hops is None else range(1, hops + 1):
         found = frontier.join(steps, C("node") == C("src")).select("start", C("dst").alias("node")).distinct()
         frontier = cut(found.join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % 8 == 0:
+            reached = cut(reached.repartition("start", "node"))  # a union of few checkpoints, however deep
     out = reached.filter("depth > 0")
     if budget is not None:
         first = F.row_number().over(Window.partitionBy("start").orderBy("depth", "node"))
@@ -118,15 +124,18 @@ def affected_files(edges: DataFrame, files: DataFrame, changed: DataFrame) -> Da
     return edges.select("src", "dst").join(own, "dst").join(files, C("src") == C("node")).filter("file_path <> changed").select("changed", "file_path").distinct()
 
 
-def closes_cycle(edges: DataFrame, added: DataFrame, hops: int) -> DataFrame:
-    """added (src, dst): those whose dst already leads back to src within ``hops``."""
+def closes_cycle(edges: DataFrame, added: DataFrame, hops: int | None = None) -> DataFrame:
+    """added (src, dst): those whose dst already leads back to src, within ``hops`` if given."""
     back = bfs(edges, added.select(C("dst").alias("start")).distinct(), hops)
     direct = added.filter("src = dst")
     return added.join(back, (C("dst") == C("start")) & (C("src") == C("node")), "left_semi").unionByName(direct).distinct()
 
 
-def blast_radius(edges: DataFrame, starts: DataFrame, direct: int = 20, reach: int = 50, hops: int = 3) -> DataFrame:
-    """(start, callers, visited, large): more than ``direct`` callers, or more than ``reach`` nodes lead to it, itself counted."""
+def blast_radius(edges: DataFrame, starts: DataFrame, direct: int = 20, reach: int = 50, hops: int | None = None) -> DataFrame:
+    """(start, callers, visited, large): more than ``direct`` callers, or more than ``reach`` nodes lead to it, itself counted.
+
+    At any depth unless ``hops`` is given; ``visited`` counts them all, also beyond ``reach``.
+    """
     callers = edges.select("src", "dst").distinct().groupBy(C("dst").alias("start")).agg(F.count("*").alias("callers"))
     seen = bfs(reversed_edges(edges), starts, hops).groupBy("start").agg((F.count("*") + 1).alias("visited"))
     out = starts.join(callers, "start", "left").join(seen, "start", "left").na.fill({"callers": 0, "visited": 1})

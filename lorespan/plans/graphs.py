@@ -122,7 +122,7 @@ walk(start, node, depth) AS (SELECT dst, dst, 0 FROM added UNION SELECT w.start,
 SELECT DISTINCT a.src, a.dst FROM added a JOIN walk w ON w.start = a.dst AND w.node = a.src""", "links", recursive=True)
 def cycle_check(t: Tables) -> DataFrame:
     added = t.spark.sql("select * from values ('r1', 's3'), ('r2', 'c11'), ('p3', 'p4'), ('n4', 'c11'), ('r0', 'n0'), ('n7', 'n7'), ('r0', 's1'), ('r3', 's2') as a(src, dst)")
-    return g.closes_cycle(edges(t), added, 4)
+    return g.closes_cycle(edges(t), added)
 
 
 @query(f""" , step AS ({_IN}), walk(start, node, depth) AS (SELECT start, start, 0 FROM (VALUES ('n4'), ('p7'), ('r1'), ('c11'), ('p100')) v(start) UNION SELECT w.start, s.dst, w.depth + 1 FROM walk w JOIN step s ON s.src = w.node WHERE w.depth < 3)

@@ -109,6 +109,15 @@ def test_detectors(spark):
     assert {r["node"] for r in alone.collect()} == {"a"}
 
 
+def test_detectors_follow_paths_of_any_depth(spark):
+    n = 52
+    chain = edges(spark, *[(f"n{i + 1}", f"n{i}") for i in range(n)], *[(f"m{i + 1}", f"m{i}") for i in range(9)], ("m0", "m9"))
+    out = {r["start"]: (r["callers"], r["visited"], r["large"]) for r in g.blast_radius(chain, start(spark, "n0", "n50", "m3")).collect()}
+    assert out == {"n0": (1, n + 1, True), "n50": (1, n - 49, False), "m3": (1, 10, False)}
+    added = spark.createDataFrame([("n0", f"n{n}"), ("n9", "m1"), ("m5", "m6")], "src string, dst string")
+    assert {(r["src"], r["dst"]) for r in g.closes_cycle(chain, added).collect()} == {("n0", f"n{n}"), ("m5", "m6")}
+
+
 def _similar(spark, *rows):
     cols = "old_id string, new_id string, old_name string, new_name string, old_signature string, new_signature string, old_checksum string, new_checksum string, old_neighbours array<string>, new_neighbours array<string>, same_file double"
     return g.symbol_similarity(spark.createDataFrame(list(rows), cols).withColumn("file", F.lit("f")))
