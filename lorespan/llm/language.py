@@ -3,7 +3,8 @@
 A text is a vector of hashed byte trigrams of its lower-cased letters (everything else is one space),
 weighted 1 + log(count) times inverse document frequency, and of unit length. Each language has several
 centroids, the clusters of its training vectors (spherical k-means); the nearest centroid by cosine names
-the language. A text whose cosine is far below what training texts of its length reach is rejected.
+the language. A text whose cosine is below what all but a few training texts of its language and length reach is
+rejected.
 
 The model is fitted on a bounded sample (``sample`` labelled texts of each of at most ``languages``
 languages); it is ``dims`` x (languages x clusters) floats, broadcast. Prediction walks whole texts.
@@ -35,7 +36,9 @@ class Settings:
     clusters: int = 4
     sample: int = 500
     languages: int = 256
-    rejection: float = 0.5
+    #: The floor is ``rejection`` times the ``low`` quantile of training cosines; of 20 or more one may be odd anyway.
+    low: float = 0.005
+    rejection: float = 0.8
     rounds: int = 20
     seed: int = 11
 
@@ -51,7 +54,7 @@ class Model:
     idf: np.ndarray
     #: dims x (labels x clusters), unit columns; empty clusters are zero.
     centroids: np.ndarray
-    #: Least cosine accepted, by the bit length of the number of trigrams.
+    #: labels x 41: least cosine accepted, by the bit length of the number of trigrams.
     floor: np.ndarray
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +62,7 @@ class Model:
         cosines = unit(weigh(counts, self.idf)) @ self.centroids
         best = cosines.argmax(axis=1)
         score = np.clip(cosines[np.arange(len(best)), best], 0, 1)
-        return best // self.settings.clusters, score, score < self.floor[length_class(counts)]
+        return best // self.settings.clusters, score, score < self.floor[best // self.settings.clusters, length_class(counts)]
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -149,17 +152,20 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
     vectors, rng = unit(weigh(counts, idf)), np.random.default_rng(settings.seed)
     labels = sorted(set(names))
     centroids = np.vstack([_clusters(vectors[names == x], settings.clusters, settings.rounds, rng) for x in labels]).T.astype(np.float32)
-    model = Model(settings, labels, idf, np.ascontiguousarray(centroids), np.zeros(41))
-    # what own texts reach at each length, short ones from parts of long ones
+    model = Model(settings, labels, idf, np.ascontiguousarray(centroids), np.zeros((len(labels), 41)))
+    # what texts named so reach at each length, short ones from parts of long ones
+    reached: dict[tuple[int, int], list[float]] = {}
     for at in range(0, len(counts), 128):
         part = counts[at : at + 128].astype(np.int64)
         for share in (1.0, 0.3, 0.1, 0.03, 0.01, 0.003):
             drawn = rng.binomial(part, share).astype(np.float32)
-            for size, cosine in zip(length_class(drawn), (unit(weigh(drawn, idf)) @ model.centroids).max(axis=1), strict=True):
-                model.floor[size] = cosine if not model.floor[size] else min(model.floor[size], cosine)
-    for size in range(1, len(model.floor)):  # lengths that no training text has go by the next shorter ones
-        model.floor[size] = model.floor[size] or model.floor[size - 1]
-    model.floor *= settings.rejection
+            which, score, _ = model.predict(drawn)
+            for key, cosine in zip(zip(which.tolist(), length_class(drawn).tolist(), strict=True), score.tolist(), strict=True):
+                reached.setdefault(key, []).append(cosine)
+    for (label, size), cosines in reached.items():
+        model.floor[label, size] = settings.rejection * np.sort(cosines)[max(int(len(cosines) >= 20), int(settings.low * len(cosines)))]
+    for size in range(1, 41):  # lengths that no training text has go by the next shorter ones
+        model.floor[:, size] = np.where(model.floor[:, size] > 0, model.floor[:, size], model.floor[:, size - 1])
     return model
 
 

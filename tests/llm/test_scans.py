@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorespan.llm import language, licenses, quality, sharding
 from lorespan.llm.decontamination import contaminated_documents
@@ -84,6 +85,21 @@ def test_languages(spark):
     assert language.identify(spark.createDataFrame([], SCHEMA), model, ["doc_id"]).count() == 0
 
 
+def test_a_language_left_out_of_training_is_rejected(spark):
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    common, letters = [word("aeiorstn") for _ in range(60)], {"aa": "aeiourstnlmd", "bb": "aeiorstnkwzhg", "cc": "aeiorstnpqvjxy"}
+    own = {x: [word(y) for _ in range(300)] for x, y in letters.items()}
+    rows = [(i, " ".join(rng.choice(own[x] if rng.random() < 0.8 else common) for _ in range(rng.randrange(60, 400))), x) for i, x in enumerate(sorted(own) * 100)]
+    odd = [(1000 + i, " ".join("".join(rng.choice("bcfghjklmpqwxyz") for _ in range(5)) for _ in range(60 << i % 3)), ["aa", "bb"][i % 2]) for i in range(3)]  # one odd text in a length class
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    held = F.col("doc_id") % 3 == F.floor(F.col("doc_id") / 3) % 3
+    model = language.fit(docs.filter(F.col("lang") != "cc").filter(~held))
+    out = {r["doc_id"]: r["rejected"] for r in language.identify(docs, model, ["doc_id"]).collect()}
+    assert np.mean([out[i] for i, _, x in rows if x == "cc"]) > 0.95
+    assert np.mean([out[i] for i, _, x in rows if x != "cc"]) < 0.05
+
+
 def _base(text):
     words = BLANK.findall(text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
