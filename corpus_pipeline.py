@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.llm.decontamination import contaminated_documents
-from lorespan.llm.language import fit, identify
+from lorespan.llm.language import fit_if_labelled, identify
 from lorespan.llm.parity_join import Similarity, one_of_each_group
 from lorespan.llm.queries import BYTE_BPE
 from lorespan.llm.store import settle
@@ -19,8 +19,8 @@ from lorespan.llm.vector_packing import pack_examples
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, learned from a bounded sample of the labelled ones; rejected ones go."""
-    return identify(docs, fit(docs), docs.columns).filter("not rejected").select(*docs.columns)
+    """Documents in a known language, learned from a bounded sample of the labelled ones; rejected ones go, all where none is labelled."""
+    return identify(docs, fit_if_labelled(docs), docs.columns).filter("not rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,10 @@ class Settings:
         return 1 << self.bits
 
 
+class NothingToLearn(ValueError):
+    """No row has both a label and a text."""
+
+
 @dataclass
 class Model:
     settings: Settings
@@ -58,7 +62,9 @@ class Model:
     floor: np.ndarray
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(label index, cosine, rejected) of rows of trigram counts."""
+        """(label index, cosine, rejected) of rows of trigram counts; without labels all are ``und`` and rejected."""
+        if not self.labels:
+            return np.zeros(len(counts), np.int64), np.zeros(len(counts)), np.ones(len(counts), bool)
         cosines = unit(weigh(counts, self.idf)) @ self.centroids
         best = cosines.argmax(axis=1)
         score = np.clip(cosines[np.arange(len(best)), best], 0, 1)
@@ -135,7 +141,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
     rows = labelled.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{key_col}`").alias("k"))
     rows = rows.filter(F.col("label").isNotNull() & F.col("t").isNotNull())
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(settings.languages + 1).collect()}
-    if not sizes or len(sizes) > settings.languages:
+    if not sizes:
+        raise NothingToLearn("no row has a label and a text")
+    if len(sizes) > settings.languages:
         raise ValueError(f"between 1 and {settings.languages} labels are needed, not {len(sizes)}")
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, settings.sample / n)))])
     part = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("k").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -169,6 +177,14 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
     return model
 
 
+def fit_if_labelled(labelled: DataFrame, settings: Settings = Settings()) -> Model:
+    """The model of ``fit``, or where nothing can be learned one that rejects every text as ``und``."""
+    try:
+        return fit(labelled, settings)
+    except NothingToLearn:
+        return Model(settings, [], np.ones(settings.dims, np.float32), np.zeros((settings.dims, 0), np.float32), np.zeros((0, 41)))
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 

@@ -22,7 +22,7 @@ def op1_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("held_out", language.held_out())
-    model = language.fit(docs.filter("not held_out"))
+    model = language.fit_if_labelled(docs.filter("not held_out"))
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 

@@ -74,3 +74,14 @@ def test_null_ids_stay_out_of_comparisons(spark):
     docs = frame(spark, awkward(n=12))
     for name in ("near duplicates", "repeated passages"):
         assert STAGES[name](spark, docs, "").filter("doc_id is null").count() == 1
+
+
+def test_nothing_to_learn_a_language_from(spark, tmp_path):
+    rows = [(1, "some words here", None, "s0", 15), (2, None, "en", "s0", 0)]
+    for name, data in (("none", []), ("unlabelled", rows)):
+        base = str(tmp_path / name)
+        docs = spark.createDataFrame(data, SCHEMA)
+        docs.write.parquet(f"{base}/documents.parquet")
+        out = queries.QUERIES["op2_nearest_centroid"](spark, base).collect()
+        assert [(r["lang_pred"], r["score"], r["rejected"]) for r in out] == [("und", 0.0, True)] * len(data)
+        assert STAGES["language ID"](spark, docs, base).count() == 0
