@@ -116,22 +116,72 @@ def test_quality_measures_equal_brute_force(spark):
     out = quality.judge(frame(spark, rows, clash=True)).collect()
     assert len(out) == len(rows) + 2
     for r in out:
+        lines = [x for x in (texts[r["doc_id"]] or "").split("\n") if BLANK.search(x)]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == _base(texts[r["doc_id"]])
+        assert (r["n_lines"], r["n_ended_lines"]) == (len(lines), sum(BLANK.findall(x)[-1][-1] in '.!?"' for x in lines))
         assert r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_label_model_recovers_accuracies():
-    rng = np.random.default_rng(1)
-    truth = rng.random(20000) < 0.6
-    right = np.array([0.9, 0.8, 0.75, 0.7, 0.85])
-    votes = np.where(rng.random((20000, 5)) < 0.3, 1, np.where((rng.random((20000, 5)) < right) == truth[:, None], 2, 0))
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    prior, p = quality.fit_label_model(patterns, counts.astype(float), false_alarm=0.1, belief=0.0)
-    assert abs(prior - 0.6) < 0.05
-    learned = p[1, :, 2] / (p[1, :, 2] + p[1, :, 0])
-    assert np.abs(learned - right).max() < 0.06
-    assert np.mean((quality.posterior(votes, prior, p) > 0.5) == truth) > 0.9
+def _brute_quality(patterns):
+    """Posterior of the good class of each row of votes, by EM over the rows one by one (production start values)."""
+    rules = len(patterns[0])
+    share = [0.7] + [0.3 / rules] * rules
+    overall = [tuple((sum(votes[r] == v for votes in patterns) + 1 / 3) / (len(patterns) + 1) for v in range(3)) for r in range(rules)]
+    start = lambda r, bad: (bad, *((1 - bad) * x / (1 - overall[r][0]) for x in overall[r][1:]))
+    p = [[start(r, max(0.1, overall[r][0])) for r in range(rules)]] + [[start(r, 0.8) if r == j else overall[r] for r in range(rules)] for j in range(rules)]
+    before = None
+    for _ in range(500):
+        rows = []
+        for votes in patterns:
+            like = [share[c] * np.prod([p[c][r][v] for r, v in enumerate(votes)]) for c in range(1 + rules)]
+            rows.append([x / sum(like) for x in like])
+        sums = [sum(r[c] for r in rows) for c in range(1 + rules)]
+        share = [(x + 1) / (len(patterns) + 1 + rules) for x in sums]
+        p = [[tuple((sum(w[c] for w, votes in zip(rows, patterns, strict=True) if votes[r] == v) + 1 / 3) / (sums[c] + 1) for v in range(3)) for r in range(rules)] for c in range(1 + rules)]
+        if before and max(abs(x - y) for r, s in zip(rows, before, strict=True) for x, y in zip(r, s, strict=True)) <= 1e-7:
+            break
+        before = rows
+    return [r[0] for r in rows]
+
+
+def _drawn_votes(n, seed=1):
+    """(votes, whether good, what the true rates say) of good documents and of two kinds of junk that trip different rules, not always with a bad vote."""
+    rng = np.random.default_rng(seed)
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    good, off = (0.02, 0.08, 0.9), (0.55, 0.4, 0.05)
+    rates = np.array([[good] * 6, [off] * 3 + [good] * 3, [good] * 3 + [off] * 3])
+    draws = rng.random((n, 6))
+    edges = rates[kind].cumsum(axis=2)
+    votes = (draws[:, :, None] > edges[:, :, :2]).sum(axis=2)
+    likely = np.stack([q * np.prod(r[np.arange(6), votes], axis=1) for q, r in zip((0.8, 0.12, 0.08), rates, strict=True)])
+    return votes, kind == 0, likely[0] >= likely[1] + likely[2]
+
+
+def test_label_model_equals_brute_force():
+    votes, _, _ = _drawn_votes(60)
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good = quality.class_posteriors(patterns, *quality.fit_label_model(patterns, counts.astype(float)))[:, 0]
+    assert np.allclose(good[which.reshape(-1)], _brute_quality(votes.tolist()), atol=1e-4)
+
+
+def test_posterior_beats_all_must_pass():
+    votes, truth, best = _drawn_votes(20000)
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    share, p = quality.fit_label_model(patterns, counts.astype(float))
+    kept = (quality.class_posteriors(patterns, share, p)[:, 0] >= 0.5)[which.reshape(-1)]
+    no_bad_vote = (votes > 0).all(axis=1)
+    assert abs(share[0] - 0.8) < 0.02 and np.abs(p[0] - (0.02, 0.08, 0.9)).max() < 0.02
+    assert np.mean(kept == truth) > np.mean(best == truth) - 0.003 > np.mean(no_bad_vote == truth) + 0.05
+    assert kept[(votes == [0, 2, 2, 2, 2, 2]).all(axis=1)].all(), "one bad vote alone is the rule's error"
+    assert not kept[(votes == [1, 1, 1, 2, 2, 2]).all(axis=1)].any(), "junk need not have a bad vote"
+
+
+def test_text_ids_and_quoted_columns(spark):
+    rows = [(f"d {i}", prose(random.Random(i), 90)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "`a key` string, `the text` string")
+    out = quality.judge(docs, id_col="a key", text_col="the text")
+    assert {r["doc_id"]: r["n_words"] for r in out.collect()} == {k: 90 for k, _ in rows}
 
 
 def test_clean_and_broken_texts_are_told_apart(spark):
