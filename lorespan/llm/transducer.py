@@ -1,16 +1,21 @@
-"""Token counts of whole texts by a finite-state transducer compiled from a byte-level BPE vocabulary.
-
-Compilation. The BPE encoding of a text's prefix ends in one token; it is the only vocabulary entry that ends
-there and whose pair with the last token before it no merge breaks. A state therefore holds, for each
-earlier place from which a token could still go on: the place in the vocabulary's trie, the last token up to
-that place, and how many more or fewer tokens the encoding had there. Reading a byte leads to one next state
-and emits the change of the number of tokens, so the numbers along a path add up to the token count. States
-and transitions are made when first met and kept in tables of bounded size.
-
-Running. A text is split into pre-tokens, at whose start the machine is back in its first state. All distinct
-pre-tokens of a slice step together, one byte at a time, as array operations. A long pre-token is cut into
-chunks; each chunk gets a state map (start state to end state and count) over the states that can come up, all
-chunks at once, and the maps compose by a parallel prefix scan.
+"""Token counts of whole texts by a finite-state transducer compiled from a byte-level BPE tokenizer.
+
+Compilation. Pre-tokenizer and BPE are one deterministic machine over characters. A state holds the kind of
+pre-token being read, the BPE state of its bytes so far, and at most one character whose pre-token is not known
+yet (the last of some white space, the first letter of a contraction of two). The BPE state rests on this: the
+encoding of a prefix ends in one token, the only vocabulary entry that ends there and whose pair with the last
+token before it no merge breaks. So it holds, for each earlier place from which a token could still go on: the
+place in the vocabulary's trie, the last token up to that place, and how many more or fewer tokens the encoding
+had there. Reading a character leads to one next state and emits the change of the number of tokens, so the
+numbers along a path add up to the token count; a last number per state accounts for the held character where the
+text ends. States and transitions are made when first met. A character that begins a new pre-token leads to the
+same place whatever the old one was, so all such transitions share one entry.
+
+Running. Every text is cut into chunks of ``CHUNK`` characters, wherever that falls. All chunks of a slice step
+together, one character at a time, as array operations; each gets a state map (start state to end state and
+count) over the first state and the states that the chunk before it can end in. Two paths through a chunk are
+followed only until they meet. The maps then compose by a parallel scan: in every round each entry of a map is
+joined with the one that it leads to, which doubles the chunks it spans.
 """
 
 from __future__ import annotations
@@ -34,10 +39,14 @@ from lorespan.llm.tokens import byte_level_model
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: What follows an apostrophe in a contraction of its own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-CHUNK = 256
-#: States and remembered pre-tokens after which a worker starts anew.
-MAX_STATES = 120_000
-MAX_KNOWN = 500_000
+#: Kinds of state besides those of pre-tokens: before one, after an apostrophe that begins one, and after a contraction's first letter of two.
+FRESH, QUOTE, ENDING = range(4, 7)
+APOSTROPHE, NONE = 0x27, -1
+CHUNK = 128
+#: Transitions after which a worker starts anew with the next slice.
+MAX_MOVES = 2_000_000
+#: Remembered pairs of tokens.
+MAX_PAIRS = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -95,8 +104,8 @@ class Table:
             left = np.delete(left, first)
 
 
-class Machine:
-    """The transducer of one vocabulary; states are numbers, 0 the first."""
+class Merges:
+    """BPE of one pre-token as states: numbers, 0 before its first byte."""
 
     def __init__(self, path: str):
         ids, merges, self.added = byte_level_model(path)
@@ -131,13 +140,9 @@ class Machine:
     def forget(self) -> None:
         self._states: list[bytes] = []
         self._index: dict[bytes, int] = {}
-        self._moves = Table((np.int32, np.int16))
+        self._moves: dict[int, tuple[int, int]] = {}
         self._number(struct.pack("<3i", 0, -1, 0))
 
-    @property
-    def states(self) -> int:
-        return len(self._states)
-
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at a token's left (0) or right (1) end as merges build it, each with the rank that ends its time."""
         known = self._spines[side]
@@ -172,7 +177,7 @@ class Machine:
         known = self._pairs.get((x, y))
         if known is None:
             known = self._pairs[x, y] = self._joins(x, y) == 0
-            if len(self._pairs) > 4 * MAX_STATES:
+            if len(self._pairs) > MAX_PAIRS:
                 self._pairs.clear()
         return known
 
@@ -200,119 +205,177 @@ class Machine:
         packed = b"".join(struct.pack("<3i", n, t, c - change) for n, t, c in still)
         return self._number(packed + struct.pack("<3i", 0, token, 0)), change
 
-    def step(self, states: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = states << 8 | read
+    def read(self, state: int, point: int) -> tuple[int, int]:
+        """(state after a character, change of the token count)."""
+        change = 0
+        for byte in chr(point).encode():
+            key = state << 8 | byte
+            move = self._moves.get(key)
+            if move is None:
+                move = self._moves[key] = self._compile(state, byte)
+            state, change = move[0], change + move[1]
+        return state, change
+
+
+class Machine:
+    """The transducer of one tokenizer; states are numbers, 0 the first."""
+
+    def __init__(self, path: str, classes: np.ndarray):
+        self.merges, self.classes = Merges(path), classes
+        self.added = self.merges.added
+        self.forget()
+
+    def forget(self) -> None:
+        self.merges.forget()
+        self._states: list[tuple[int, int, int]] = []
+        self._index: dict[tuple[int, int, int], int] = {}
+        self._moves = Table((np.int32, np.int16))
+        #: By state: the class of characters that go on with the pre-token, the state that stands for this one at all others, and what the text's end adds.
+        self._same, self._reset, self._last = np.zeros(1024, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._number((FRESH, 0, NONE))
+
+    @property
+    def size(self) -> int:
+        return self._moves.size
+
+    def _number(self, state: tuple[int, int, int]) -> int:
+        found = self._index.get(state)
+        if found is not None:
+            return found
+        number = self._index[state] = len(self._states)
+        self._states.append(state)
+        if number == len(self._same):
+            self._same, self._reset, self._last = (np.concatenate([x, np.zeros_like(x)]) for x in (self._same, self._reset, self._last))
+        kind, bpe, held = state
+        self._same[number] = kind if kind < FRESH else 0xFF
+        self._reset[number] = number if kind >= FRESH else self._number((SPACE, 0, held)) if kind == SPACE and bpe else number if kind == SPACE else 0
+        self._last[number] = self.merges.read(bpe if kind == SPACE else 0, held)[1] if held != NONE else 0
+        return number
+
+    def _begin(self, point: int) -> tuple[tuple[int, int, int], int]:
+        """The first character of a pre-token."""
+        kind = int(self.classes[point])
+        if kind == SPACE:
+            return (SPACE, 0, point), 0
+        bpe, change = self.merges.read(0, point)
+        return (QUOTE if point == APOSTROPHE else kind, bpe, NONE), change
+
+    def _next(self, state: tuple[int, int, int], point: int) -> tuple[tuple[int, int, int], int]:
+        kind, bpe, held = state
+        own, read = int(self.classes[point]), self.merges.read
+        if kind == SPACE and own == SPACE:
+            bpe, change = read(bpe, held)
+            return (SPACE, bpe, point), change
+        if kind == SPACE:  # what came before the held character is a pre-token
+            after, change = read(0, held)
+            if held == 0x20:
+                bpe, more = read(after, point)
+                return (own, bpe, NONE), change + more
+            state, more = self._begin(point)
+            return state, change + more
+        if kind == QUOTE and chr(point) in CONTRACTIONS:
+            return (FRESH, 0, NONE), read(bpe, point)[1]
+        if kind == QUOTE and any(c[0] == chr(point) for c in CONTRACTIONS):
+            return (ENDING, bpe, point), 0
+        if kind == ENDING:
+            if chr(held) + chr(point) in CONTRACTIONS:
+                bpe, change = read(bpe, held)
+                return (FRESH, 0, NONE), change + read(bpe, point)[1]
+            bpe, change = read(0, held)
+            state, more = self._next((LETTER, bpe, NONE), point)
+            return state, change + more
+        if own == (OTHER if kind == QUOTE else kind):
+            bpe, change = read(bpe, point)
+            return (own, bpe, NONE), change
+        return self._begin(point)
+
+    def step(self, states: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, emitted changes) of one character each."""
+        states = np.where(self._same[states] == self.classes[points], states, self._reset[states])
+        keys = states << 21 | points
         at = self._moves.find(keys)
         new = np.unique(keys[self._moves.keys[at] < 0])
         if len(new):
-            made = [self._compile(k >> 8, k & 255) for k in new.tolist()]
-            self._moves.put(new, np.array([s for s, _ in made], np.int32), np.array([c for _, c in made], np.int16))
+            made = [self._next(self._states[k >> 21], k & 0x1FFFFF) for k in new.tolist()]
+            self._moves.put(new, np.array([self._number(s) for s, _ in made], np.int32), np.array([c for _, c in made], np.int16))
             at = self._moves.find(keys)
         return self._moves.values[0][at].astype(np.int64), self._moves.values[1][at]
 
-    def run(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(end state, emitted count) of each span read from its start state, all spans together."""
+    def run(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end state, emitted count) of each span read from the first state, all spans together."""
         order = np.argsort(-lengths, kind="stable")
-        at, size, now = starts[order], lengths[order], states[order].copy()
+        at, size, now = starts[order], lengths[order], np.zeros(len(order), np.int64)
         counts = np.zeros(len(order), np.int64)
         for t in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -t))
-            now[:n], change = self.step(now[:n], raw[at[:n] + t].astype(np.int64))
+            now[:n], change = self.step(now[:n], points[at[:n] + t])
             counts[:n] += change
         ends, out = np.empty_like(now), np.empty_like(counts)
         ends[order], out[order] = now, counts
         return ends, out
 
-    def long_count(self, raw: np.ndarray) -> int:
-        """Of one pre-token, through composed state maps of its chunks.
-
-        Each chunk's map begins with the first state; what the map of a chunk can end in is added to the next
-        one's, until nothing is new.
-        """
-        edges = np.append(np.arange(0, len(raw), CHUNK), len(raw))
-        starts, lengths, n = edges[:-1], np.diff(edges), len(edges) - 1
-        maps: list[dict[int, tuple[int, int]]] = [{} for _ in range(n)]
-        wanted = [(i, 0) for i in range(n)]
-        while wanted:
-            chunk, state = np.array(wanted).T
-            ends, counts = self.run(raw, starts[chunk], lengths[chunk], state)
-            found = set()
-            for i, s, e, c in zip(chunk.tolist(), state.tolist(), ends.tolist(), counts.tolist(), strict=True):
-                maps[i][s] = e, c
-                if i + 1 < n and e not in maps[i + 1]:
-                    found.add((i + 1, e))
-            wanted = [x for x in sorted(found) if x[1] not in maps[x[0]]]
-        return compose(maps)
-
-    def counts(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Token counts of pre-tokens."""
-        lengths = ends - starts
-        out = np.zeros(len(starts), np.int64)
-        short = np.flatnonzero(lengths <= CHUNK)
-        out[short] = self.run(raw, starts[short], lengths[short], np.zeros(len(short), np.int64))[1]
-        for i in np.flatnonzero(lengths > CHUNK).tolist():
-            out[i] = self.long_count(raw[starts[i] : ends[i]])
+    def run_beside(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans read from ``states`` next to the path from the first state until both meet: (state where it ends or -1 if they met, count less that of the other path)."""
+        ends, ahead = np.full(len(states), -1), np.zeros(len(states), np.int64)
+        lane, now, other, t = np.flatnonzero(states != 0), states[states != 0], np.zeros(int((states != 0).sum()), np.int64), 0
+        while len(lane):
+            over = lengths[lane] == t
+            ends[lane[over]] = now[over]
+            lane, now, other = lane[~over], now[~over], other[~over]
+            read = points[starts[lane] + t]
+            both, change = self.step(np.concatenate([now, other]), np.concatenate([read, read]))
+            now, other = both[: len(lane)], both[len(lane) :]
+            ahead[lane] += change[: len(lane)].astype(np.int64) - change[len(lane) :]
+            apart = now != other
+            lane, now, other, t = lane[apart], now[apart], other[apart], t + 1
+        return ends, ahead
+
+    def counts(self, points: np.ndarray, first: np.ndarray, chunk: int = 0) -> np.ndarray:
+        """Token counts of texts whose characters are points[first[d] : first[d + 1]]."""
+        chunk, out = chunk or CHUNK, np.zeros(len(first) - 1, np.int64)
+        many = -(-np.diff(first) // chunk)
+        if not many.any():
+            return out
+        of = np.repeat(np.arange(len(out)), many)
+        opens = np.concatenate([[0], np.cumsum(many)])[:-1][many > 0]  # the first chunk of each text that has one
+        starts = T.ranges(np.zeros(len(many), np.int64), many) * chunk + first[of]
+        lengths = np.minimum(chunk, first[of + 1] - starts)
+        leads = np.concatenate([of[1:] == of[:-1], [False]])  # whether a chunk of the same text follows
+
+        # state maps: entries (chunk, start state) -> (end state, count), kept in order of their keys
+        ends, counts = self.run(points, starts, lengths)
+        straight = ends, counts
+        keys = np.arange(len(of)) << 32
+        fresh = np.arange(len(of))
+        while len(fresh):
+            where = keys[fresh] >> 32
+            on = leads[where]
+            wanted = np.unique(where[on] + 1 << 32 | ends[fresh][on])
+            place = np.searchsorted(keys, wanted)
+            wanted = wanted[keys[np.minimum(place, len(keys) - 1)] != wanted]
+            where, state = wanted >> 32, wanted & 0xFFFFFFFF
+            end, ahead = self.run_beside(points, starts[where], lengths[where], state)
+            end = np.where(end < 0, straight[0][where], end)
+            order = np.argsort(np.concatenate([keys, wanted]), kind="stable")
+            fresh = np.flatnonzero(order >= len(keys))
+            keys, ends, counts = (np.concatenate(x)[order] for x in ((keys, wanted), (ends, end), (counts, straight[1][where] + ahead)))
+        out[many > 0] = self._composed(keys, ends, counts, leads)[np.searchsorted(keys, opens << 32)]
         return out
 
+    def _composed(self, keys: np.ndarray, ends: np.ndarray, counts: np.ndarray, leads: np.ndarray) -> np.ndarray:
+        """Of each entry, the count from its chunk's start to the text's end; rounds double the chunks that entries span."""
+        lead = np.where(leads[keys >> 32], np.searchsorted(keys, ((keys >> 32) + 1 << 32) | ends), -1)
+        total = counts + np.where(lead < 0, self._last[ends], 0)
+        live = np.flatnonzero(lead >= 0)
+        while len(live):
+            to = lead[live]
+            total[live], lead[live] = total[live] + total[to], lead[to]
+            self.compositions += len(live)
+            live = live[lead[live] >= 0]
+        return total
 
-def compose(maps: list[dict[int, tuple[int, int]]]) -> int:
-    """The count of the first state's path through all maps, neighbours composed in parallel round by round."""
-    width = max(map(len, maps))
-    to, counts = np.zeros((len(maps), width), np.int64), np.zeros((len(maps), width), np.int64)
-    for i, own in enumerate(maps):
-        place = {s: k for k, s in enumerate(maps[i + 1])} if i + 1 < len(maps) else {}
-        for k, (end, c) in enumerate(own.values()):
-            to[i, k], counts[i, k] = place.get(end, 0), c
-    while len(to) > 1:
-        odd = len(to) % 2
-        a, b = slice(0, len(to) - odd, 2), slice(1, None, 2)
-        joined = np.take_along_axis(to[b], to[a], axis=1), counts[a] + np.take_along_axis(counts[b], to[a], axis=1)
-        to, counts = (np.concatenate([x, y[len(y) - odd :]]) for x, y in zip(joined, (to, counts), strict=True))
-    return int(counts[0, 0])
-
-
-def pre_tokens(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """First byte of each pre-token; a text's first byte is one, and each goes on to the next."""
-    at = np.flatnonzero(T.code_points(raw))
-    if not len(at):
-        return at
-    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
-    point = padded[at].astype(np.int32)
-    for least, size, mask in ((0xC0, 2, 0x1F), (0xE0, 3, 0x0F), (0xF0, 4, 0x07)):
-        own = np.flatnonzero(padded[at] >= least)
-        value = padded[at[own]].astype(np.int32) & mask
-        for k in range(1, size):
-            value = value << 6 | padded[at[own] + k] & 0x3F
-        point[own] = value
-    kind = classes[point]
-    n = len(at)
-    begins = np.zeros(n + 1, bool)
-    begins[np.searchsorted(at, offsets[:-1][np.diff(offsets) > 0])] = True
-    begins[n] = True
-    turn = begins[:n].copy()
-    turn[1:] |= kind[1:] != kind[:-1]
-    blank = point == 0x20
-    after_blank = np.zeros(n, bool)
-    after_blank[1:] = blank[:-1] & ~begins[1:n]
-    gap = kind == SPACE
-    before_word = gap.copy()  # the last of some white space before something else
-    before_word[:-1] &= ~gap[1:]
-    before_word &= ~begins[1:]
-    starts = (turn & (gap | ~after_blank)) | before_word
-
-    quote = np.flatnonzero((point == 0x27) & turn & ~after_blank & ~begins[1:])
-    quote = quote[kind[quote + 1] == LETTER]
-    follow = np.concatenate([point, [0, 0, 0]])
-    for ending in CONTRACTIONS:
-        k = len(ending)
-        own = quote[np.all([follow[quote + 1 + j] == ord(c) for j, c in enumerate(ending)], axis=0)]
-        if k == 2:
-            own = own[~begins[own + 2]]
-        starts[own + 1] = False
-        rest = own + 1 + k
-        rest = rest[(rest < n) & ~begins[np.minimum(rest, n)]]
-        starts[rest] = True
-    return at[starts]
+    #: Entries of state maps that were joined with another one so far.
+    compositions = 0
 
 
 def split_added(raw: np.ndarray, offsets: np.ndarray, added: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -333,33 +396,20 @@ def split_added(raw: np.ndarray, offsets: np.ndarray, added: list[str]) -> tuple
 
 
 class Counter:
-    """Token counts of slices of texts; remembers the pre-tokens it has met, up to a bound."""
+    """Token counts of slices of texts."""
 
     def __init__(self, path: str, classes: np.ndarray):
-        self.machine, self.classes = Machine(path), classes
-        self.known = Table((np.int32,))
+        self.machine = Machine(path, classes)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        if self.machine.states > MAX_STATES:
+        if self.machine.size > MAX_MOVES:
             self.machine.forget()
-        if self.known.size > MAX_KNOWN:
-            self.known = Table((np.int32,))
         n = len(offsets) - 1
         raw, offsets, owner, out = split_added(raw, offsets, self.machine.added)
-        starts = pre_tokens(raw, offsets, self.classes)
-        if not len(starts):
-            return out
-        ends = np.append(starts[1:], len(raw))
-        keys = (T.span_hashes(raw, starts, ends) >> np.uint64(1)).astype(np.int64)
-        at = self.known.find(keys)
-        fresh = np.flatnonzero(self.known.keys[at] < 0)
-        if len(fresh):
-            distinct, first = np.unique(keys[fresh], return_index=True)
-            own = fresh[first]
-            self.known.put(distinct, self.machine.counts(raw, starts[own], ends[own]))
-            at = self.known.find(keys)
-        of = owner[np.searchsorted(offsets, starts, "right") - 1]
-        return out + np.bincount(of, weights=self.known.values[0][at], minlength=n).astype(np.int64)
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        sums = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(T.code_points(raw), out=sums[1:])
+        return out + np.bincount(owner, weights=self.machine.counts(points, sums[offsets]), minlength=n).astype(np.int64)
 
 
 @lru_cache(maxsize=1)

@@ -12,8 +12,8 @@ from tokenizers import Tokenizer
 
 from lorespan.llm import text as T
 from lorespan.llm.tokens import encoder
-from lorespan.llm.transducer import CHUNK, Counter, Machine, Table, character_classes, token_counts
-from tests.llm.helpers import SCHEMA, awkward, frame
+from lorespan.llm.transducer import CHUNK, Counter, Merges, Table, character_classes, token_counts
+from tests.llm.helpers import SCHEMA, awkward, frame, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -65,11 +65,28 @@ def test_long_pre_tokens_go_through_chunk_maps(counter):
     assert _counts(counter, texts) == _expected(texts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=25).map("".join), min_size=1, max_size=4), st.integers(1, 9))
+def test_chunks_may_be_cut_anywhere(texts, chunk):
+    texts = [t.replace("<|endoftext|>", "<|end|>") for t in texts]
+    points = np.array([ord(c) for c in "".join(texts)], np.int64)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert _shared().machine.counts(points, first, chunk).tolist() == _expected(texts)
+
+
+def test_ordinary_documents_go_through_the_scan(counter):
+    rng = random.Random(8)
+    texts = [prose(rng, 400) for _ in range(20)]
+    before = counter.machine.compositions
+    assert _counts(counter, texts) == _expected(texts)
+    assert counter.machine.compositions - before >= sum(len(t) // CHUNK for t in texts)
+
+
 def test_forgetting_changes_nothing(counter, monkeypatch):
     import lorespan.llm.transducer as module
 
-    monkeypatch.setattr(module, "MAX_STATES", 10)
-    monkeypatch.setattr(module, "MAX_KNOWN", 10)
+    monkeypatch.setattr(module, "MAX_MOVES", 10)
+    monkeypatch.setattr(module, "MAX_PAIRS", 10)
     texts = ["some words and numbers 1234", "und noch mehr Wörter", "some words"]
     assert [n for t in texts for n in _counts(counter, [t])] == _expected(texts)
 
@@ -86,7 +103,7 @@ def test_table_grows_and_finds():
 
 
 def test_pairs_of_tokens(counter):
-    machine = Machine(PATH)
+    machine = Merges(PATH)
     ids = TOKENIZER.get_vocab()
     rng = random.Random(5)
     plain = [t for t in ids if t.isascii() and t.isalpha()]
