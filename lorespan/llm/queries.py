@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorespan.llm import decontamination, language, licenses, packed_output, parity_join, quality, sharding, substrings, transducer, vector_packing
 
@@ -36,7 +37,9 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.contaminated_documents(_documents(spark, sf_dir), benchmark).drop("item_ids", "spans")
+    out = decontamination.contaminated_documents(_documents(spark, sf_dir), benchmark)
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))))
+    return out.drop("item_ids").withColumn("spans", spans)
 
 
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +90,12 @@ sized AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM b WHERE len(ws) >
 bw AS (SELECT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM sized)),
 dw AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS w FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) s WHERE len(ws) >= size)),
 found AS (SELECT doc_id, i, size, item_id FROM dw JOIN bw USING (size, w)),
-hits AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) - 1 AS j FROM found),
+spans AS (SELECT doc_id, min(j) AS a, max(j) AS b FROM (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS g FROM hit) GROUP BY doc_id, g),
+hits AS (SELECT doc_id, sum(b - a + 1)::BIGINT AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY 1),
 own AS (SELECT doc_id, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY 1)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items, coalesce(own.h, sha256('')) AS items_sha256,
-  coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(d.ws) AS contaminated
+  coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(d.ws) AS contaminated, coalesce(hits.spans, '') AS spans
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN own USING (doc_id)"""
 
 _SIMILARITY_SQL = f"""

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespan.llm import language, licenses, quality, sharding
-from lorespan.llm.decontamination import contaminated_documents
+from lorespan.llm.decontamination import contaminated_documents, found_passages, index_shards, without_passages
 from lorespan.llm.fm_index import FMIndex, suffix_array
 from tests.llm.helpers import ALNUM, BLANK, LOWER, SCHEMA, awkward, frame, prose
 
@@ -25,8 +25,12 @@ def test_fm_index_finds_every_occurrence(segments, pattern):
     lo, hi = index.search(np.array([pattern]))
     found = sorted(index.locate(np.arange(lo[0], hi[0])).tolist())
     assert found == [i for i in range(len(symbols) - len(pattern) + 1) if symbols[i : i + len(pattern)].tolist() == pattern]
+    again, more = FMIndex.from_bytes(index.to_bytes(extra=np.arange(3)))
+    assert more["extra"].tolist() == [0, 1, 2] and again.search(np.array([pattern]))[0][0] == lo[0] and sorted(again.locate(np.arange(lo[0], hi[0])).tolist()) == found
     order = suffix_array(symbols)
-    assert sorted(order.tolist()) == [*range(len(symbols))]
+    unlike = [*range(-int((symbols == 0).sum()), 0)]  # separators differ and come first
+    text = [unlike.pop(0) if x == 0 else x for x in symbols.tolist()]
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
 def _hits(items, text, window=13):
@@ -64,6 +68,32 @@ def test_contamination_equals_brute_force(spark, block_words):
     assert empty[0] == 0
 
 
+def test_removal_spans_are_cut(spark):
+    rng = random.Random(5)
+    item, other = prose(rng, 20, 10**6), prose(rng, 16, 10**6)
+    filler = [prose(rng, 600, 10**6) for _ in range(3)]
+    rows = [(1, f"{filler[0]} {item} {filler[1]}. {other}!", 0), (2, f"{item} and", 1), (3, filler[2], 2), (4, None, 3), (5, "", 4), (5, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").selectExpr("*", "row as n_words", "'x' as spans")
+    benchmark = spark.createDataFrame([(7, item), (8, other), (8, other)], "item_id long, text string")
+    assert [tuple(s) for s in contaminated_documents(docs, benchmark).filter("doc_id = 1").first()["spans"]] == [(600, 619), (1220, 1235)]
+    out = without_passages(docs, benchmark)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], ALNUM.findall(r["text"] or "")) for r in out.collect()) == [(1, ALNUM.findall(f"{filler[0]} {filler[1]}")), (3, ALNUM.findall(filler[2])), (4, []), (5, []), (5, [])]
+    assert {r["text"] for r in out.filter("doc_id > 2").collect()} == {filler[2], None, ""}
+
+
+def test_one_index_serves_other_benchmarks_and_windows(spark):
+    rows = awkward(n=18)
+    docs = frame(spark, rows)
+    shards = index_shards(docs, ["doc_id"])
+    texts = {r[0]: r[1] for r in rows}
+    for window, items in ((13, [(1, rows[4][1] or "w1"), (2, "one two")]), (3, [(3, prose(random.Random(1), 9, 50))])):
+        found = {r["row"]: r for r in found_passages(shards, spark.createDataFrame(items, "item_id long, text string"), window).collect()}
+        for r in shards.filter("k0 is not null").collect():
+            n = sum(s["last"] - s["first"] + 1 for s in found[r["row"]]["spans"]) if r["row"] in found else 0
+            assert (r["n_words"], n) == _hits(items, texts[r["k0"]], window)[:2]
+
+
 def test_languages(spark):
     rng = random.Random(7)
     alphabets = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
