@@ -6,8 +6,9 @@ centroids, the clusters of its training vectors (spherical k-means); the nearest
 the language. A text whose cosine is below what all but a few training texts of its language and length reach is
 rejected.
 
-The model is fitted on a bounded sample (``sample`` labelled texts of each of at most ``languages``
-languages); it is ``dims`` x (languages x clusters) floats, broadcast. Prediction walks whole texts.
+The model is fitted on a bounded sample (``sample`` labelled texts of each of at most ``languages`` languages,
+``texts`` in all) of sparse vectors, one language's at a time made dense; it is ``dims`` x (languages x clusters)
+floats, broadcast. Prediction walks whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ class Settings:
     clusters: int = 4
     sample: int = 500
     languages: int = 256
+    texts: int = 16_384
     #: The floor is ``rejection`` times the ``low`` quantile of training cosines; of 20 or more one may be odd anyway.
     low: float = 0.005
     rejection: float = 0.8
@@ -135,8 +137,8 @@ def _clusters(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
 def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> Model:
     """Learns from rows with text and label; which rows of a label are sampled depends on a hash of the key only.
 
-    Labels are counted over all rows; each row of a label is kept with probability sample / count. Raises
-    ValueError if no row has both, or if there are more labels than ``settings.languages``.
+    Labels are counted over all rows; each row of a label is kept with probability sample / count, the sample being
+    smaller where there are many labels. Raises ValueError if no row has both, or if there are more labels than ``settings.languages``.
     """
     rows = labelled.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{key_col}`").alias("k"))
     rows = rows.filter(F.col("label").isNotNull() & F.col("t").isNotNull())
@@ -145,31 +147,38 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
         raise NothingToLearn("no row has a label and a text")
     if len(sizes) > settings.languages:
         raise ValueError(f"between 1 and {settings.languages} labels are needed, not {len(sizes)}")
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, settings.sample / n)))])
+    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, min(settings.sample, settings.texts // len(sizes)) / n)))])
     part = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("k").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = rows.filter(part < share[F.col("label")]).select("label", "t")
     found = T.mapped(chosen, _vectors(settings.bits), "label string, slots array<int>, counts array<float>").toArrow()
-    found = found.sort_by([("label", "ascending")])
-    names = np.array(found.column("label").to_pylist(), object)
-    counts = np.zeros((len(names), settings.dims), np.float32)
-    for i, (slots, values) in enumerate(zip(found.column("slots"), found.column("counts"), strict=True)):
-        counts[i, slots.values.to_numpy()] = values.values.to_numpy()
-    order = np.lexsort([*counts[:, :8].T, counts.sum(axis=1), names.astype(str)])  # whatever order the rows came in
-    names, counts = names[order], counts[order]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    vectors, rng = unit(weigh(counts, idf)), np.random.default_rng(settings.seed)
-    labels = sorted(set(names))
-    centroids = np.vstack([_clusters(vectors[names == x], settings.clusters, settings.rounds, rng) for x in labels]).T.astype(np.float32)
+    sparse: dict[str, list[tuple[bytes, bytes]]] = {}
+    for label, slots, values in zip(found.column("label").to_pylist(), found.column("slots"), found.column("counts"), strict=True):
+        sparse.setdefault(label, []).append((slots.values.to_numpy().tobytes(), values.values.to_numpy().tobytes()))
+    labels = sorted(sparse)
+    for own in sparse.values():
+        own.sort()  # whatever order the rows came in
+
+    def dense(rows: list[tuple[bytes, bytes]]) -> np.ndarray:
+        out = np.zeros((len(rows), settings.dims), np.float32)
+        for i, (slots, values) in enumerate(rows):
+            out[i, np.frombuffer(slots, np.int32)] = np.frombuffer(values, np.float32)
+        return out
+
+    holders = sum(np.bincount(np.frombuffer(slots, np.int32), minlength=settings.dims) for own in sparse.values() for slots, _ in own)
+    idf = (np.log((1 + found.num_rows) / (1 + holders)) + 1).astype(np.float32)
+    rng = np.random.default_rng(settings.seed)
+    centroids = np.vstack([_clusters(unit(weigh(dense(sparse[x]), idf)), settings.clusters, settings.rounds, rng) for x in labels]).T.astype(np.float32)
     model = Model(settings, labels, idf, np.ascontiguousarray(centroids), np.zeros((len(labels), 41)))
     # what texts named so reach at each length, short ones from parts of long ones
     reached: dict[tuple[int, int], list[float]] = {}
-    for at in range(0, len(counts), 128):
-        part = counts[at : at + 128].astype(np.int64)
-        for share in (1.0, 0.3, 0.1, 0.03, 0.01, 0.003):
-            drawn = rng.binomial(part, share).astype(np.float32)
-            which, score, _ = model.predict(drawn)
-            for key, cosine in zip(zip(which.tolist(), length_class(drawn).tolist(), strict=True), score.tolist(), strict=True):
-                reached.setdefault(key, []).append(cosine)
+    for own in (sparse[x] for x in labels):
+        for at in range(0, len(own), 128):
+            part = dense(own[at : at + 128]).astype(np.int64)
+            for share in (1.0, 0.3, 0.1, 0.03, 0.01, 0.003):
+                drawn = rng.binomial(part, share).astype(np.float32)
+                which, score, _ = model.predict(drawn)
+                for key, cosine in zip(zip(which.tolist(), length_class(drawn).tolist(), strict=True), score.tolist(), strict=True):
+                    reached.setdefault(key, []).append(cosine)
     for (label, size), cosines in reached.items():
         model.floor[label, size] = settings.rejection * np.sort(cosines)[max(int(len(cosines) >= 20), int(settings.low * len(cosines)))]
     for size in range(1, 41):  # lengths that no training text has go by the next shorter ones
@@ -206,6 +215,15 @@ def _predict(shared, names: list[str]):
     return run
 
 
+def _identified(docs: DataFrame, model: Model, inner: dict[str, str], text_col: str) -> DataFrame:
+    """The columns ``inner`` (by their names there), lang_pred, score, rejected."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items() if i != "t"), text.alias("t"), has_letter(text).alias("lettered"))
+    kinds = ", ".join(f"{i} {rows.schema[i].dataType.simpleString()}" for i in inner.values())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return T.mapped(rows, _predict(shared, list(inner.values())), f"{kinds}, lang_pred string, score double, rejected boolean")
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, with ``lang_pred``, ``score`` (cosine) and ``rejected``.
 
@@ -213,14 +231,16 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     sorted order wins. Repeated rows stay, and an empty table gives no rows. The three new names must not be
     in ``keep``, which must name a column and may name the text's.
     """
-    text = F.col(f"`{text_col}`").cast("string")
     inner = {c: "t" if c == text_col else f"k{i}" for i, c in enumerate(keep)}
-    rows = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items() if i != "t"), text.alias("t"), has_letter(text).alias("lettered"))
-    kinds = ", ".join(f"{i} {rows.schema[i].dataType.simpleString()}" for i in inner.values())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = T.mapped(rows, _predict(shared, list(inner.values())), f"{kinds}, lang_pred string, score double, rejected boolean")
+    out = _identified(docs, model, inner, text_col)
     return out.select(*(F.col(i).alias(c) for c, i in inner.items()), "lang_pred", "score", "rejected")
 
 
+def in_known_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, all columns, whatever their names. Cases as in ``identify``."""
+    inner = {c: "t" if c == text_col else f"k{i}" for i, c in enumerate(docs.columns)}
+    return _identified(docs, model, inner, text_col).filter("not rejected").select(*(F.col(i).alias(c) for c, i in inner.items()))
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

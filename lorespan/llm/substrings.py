@@ -216,14 +216,23 @@ def remove_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, cove
     never by each other's. Equal rows of one id therefore all stay. An empty table gives no rows.
     The two new names replace columns of docs that have them.
     """
-    plan = _Plan(window, period, cover)
     names = [c for c in docs.columns if c not in ("n_words_before", "n_words_removed")]
-    inner = {c: f"c{i}_" for i, c in enumerate(names)}
-    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"), *(F.col(f"`{c}`").alias(i) for c, i in inner.items() if c != text_col))
-    carried = [i for c, i in inner.items() if c != text_col] + ["t"]
-    out = _cut_rows(rows, plan, carried, False)
-    text = F.when(F.col("t").isNotNull(), F.col("kept_")).alias(text_col)
-    return out.select(*(text if c == text_col else F.col(inner[c]).alias(c) for c in names), F.col("words_").alias("n_words_before"), F.col("removed_").alias("n_words_removed"))
+    out = _cut_columns(docs.select(*(F.col(f"`{c}`") for c in names)), _Plan(window, period, cover), id_col, text_col)
+    return out.select(*(F.col(f"c{i}_").alias(c) for i, c in enumerate(names)), F.col("words_").alias("n_words_before"), F.col("removed_").alias("n_words_removed"))
+
+
+def without_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without repeated passages, all columns; rows of which nothing is left go. Cases as in remove_repeats."""
+    out = _cut_columns(docs, _Plan(window, period, cover), id_col, text_col).filter("removed_ = 0 or removed_ < words_")
+    return out.select(*(F.col(f"c{i}_").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _cut_columns(docs: DataFrame, plan: _Plan, id_col: str, text_col: str) -> DataFrame:
+    """The columns of docs as c0_, c1_, ..., the text cut, with ``words_`` and ``removed_``."""
+    inner = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"), *(F.col(f"`{c}`").alias(i) for c, i in inner.items() if c != text_col))
+    out = _cut_rows(rows, plan, [i for c, i in inner.items() if c != text_col] + ["t"], False)
+    return out.withColumn(inner[text_col], F.when(F.col("t").isNotNull(), F.col("kept_")))
 
 
 def removal_digest(docs: DataFrame, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

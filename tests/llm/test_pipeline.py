@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from lorespan.llm import queries
 from lorespan.llm.language import fit, identify
-from tests.llm.helpers import BLANK, SCHEMA, awkward, components, edited, frame, gone_words, prose, shingles
+from tests.llm.helpers import ALNUM, BLANK, SCHEMA, awkward, components, edited, frame, gone_words, prose, shingles
 from tests.llm.test_scans import _hits
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -52,7 +52,15 @@ def test_every_stage_against_brute_force(spark, corpus):
         assert not any(g) or r["n_chars"] == len(r["text"])
 
     docs = STAGES["decontamination"](spark, docs, sf_dir).cache()
-    assert docs.columns == columns and {r["doc_id"] for r in docs.collect()} == {k for k, r in left.items() if not _hits(items, r["text"])[4]}
+    clean = {r["doc_id"]: r for r in docs.collect()}
+    assert docs.columns == columns and set(clean) == {k for k, r in left.items() if not _hits(items, r["text"])[4]}
+    cut = 0
+    for k, r in clean.items():
+        before = _hits(items, left[k]["text"])
+        assert len(ALNUM.findall(r["text"])) == before[0] - before[1] and (before[1] or r == left[k])
+        assert not before[1] or r["n_chars"] == len(r["text"])
+        cut += before[1] > 0
+    assert cut
 
     packed = STAGES["packing"](spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
@@ -70,6 +78,21 @@ def test_registered_queries_run(spark, corpus):
             assert out.columns
 
 
+def test_other_columns_and_repeated_rows_pass_through(spark, tmp_path):
+    rng = random.Random(3)
+    shared = prose(rng, 70)
+    rows = [(i, f"{prose(rng, 90)} {shared if i % 2 else ''}", "en") for i in range(1, 9)]
+    names = ("n_words_removed", "n_words_before", "n_words", "spans", "row", "copy", "rejected", "c0_", "k0", "t")
+    docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string").selectExpr("*", *(f"doc_id * 10 AS {c}" for c in names))
+    spark.createDataFrame([(1, prose(rng, 15))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert all(r[c] == r["doc_id"] * 10 for r in found for c in names), name
+        assert sorted(r["doc_id"] for r in found) == sorted([*range(1, 9), 3]), name
+
+
 def test_null_ids_stay_out_of_comparisons(spark):
     docs = frame(spark, awkward(n=12))
     for name in ("near duplicates", "repeated passages"):

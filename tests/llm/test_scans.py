@@ -115,6 +115,42 @@ def test_languages(spark):
     assert language.identify(spark.createDataFrame([], SCHEMA), model, ["doc_id"]).count() == 0
 
 
+def _plain_cosines(model, text):
+    """Cosine with each centroid, trigram by trigram."""
+    folded = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in text.encode())
+    counts = Counter(folded[i : i + 3] for i in range(len(folded) - 2) if folded[i : i + 3] != b"   ")
+    vector: dict[int, float] = Counter()
+    for gram, n in counts.items():
+        vector[(int.from_bytes(gram, "little") * 0x9E3779B1 % 2**32) >> (32 - model.settings.bits)] += n
+    weights = {slot: (1 + np.log(n)) * float(model.idf[slot]) for slot, n in vector.items()}
+    norm = np.sqrt(sum(w * w for w in weights.values())) or 1.0
+    return [sum(w / norm * float(column[slot]) for slot, w in weights.items()) for column in model.centroids.T]
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(12)
+    speak = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    learned = [(i, speak(letters, 60), x) for i in range(90) for x, letters in [[("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghijké")][i % 3]]]
+    model = language.fit(spark.createDataFrame(learned, "doc_id long, text string, lang string"), language.Settings(bits=10, clusters=2))
+    texts = [None, "", "a", "12 !", speak("abcdef", 30_000), speak("defgh", 5), "ZZ zz", *[speak("abcdefghijké", n) for n in (1, 2, 3, 40)]]
+    rows = [(i, t, "lang") for i, t in enumerate(texts)] + [(5, texts[5], "lang")]  # a repeated row
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string").selectExpr("*", "1 AS k0", "2 AS t", "3 AS lettered")
+    out = language.identify(docs, model, ["doc_id", "k0", "t", "lettered"]).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        text = texts[r["doc_id"]] or ""
+        cosines = _plain_cosines(model, text)
+        assert (r["k0"], r["t"], r["lettered"]) == (1, 2, 3)
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+        else:
+            assert abs(r["score"] - max(cosines)) < 1e-4
+            best = {model.labels[i // 2] for i, c in enumerate(cosines) if c > max(cosines) - 1e-5}
+            assert r["lang_pred"] in best
+    tie = language.Model(model.settings, ["xx", "yy"], model.idf, np.hstack([model.centroids[:, :2]] * 2), np.zeros((2, 41)))
+    assert {r["lang_pred"] for r in language.identify(docs.filter("doc_id = 4"), tie, ["doc_id"]).collect()} == {"xx"}
+
+
 def test_a_language_left_out_of_training_is_rejected(spark):
     rng = random.Random(6)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
