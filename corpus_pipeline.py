@@ -1,26 +1,39 @@
 """A training corpus from documents: language ID, near duplicates, repeated passages, decontamination, packing.
 
-Every stage but the last returns the columns of documents. A row with a null doc_id takes no part in
-comparisons between documents and stays; null, empty and letterless texts go in the first stage.
+Every stage but the last returns the columns of documents, whatever others there are and however they are named.
+A row with a null doc_id takes no part in comparisons between documents and stays; null, empty and letterless
+texts go in the first stage. ``n_chars``, where it exists, follows a text that a stage cuts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.decontamination import contaminated_documents
-from lorespan.llm.language import fit_if_labelled, identify
+from lorespan.llm.decontamination import without_passages
+from lorespan.llm.language import fit_if_labelled, in_known_languages
 from lorespan.llm.parity_join import Similarity, one_of_each_group
 from lorespan.llm.queries import BYTE_BPE
 from lorespan.llm.store import settle
-from lorespan.llm.substrings import remove_repeats
+from lorespan.llm.substrings import without_repeats
 from lorespan.llm.vector_packing import pack_examples
 
 
+def _cut(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change`` applied to docs; ``n_chars`` follows the texts that it changed."""
+    if "n_chars" not in docs.columns:
+        return change(docs)
+    was = max(docs.columns, key=len) + "_"  # a name that docs have not
+    length, n_chars = F.length("text"), F.col("n_chars")
+    out = change(docs.withColumn(was, length))
+    return out.withColumn("n_chars", F.when(length != F.col(was), length).otherwise(n_chars).cast(docs.schema["n_chars"].dataType)).drop(was)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, learned from a bounded sample of the labelled ones; rejected ones go, all where none is labelled."""
-    return identify(docs, fit_if_labelled(docs), docs.columns).filter("not rejected").select(*docs.columns)
+    return in_known_languages(docs, fit_if_labelled(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word passages that an earlier document has; documents of nothing else go."""
-    cut = remove_repeats(docs).filter("n_words_removed = 0 or n_words_removed < n_words_before")
-    length = F.when(F.col("n_words_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", length).select(*docs.columns)
+    return _cut(docs, without_repeats)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less than a twentieth of which is benchmark passages."""
+    """Documents less than a twentieth of which is benchmark passages, without these passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contaminated_documents(docs, benchmark, keep=docs.columns).filter("not contaminated").select(*docs.columns)
+    return _cut(docs, lambda rows: without_passages(rows, benchmark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
