@@ -12,11 +12,14 @@ used twice:
 2. for the others, all their blocks' keys, rarest first. Keys of one document only come before the others,
    so a document with more than D of those is done, as is nearly every one that shares a mere passage.
 
-Members of a key are never paired with each other. Equal member sets under many keys are kept once; each
-document is verified against the key's smallest member, components are formed, and only where a key's
-members still lie in different components are those pairs compared: first, inside the join, by the Hamming
-distance of their sketches, which leaves few others than links, then by their sets. Every linked pair is thus
-either verified or joined already by other links.
+Members of a key are never paired with each other at once. Equal member sets under many keys are kept once; each
+document is verified against the key's smallest member, components are formed, and only keys whose members still
+lie in different components stay open. Those of few members are paired; the members of the others (boilerplate that
+many unlike documents share) are dealt again by single shingles of theirs, rarest first: a pair at the threshold
+meets under the first shingle that both have, and the shingles before it are differences, so members that come too
+late in the order to be within D of any other member go. Pairs of different components are compared first, inside
+the join, by the Hamming distance of their sketches, which leaves few others than links, then by their sets. Every
+linked pair is thus either verified or joined already by other links.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from lorespan.llm.substrings import exact_copies, without_copies
 
 #: 64-bit words of the sketch that is compared bit by bit.
 SKETCH_WORDS = 16
+#: Open members of a key up to which they are paired without being dealt again.
+FEW = 16
 _U = np.uint64
 
 
@@ -190,8 +195,42 @@ def _may_link(like: Similarity, x: str, y: str) -> Column:
 
 
 def _marks(sets: DataFrame) -> DataFrame:
+    """Of each set (an id may have several): ``k``, ``s`` (its number) and ``mark`` (size and sketch)."""
     words = [F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)]
-    return sets.select("k", F.struct(F.size("tokens").cast("long").alias("n"), *words).alias("mark"))
+    return sets.select("k", F.xxhash64("tokens").alias("s"), F.struct(F.size("tokens").cast("long").alias("n"), *words).alias("mark"))
+
+
+def _rarest_shingles(sets: DataFrame, like: Similarity) -> DataFrame:
+    """Of each set: as many of its shingles as a linked set may lack, and one more, those of fewest sets first, and their ``place``."""
+    each = sets.select("k", F.xxhash64("tokens").alias("s"), F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("k", "s").orderBy("often", "token"))
+    lacking = F.col("n") - F.expr(f"(n * {like.num} + {like.den - 1}) div {like.den}")
+    return each.join(often, "token").withColumn("place", place).filter(F.col("place") <= lacking + 1).select("k", "s", "n", "token", "place")
+
+
+def _dealt_again(members: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """members (key, k, s, c) by shingles of theirs: the same columns and ``token``, without those that no other can be linked with."""
+    own = members.select("k").distinct()
+    keyed = members.join(_rarest_shingles(sets.join(own, "k", "left_semi"), like), ["k", "s"])
+    by_component = keyed.groupBy("key", "token", "c").agg(F.min("place").alias("least"))
+    met = by_component.groupBy("key", "token").agg(F.min("least").alias("least"), F.count("*").alias("n_c")).filter("n_c > 1").drop("n_c")
+    apart = F.expr(f"(n + n * {like.den} div {like.num}) * {like.den - like.num} div {like.den + like.num}")
+    near = keyed.join(met, ["key", "token"]).filter(F.col("place") - 1 + F.col("least") - 1 <= apart)
+    return near.select("key", "token", "k", "s", "c")
+
+
+def _unlike_pairs(members: DataFrame, by: list[str], like: Similarity) -> DataFrame:
+    """(x, y) of members with equal ``by``, of different components, that sizes and sketches allow to be linked.
+
+    Where one component holds most members, only the others look for partners.
+    """
+    sizes = members.groupBy(*by, "c").agg(F.count("*").alias("n_c"))
+    main = sizes.groupBy(*by).agg(F.max_by("c", "n_c").alias("main"), F.count("*").alias("n_c")).filter("n_c > 1").drop("n_c")
+    x, y = (members.select(*by, F.col("k").alias(n), F.col("c").alias(f"c{n}"), F.col("mark").alias(f"m{n}")) for n in "xy")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))) & _may_link(like, "mx", "my")
+    found = x.join(main, by).filter("cx <> main").join(y, by).filter(apart)
+    return found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
@@ -236,11 +275,13 @@ def links(docs: DataFrame, like: Similarity) -> DataFrame:
     own = connected_components(sure)
 
     placed = members.join(own, members["k"] == own["node"], "left").select("key", "k", F.coalesce("component", "k").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = settle(placed.join(split, "key").join(_marks(sets), "k"))
-    x, y = (open_.select("key", F.col("k").alias(n), F.col("c").alias(f"c{n}"), F.col("mark").alias(f"m{n}")) for n in "xy")
-    apart = (x["key"] == y["key"]) & (F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & _may_link(like, "mx", "my")
-    rest = x.join(y, apart).select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
+    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", (F.col("n") > FEW).alias("many"))
+    marks = _marks(sets)
+    open_ = settle(placed.join(split, "key").join(marks.select("k", "s").distinct(), "k"))
+    few, many = (open_.filter(x).drop("many") for x in ("not many", "many"))
+    pairs = [_unlike_pairs(x.join(marks, ["k", "s"]), by, like) for x, by in ((few, ["key"]), (settle(_dealt_again(many, sets, like)), ["key", "token"]))]
+    rest = pairs[0].unionByName(pairs[1])
+    rest = rest.distinct().join(tried, ["x", "y"], "left_anti")
     return sure.unionByName(settle(_verified(rest, sets, like))).unionByName(copies.select(F.col("k").alias("x"), F.col("first").alias("y")))
 
 

@@ -31,6 +31,43 @@ def test_groups_equal_brute_force(spark, like):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), group[r["doc_id"]])
 
 
+@pytest.mark.parametrize("common", [0, 25, 60])
+def test_boilerplate_with_own_words_equals_brute_force(spark, common):
+    rng = random.Random(common)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = base + [f"s{rng.randrange(4)}_{j}" for j in range(common // 4)]
+        for _ in range(rng.randrange(0, 7)):
+            words.insert(rng.choice([len(words), rng.randrange(len(words))]), f"o{rng.randrange(120)}")
+        rows.append((i, " ".join(words)))
+    rows += [(3, rows[40][1]), (3, rows[41][1])]  # an id with several texts
+    for like in (Similarity(3, 9, 10), Similarity()):
+        sets = [shingles(t, like.shingle) for _, t in rows]
+        group = components(dict(enumerate(sets)), like.num, like.den)
+        same = {x: {group[i] for i, (k, _) in enumerate(rows) if k == x} for x, _ in rows}
+        root = {g: g for g in group.values()}
+        for own in same.values():  # texts of one id lie in one component
+            least = min(root[g] for g in own)
+            root = {g: least if r in {root[x] for x in own} else r for g, r in root.items()}
+        least = {}
+        for i, (k, _) in enumerate(rows):
+            least[root[group[i]]] = min(k, least.get(root[group[i]], k))
+        out = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
+        assert out == {k: least[root[group[i]]] for i, (k, _) in enumerate(rows)}
+
+
+def test_unlike_documents_of_one_boilerplate_make_no_pairs(spark, monkeypatch):
+    import lorespan.llm.parity_join as module
+
+    compared = []
+    monkeypatch.setattr(module, "_verified", lambda pairs, sets, like, real=module._verified: compared.append(pairs.count()) or real(pairs, sets, like))
+    base = " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, base + "".join(f" o{i}_{j}" for j in range(6))) for i in range(3000)], "doc_id long, text string")
+    assert similar_groups(docs, Similarity(3, 9, 10)).filter("component_id <> doc_id").count() == 0
+    assert sum(compared) < 2 * 3000
+
+
 def test_one_of_each_group_keeps_columns(spark):
     rows = awkward()
     docs = frame(spark, rows, clash=True)
