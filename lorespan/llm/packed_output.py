@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.llm import text as T
-from lorespan.llm.tokens import encoder
+from lorespan.llm.tokens import encoder, proven, vocabulary
 
 GROUP_DOCS = 4096
 GROUP_TOKENS = 2 << 20
 #: Matrix rows in one Arrow batch: a few hundred kB, so that neither side holds large buffers.
 BATCH_ROWS = 64
-SCHEMA = "row_id long, n_tokens int, n_segments int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, ids_dtype string"
+FIELDS = ("row_id", "n_tokens", "n_segments", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "doc_starts", "ids_dtype")
+KINDS = ("long", "int", "int", "binary", "binary", "array<int>", "array<{}>", "array<long>", "string")
 
 
 class CapacityTree:
@@ -91,9 +92,9 @@ def _binary(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix))])
 
 
-def _packer(path: str, context: int, end_id: int, pad_id: int, dtype: str):
+def _packer(path: str, same: bool, context: int, end_id: int, pad_id: int, dtype: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, base, made = encoder(path), TaskContext.get().partitionId() << 33, 0
+        codec, base, made = encoder(path, same), TaskContext.get().partitionId() << 33, 0
 
         def emit(keys, ids, rows):
             nonlocal made
@@ -119,23 +120,23 @@ def _packer(path: str, context: int, end_id: int, pad_id: int, dtype: str):
                     _binary(matrix),
                     _binary(places),
                     pa.array(segments, pa.list_(pa.int32())),
-                    pa.array([[keys[d] for d, _, _ in r] for r in rows], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), keys.take(pa.array([d for r in rows for d, _, _ in r]))),
                     pa.array([[at for _, at, _ in r] for r in rows], pa.list_(pa.int64())),
                     pa.array([dtype] * len(rows)),
                 ],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
+                names=[*FIELDS],
             )
 
         def flush(keys, ids):
-            rows = best_fit([len(x) for x in ids], context)
+            rows, keys = best_fit([len(x) for x in ids], context), pa.concat_arrays(keys)
             for at in range(0, len(rows), BATCH_ROWS):
                 yield emit(keys, ids, rows[at : at + BATCH_ROWS])
 
         keys, ids, held = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            for i, text in enumerate(batch.column(1)):
                 body = codec.ids(text.as_py()) if text.is_valid else np.zeros(0, np.uint32)
-                keys.append(key.as_py())
+                keys.append(batch.column(0).slice(i, 1))
                 ids.append(np.append(body, np.uint32(end_id)).astype(dtype))
                 held += len(ids[-1])
                 if len(keys) >= GROUP_DOCS or held >= GROUP_TOKENS:
@@ -147,9 +148,10 @@ def _packer(path: str, context: int, end_id: int, pad_id: int, dtype: str):
     return pack
 
 
-def packed_ids(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 0, pad_id: int = 0, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_ids(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 0, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed matrix, one row of ``context`` ids per result row (little-endian, ``ids_dtype``).
 
+    ids_dtype has 16 bits where all ids of the tokenizer and the two given ones fit, else 32.
     cu_seqlens: 0 and the end of each segment; doc_ids and doc_starts: each segment's document and its first
     token there; position_ids: unsigned 16-bit (32-bit for a context over 65,536), 0 at each segment's start
     and in the padding. Null texts count as empty; each document ends with ``end_id``, so none is lost. Rows
@@ -158,9 +160,11 @@ def packed_ids(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int
     """
     if context < 1:
         raise ValueError("context must be positive")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dtype = "<u2" if max(vocabulary - 1, end_id, pad_id) < 1 << 16 else "<u4"
-    return T.mapped(rows, _packer(tokenizer, context, end_id, pad_id, dtype), SCHEMA)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    dtype = "<u2" if max(vocabulary(tokenizer) - 1, end_id, pad_id) < 1 << 16 else "<u4"
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = ", ".join(f"{f} {k.format(kind)}" for f, k in zip(FIELDS, KINDS, strict=True))
+    return T.mapped(rows, _packer(tokenizer, proven(tokenizer), context, end_id, pad_id, dtype), schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -11,6 +11,9 @@ from lorespan.llm import decontamination, language, licenses, packed_output, par
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
 SLOTS = 2039
+#: Prefix language modelling: the first half of a document, at most 512 tokens, is context, the rest bears loss. A
+#: sequence takes few documents and an eighth of context at least.
+PACKING = {"limits": vector_packing.Limits(tokens=1024, segments=4, loss_tokens=896), "prefix_share": 0.5, "prefix_most": 512}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_packing.pack_examples(_documents(spark, sf_dir), BYTE_BPE)
+    return vector_packing.pack_examples(_documents(spark, sf_dir), BYTE_BPE, **PACKING)
 
 
 def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

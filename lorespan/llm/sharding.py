@@ -50,7 +50,7 @@ def slot_of(key: Column, slots: int) -> Column:
 
 
 def place_on_shards(rows: DataFrame, shards: list[str], slots: int = 65537, key_col: str = "doc_id") -> DataFrame:
-    """``key_col``, ``slot`` and ``shard`` of every row.
+    """``key_col``, ``slot`` and ``shard`` of every row; a key that has one of these two names leaves as ``key``.
 
     Equal keys share a shard. A null key has null slot and shard. Repeated rows stay, other columns are left
     out, and an empty table gives no rows.
@@ -63,8 +63,9 @@ def place_on_shards(rows: DataFrame, shards: list[str], slots: int = 65537, key_
         .select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")).alias("slot", "owner"))
         .select("slot", F.element_at(names, F.col("owner") + 1).alias("shard"))
     )
-    keyed = rows.select(F.col(key_col)).withColumn("slot", slot_of(F.col(key_col), slots))
-    return keyed.join(F.broadcast(owners), "slot", "left").select(key_col, "slot", "shard")
+    keyed = rows.select(F.col(f"`{key_col}`").alias("k")).withColumn("slot", slot_of(F.col("k"), slots))
+    name = "key" if key_col in ("slot", "shard") else key_col
+    return keyed.join(F.broadcast(owners), "slot", "left").select(F.col("k").alias(name), "slot", "shard")
 
 
 def duckdb_sql(shards: list[str], slots: int, table: str = "documents", key: str = "doc_id") -> str:

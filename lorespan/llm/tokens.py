@@ -1,8 +1,15 @@
 """Token ids of whole texts, as the ``tokenizers`` library gives them for a tokenizer file.
 
-Byte-level BPE files whose merges are in id order have the same ids from ``tiktoken`` at four times the
-speed; it is used for those, except for texts that hold a string of an added token, which go to
-``tokenizers``. Both give equal ids for every Unicode character (tests/llm/test_tokens.py).
+``tiktoken`` gives the ids of byte-level BPE at four times the speed, and is used where it is proven to give the same:
+
+* The file's merges are in the order of the ids they make, and their number is that of the tokens above bytes.
+  Then both libraries always merge the pair of lowest id, but ``tiktoken`` any two pieces whose bytes are a
+  token, ``tokenizers`` only the pair that the file lists for that token.
+* Say they first part ways over pieces x, y whose bytes are the token t, a pair not listed. No piece lay across t's
+  ends so far, so both did inside t what they do with t alone. Alone, then, one makes t of x, y and the other does not.
+* So if both encode every token's own bytes alike, which is checked, they encode every text alike.
+
+Texts that hold a string of an added token go to ``tokenizers``, as do those that the matcher of ``tiktoken`` refuses.
 """
 
 from __future__ import annotations
@@ -16,8 +23,6 @@ from tokenizers import Tokenizer
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer texts go to ``tokenizers``, whose matcher has no backtracking limit.
-LONG_TEXT = 1 << 20
 
 
 def byte_of_char() -> dict[str, int]:
@@ -46,21 +51,43 @@ def byte_level_model(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, byt
     return ids, [(raw(a), raw(b)) for a, b in merges], added
 
 
+def _tiktoken(path: str) -> tuple[tiktoken.Encoding, list[str]] | None:
+    """The encoding and the strings of added tokens, where merges are in the order of ids."""
+    try:
+        ranks, merges, added = byte_level_model(path)
+    except ValueError:
+        return None
+    made = [ranks.get(a + b, -1) for a, b in merges]
+    if len(ranks) != 256 + len(made) or not all(x < y for x, y in zip([255, *made], made, strict=False)):
+        return None
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}), added
+
+
+@lru_cache(maxsize=4)
+def proven(path: str) -> bool:
+    """Whether ``tiktoken`` gives the ids of ``tokenizers`` for the file; a second's work, for the driver."""
+    fast = _tiktoken(path)
+    if fast is None:
+        return False
+    char = {b: c for c, b in byte_of_char().items()}
+    model = Tokenizer.from_file(path).model
+    return all(fast[0]._encode_single_piece(t) == [x.id for x in model.tokenize("".join(char[b] for b in t))] for t in fast[0].token_byte_values())
+
+
+def vocabulary(path: str) -> int:
+    """Ids of the tokenizer are below this number."""
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 class Encoder:
-    """``ids(text)`` as numpy.uint32, no begin or end tokens, no truncation."""
-
-    def __init__(self, path: str):
-        self.path, self._exact, self._fast = path, None, None
-        try:
-            ranks, merges, self._added = byte_level_model(path)
-        except ValueError:
-            return
-        made = [ranks.get(a + b, -1) for a, b in merges]
-        if len(ranks) == 256 + len(made) and all(x < y for x, y in zip(made, made[1:], strict=False)) and made[0] >= 256:
-            self._fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    """``ids(text)`` as numpy.uint32, no begin or end tokens, no truncation. ``same``: what ``proven`` says of the file."""
+
+    def __init__(self, path: str, same: bool):
+        self.path, self._exact = path, None
+        self._fast, self._added = (_tiktoken(path) if same else None) or (None, [])
 
     def ids(self, text: str) -> np.ndarray:
-        if self._fast is not None and len(text) <= LONG_TEXT and not any(a in text for a in self._added):
+        if self._fast is not None and not any(a in text for a in self._added):
             try:
                 return self._fast.encode_to_numpy(text, disallowed_special=())
             except ValueError:  # its matcher gives up on very long runs of white space
@@ -73,6 +100,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, same: bool) -> Encoder:
     """One per worker process."""
-    return Encoder(path)
+    return Encoder(path, same)

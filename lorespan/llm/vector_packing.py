@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.llm import text as T
-from lorespan.llm.tokens import encoder
+from lorespan.llm.tokens import encoder, proven
 
 GROUP_DOCS = 4096
 GROUP_TOKENS = 4 << 20
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def place(lengths: np.ndarray, loss_from: np.ndarray, limits: Limits) -> list[li
     """Sequences of (document, start, length) that hold every token of documents of these lengths once."""
     out, rest = [], []
     for d, n in enumerate(lengths.tolist()):
-        at = 0
+        at, n = _balanced(d, n, int(loss_from[d]), limits, out)
         while n - at >= limits.tokens or loss_of(at, n - at, int(loss_from[d])) > limits.loss_tokens:
             size = min(limits.tokens, n - at, max(0, int(loss_from[d]) - at) + limits.loss_tokens)
             if size == limits.tokens:
@@ -83,6 +83,18 @@ def place(lengths: np.ndarray, loss_from: np.ndarray, limits: Limits) -> list[li
     return out
 
 
+def _balanced(d: int, n: int, loss_from: int, limits: Limits, out: list) -> tuple[int, int]:
+    """Full sequences of a long document, each of tokens from before its loss and from its end in the document's own
+    proportion, as far as the limits allow; returns the middle that is left."""
+    at, loss_from = 0, min(loss_from, n)
+    tail = min(limits.loss_tokens, limits.tokens * (n - loss_from) // n) if n else 0
+    head = limits.tokens - tail
+    while limits.segments > 1 and tail and n - at >= limits.tokens and loss_from - at >= head and n - loss_from >= tail:
+        out.append([(d, at, head), (d, n - tail, tail)])
+        at, n = at + head, n - tail
+    return at, n
+
+
 def _by_dot_product(pieces: list[tuple[int, int, int]], loss_from: np.ndarray, limits: Limits) -> list[_Sequence]:
     if not pieces:
         return []
@@ -149,31 +161,34 @@ def _powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-def _packer(path: str, limits: Limits, end_id: int):
+def _packer(path: str, same: bool, limits: Limits, end_id: int, prefix_share: float, prefix_most: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, base, made = encoder(path), TaskContext.get().partitionId() << 33, 0
+        codec, base, made = encoder(path, same), TaskContext.get().partitionId() << 33, 0
 
         def flush(keys, ids, loss_from):
             nonlocal made
             lengths = np.array([len(x) for x in ids])
-            rows = []
+            rows, of = [], []
             for sequence in place(lengths, np.array(loss_from), limits):
                 offset = 0
                 for d, at, n in sequence:
-                    rows.append((keys[d], at, n, zlib.crc32(ids[d][at : at + n].tobytes()), int(lengths[d]), base + made, offset, loss_of(at, n, loss_from[d])))
+                    of.append(d)
+                    rows.append((at, n, zlib.crc32(ids[d][at : at + n].tobytes()), int(lengths[d]), base + made, offset, loss_of(at, n, loss_from[d])))
                     offset += n
                 made += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            own = (keys[0] if len(keys) == 1 else pa.concat_arrays(keys)).take(pa.array(of))
+            return pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["doc_id", *FIELDS])
 
         keys, ids, loss_from, held = [], [], [], 0
         for batch in batches:
-            for key, text, prompt in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                text, prompt = batch.column(1)[i], batch.column(2)[i]
                 head = codec.ids(prompt.as_py()) if prompt.is_valid else np.zeros(0, np.uint32)
                 body = codec.ids(text.as_py()) if text.is_valid else np.zeros(0, np.uint32)
                 row = np.concatenate([head, body, np.array([end_id], np.uint32)]).astype("<u4")
-                keys.append(key.as_py())
+                keys.append(batch.column(0).slice(i, 1))
                 ids.append(row)
-                loss_from.append(len(head))
+                loss_from.append(len(head) + min(prefix_most, int(prefix_share * len(body))))
                 held += len(row)
                 if len(keys) >= GROUP_DOCS or held >= GROUP_TOKENS:
                     yield flush(keys, ids, loss_from)
@@ -184,14 +199,16 @@ def _packer(path: str, limits: Limits, end_id: int):
     return pack
 
 
-def pack_examples(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+def pack_examples(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, prefix_share: float = 0.0, prefix_most: int = 512) -> DataFrame:
     """One row per piece: where its tokens are in its document and in its sequence.
 
-    docs: ``id_col`` (long), ``text_col``, and optionally ``prompt_col``, a text that comes first and bears
-    no loss (instruction data). Null texts count as empty; every example ends with ``end_id``, so an empty
-    one is a single token. Repeated ids and rows are packed as separate examples; a null id stays null; other
-    columns are ignored; an empty table gives no rows. A text longer than a sequence is cut without loss.
+    docs: ``id_col``, ``text_col``, and optionally ``prompt_col``, a text that comes first and bears no loss
+    (instruction data); of the text's own tokens the first ``prefix_share``, at most ``prefix_most``, bear none
+    either (prefix language modelling). Null texts count as empty; every example ends with ``end_id``, so an empty one is a single token.
+    Repeated ids and rows are packed as separate examples; a null id stays null; other columns are ignored; an empty
+    table gives no rows. A text longer than a sequence is cut without loss.
     """
-    prompt = F.col(prompt_col) if prompt_col else F.lit(None)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), prompt.cast("string").alias("prompt"))
-    return T.mapped(rows, _packer(tokenizer, limits, end_id), SCHEMA)
+    prompt = F.col(f"`{prompt_col}`") if prompt_col else F.lit(None)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), prompt.cast("string").alias("prompt"))
+    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{f} long" for f in FIELDS)])
+    return T.mapped(rows, _packer(tokenizer, proven(tokenizer), limits, end_id, prefix_share, prefix_most), schema)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -9,8 +10,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lorespan.llm.packed_output import CapacityTree, best_fit, packed_ids, write_packed
-from lorespan.llm.vector_packing import Limits, loss_of, pack_examples, place
-from tests.llm.helpers import SCHEMA, awkward, frame
+from lorespan.llm.queries import PACKING
+from lorespan.llm.vector_packing import Limits, _by_dot_product, loss_of, pack_examples, place
+from tests.llm.helpers import SCHEMA, awkward, frame, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,6 +35,51 @@ def test_place_keeps_every_token_and_limit(docs, segments, loss):
     assert all((s == 1).all() for s in seen)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 63), st.integers(0, 63)), min_size=1, max_size=30), st.integers(1, 6), st.integers(5, 64))
+def test_placement_equals_brute_force(docs, segments, loss):
+    limits = Limits(64, segments, loss)
+    starts = np.array([s for _, s in docs])
+    pieces = sorted(((d, 0, n) for d, (n, s) in enumerate(docs) if n - min(n, s) <= loss), key=lambda p: (-p[2], p[0]))
+    need = {p: (p[2] / 64, 1 / segments, max(0, p[2] - docs[p[0]][1]) / loss) for p in pieces}
+    weight = [np.mean([n[k] for n in need.values()]) for k in range(3)] if pieces else []
+    left, expected = [*pieces], []
+    while left:
+        own, free = [], (64, segments, loss)
+        while fits := [p for p in left if p[2] <= free[0] and free[1] and max(0, p[2] - docs[p[0]][1]) <= free[2]]:
+            score = [free[0] / 64 * (need[p][0] * weight[0]) + free[1] / segments * (need[p][1] * weight[1]) + free[2] / loss * (need[p][2] * weight[2]) for p in fits]
+            best = fits[int(np.argmax(score))]
+            own.append(best)
+            left.remove(best)
+            free = free[0] - best[2], free[1] - 1, free[2] - max(0, best[2] - docs[best[0]][1])
+        expected.append(own)
+    assert [s.pieces for s in _by_dot_product(pieces, starts, limits)] == expected
+
+
+def test_all_three_limits_bind_in_the_query(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(rng, rng.choice([3, 8, 20, 60, 150, 200, 300, 400, 1500]))) for i in range(250)], "doc_id long, text string").coalesce(1)
+    out = pack_examples(docs, PATH, **PACKING).toPandas().groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    limits = PACKING["limits"]
+    assert out.tokens.max() == limits.tokens and out.segments.max() == limits.segments and out.loss.max() == limits.loss_tokens
+    assert out.tokens[out.tokens == 1024].sum() > 0.6 * out.tokens.sum()
+
+
+def test_text_ids_and_quoted_columns(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None)], "`the id` string, `a text` string")
+    assert sorted((r["doc_id"], r["length"]) for r in pack_examples(docs, PATH, id_col="the id", text_col="a text").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert sorted(x for r in packed_ids(docs, PATH, id_col="the id", text_col="a text").collect() for x in r["doc_ids"]) == ["a", "b"]
+
+
+def test_ids_are_as_wide_as_the_tokenizer_needs(spark, monkeypatch):
+    import lorespan.llm.packed_output as module
+
+    docs = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    assert packed_ids(docs, PATH, context=8).first()["ids_dtype"] == "<u2"
+    monkeypatch.setattr(module, "vocabulary", lambda path: 70_000)
+    assert packed_ids(docs, PATH, context=8).first()["ids_dtype"] == "<u4"
+
+
 def test_pieces_hold_all_ids_without_padding(spark):
     rows = awkward()
     out = pack_examples(frame(spark, rows, clash=True), PATH).toPandas()

@@ -278,6 +278,9 @@ def test_lookup_table_equals_its_sql_and_is_even(spark):
     duck.execute("CREATE TABLE documents AS SELECT unnest($1) AS doc_id", [[k for k, _ in rows]])
     assert {r[0]: r[1:] for r in duck.execute(sharding.duckdb_sql(shards, 211)).fetchall()} == {k: v for k, v in out.items() if k is not None}
     assert out[None] == (None, None)
+    odd = spark.createDataFrame([("a", 1), ("a", 1)], "slot string, shard int")
+    assert [r["key"] for r in sharding.place_on_shards(odd, shards, 211, "slot").collect()] == ["a", "a"]
+    assert sharding.place_on_shards(odd, shards, 211, "shard").columns == ["key", "slot", "shard"]
     assert sharding.place_on_shards(spark.createDataFrame([], SCHEMA), shards, 211).count() == 0
     for bad in ((shards, 210), ([], 211), (["a", "a"], 211)):
         with pytest.raises(ValueError):

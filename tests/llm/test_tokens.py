@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lorespan.llm import text as T
-from lorespan.llm.tokens import encoder
+from lorespan.llm.tokens import encoder, proven, vocabulary
 from lorespan.llm.transducer import CHUNK, Counter, Merges, Table, character_classes, token_counts
 from tests.llm.helpers import SCHEMA, awkward, frame, prose
 
@@ -37,7 +37,7 @@ def _expected(texts):
 @given(st.lists(PIECES, max_size=30).map("".join))
 def test_ids_and_counts_equal_the_library(text):
     expected = TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert encoder(PATH).ids(text).tolist() == expected
+    assert encoder(PATH, True).ids(text).tolist() == expected
     assert _counts(_shared(), [text]) == [len(expected)]
 
 
@@ -56,7 +56,14 @@ def test_every_character(counter):
         texts = [f"a{chr(c)}b 1{chr(c)} !{chr(c)}" for c in points[at : at + 40000 : 3]]
         exact = TOKENIZER.encode_batch(texts, add_special_tokens=False)
         assert _counts(counter, texts) == [len(e.ids) for e in exact]
-        assert all(encoder(PATH).ids(t).tolist() == e.ids for t, e in zip(texts[::20], exact[::20], strict=True))
+        assert all(encoder(PATH, True).ids(t).tolist() == e.ids for t, e in zip(texts[::20], exact[::20], strict=True))
+
+
+def test_which_files_may_use_the_faster_library():
+    assert proven(PATH) and not proven(public_tokenizers.path("word_bpe_49k.json"))
+    assert vocabulary(PATH) == 50257
+    text = "word and more, ça " * 70_000
+    assert np.array_equal(encoder(PATH, True).ids(text), encoder(PATH, False).ids(text))
 
 
 def test_long_pre_tokens_go_through_chunk_maps(counter):
