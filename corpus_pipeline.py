@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lorespan.llm.decontamination import without_passages
 from lorespan.llm.language import fit_if_labelled, in_known_languages
 from lorespan.llm.parity_join import Similarity, one_of_each_group
-from lorespan.llm.queries import BYTE_BPE
+from lorespan.llm.queries import BYTE_BPE, PACKING
 from lorespan.llm.store import settle
 from lorespan.llm.substrings import without_repeats
 from lorespan.llm.vector_packing import pack_examples
@@ -54,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of at most 1,024 tokens."""
-    return pack_examples(docs, BYTE_BPE)
+    return pack_examples(docs, BYTE_BPE, **PACKING)
 
 
 STAGES = [
