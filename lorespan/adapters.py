@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
+from lorespan.operators.storage import kept
 
 EPOCH = 1704067200
 
@@ -67,6 +68,55 @@ class Tables:
             .unionByName(calls(called, key("c", "o_custkey")))
         )
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The links as src, dst, kind, weight, stored by src: what traversals and ranks read."""
+        own = lambda: self.links.select(F.col("from_key").alias("src"), F.col("to_key").alias("dst"), "kind", "weight").repartition("src").sortWithinPartitions("src")
+        return kept(self.spark, (self.sf_dir, "edges"), own)
+
+    @cached_property
+    def edges_back(self) -> DataFrame:
+        """The same links turned round (src is called by dst), stored by src."""
+        own = lambda: self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "weight").repartition("src").sortWithinPartitions("src")
+        return kept(self.spark, (self.sf_dir, "edges_back"), own)
+
+    @cached_property
+    def centrality(self) -> DataFrame:
+        """key, centrality: PageRank of 30 rounds, stored as indexing stores it with the nodes."""
+        from lorespan.operators.graph import pagerank
+
+        own = lambda: pagerank(self.edges.select("src", "dst"), self.nodes.select(F.col("key").alias("node"))).select(F.col("node").alias("key"), F.col("rank").alias("centrality"))
+        return kept(self.spark, (self.sf_dir, "centrality"), own)
+
+    @cached_property
+    def edits(self) -> DataFrame:
+        """Dense edits for the detectors, from events: session_id, node, file_path, timestamp, checksum, event_id.
+
+        An event's hours are taken as seconds, so that bursts arise; checksums alternate between few contents.
+        """
+        user = F.substring("session_id", 2, 99).cast("long") % 500
+        node = F.concat(F.lit("n"), user.cast("string"), F.lit("_"), (F.col("k") % 5).cast("string"))
+        file = F.concat(F.lit("f"), (F.col("k") % 2).cast("string"))
+        return self.sessions.select("session_id", node.alias("node"), file.alias("file_path"), F.floor(F.col("timestamp") / 3600).cast("long").alias("timestamp"), F.md5((F.col("k") % 3).cast("string")).alias("checksum"), "event_id")
+
+    def symbols(self, new: bool) -> DataFrame:
+        """Symbols of a re-indexed file before or after (``new``) the change: id, name, signature, checksum, file_path, block, neighbours.
+
+        Parts of one brand, type and size class are a block of candidates, their suppliers the neighbours. Of four parts,
+        one is renamed, one takes another parameter and returns nothing, one moves to another file, one stays.
+        """
+        c, kind = F.col, F.col("p_partkey") % 4
+        name = F.when(kind == 0, F.concat("p_name", F.lit(" two"))).otherwise(c("p_name")) if new else c("p_name")
+        before = F.concat(F.lit("func "), F.replace(c("p_name"), F.lit(" "), F.lit("_")), F.lit("(type: "), "p_type", F.lit(", size: "), c("p_size").cast("string"), F.lit(") -> "), "p_brand")
+        after = F.concat(F.lit("func "), F.replace(c("p_name"), F.lit(" "), F.lit("_")), F.lit("(type: "), "p_type", F.lit(", weight: "), c("p_size").cast("string"), F.lit(")"))
+        signature = F.when(kind == 1, after).otherwise(before) if new else before
+        block = F.concat_ws("/", "p_brand", "p_type", F.floor(c("p_size") / 2).cast("string"))
+        path = F.when(kind == 2, F.concat(block, F.lit("/moved"))).otherwise(block) if new else block
+        lines = self.raw("lineitem").filter("l_suppkey % 3 > 0") if new else self.raw("lineitem")
+        near = lines.groupBy(c("l_partkey").alias("p_partkey")).agg(F.collect_set("l_suppkey").alias("neighbours"))
+        rows = self.raw("part").join(near, "p_partkey", "left")
+        return rows.select(c("p_partkey").alias("id"), name.alias("name"), signature.alias("signature"), F.md5(before).alias("checksum"), path.alias("file_path"), block.alias("block"), F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+
     @cached_property
     def sessions(self) -> DataFrame:
         """session_id, event_type, file_path, symbol, timestamp, event_id, value, k."""
@@ -142,6 +192,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'grep' WHEN 'purchase' THEN 'edit' WHEN 'error' THEN 'miss' WHEN 'signup' THEN 'start' END AS event_type,
         'f' || k AS file_path, 'sym' || (k % 10) AS symbol, floor(epoch(ts))::BIGINT AS timestamp, event_id, value, k
       FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)"""),
+    "edits": (("sessions",), """
+      SELECT session_id, 'n' || (substr(session_id, 2)::BIGINT % 500) || '_' || (k % 5) AS node, 'f' || (k % 2) AS file_path, timestamp // 3600 AS timestamp, md5((k % 3)::VARCHAR) AS checksum, event_id FROM sessions"""),
+    "old_symbols": ((), """
+      SELECT p_partkey AS id, p_name AS name, 'func ' || replace(p_name, ' ', '_') || '(type: ' || p_type || ', size: ' || p_size || ') -> ' || p_brand AS signature,
+        p_brand || '/' || p_type || '/' || (p_size // 2) AS file_path, file_path AS block, coalesce(near, []) AS neighbours
+      FROM part LEFT JOIN (SELECT l_partkey, list_distinct(list(l_suppkey)) AS near FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"""),
+    "new_symbols": (("old_symbols",), """
+      SELECT id, CASE WHEN id % 4 = 0 THEN name || ' two' ELSE name END AS name, CASE WHEN id % 4 = 1 THEN regexp_replace(replace(signature, ', size: ', ', weight: '), ' -> .*$', '') ELSE signature END AS signature, signature AS before,
+        CASE WHEN id % 4 = 2 THEN block || '/moved' ELSE block END AS file_path, block, list_filter(neighbours, lambda x: x % 3 > 0) AS neighbours FROM old_symbols"""),
     "tokens": (("sessions",), """
       SELECT timestamp, session_id, ['main', 'dev', 'exp'][event_id % 3 + 1] AS branch, event_type AS tool_name,
         floor(value * 10)::BIGINT AS tokens_actual, k * 40 AS tokens_estimated, event_id FROM sessions"""),
@@ -168,6 +227,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def rank_steps(rounds: int, reference: bool = True) -> str:
+    """Common table expressions that end in ranked(node, rank): PageRank round by round over views nodes and links."""
+    text = """e AS MATERIALIZED (SELECT from_key AS src, to_key AS dst FROM links), deg AS MATERIALIZED (SELECT src, count(*) AS deg FROM e GROUP BY 1), share AS MATERIALIZED (SELECT e.src, e.dst, deg FROM e JOIN deg USING (src)),
+base AS MATERIALIZED (SELECT key AS node, deg IS NULL AS dangling, (SELECT count(*) FROM nodes)::DOUBLE AS n FROM nodes LEFT JOIN deg ON src = key), r0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE / n AS rank FROM base)"""
+    for k in range(rounds):
+        jump = "(s.nd - coalesce(i.linked, 0))" if reference else "(s.nd + s.d)"
+        text += f""", i{k} AS MATERIALIZED (SELECT e.dst AS node, sum(r.rank / e.deg) AS inc, sum(r.rank) AS linked FROM share e JOIN r{k} r ON r.node = e.src GROUP BY 1)
+, s{k} AS MATERIALIZED (SELECT sum(CASE WHEN dangling THEN rank ELSE 0 END) AS d, sum(CASE WHEN dangling THEN 0 ELSE rank END) AS nd FROM r{k}), q{k} AS MATERIALIZED (SELECT b.*, 0.85 * coalesce(i.inc, 0) + 0.85 * s.d / b.n + 0.15 / b.n * {jump} AS rank FROM base b LEFT JOIN i{k} i USING (node), s{k} s)
+, r{k + 1} AS MATERIALIZED (SELECT node, dangling, n, {'rank / sum(rank) OVER ()' if reference else 'rank'} AS rank FROM q{k})"""
+    return text + f", ranked AS MATERIALIZED (SELECT node, rank FROM r{rounds})"
+
+
+VIEWS["centrality"] = ("nodes", "links"), f"WITH {rank_steps(30)} SELECT node AS key, rank AS centrality FROM ranked"
+
+
 def with_views(names: str, recursive: bool = False) -> str:
     """``WITH ...`` defining the named views and what they need."""
     order: list[str] = []
@@ -180,4 +254,4 @@ def with_views(names: str, recursive: bool = False) -> str:
 
     for n in names.split():
         put(n)
-    return "WITH " + "RECURSIVE " * recursive + ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    return "WITH " + "RECURSIVE " * recursive + ", ".join(f"{n} AS {'MATERIALIZED ' * (n == 'centrality')}({VIEWS[n][1]})" for n in order)

@@ -1,18 +1,20 @@
 """Graph operators over node and edge tables: bounded traversal, ranks, detectors.
 
-Edges are (src, dst, weight). Traversals are breadth-first loops of at most ``hops`` joins, or until nothing new
-is found; the frontier is distributed, its lineage is cut each round, and hubs over the degree cap are not expanded.
+Edges are (src, dst, weight), best a stored table sorted by src. Traversals are breadth-first loops of at most
+``hops`` joins, or until nothing new is found; the frontier is distributed, its lineage is cut each round, each round
+reads the frontier's edges only, and hubs over the degree cap are not expanded.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan.functions import jaccard, jaro_winkler
-from lorespan.operators.storage import cut
+from lorespan.operators.storage import cut, discard
 
 C = F.col
 
@@ -29,19 +31,17 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int | None, degree_cap: int |
     A node with more than ``degree_cap`` edges (parallel ones count) is not expanded, the start included. Blocked
     nodes are neither given nor expanded. ``budget`` keeps each start's first nodes by (depth, node), one at least.
     """
-    steps = edges.select("src", "dst")
-    if degree_cap is not None:
-        hubs = steps.groupBy("src").count().filter(C("count") > degree_cap).select("src")
-        steps = steps.join(hubs, "src", "left_anti")
-    steps = steps.distinct()
-    if blocked is not None:
-        steps = steps.join(blocked.select(C("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-    if hops is None or hops > 1:
-        steps = cut(steps)  # every hop reads them
     reached = starts.select("start", C("start").alias("node"), F.lit(0).alias("depth"))
     frontier = reached
     for depth in count(1) if hops is None else range(1, hops + 1):
-        found = frontier.join(steps, C("node") == C("src")).select("start", C("dst").alias("node")).distinct()
+        here = frontier.select(C("node").alias("src")).distinct()
+        steps = edges.select("src", "dst").join(here, "src", "left_semi").groupBy("src", "dst").agg(F.count("*").alias("times"))
+        if degree_cap is not None:
+            open_ = steps.groupBy("src").agg(F.sum("times").alias("degree")).filter(C("degree") <= degree_cap).select("src")
+            steps = steps.join(open_, "src", "left_semi")
+        if blocked is not None:
+            steps = steps.join(blocked.select(C("node").alias("dst")), "dst", "left_anti")
+        found = frontier.join(steps.select("src", "dst"), C("node") == C("src")).select("start", C("dst").alias("node")).distinct()
         frontier = cut(found.join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -55,33 +55,40 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int | None, degree_cap: int |
     return out
 
 
-def bfs_both(edges: DataFrame, starts: DataFrame, hops: int, degree_cap: int | None = None, budget: int | None = None) -> DataFrame:
-    """Half of the budget for nodes that lead to a start, the rest for those it leads to; each node once."""
-    half = None if budget is None else budget // 2
-    into = bfs(reversed_edges(edges), starts, hops, degree_cap, half)
-    out = bfs(edges, starts, hops, degree_cap, budget)
+def _ordered_union(into: DataFrame, out: DataFrame, keys: list[str], budget: int | None) -> DataFrame:
+    """Nodes of either way once each, those of the way in first; of each key's the first ``budget``."""
     both = into.withColumn("side", F.lit(0)).unionByName(out.withColumn("side", F.lit(1)))
-    first = both.groupBy("start", "node").agg(F.min(F.struct("side", "depth")).alias("m")).select("start", "node", "m.depth", "m.side")
-    if budget is None:
-        return first.drop("side")
-    rank = F.row_number().over(Window.partitionBy("start").orderBy("side", "depth", "node"))
-    return first.withColumn("_r", rank).filter(C("_r") <= budget).drop("_r", "side")
+    first = both.groupBy(*keys, "node").agg(F.min(F.struct("side", "depth")).alias("m")).select(*keys, "node", "m.depth", "m.side")
+    if budget is not None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("side", "depth", "node"))
+        first = first.withColumn("_r", rank).filter(C("_r") <= budget).drop("_r")
+    return first.drop("side")
+
+
+def bfs_both(edges: DataFrame, starts: DataFrame, hops: int, degree_cap: int | None = None, budget: int | None = None, blocked: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
+    """Half of the budget for nodes that lead to a start, the rest for those it leads to; each node once. back: the edges turned round, where they are stored."""
+    back = reversed_edges(edges) if back is None else back
+    half = None if budget is None else budget // 2
+    into = bfs(back, starts, hops, degree_cap, half, blocked)
+    return _ordered_union(into, bfs(edges, starts, hops, degree_cap, budget, blocked), ["start"], budget)
 
 
 #: How far each intent looks, as (hops in, hops out, share of the budget for the way in).
 INTENT_HOPS = {"debug": (3, 2, 0.5), "refactor": (0, 5, 0.0), "understand": (2, 2, 0.5), "review": (2, 2, 0.5), "extend": (0, 2, 0.0)}
 
 
-def intent_traversal(edges: DataFrame, requests: DataFrame, degree_cap: int = 50) -> DataFrame:
-    """requests (start, intent): (start, intent, node, depth), the least depth on either way."""
-    edges, out = cut(edges.select("src", "dst")), None
-    for intent, (back, forth, _) in INTENT_HOPS.items():
-        own = requests.filter(C("intent") == intent)
-        for hops, way in ((back, reversed_edges(edges)), (forth, edges)):
-            if hops:
-                found = bfs(way, own.select("start"), hops, degree_cap).withColumn("intent", F.lit(intent))
-                out = found if out is None else out.unionByName(found)
-    return out.groupBy("start", "intent", "node").agg(F.min("depth").alias("depth"))
+def intent_traversal(edges: DataFrame, back: DataFrame, requests: DataFrame, degree_cap: int = 50, budget: int = 100, blocked: DataFrame | None = None) -> DataFrame:
+    """requests (start, intent): (start, intent, node, depth), up to ``budget`` nodes each, those that lead to the start first."""
+    none, ways = requests.select("start", F.lit("").alias("node"), F.lit(0).alias("depth"), "intent").limit(0), []
+    for i in (0, 1):
+        found = none
+        for intent, hops in INTENT_HOPS.items():
+            if hops[i]:
+                own = requests.filter(C("intent") == intent).select("start")
+                most = int(budget * hops[2]) if i == 0 else budget
+                found = found.unionByName(bfs((back, edges)[i], own, hops[i], degree_cap, most, blocked).withColumn("intent", F.lit(intent)))
+        ways.append(found)
+    return _ordered_union(*ways, ["start", "intent"], budget)
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 30, variant: str = "reference") -> DataFrame:
@@ -89,11 +96,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
 
     ``standard``: rank = (1 - d)/n + d * (incoming + dangling/n). ``reference``: a node that v is linked from
     gives it no jump share, only every other node does; shares are then scaled to sum 1. Parallel edges count
-    for out-degrees and shares; links are by distinct pair. A round is one join with the edges, whose result is
-    checkpointed, and three sums that reach the driver.
+    for out-degrees and shares; links are by distinct pair. The edges are dealt by src once and kept so; a
+    round deals ranks and partial sums only, stores its ranks, and sends two sums to the driver.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    pairs = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(degree, "src"))
+    pairs = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(degree, "src")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     base = cut(nodes.join(degree.select(C("src").alias("node"), "deg"), "node", "left").select("node", C("deg").isNull().alias("dangling")))
     n = base.count()
     if not n:
@@ -107,15 +114,53 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
         into = share.groupBy(C("dst").alias("node")).agg(F.sum(C("rank") * C("times") / C("deg")).alias("in"), F.sum("rank").alias("linked"))
         jump = tied - F.coalesce("linked", F.lit(0.0)) if variant == "reference" else F.lit(tied + loose)
         raw = damping * F.coalesce("in", F.lit(0.0)) + damping * loose / n + (1 - damping) / n * jump
-        ranks = cut(base.join(into, "node", "left").select("node", "dangling", raw.alias("raw")))
+        old, ranks = ranks, cut(base.join(into, "node", "left").select("node", "dangling", raw.alias("raw")))
+        discard(old)
         state = ranks.agg(*sums).first()
         total = state["all"] if variant == "reference" else 1.0
+    pairs.unpersist()
     return ranks.select("node", (C("raw") / total).alias("rank"))
 
 
 def reverse_index(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """files (node, file_path): the sorted distinct files that hold callers of each node."""
-    return edges.select("src", "dst").join(files, C("src") == C("node")).groupBy("dst").agg(F.sort_array(F.collect_set("file_path")).alias("files"))
+    """files (node, file_path): (dst, file_path), the distinct files that hold callers of each node, a row each."""
+    return edges.select("src", "dst").join(files, C("src") == C("node")).select("dst", "file_path").distinct()
+
+
+def dead_ends(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """nodes (node, ...) without a caller that is not a test (tests: node)."""
+    called = edges.join(tests.select(C("node").alias("src")), "src", "left_anti").select(C("dst").alias("node"))
+    return nodes.join(called, "node", "left_anti")
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
+    """Of each name (names: name) the first symbol by file and key, with up to ``most`` callers and callees by name and key.
+
+    nodes: key, name, file_path. Gives name, key, side (``caller`` or ``callee``), place, other, other_name.
+    """
+    first = nodes.join(names, "name", "left_semi").groupBy("name").agg(F.min(F.struct("file_path", "key")).alias("m")).select("name", C("m.key").alias("key"))
+    out = None
+    for side, mine, other in (("caller", "dst", "src"), ("callee", "src", "dst")):
+        near = first.join(edges.select(C(mine).alias("key"), C(other).alias("other")).distinct(), "key")
+        near = near.join(nodes.select(C("key").alias("other"), C("name").alias("other_name")), "other")
+        place = F.row_number().over(Window.partitionBy("name").orderBy("other_name", "other"))
+        near = near.withColumn("place", place).filter(C("place") <= most).select("name", "key", F.lit(side).alias("side"), "place", "other", "other_name")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def with_edges(edges: DataFrame, added: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges and those ``added`` whose ends are both nodes (node); equal pairs of a kind become one with the later weight."""
+    for end in ("src", "dst"):
+        added = added.join(nodes.select(C("node").alias(end)), end, "left_semi")
+    keys = [c for c in edges.columns if c in ("src", "dst", "kind")]
+    return edges.join(added.select(*keys).distinct(), keys, "left_anti").unionByName(added.select(*edges.columns))
+
+
+def without_nodes(edges: DataFrame, gone: DataFrame, out_edges_only: bool = False) -> DataFrame:
+    """edges less those of the nodes ``gone`` (node): all of them, or only those that leave them."""
+    left = edges.join(gone.select(C("node").alias("src")), "src", "left_anti")
+    return (left if out_edges_only else left.join(gone.select(C("node").alias("dst")), "dst", "left_anti")).select(*edges.columns)
 
 
 def affected_files(edges: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -131,13 +176,14 @@ def closes_cycle(edges: DataFrame, added: DataFrame, hops: int | None = None) ->
     return added.join(back, (C("dst") == C("start")) & (C("src") == C("node")), "left_semi").unionByName(direct).distinct()
 
 
-def blast_radius(edges: DataFrame, starts: DataFrame, direct: int = 20, reach: int = 50, hops: int | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, starts: DataFrame, direct: int = 20, reach: int = 50, hops: int | None = None, back: DataFrame | None = None) -> DataFrame:
     """(start, callers, visited, large): more than ``direct`` callers, or more than ``reach`` nodes lead to it, itself counted.
 
     At any depth unless ``hops`` is given; ``visited`` counts them all, also beyond ``reach``.
     """
-    callers = edges.select("src", "dst").distinct().groupBy(C("dst").alias("start")).agg(F.count("*").alias("callers"))
-    seen = bfs(reversed_edges(edges), starts, hops).groupBy("start").agg((F.count("*") + 1).alias("visited"))
+    own = edges.select("src", C("dst").alias("start")).join(starts.select("start").distinct(), "start", "left_semi")
+    callers = own.distinct().groupBy("start").agg(F.count("*").alias("callers"))
+    seen = bfs(reversed_edges(edges) if back is None else back, starts, hops).groupBy("start").agg((F.count("*") + 1).alias("visited"))
     out = starts.join(callers, "start", "left").join(seen, "start", "left").na.fill({"callers": 0, "visited": 1})
     return out.withColumn("large", (C("callers") > direct) | (C("visited") > reach))
 

@@ -1,17 +1,62 @@
-"""Intermediate results of iterative operators, in the folder that all executors share."""
+"""Intermediate results of iterative operators and stored indexes, in the folder that all executors share."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: dict[tuple[str, ...], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse of a local session, as in tests.
+
+    A cluster without the setting is refused, as its executors share no folder that could be guessed.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder in the warehouse only where ``spark.checkpoint.dir`` is unset, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows with their lineage cut by a reliable checkpoint."""
-    use_checkpoints(rows.sparkSession)
-    return rows.checkpoint()
+    """rows with their lineage cut: written as a table in the shared folder, once, and read again, sizes known.
+
+    The table goes when the driver ends, or with ``discard``.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/lorespan-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def discard(rows: DataFrame) -> None:
+    """Deletes a table of ``cut`` that nothing reads any more; other rows are left alone."""
+    if path := vars(rows).get("cut_at"):
+        files, at = _file_system(rows.sparkSession, path)
+        files.delete(at, True)
+
+
+def kept(spark: SparkSession, name: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this name, made and stored at its first use in the application; made anew if its files are gone."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key in _KEPT:
+        files, at = _file_system(spark, _KEPT[key] + "/_SUCCESS")
+        if files.exists(at):
+            return spark.read.parquet(_KEPT[key])
+    out = cut(make())
+    _KEPT[key] = out.cut_at
+    return out

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
-from lorespan.adapters import Tables
+from lorespan.adapters import Tables, rank_steps
 from lorespan.operators import graph as g
 from lorespan.plans.registry import query
 
 C = F.col
 
 
-def edges(t: Tables) -> DataFrame:
-    return t.links.select(C("from_key").alias("src"), C("to_key").alias("dst"), "kind", "weight")
-
-
 def starts(t: Tables, *keys: str) -> DataFrame:
     return t.nodes.filter(C("key").isin(*keys)).select(C("key").alias("start"))
 
@@ -39,112 +35,156 @@ _IN = "SELECT DISTINCT to_key AS src, from_key AS dst FROM links"
 
 @query(_bfs(_OUT, 2), "links", recursive=True)
 def bfs_out(t: Tables) -> DataFrame:
-    return g.bfs(edges(t), starts(t, "s3", "c11", "n4"), 2)
+    return g.bfs(t.edges, starts(t, "s3", "c11", "n4"), 2)
 
 
 @query(_bfs(_IN, 2, "(VALUES ('n4'), ('p7')) v(start)"), "links", recursive=True)
 def bfs_in(t: Tables) -> DataFrame:
-    return g.bfs(g.reversed_edges(edges(t)), starts(t, "n4", "p7"), 2)
+    return g.bfs(t.edges_back, starts(t, "n4", "p7"), 2)
 
 
 @query(f""" , f AS ({_OUT}), b AS ({_IN}), near AS (SELECT 's3' AS start, dst AS node, 1 AS depth FROM f WHERE src = 's3' UNION SELECT 's3', dst, 1 FROM b WHERE src = 's3' UNION SELECT 'n4', dst, 1 FROM f WHERE src = 'n4' UNION SELECT 'n4', dst, 1 FROM b WHERE src = 'n4')
 SELECT start, node, depth FROM near WHERE node <> start""", "links")
 def bfs_bidirectional(t: Tables) -> DataFrame:
-    return g.bfs_both(edges(t), starts(t, "s3", "n4"), 1)
+    return g.bfs_both(t.edges, starts(t, "s3", "n4"), 1, back=t.edges_back)
+
+
+_BUDGETED = f""" , f AS ({_OUT}), b AS ({_IN}), begin(start) AS (VALUES ('s3'), ('c11'), ('n4')),
+walk(start, side, node, depth) AS (SELECT start, side, start, 0 FROM begin, (VALUES (0), (1)) v(side) UNION
+  SELECT w.start, w.side, n.dst, w.depth + 1 FROM walk w JOIN (SELECT 0 AS way, * FROM b UNION ALL SELECT 1, * FROM f) n ON n.src = w.node AND n.way = w.side WHERE w.depth < 2 AND n.dst NOT IN ('n0', 'p7')),
+near AS (SELECT start, side, node, min(depth) AS depth FROM walk GROUP BY 1, 2, 3 HAVING min(depth) > 0),
+cut AS (SELECT *, row_number() OVER (PARTITION BY start, side ORDER BY depth, node) AS r FROM near),
+one AS (SELECT start, node, min((side, depth)) AS m FROM cut WHERE r <= CASE side WHEN 0 THEN 12 ELSE 25 END GROUP BY 1, 2)
+SELECT start, node, m[2] AS depth FROM one QUALIFY row_number() OVER (PARTITION BY start ORDER BY m[1], m[2], node) <= 25"""
+
+
+@query(_BUDGETED.replace("min((side, depth)) AS m", "min([side, depth]) AS m"), "links", recursive=True)
+def bfs_budget_blocked(t: Tables) -> DataFrame:
+    """Two hops both ways with a budget of 25, half of it for the way in, around blocked nodes."""
+    blocked = t.spark.sql("select * from values ('n0'), ('p7') as b(node)")
+    return g.bfs_both(t.edges, starts(t, "s3", "c11", "n4"), 2, budget=25, blocked=blocked, back=t.edges_back)
+
+
+@query(""" , n AS (SELECT name, min((file_path, key)) AS m FROM nodes WHERE name IN (SELECT name FROM nodes WHERE name IN ('red widget', 'small ring', 'ASIA') OR key IN ('s3', 'c11')) GROUP BY 1), first AS (SELECT name, m[2] AS key FROM n),
+near AS (SELECT DISTINCT f.name, f.key, 'caller' AS side, l.from_key AS other FROM first f JOIN links l ON l.to_key = f.key UNION SELECT DISTINCT f.name, f.key, 'callee', l.to_key FROM first f JOIN links l ON l.from_key = f.key)
+SELECT near.name, near.key, side, row_number() OVER (PARTITION BY near.name, side ORDER BY o.name, other) AS place, other, o.name AS other_name FROM near JOIN nodes o ON o.key = other QUALIFY place <= 10""".replace("min((file_path, key))", "min([file_path, key])"), "nodes links")
+def neighbourhood_display(t: Tables) -> DataFrame:
+    asked = C("name").isin("red widget", "small ring", "ASIA") | C("key").isin("s3", "c11")
+    return g.neighbourhood(t.nodes, t.edges, t.nodes.filter(asked).select("name").distinct()).withColumn("place", C("place").cast("long"))
+
+
+@query(""" , gone(k) AS (VALUES ('n4'), ('s3')), added(src, dst, weight) AS (VALUES ('r0', 'n1', 2.0), ('r0', 'nowhere', 1.0), ('n1', 'r1', 9.0), ('s5', 'p7', 4.0)),
+a AS (SELECT * FROM added WHERE src IN (SELECT key FROM nodes) AND dst IN (SELECT key FROM nodes)), e AS (SELECT from_key AS src, to_key AS dst, kind, weight FROM links WHERE from_key LIKE 'n%' OR from_key LIKE 's%'),
+m AS (SELECT * FROM e WHERE (src, dst, kind) NOT IN (SELECT (src, dst, 'Contains') FROM a) UNION ALL SELECT src, dst, 'Contains', weight FROM a)
+SELECT src, dst, kind, weight::DOUBLE AS weight FROM m WHERE src NOT IN (SELECT k FROM gone) AND dst NOT IN (SELECT k FROM gone)""".replace("(src, dst, kind) NOT IN (SELECT (src, dst, 'Contains') FROM a)", "src || '>' || dst || kind NOT IN (SELECT src || '>' || dst || 'Contains' FROM a)"), "nodes links")
+def graph_mutation(t: Tables) -> DataFrame:
+    """Edges added where both ends exist, replacing equal ones; then nodes taken out with all their edges."""
+    added = t.spark.sql("select src, dst, 'Contains' as kind, cast(weight as double) as weight from values ('r0', 'n1', 2.0), ('r0', 'nowhere', 1.0), ('n1', 'r1', 9.0), ('s5', 'p7', 4.0) as a(src, dst, weight)")
+    own = t.edges.filter(C("src").rlike("^[ns]"))
+    gone = t.spark.sql("select * from values ('n4'), ('s3') as g(node)")
+    return g.without_nodes(g.with_edges(own, added, t.nodes.select(C("key").alias("node"))), gone)
 
 
 @query(_bfs("SELECT DISTINCT from_key AS src, to_key AS dst FROM links WHERE from_key NOT IN (SELECT from_key FROM links GROUP BY 1 HAVING count(*) > 50)", 3), "links", recursive=True)
 def bfs_degree_cap(t: Tables) -> DataFrame:
     """Suppliers are hubs over the cap and end the walk; customers are not."""
-    return g.bfs(edges(t), starts(t, "s3", "c11", "n4"), 3, degree_cap=50)
+    return g.bfs(t.edges, starts(t, "s3", "c11", "n4"), 3, degree_cap=50)
 
 
 _CAPPED = "SELECT DISTINCT {a} AS src, {b} AS dst FROM links WHERE {a} NOT IN (SELECT {a} FROM links GROUP BY 1 HAVING count(*) > 50)"
 
 
 @query(f""" , f AS ({_CAPPED.format(a='from_key', b='to_key')}), b AS ({_CAPPED.format(a='to_key', b='from_key')}),
-asked(start, intent, back, forth) AS (VALUES ('c11', 'debug', 3, 2), ('c12', 'refactor', 0, 5), ('p7', 'understand', 2, 2), ('c9', 'extend', 0, 2)),
+asked(start, intent, back, forth, share) AS (VALUES ('c11', 'debug', 3, 2, 0.5), ('c12', 'refactor', 0, 5, 0.0), ('p7', 'understand', 2, 2, 0.5), ('c9', 'extend', 0, 2, 0.0)),
 walk(start, intent, side, node, depth) AS (SELECT start, intent, s.side, start, 0 FROM asked, (VALUES (0), (1)) s(side) UNION
-  SELECT w.start, w.intent, w.side, n.dst, w.depth + 1 FROM walk w JOIN asked a USING (start, intent) JOIN (SELECT 0 AS way, * FROM b UNION ALL SELECT 1, * FROM f) n ON n.src = w.node AND n.way = w.side WHERE w.depth < CASE w.side WHEN 0 THEN a.back ELSE a.forth END)
-SELECT start, intent, node, min(depth) AS depth FROM walk WHERE depth > 0 AND node <> start GROUP BY 1, 2, 3""", "links", recursive=True)
+  SELECT w.start, w.intent, w.side, n.dst, w.depth + 1 FROM walk w JOIN asked a USING (start, intent) JOIN (SELECT 0 AS way, * FROM b UNION ALL SELECT 1, * FROM f) n ON n.src = w.node AND n.way = w.side WHERE w.depth < CASE w.side WHEN 0 THEN a.back ELSE a.forth END),
+near AS (SELECT start, intent, side, node, min(depth) AS depth FROM walk WHERE depth > 0 AND node <> start GROUP BY 1, 2, 3, 4),
+cut AS (SELECT *, row_number() OVER (PARTITION BY start, intent, side ORDER BY depth, node) AS r FROM near),
+one AS (SELECT c.start, c.intent, node, min([side, depth]) AS m FROM cut c JOIN asked a USING (start, intent) WHERE r <= CASE side WHEN 0 THEN greatest(1, floor(100 * a.share)) ELSE 100 END GROUP BY 1, 2, 3)
+SELECT start, intent, node, m[2] AS depth FROM one QUALIFY row_number() OVER (PARTITION BY start, intent ORDER BY m[1], m[2], node) <= 100""", "links", recursive=True)
 def intent_traversal(t: Tables) -> DataFrame:
     asked = t.spark.sql("select * from values ('c11', 'debug'), ('c12', 'refactor'), ('p7', 'understand'), ('c9', 'extend') as a(start, intent)")
-    return g.intent_traversal(edges(t), asked)
+    return g.intent_traversal(t.edges, t.edges_back, asked)
 
 
 def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return edges(t).select("src", "dst"), t.nodes.select(C("key").alias("node"))
+    return t.edges.select("src", "dst"), t.nodes.select(C("key").alias("node"))
 
 
-def _rank_sql(rounds: int, reference: bool) -> str:
-    text = """ , e AS (SELECT from_key AS src, to_key AS dst FROM links), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1),
-base AS (SELECT key AS node, deg IS NULL AS dangling, (SELECT count(*) FROM nodes)::DOUBLE AS n FROM nodes LEFT JOIN deg ON src = key), r0 AS (SELECT *, 1.0::DOUBLE / n AS rank FROM base)"""
-    for k in range(rounds):
-        jump = "(s.nd - coalesce(i.linked, 0))" if reference else "(s.nd + s.d)"
-        text += f""", i{k} AS (SELECT e.dst AS node, sum(r.rank / d.deg) AS inc, sum(DISTINCT_RANK) AS linked FROM e JOIN r{k} r ON r.node = e.src JOIN deg d ON d.src = e.src GROUP BY 1)""".replace("sum(DISTINCT_RANK)", "sum(r.rank)")
-        text += f""", s{k} AS (SELECT sum(CASE WHEN dangling THEN rank ELSE 0 END) AS d, sum(CASE WHEN dangling THEN 0 ELSE rank END) AS nd FROM r{k}), q{k} AS (SELECT b.*, 0.85 * coalesce(i.inc, 0) + 0.85 * s.d / b.n + 0.15 / b.n * {jump} AS rank FROM base b LEFT JOIN i{k} i USING (node), s{k} s)"""
-        text += f", r{k + 1} AS (SELECT node, dangling, n, {'rank / sum(rank) OVER ()' if reference else 'rank'} AS rank FROM q{k})"
-    return text + f" SELECT node, round(rank * 1e6, 4) AS rank FROM r{rounds}"
+def _rank_sql(reference: bool) -> str:
+    return f""" , {rank_steps(30, reference)} SELECT node, round(rank * 1e6, 4) AS rank FROM ranked"""
 
 
-@query(_rank_sql(3, True), "nodes links")
+@query(_rank_sql(True), "nodes links")
 def pagerank_reference(t: Tables) -> DataFrame:
-    """Three rounds; links here are distinct pairs, so that counting edges and pairs is the same."""
-    return g.pagerank(*_graph(t), rounds=3).select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
+    """Links here are distinct pairs, so that counting edges and pairs is the same."""
+    return g.pagerank(*_graph(t)).select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
 
 
-@query(_rank_sql(3, False), "nodes links")
+@query(_rank_sql(False), "nodes links")
 def pagerank_standard(t: Tables) -> DataFrame:
-    return g.pagerank(*_graph(t), rounds=3, variant="standard").select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
+    return g.pagerank(*_graph(t), variant="standard").select("node", F.round(C("rank") * 1e6, 4).alias("rank"))
 
 
-@query(""" SELECT kind, count(*) AS n_edges, sum(weight) AS weight, count(DISTINCT from_key) AS sources, count(DISTINCT to_key) AS targets FROM links GROUP BY 1
-UNION ALL SELECT 'top ' || to_key, count(*), sum(weight), NULL, NULL FROM links WHERE to_key IN (SELECT to_key FROM links GROUP BY 1 ORDER BY count(*) DESC, to_key LIMIT 10) GROUP BY to_key""", "links")
+@query(""" , top AS (SELECT key FROM centrality ORDER BY round(centrality, 12) DESC, key LIMIT 10)
+SELECT kind, count(*) AS n_edges, sum(weight) AS weight, count(DISTINCT from_key) AS sources, count(DISTINCT to_key) AS targets FROM links GROUP BY 1
+UNION ALL SELECT 'top ' || key, NULL, round(centrality * 1e6, 4), NULL, NULL FROM top JOIN centrality USING (key)
+UNION ALL SELECT 'nodes', count(*), NULL, NULL, NULL FROM nodes""", "nodes links centrality")
 def graph_stats_topk(t: Tables) -> DataFrame:
-    kinds = t.links.groupBy("kind").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"), F.countDistinct("from_key").alias("sources"), F.countDistinct("to_key").alias("targets"))
-    into = t.links.groupBy("to_key").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")).orderBy(C("n_edges").desc(), "to_key").limit(10)
-    return kinds.unionByName(into.select(F.concat(F.lit("top "), "to_key").alias("kind"), "n_edges", "weight"), allowMissingColumns=True)
+    kinds = t.edges.groupBy("kind").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    top = t.centrality.orderBy(F.round("centrality", 12).desc(), "key").limit(10)
+    nodes = t.nodes.agg(F.count("*").alias("n_edges")).withColumn("kind", F.lit("nodes"))
+    out = kinds.unionByName(top.select(F.concat(F.lit("top "), "key").alias("kind"), F.round(C("centrality") * 1e6, 4).alias("weight")), allowMissingColumns=True)
+    return out.unionByName(nodes, allowMissingColumns=True)
 
 
-@query(" SELECT l.to_key AS node, array_to_string(list_sort(list_distinct(list(n.file_path))), ',') AS files FROM links l JOIN nodes n ON n.key = l.from_key GROUP BY 1", "nodes links")
+@query(" SELECT DISTINCT l.to_key AS node, n.file_path FROM links l JOIN nodes n ON n.key = l.from_key", "nodes links")
 def reverse_index(t: Tables) -> DataFrame:
-    return g.reverse_index(edges(t), files(t)).select(C("dst").alias("node"), F.array_join("files", ",").alias("files"))
+    return g.reverse_index(t.edges, files(t)).select(C("dst").alias("node"), "file_path")
 
 
 @query(""" SELECT DISTINCT b.file_path AS changed, a.file_path FROM links l JOIN nodes a ON a.key = l.from_key JOIN nodes b ON b.key = l.to_key WHERE b.file_path IN ('part/Brand_3.go', 'region/2.rs') AND a.file_path <> b.file_path""", "nodes links")
 def affected_files(t: Tables) -> DataFrame:
     changed = t.spark.sql("select * from values ('part/Brand_3.go'), ('region/2.rs') as c(file_path)")
-    return g.affected_files(edges(t), files(t), changed)
+    return g.affected_files(t.edges, files(t), changed)
 
 
 @query(f""" , added(src, dst) AS (VALUES ('r1', 's3'), ('r2', 'c11'), ('p3', 'p4'), ('n4', 'c11'), ('r0', 'n0'), ('n7', 'n7'), ('r0', 's1'), ('r3', 's2')), step AS ({_OUT}),
-walk(start, node, depth) AS (SELECT dst, dst, 0 FROM added UNION SELECT w.start, s.dst, w.depth + 1 FROM walk w JOIN step s ON s.src = w.node WHERE w.depth < 4)
+walk(start, node) AS (SELECT dst, dst FROM added UNION SELECT w.start, s.dst FROM walk w JOIN step s ON s.src = w.node)
 SELECT DISTINCT a.src, a.dst FROM added a JOIN walk w ON w.start = a.dst AND w.node = a.src""", "links", recursive=True)
 def cycle_check(t: Tables) -> DataFrame:
     added = t.spark.sql("select * from values ('r1', 's3'), ('r2', 'c11'), ('p3', 'p4'), ('n4', 'c11'), ('r0', 'n0'), ('n7', 'n7'), ('r0', 's1'), ('r3', 's2') as a(src, dst)")
-    return g.closes_cycle(edges(t), added)
+    return g.closes_cycle(t.edges, added)
 
 
-@query(f""" , step AS ({_IN}), walk(start, node, depth) AS (SELECT start, start, 0 FROM (VALUES ('n4'), ('p7'), ('r1'), ('c11'), ('p100')) v(start) UNION SELECT w.start, s.dst, w.depth + 1 FROM walk w JOIN step s ON s.src = w.node WHERE w.depth < 3)
-SELECT start, count(DISTINCT CASE WHEN depth = 1 THEN node END) AS callers, count(DISTINCT node) AS visited, count(DISTINCT CASE WHEN depth = 1 THEN node END) > 20 OR count(DISTINCT node) > 50 AS large FROM walk GROUP BY 1""", "links", recursive=True)
+@query(f""" , step AS ({_IN}), walk(start, node) AS (SELECT start, start FROM (VALUES ('n4'), ('p7'), ('r1'), ('c11'), ('p100')) v(start) UNION SELECT w.start, s.dst FROM walk w JOIN step s ON s.src = w.node),
+near AS (SELECT src AS start, count(*) AS callers FROM step GROUP BY 1)
+SELECT w.start, coalesce(any_value(callers), 0) AS callers, count(*) AS visited, coalesce(any_value(callers), 0) > 20 OR count(*) > 50 AS large FROM walk w LEFT JOIN near USING (start) GROUP BY 1""", "links", recursive=True)
 def blast_radius(t: Tables) -> DataFrame:
-    return g.blast_radius(edges(t), starts(t, "n4", "p7", "r1", "c11", "p100"))
+    return g.blast_radius(t.edges, starts(t, "n4", "p7", "r1", "c11", "p100"), back=t.edges_back)
+
+
+_TESTS = "SELECT key FROM nodes WHERE regexp_matches(lower(CASE WHEN seq % 50 = 0 THEN 'tests/' || file_path ELSE file_path END), 'test|spec')"
 
 
-@query(""" , busy AS (SELECT session_id FROM sessions GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT key FROM nodes WHERE kind = 'Function' AND key NOT IN (SELECT to_key FROM links))
-SELECT n.key, count(*) AS sessions FROM n JOIN busy ON n.key = 'c' || substr(session_id, 2) GROUP BY 1""", "nodes links sessions")
+def _tests(t: Tables) -> DataFrame:
+    """Every fiftieth symbol's file taken as a test."""
+    path = F.when(C("seq") % 50 == 0, F.concat(F.lit("tests/"), C("file_path"))).otherwise(C("file_path"))
+    return t.nodes.filter(fn.is_test_path(path)).select(C("key").alias("node"))
+
+
+@query(f""" , busy AS (SELECT session_id FROM sessions GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT key FROM nodes WHERE kind IN ('Function', 'Interface') AND key NOT IN (SELECT to_key FROM links WHERE from_key NOT IN ({_TESTS})))
+SELECT n.key, count(*) AS sessions FROM n JOIN busy ON substr(n.key, 2) = substr(session_id, 2) GROUP BY 1""", "nodes links sessions")
 def dead_end(t: Tables) -> DataFrame:
-    """Symbols nothing calls, that a session of at least ten actions is at."""
-    alone = g.without_callers(t.nodes.filter("kind = 'Function'").select(C("key").alias("node")), edges(t), files(t))
-    busy = t.sessions.groupBy("session_id").count().filter("count >= 10").select(F.concat(F.lit("c"), F.substring("session_id", 2, 99)).alias("node"))
-    return alone.join(busy, "node").groupBy(C("node").alias("key")).agg(F.count("*").alias("sessions"))
+    """Symbols that nothing but tests calls, that a session of at least ten actions is at."""
+    alone = g.dead_ends(t.nodes.filter("kind in ('Function', 'Interface')").select(C("key").alias("node"), F.substring("key", 2, 99).alias("number")), t.edges, _tests(t))
+    busy = t.sessions.groupBy("session_id").count().filter("count >= 10").select(F.substring("session_id", 2, 99).alias("number"))
+    return alone.join(busy, "number").groupBy(C("node").alias("key")).agg(F.count("*").alias("sessions"))
 
 
 @query(" SELECT key FROM nodes WHERE kind = 'Method' AND key NOT IN (SELECT to_key FROM links WHERE from_key IN (SELECT key FROM nodes WHERE regexp_matches(lower(CASE WHEN seq % 50 = 0 THEN 'tests/' || file_path ELSE file_path END), 'test|spec')))", "nodes links")
 def untested(t: Tables) -> DataFrame:
-    path = F.when(C("seq") % 50 == 0, F.concat(F.lit("tests/"), C("file_path"))).otherwise(C("file_path"))
-    tests = t.nodes.filter(fn.is_test_path(path)).select(C("key").alias("node"))
-    return g.without_callers(t.nodes.filter("kind = 'Method'").select(C("key").alias("node")), edges(t), tests).select(C("node").alias("key"))
+    return g.without_callers(t.nodes.filter("kind = 'Method'").select(C("key").alias("node")), t.edges, _tests(t)).select(C("node").alias("key"))
 
 
 @query(" SELECT file_path FROM files WHERE file_type = 'code' AND file_path NOT IN (SELECT 'web/' || (seq - 1000000) || '.js' FROM nodes WHERE kind = 'Interface')", "nodes files")
@@ -153,25 +193,32 @@ def blind_spot(t: Tables) -> DataFrame:
     return t.files.filter("file_type = 'code'").join(known, "file_path", "left_anti").select("file_path")
 
 
-_PAIRS = """WITH x AS (SELECT p_partkey AS key, p_name AS name, 'func ' || replace(p_name, ' ', '_') || '(type: ' || p_type || ', size: ' || p_size || ')' AS signature, p_brand || '/' || p_type || '/' || (p_size // 10) AS file_path, list_distinct([p_partkey % 3, p_partkey % 5]) AS near FROM part),
-p AS (SELECT o.key AS old_id, c.key AS new_id, o.file_path, o.name AS a, c.name AS b, o.signature = c.signature AS same, o.near AS na, c.near AS nb FROM x o JOIN x c USING (file_path) WHERE o.key % 2 = 0 AND c.key % 2 = 1),
-s AS (SELECT old_id, new_id, file_path, jaro_winkler_similarity(a, b) * 0.3 + (1.0 * 0.6 + 1.0 * 0.4) * 0.25 + CASE WHEN same THEN 0.25 ELSE 0.0 END + len(list_intersect(na, nb)) / len(list_distinct(list_concat(na, nb))) * 0.15 + 0.05 AS score FROM p)"""
+_PARAMS = "list_distinct(list_filter(list_transform(string_split(regexp_extract({0}, '^[^(]*\\((.*)\\)[^)]*$', 1), ','), lambda x: trim(split_part(trim(x), ':', 1))), lambda x: x <> ''))"
+_RETURNED = "nullif(trim(regexp_extract({0}, '->(.*)$', 1)), '')"
+_LIKE = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+_PAIRS = f""" , p AS (SELECT o.id AS old_id, c.id AS new_id, o.block, o.name AS a, c.name AS b, o.signature = c.before AS same, o.file_path = c.file_path AS here, o.neighbours AS na, c.neighbours AS nb,
+  {_PARAMS.format('o.signature')} AS pa, {_PARAMS.format('c.signature')} AS pb, {_RETURNED.format('o.signature')} AS ra, {_RETURNED.format('c.signature')} AS rb FROM old_symbols o JOIN new_symbols c USING (block)),
+s AS (SELECT old_id, new_id, block, jaro_winkler_similarity(a, b) * 0.3 + (({_LIKE.format('pa', 'pb')}) * 0.6 + CASE WHEN ra IS NULL AND rb IS NULL THEN 1.0 WHEN ra IS NULL OR rb IS NULL THEN 0.0 ELSE jaro_winkler_similarity(ra, rb) END * 0.4) * 0.25
+  + CASE WHEN same THEN 0.25 ELSE 0.0 END + ({_LIKE.format('na', 'nb')}) * 0.15 + CASE WHEN here THEN 0.05 ELSE 0.0 END AS score FROM p)"""
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Every part is an old or a new symbol; its file is its brand, type and size class, so files stay small."""
-    signature = F.concat(F.lit("func "), F.replace(C("p_name"), F.lit(" "), F.lit("_")), F.lit("(type: "), "p_type", F.lit(", size: "), C("p_size").cast("string"), F.lit(")"))
-    rows = t.raw("part").select(C("p_partkey").alias("id"), C("p_name").alias("name"), signature.alias("signature"), F.md5(signature).alias("checksum"), F.concat_ws("/", "p_brand", "p_type", F.floor(C("p_size") / 10).cast("string")).alias("file_path"), F.array_distinct(F.array(C("p_partkey") % 3, C("p_partkey") % 5)).alias("neighbours"))
-    side = lambda name, rest: rows.filter(C("id") % 2 == rest).select("file_path", *(C(c).alias(f"{name}_{c}") for c in ("id", "name", "signature", "checksum", "neighbours")))
-    return g.symbol_similarity(side("old", 0).join(side("new", 1), "file_path").withColumn("same_file", F.lit(1.0)))
+    """Old and new symbols of each block; blocks are a file's symbols and stay small."""
+    side = lambda name, new: t.symbols(new).select("block", *(C(c).alias(f"{name}_{c}") for c in ("id", "name", "signature", "checksum", "neighbours", "file_path")))
+    here = F.when(C("old_file_path") == C("new_file_path"), 1.0).otherwise(0.0)
+    return g.symbol_similarity(side("old", False).join(side("new", True), "block").withColumn("same_file", here))
 
 
-@query(_PAIRS + " SELECT old_id, new_id, round(score, 6) AS score FROM s")
+@query(_PAIRS + " SELECT old_id, new_id, round(score, 6) AS score FROM s", "new_symbols")
 def cross_similarity(t: Tables) -> DataFrame:
-    """Parts' signatures all name the parameters type and size and return nothing, so signatures agree."""
     return _pairs(t).select("old_id", "new_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_PAIRS + """ , o AS MATERIALIZED (SELECT block, old_id, new_id, round(score, 9) AS score, row_number() OVER (PARTITION BY block ORDER BY round(score, 9) DESC, old_id, new_id) AS r FROM s WHERE round(score, 9) > 0.6),
+walk(block, r, used, taken, old_id, new_id, score, kept) AS (SELECT DISTINCT block, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, false FROM o UNION ALL
+  SELECT o.block, o.r, CASE WHEN free THEN list_append(w.used, o.old_id) ELSE w.used END, CASE WHEN free THEN list_append(w.taken, o.new_id) ELSE w.taken END, o.old_id, o.new_id, o.score, free
+  FROM walk w JOIN o ON o.block = w.block AND o.r = w.r + 1, LATERAL (SELECT NOT list_contains(w.used, o.old_id) AND NOT list_contains(w.taken, o.new_id) AS free))
+SELECT block, old_id, new_id, round(score, 6) AS score FROM walk WHERE kept""", "new_symbols", recursive=True)
 def greedy_identity_match(t: Tables) -> DataFrame:
-    return g.greedy_matching(_pairs(t).filter("score > 0.6"), ["file_path"])
+    scored = _pairs(t).withColumn("score", F.round("score", 9)).filter("score > 0.6")
+    return g.greedy_matching(scored, ["block"]).withColumn("score", F.round("score", 6))
