@@ -96,7 +96,7 @@ class Tables:
         """
         user = F.substring("session_id", 2, 99).cast("long") % 500
         node = F.concat(F.lit("n"), user.cast("string"), F.lit("_"), (F.col("k") % 5).cast("string"))
-        file = F.concat(F.lit("f"), (F.col("k") % 2).cast("string"))
+        file = F.concat(F.lit("f"), (F.col("k") % 4).cast("string"))
         return self.sessions.select("session_id", node.alias("node"), file.alias("file_path"), F.floor(F.col("timestamp") / 3600).cast("long").alias("timestamp"), F.md5((F.col("k") % 3).cast("string")).alias("checksum"), "event_id")
 
     def symbols(self, new: bool) -> DataFrame:
@@ -193,7 +193,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         'f' || k AS file_path, 'sym' || (k % 10) AS symbol, floor(epoch(ts))::BIGINT AS timestamp, event_id, value, k
       FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)"""),
     "edits": (("sessions",), """
-      SELECT session_id, 'n' || (substr(session_id, 2)::BIGINT % 500) || '_' || (k % 5) AS node, 'f' || (k % 2) AS file_path, timestamp // 3600 AS timestamp, md5((k % 3)::VARCHAR) AS checksum, event_id FROM sessions"""),
+      SELECT session_id, 'n' || (substr(session_id, 2)::BIGINT % 500) || '_' || (k % 5) AS node, 'f' || (k % 4) AS file_path, timestamp // 3600 AS timestamp, md5((k % 3)::VARCHAR) AS checksum, event_id FROM sessions"""),
     "old_symbols": ((), """
       SELECT p_partkey AS id, p_name AS name, 'func ' || replace(p_name, ' ', '_') || '(type: ' || p_type || ', size: ' || p_size || ') -> ' || p_brand AS signature,
         p_brand || '/' || p_type || '/' || (p_size // 2) AS file_path, file_path AS block, coalesce(near, []) AS neighbours

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,42 +126,58 @@ def branch_name(name: Column) -> Column:
     return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")
 
 
-def _jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, order = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                order.append(c)
-                break
-    if not order:
-        return 0.0
-    other = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(order, other, strict=True)) // 2
-    m = len(order)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-
-def jaro_winkler_of(a: str | None, b: str | None) -> float | None:
-    """The prefix of up to four characters counts where the Jaro similarity is over 0.7."""
-    if a is None or b is None:
-        return None
-    base = _jaro(a, b)
-    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return base + 0.1 * same * (1 - base) if base > 0.7 else base
+#: Pairs compared at once, so that the arrays of a batch stay small.
+_PAIRS = 4096
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, a row each, 0 after a text's end; lengths)."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    out = np.zeros((len(texts), max(1, int(lengths.max(initial=0)))), np.uint32)
+    inside = np.arange(out.shape[1]) < lengths[:, None]
+    out[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, lengths
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Similarity of each pair; a prefix of up to four characters counts where the Jaro similarity is over 0.7.
+
+    All pairs go together, one character of the left texts at a time: it takes the first free equal character of
+    the right text within reach.
+    """
+    (x, n), (y, m) = _codes(a), _codes(b)
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    place = np.arange(y.shape[1])
+    taken, matched = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        rows = np.flatnonzero(n > i)
+        near = np.abs(place - i) <= reach[rows, None]
+        free = (y[rows] == x[rows, i : i + 1]) & near & ~taken[rows] & (place < m[rows, None])
+        hit = free.any(axis=1)
+        taken[rows[hit], free[hit].argmax(axis=1)] = True
+        matched[rows[hit], i] = True
+    found = matched.sum(axis=1)
+    # the matched characters of either side in order: the k-th of one against the k-th of the other
+    of = np.repeat(np.arange(len(n)), found)
+    unlike = np.bincount(of[x[matched] != y[taken]], minlength=len(n)) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(found > 0, (found / n + found / m + (found - unlike) / found) / 3, 0.0)
+    jaro = np.where((n == 0) & (m == 0), 1.0, jaro)
+    width = min(4, x.shape[1], y.shape[1])
+    equal = (x[:, :width] == y[:, :width]) & (np.arange(width) < np.minimum(n, m)[:, None])
+    same = np.cumprod(equal, axis=1).sum(axis=1)
+    return np.where(jaro > 0.7, jaro + 0.1 * same * (1 - jaro), jaro)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in known:
-            known[pair] = jaro_winkler_of(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+    """Of each distinct pair of a batch, once; null where either is null."""
+    out = pd.Series(np.nan, index=a.index, dtype="float64")
+    known = a.notna() & b.notna()
+    pairs = pd.MultiIndex.from_arrays([a[known], b[known]])
+    number, distinct = pairs.factorize()
+    left, right = distinct.get_level_values(0).tolist(), distinct.get_level_values(1).tolist()
+    parts = [jaro_winkler_pairs(left[i : i + _PAIRS], right[i : i + _PAIRS]) for i in range(0, len(left), _PAIRS)]
+    if parts:
+        out[known] = np.concatenate(parts)[number]
+    return out.where(known, None)

@@ -61,7 +61,7 @@ def _ordered_union(into: DataFrame, out: DataFrame, keys: list[str], budget: int
     first = both.groupBy(*keys, "node").agg(F.min(F.struct("side", "depth")).alias("m")).select(*keys, "node", "m.depth", "m.side")
     if budget is not None:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("side", "depth", "node"))
-        first = first.withColumn("_r", rank).filter(C("_r") <= budget).drop("_r")
+        first = first.withColumn("place", rank).filter(C("place") <= budget)
     return first.drop("side")
 
 
@@ -70,7 +70,7 @@ def bfs_both(edges: DataFrame, starts: DataFrame, hops: int, degree_cap: int | N
     back = reversed_edges(edges) if back is None else back
     half = None if budget is None else budget // 2
     into = bfs(back, starts, hops, degree_cap, half, blocked)
-    return _ordered_union(into, bfs(edges, starts, hops, degree_cap, budget, blocked), ["start"], budget)
+    return _ordered_union(into, bfs(edges, starts, hops, degree_cap, budget, blocked), ["start"], budget).select("start", "node", "depth")
 
 
 #: How far each intent looks, as (hops in, hops out, share of the budget for the way in).
@@ -78,12 +78,14 @@ INTENT_HOPS = {"debug": (3, 2, 0.5), "refactor": (0, 5, 0.0), "understand": (2,
 
 
 def intent_traversal(edges: DataFrame, back: DataFrame, requests: DataFrame, degree_cap: int = 50, budget: int = 100, blocked: DataFrame | None = None) -> DataFrame:
-    """requests (start, intent): (start, intent, node, depth), up to ``budget`` nodes each, those that lead to the start first."""
+    """requests (start, intent): (start, intent, node, depth, place), up to ``budget`` nodes each, those that lead to the start first."""
+    requests = cut(requests.select("start", "intent"))  # few, and read once an intent
+    present = {r["intent"] for r in requests.select("intent").filter(C("intent").isin(*INTENT_HOPS)).distinct().collect()}  # of five names
     none, ways = requests.select("start", F.lit("").alias("node"), F.lit(0).alias("depth"), "intent").limit(0), []
     for i in (0, 1):
         found = none
         for intent, hops in INTENT_HOPS.items():
-            if hops[i]:
+            if hops[i] and intent in present:
                 own = requests.filter(C("intent") == intent).select("start")
                 most = int(budget * hops[2]) if i == 0 else budget
                 found = found.unionByName(bfs((back, edges)[i], own, hops[i], degree_cap, most, blocked).withColumn("intent", F.lit(intent)))
@@ -91,6 +93,20 @@ def intent_traversal(edges: DataFrame, back: DataFrame, requests: DataFrame, deg
     return _ordered_union(*ways, ["start", "intent"], budget)
 
 
+def mixed_intents(edges: DataFrame, back: DataFrame, requests: DataFrame, degree_cap: int = 50, budget: int = 100, blocked: DataFrame | None = None) -> DataFrame:
+    """requests (start, primary, secondary): (start, node, place), up to ``budget`` nodes.
+
+    With a secondary intent, six tenths of the budget go to the primary one's nodes, the rest to the others of the secondary.
+    """
+    requests = cut(requests.select("start", "primary", "secondary"))
+    own = lambda rows, intent, most: intent_traversal(edges, back, rows.select("start", C(intent).alias("intent")), degree_cap, most, blocked).select("start", "node", "place")
+    one, two = requests.filter("secondary is null"), requests.filter("secondary is not null")
+    first = own(two, "primary", int(0.6 * budget))
+    rest = own(two, "secondary", budget).join(first, ["start", "node"], "left_anti").withColumn("place", C("place") + budget)
+    both = first.unionByName(rest).withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("place")))
+    return both.filter(C("place") <= budget).unionByName(own(one, "primary", budget))
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 30, variant: str = "reference") -> DataFrame:
     """(node, rank), ranks of sum 1. nodes: (node).
 

@@ -20,11 +20,6 @@ def within_seconds(left: DataFrame, right: DataFrame, key: str, left_at: str, ri
     return joined.filter(C(right_at).between(C(left_at), C(left_at) + span)).drop("_bucket")
 
 
-def recent_count(keys: list[str], at: str, seconds: int) -> Column:
-    """Rows of the same keys in the last ``seconds`` up to each row."""
-    return F.count("*").over(Window.partitionBy(*keys).orderBy(at).rangeBetween(-seconds, 0))
-
-
 def effectiveness(capsules: DataFrame, follow: DataFrame) -> DataFrame:
     """Each capsule's reads, greps and edits of its file within 300 seconds, and its score.
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lorespan import functions as fn
 from lorespan.adapters import Tables
+from lorespan.operators import signals as sig
 from lorespan.operators import windows as win
+from lorespan.operators.storage import cut
 from lorespan.plans.registry import query
 
 C = F.col
@@ -191,48 +193,71 @@ def version_adjacent_diff(t: Tables) -> DataFrame:
     return changes.select("symbol", C("version_num").cast("long").alias("version_num"), C("distance").cast("long").alias("distance"), "significance", F.round(0.6 * C("significance") + 0.4 / C("distance"), 6).alias("score"))
 
 
-@query(""" SELECT event_id, n FROM (SELECT event_id, event_type, count(*) OVER (PARTITION BY session_id ORDER BY timestamp RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM sessions WHERE event_type = 'edit') WHERE n >= 2""", "sessions")
+@query(""" , l AS (SELECT *, CASE WHEN 1 - levenshtein(lag(checksum) OVER w, checksum) / 32.0 > 0.9 THEN 1 ELSE 0 END AS close FROM edits WINDOW w AS (PARTITION BY node ORDER BY timestamp, event_id)),
+x AS (SELECT event_id, node, count(*) OVER r AS n, sum(close) OVER r - (min([timestamp, event_id, close]) OVER r)[3] AS pairs FROM l WINDOW r AS (PARTITION BY node ORDER BY timestamp RANGE BETWEEN 300 PRECEDING AND CURRENT ROW))
+SELECT event_id, node, n, pairs::BIGINT AS pairs FROM x WHERE n >= 3 AND pairs >= 2""", "edits")
 def thrash_sliding_5min(t: Tables) -> DataFrame:
-    """Edits of a session that follow others closely; the window is an hour, as the supplied edits are sparse."""
-    edits = t.sessions.filter("event_type = 'edit'").withColumn("n", win.recent_count(["session_id"], "timestamp", 3600))
-    return edits.filter("n >= 2").select("event_id", "n")
+    return sig.thrashing(t.edits).select("event_id", "node", "n", "pairs")
 
 
-@query(""" , e AS (SELECT DISTINCT file_path, session_id, timestamp FROM sessions WHERE event_type = 'edit'),
-n AS (SELECT a.file_path, a.timestamp, count(DISTINCT b.session_id) AS sessions FROM e a JOIN e b ON a.file_path = b.file_path AND b.timestamp BETWEEN a.timestamp - 1814400 AND a.timestamp GROUP BY 1, 2)
-SELECT file_path, max(sessions) AS sessions FROM n GROUP BY 1 HAVING max(sessions) >= 3""", "sessions")
-def churn_rolling_3w(t: Tables) -> DataFrame:
+_CROWDED = "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY session_id, file_path ORDER BY timestamp RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS n FROM edits) WHERE n >= 5"
+
+
+@query(f" SELECT event_id, session_id, file_path, n FROM ({_CROWDED})", "edits")
+def thrash_post_hoc(t: Tables) -> DataFrame:
+    return sig.crowded(t.edits, ["session_id", "file_path"]).select("event_id", "session_id", "file_path", "n")
+
+
+_CHURN = """e AS (SELECT DISTINCT file_path, session_id, timestamp FROM sessions WHERE event_type = 'edit'),
+n AS (SELECT a.file_path, a.timestamp, count(DISTINCT b.session_id) AS sessions FROM e a JOIN e b ON a.file_path = b.file_path AND b.timestamp BETWEEN a.timestamp - 1814400 AND a.timestamp GROUP BY 1, 2),
+churned AS (SELECT file_path, max(sessions) AS sessions FROM n GROUP BY 1 HAVING max(sessions) >= 3)"""
+
+
+def _churned(t: Tables) -> DataFrame:
     """Files that at least three sessions edited within some three weeks."""
-    e = t.sessions.filter("event_type = 'edit'")
-    seen = F.size(F.collect_set("session_id").over(Window.partitionBy("file_path").orderBy("timestamp").rangeBetween(-1814400, 0)))
-    return e.withColumn("n", seen).groupBy("file_path").agg(F.max("n").cast("long").alias("sessions")).filter("sessions >= 3")
+    most = sig.most_at_once(t.sessions.filter("event_type = 'edit'"), "file_path", "session_id", 1814400)
+    return most.filter("most >= 3").select("file_path", C("most").alias("sessions"))
+
+
+@query(f" , {_CHURN} SELECT file_path, sessions FROM churned", "sessions")
+def churn_rolling_3w(t: Tables) -> DataFrame:
+    return _churned(t)
 
 
-_HOT = """ , churn AS (SELECT file_path, count(DISTINCT session_id) AS churn, count(*) AS uses FROM sessions WHERE event_type = 'edit' GROUP BY 1), central AS (SELECT file_path, count(*) AS reads FROM sessions WHERE event_type = 'read' GROUP BY 1),
-pair AS (SELECT file_path, churn, reads FROM churn JOIN central USING (file_path)), mid AS (SELECT quantile_cont(churn, 0.5) AS c, quantile_cont(reads, 0.5) AS r FROM pair)"""
+_HOT = """churn AS (SELECT file_path, count(DISTINCT session_id) AS churn FROM sessions WHERE event_type = 'edit' GROUP BY 1), central AS (SELECT 'f' || substr(key, 2) AS file_path, centrality FROM centrality WHERE key LIKE 'p%'),
+pair AS (SELECT file_path, churn, centrality FROM churn JOIN central USING (file_path)), mid AS (SELECT quantile_cont(churn, 0.5) AS c, quantile_cont(centrality, 0.5) AS r FROM pair), hot AS (SELECT file_path, churn * centrality AS heat FROM pair, mid WHERE churn > c AND centrality > r)"""
 
 
-def hotspots(edits: DataFrame, reads: DataFrame) -> DataFrame:
-    churn = edits.groupBy("file_path").agg(F.countDistinct("session_id").alias("churn"))
-    both = churn.join(reads.groupBy("file_path").agg(F.count("*").alias("reads")), "file_path")
-    mid = both.agg(F.percentile("churn", 0.5).alias("c"), F.percentile("reads", 0.5).alias("r"))
-    return both.join(F.broadcast(mid), (C("churn") > C("c")) & (C("reads") > C("r"))).select("file_path", (C("churn") * C("reads")).alias("heat"))
+def _hotspots(t: Tables) -> DataFrame:
+    """A session's file f1 is the file of symbol p1."""
+    churn = t.sessions.filter("event_type = 'edit'").groupBy("file_path").agg(F.countDistinct("session_id").alias("churn"))
+    central = t.centrality.filter(C("key").startswith("p")).select(F.concat(F.lit("f"), F.substring("key", 2, 99)).alias("file_path"), "centrality")
+    return sig.hotspots(churn, central)
 
 
-@query(_HOT + " SELECT file_path, churn * reads AS heat FROM pair, mid WHERE churn > c AND reads > r", "sessions")
+@query(f" , {_HOT} SELECT file_path, round(heat * 1e6, 4) AS heat FROM hot", "sessions centrality")
 def hotspot_above_median(t: Tables) -> DataFrame:
-    return hotspots(t.sessions.filter("event_type = 'edit'"), t.sessions.filter("event_type = 'read'"))
+    return _hotspots(t).select("file_path", F.round(C("heat") * 1e6, 4).alias("heat"))
 
 
-@query(_HOT + """ , hot AS (SELECT file_path FROM pair, mid WHERE churn > c AND reads > r),
-s AS (SELECT session_id, sum(CASE event_type WHEN 'miss' THEN 2.0 WHEN 'edit' THEN 1.0 ELSE 0.0 END) AS base, bool_or(event_type = 'edit' AND file_path IN (SELECT file_path FROM hot)) AS on_hot, count_if(event_type = 'read' AND k % 7 = 0) > 0 AS empty FROM sessions GROUP BY 1)
-SELECT session_id, round((base * CASE WHEN on_hot THEN 1.5 ELSE 1.0 END * CASE WHEN empty THEN 1.3 ELSE 1.0 END)::DOUBLE, 6) AS triage FROM s""", "sessions")
+@query(f""" , {_CHURN}, {_HOT}, edited AS (SELECT DISTINCT session_id, file_path FROM sessions WHERE event_type = 'edit'),
+found AS (SELECT session_id, 2.0 * CASE WHEN file_path IN (SELECT file_path FROM hot) THEN 1.5 ELSE 1.0 END AS w FROM (SELECT DISTINCT session_id, file_path FROM ({_CROWDED}))
+UNION ALL SELECT session_id, 2.0 * 1.3 FROM capsules WHERE tokens_served = 0
+UNION ALL SELECT session_id, 2.0 FROM (SELECT session_id, query FROM (SELECT session_id, lower(trim(CASE k % 3 WHEN 0 THEN '  ' || upper(symbol) ELSE symbol || ' ' END)) AS query FROM sessions WHERE event_type = 'miss') GROUP BY ALL HAVING count(*) >= 3)
+UNION ALL SELECT session_id, 1.0 FROM edited JOIN churned USING (file_path) UNION ALL SELECT session_id, 1.0 FROM edited JOIN hot USING (file_path))
+SELECT session_id, count(*) AS signals, round(sum(w)::DOUBLE, 6) AS triage FROM found GROUP BY 1""", "sessions edits capsules centrality")
 def session_triage(t: Tables) -> DataFrame:
-    hot = hotspots(t.sessions.filter("event_type = 'edit'"), t.sessions.filter("event_type = 'read'")).select("file_path", F.lit(True).alias("hot"))
-    s = t.sessions.join(hot, "file_path", "left")
-    base = F.sum(F.when(C("event_type") == "miss", 2.0).when(C("event_type") == "edit", 1.0).otherwise(0.0))
-    factor = F.when(F.bool_or((C("event_type") == "edit") & C("hot").isNotNull()), 1.5).otherwise(1.0) * F.when(F.count_if((C("event_type") == "read") & (C("k") % 7 == 0)) > 0, 1.3).otherwise(1.0)
-    return s.groupBy("session_id").agg(F.round(base * factor, 6).alias("triage"))
+    """Signals of each session: its thrashed files, empty capsules and failed searches, and churned or hot files that it edited."""
+    hot = cut(_hotspots(t).select("file_path"))
+    edited = t.sessions.filter("event_type = 'edit'").select("session_id", "file_path").distinct()
+    none = F.lit(None).cast("string")
+    signal = lambda rows, kind, path=none, effect=F.lit(None).cast("double"): rows.select("session_id", F.lit(kind).alias("kind"), path.alias("file_path"), effect.alias("effectiveness"))
+    thrashed = sig.crowded(t.edits, ["session_id", "file_path"]).select("session_id", "file_path").distinct()
+    found = signal(thrashed, "THRASHING", C("file_path"))
+    found = found.unionByName(signal(t.capsules.filter("tokens_served = 0"), "EMPTY_CAPSULE", effect=F.lit(0.0)))
+    found = found.unionByName(signal(failed_search_counter(t), "FAILED_SEARCH"))
+    found = found.unionByName(signal(edited.join(_churned(t), "file_path"), "CHURN")).unionByName(signal(edited.join(hot, "file_path"), "HOTSPOT"))
+    return sig.triage(found, hot).withColumn("triage", F.round("triage", 6))
 
 
 @query(" SELECT timestamp // 60 * 60 AS minute, count(*) AS n, round(sum(value), 6) AS total FROM sessions GROUP BY 1", "sessions")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespan import functions as fn
 from lorespan.adapters import Tables, rank_steps
 from lorespan.operators import graph as g
+from lorespan.operators.retrieval import intents
 from lorespan.plans.registry import query
 
 C = F.col
@@ -104,7 +105,26 @@ one AS (SELECT c.start, c.intent, node, min([side, depth]) AS m FROM cut c JOIN
 SELECT start, intent, node, m[2] AS depth FROM one QUALIFY row_number() OVER (PARTITION BY start, intent ORDER BY m[1], m[2], node) <= 100""", "links", recursive=True)
 def intent_traversal(t: Tables) -> DataFrame:
     asked = t.spark.sql("select * from values ('c11', 'debug'), ('c12', 'refactor'), ('p7', 'understand'), ('c9', 'extend') as a(start, intent)")
-    return g.intent_traversal(t.edges, t.edges_back, asked)
+    return g.intent_traversal(t.edges, t.edges_back, asked).drop("place")
+
+
+_MIXED = """cut AS (SELECT *, row_number() OVER (PARTITION BY start, intent, side ORDER BY depth, node) AS r FROM near),
+one AS (SELECT c.start, c.intent, node, min([side, depth]) AS m FROM cut c JOIN asked a USING (start, intent) WHERE r <= CASE side WHEN 0 THEN greatest(1, floor(a.most * a.share)) ELSE a.most END GROUP BY 1, 2, 3),
+ranked AS (SELECT o.*, row_number() OVER (PARTITION BY start, intent ORDER BY m[1], m[2], node) AS p FROM one o), firsts AS (SELECT start, node, p FROM ranked WHERE intent = 'debug' AND p <= 30),
+mixed AS (SELECT * FROM firsts UNION ALL SELECT start, node, 50 + p FROM ranked r WHERE intent = 'refactor' AND p <= 50 AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.start = r.start AND f.node = r.node))
+SELECT start, node, row_number() OVER (PARTITION BY start ORDER BY p) AS place FROM mixed QUALIFY place <= 50"""
+
+
+@query(f""" , f AS ({_CAPPED.format(a='from_key', b='to_key')}), b AS ({_CAPPED.format(a='to_key', b='from_key')}),
+asked(start, intent, back, forth, share, most) AS (VALUES ('c11', 'debug', 3, 2, 0.5, 30), ('p7', 'debug', 3, 2, 0.5, 30), ('c11', 'refactor', 0, 5, 0.0, 50), ('p7', 'refactor', 0, 5, 0.0, 50)),
+walk(start, intent, side, node, depth) AS (SELECT start, intent, s.side, start, 0 FROM asked, (VALUES (0), (1)) s(side) UNION
+  SELECT w.start, w.intent, w.side, n.dst, w.depth + 1 FROM walk w JOIN asked a USING (start, intent) JOIN (SELECT 0 AS way, * FROM b UNION ALL SELECT 1, * FROM f) n ON n.src = w.node AND n.way = w.side WHERE w.depth < CASE w.side WHEN 0 THEN a.back ELSE a.forth END),
+near AS (SELECT start, intent, side, node, min(depth) AS depth FROM walk WHERE depth > 0 AND node <> start GROUP BY 1, 2, 3, 4), {_MIXED}""", "links", recursive=True)
+def weighted_intent_union(t: Tables) -> DataFrame:
+    """A prompt that speaks for two intents: debug first, then refactor."""
+    prompt = t.spark.createDataFrame([(0, "the code has a bug so rename it")], "qid int, query string")
+    asked = intents(prompt).select("primary", "secondary", F.explode(F.array(F.lit("c11"), F.lit("p7"))).alias("start"))
+    return g.mixed_intents(t.edges, t.edges_back, asked, budget=50).withColumn("place", C("place").cast("long"))
 
 
 def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:

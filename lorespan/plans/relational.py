@@ -195,12 +195,6 @@ def null_safe_dedup(t: Tables) -> DataFrame:
     return n.join(first, same).select("id", "first_id", (C("id") != C("first_id")).alias("repeats"))
 
 
-@query(""" , scores AS (SELECT to_key AS key, sum(weight) AS w FROM links WHERE kind = 'Calls' GROUP BY 1) SELECT n.key, coalesce(s.w, 0.0) AS score FROM nodes n LEFT JOIN scores s USING (key) WHERE n.kind IN ('Method', 'Interface')""", "nodes links")
-def hybrid_left_join(t: Tables) -> DataFrame:
-    scores = t.links.filter("kind = 'Calls'").groupBy(C("to_key").alias("key")).agg(F.sum("weight").alias("w"))
-    return t.nodes.filter(C("kind").isin("Method", "Interface")).join(scores, "key", "left").select("key", F.coalesce("w", F.lit(0.0)).alias("score"))
-
-
 @query(""" SELECT session_id, event_id, timestamp, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, event_id DESC) AS r FROM sessions) WHERE r <= 5""", "sessions")
 def topk_recent_per_key(t: Tables) -> DataFrame:
     return ops.top_per_key(t.sessions, ["session_id"], [C("timestamp").desc(), C("event_id").desc()], 5).select("session_id", "event_id", "timestamp", C("rank").cast("long").alias("rank"))
@@ -228,20 +222,6 @@ def orphans_and_candidates(t: Tables) -> DataFrame:
     return count(old.subtract(new), "orphan").unionByName(count(new.subtract(old), "candidate"))
 
 
-@query(""" , a AS (SELECT to_key AS key, row_number() OVER (ORDER BY weight DESC, to_key) AS r FROM links WHERE from_key = 's1'), b AS (SELECT to_key AS key, row_number() OVER (ORDER BY weight DESC, to_key) AS r FROM links WHERE from_key = 's2'),
-first AS (SELECT key, r FROM a WHERE r <= 30), second AS (SELECT key, 1000 + r AS r FROM b WHERE key NOT IN (SELECT key FROM first))
-SELECT key, row_number() OVER (ORDER BY r) AS place FROM (SELECT * FROM first UNION ALL SELECT * FROM second) QUALIFY place <= 50""", "links")
-def weighted_intent_union(t: Tables) -> DataFrame:
-    budget = 50
-    order = [C("weight").desc(), C("key")]
-    side = lambda k: t.links.filter(C("from_key") == k).select(C("to_key").alias("key"), "weight").orderBy(*order).limit(budget)
-    ranked = lambda rows: rows.withColumn("r", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  at most `budget` rows
-    first = ranked(side("s1")).filter(C("r") <= int(0.6 * budget)).select("key", "r")
-    rest = t.links.filter(C("from_key") == "s2").select(C("to_key").alias("key"), "weight").join(first, "key", "left_anti").orderBy(*order).limit(budget)
-    both = first.unionByName(ranked(rest).select("key", (C("r") + 1000).alias("r")))
-    return both.withColumn("place", F.row_number().over(Window.orderBy("r")).cast("long")).filter(C("place") <= budget).select("key", "place")
-
-
 @query("""SELECT source, doc_id, n_chars, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 3""")
 def federated_topk(t: Tables) -> DataFrame:
     return ops.top_per_key(t.raw("documents").select("source", "doc_id", "n_chars"), ["source"], [C("n_chars").desc(), C("doc_id")], 3).withColumn("rank", C("rank").cast("long"))

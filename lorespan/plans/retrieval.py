@@ -85,22 +85,32 @@ def bm25_phrase(t: Tables) -> DataFrame:
     return _show(r.bm25(_nodes(t), _queries(t, "red_widget", "small_ring economy")), 15)
 
 
-@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ , cen AS (SELECT to_key AS id, sum(weight) AS centrality FROM links GROUP BY 1),
-top AS (SELECT h.*, coalesce(centrality, 0.0) AS centrality FROM hits h LEFT JOIN cen USING (id) WHERE rank <= 50)
-SELECT qid, id, round(0.6 * score / greatest(1e-10, max(score) OVER w) + 0.4 * centrality / greatest(1e-10, max(centrality) OVER w), 6) AS combined FROM top WINDOW w AS (PARTITION BY qid)""", "nodes links")
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ ,
+top AS (SELECT h.*, coalesce(centrality, 0.0) AS centrality FROM hits h LEFT JOIN centrality c ON c.key = h.id WHERE rank <= 50)
+SELECT qid, id, round(0.6 * score / greatest(1e-10, max(score) OVER w) + 0.4 * centrality / greatest(1e-10, max(centrality) OVER w), 6) AS combined FROM top WINDOW w AS (PARTITION BY qid)""", "nodes centrality")
 def hybrid_search(t: Tables) -> DataFrame:
-    centrality = t.links.groupBy(C("to_key").alias("id")).agg(F.sum("weight").alias("centrality"))
-    return r.hybrid(r.bm25(_nodes(t), _queries(t, "ring", "promo")), centrality).select("qid", "id", F.round("combined", 6).alias("combined"))
+    return r.hybrid(r.bm25(_nodes(t), _queries(t, "ring", "promo")), t.centrality.withColumnRenamed("key", "id")).select("qid", "id", F.round("combined", 6).alias("combined"))
 
 
-@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'bolt', false), (1, 0, 1, 1, 0, 'customer', false)") + " SELECT qid, id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS closeness FROM hits WHERE rank <= 5", "nodes")
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ SELECT n.key, coalesce(h.qid, -1) AS qid, round(coalesce(score, 0.0), 6) AS score, round(coalesce(centrality, 0.0) * 1e6, 4) AS centrality
+FROM nodes n LEFT JOIN hits h ON h.id = n.key LEFT JOIN centrality c ON c.key = n.key WHERE n.kind IN ('Method', 'Interface')""", "nodes centrality")
+def hybrid_left_join(t: Tables) -> DataFrame:
+    """Text scores and centrality of candidates, 0 where there is none."""
+    scores = r.bm25(_nodes(t), _queries(t, "ring", "promo")).withColumnRenamed("id", "key")
+    rows = t.nodes.filter(C("kind").isin("Method", "Interface")).select("key").join(scores, "key", "left").join(t.centrality, "key", "left")
+    return rows.select("key", F.coalesce("qid", F.lit(-1)).alias("qid"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.round(F.coalesce("centrality", F.lit(0.0)) * 1e6, 4).alias("centrality"))
+
+
+@query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'bolt', false), (1, 0, 1, 1, 0, 'customer', false)") + " SELECT qid, id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS closeness FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM hits WHERE rank <= 5) WHERE abs(score) <= 1.2 * abs(best)", "nodes")
 def disambiguation(t: Tables) -> DataFrame:
-    """The five best symbols of a name; alternatives lie within 1.2 times the best one's magnitude, so all do."""
+    """The five best symbols of a name, those within 1.2 times the best one's magnitude being its alternatives."""
     hits = r.top_hits(r.bm25(_nodes(t), _queries(t, "bolt", "customer")), 5)
-    close = C("score") / F.max("score").over(Window.partitionBy("qid"))
-    return hits.filter("true").select("qid", "id", C("rank").cast("long").alias("rank"), F.round(close, 6).alias("closeness"))
+    best = F.max("score").over(Window.partitionBy("qid"))
+    close = C("score") / best
+    return hits.withColumn("best", best).filter(F.abs("score") <= 1.2 * F.abs("best")).select("qid", "id", C("rank").cast("long").alias("rank"), F.round(close, 6).alias("closeness"))
 
 
+#: Prompts and the intents that they are known to have.
 _PROMPTS = ["", "why is this function crashing", "fix the bug in auth", "refactor the auth module", "explain how auth works", "add caching to the query engine", "review the database module", "getUser function", "the code has a bug so rename it", "who calls main", "audit security of auth", "  Fn(x: i32)  ", "***", "prefix address", "creat a thing", "xyzzy"]
 _PROMPT_ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PROMPTS))
 
@@ -129,9 +139,9 @@ def intent_keywords(t: Tables) -> DataFrame:
     return rows.select("qid", F.explode(scores).alias("x")).select("qid", "x.intent", "x.score").filter("score > 0")
 
 
-@query(f"SELECT i.name = e.expected AS ok, count(*) AS n FROM ({_INTENT_SQL} SELECT p.qid, coalesce(a.intent, 'understand') AS name FROM p LEFT JOIN a USING (qid)) i JOIN (VALUES (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (10, 'review')) e(qid, expected) USING (qid) GROUP BY 1")
+@query(f"SELECT i.name = e.expected AS ok, count(*) AS n FROM ({_INTENT_SQL} SELECT p.qid, coalesce(a.intent, 'understand') AS name FROM p LEFT JOIN a USING (qid)) i JOIN (VALUES (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (8, 'debug'), (9, 'understand'), (10, 'review'), (11, 'understand'), (12, 'understand'), (13, 'debug'), (14, 'extend'), (15, 'understand')) e(qid, expected) USING (qid) GROUP BY 1")
 def eval_intent_accuracy(t: Tables) -> DataFrame:
-    expected = t.spark.sql("select * from values (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (10, 'review') as e(qid, expected)")
+    expected = t.spark.sql("select * from values (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (8, 'debug'), (9, 'understand'), (10, 'review'), (11, 'understand'), (12, 'understand'), (13, 'debug'), (14, 'extend'), (15, 'understand') as e(qid, expected)")
     return r.intents(_queries(t, *_PROMPTS)).join(expected, "qid").groupBy((C("primary") == C("expected")).alias("ok")).agg(F.count("*").alias("n"))
 
 

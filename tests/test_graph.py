@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorespan.functions import jaro_winkler_of
+from lorespan.functions import jaro_winkler, jaro_winkler_pairs
 from lorespan.operators import graph as g
 
 EDGES = "src string, dst string, weight double"
@@ -151,6 +153,31 @@ def test_matching_equals_the_greedy_order(spark, rows):
     assert {(r["old_id"], r["new_id"]) for r in g.greedy_matching(scored, ["file"]).collect()} == taken
 
 
-def test_jaro_winkler():
-    assert round(jaro_winkler_of("martha", "marhta"), 4) == 0.9611 and round(jaro_winkler_of("dixon", "dicksonx"), 4) == 0.8133
-    assert jaro_winkler_of("", "a") == 0 and jaro_winkler_of("same", "same") == 1 and jaro_winkler_of(None, "a") is None
+def test_jaro_winkler(spark):
+    assert jaro_winkler_pairs(["martha", "dixon", "", "same", ""], ["marhta", "dicksonx", "a", "same", ""]).round(4).tolist() == [0.9611, 0.8133, 0, 1, 1]
+    rows = spark.sql("select * from values ('same', 'same'), (null, 'a'), ('', 'a'), ('same', 'same') as t(a, b)").select(jaro_winkler("a", "b").alias("s")).collect()
+    assert sorted((r["s"] is None, r["s"] or 0) for r in rows) == [(False, 0), (False, 1), (False, 1), (True, 0)]
+
+
+def _plain_jaro_winkler(a, b):
+    """One character after another takes the first free equal one within reach."""
+    if not a or not b:
+        return float(a == b)
+    reach, free, left = max(0, max(len(a), len(b)) // 2 - 1), list(b), []
+    for i, c in enumerate(a):
+        at = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] == c), None)
+        if at is not None:
+            free[at] = None
+            left.append(c)
+    right = [c for c, f in zip(b, free, strict=True) if f is None]
+    m = len(left)
+    jaro = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(left, right, strict=True)) // 2) / m) / 3 if m else 0.0
+    same = len(os.path.commonprefix([a[:4], b[:4]]))
+    return jaro + 0.1 * same * (1 - jaro) if jaro > 0.7 else jaro
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abé ", max_size=9), st.text("abé ", max_size=9)), min_size=1, max_size=20))
+def test_jaro_winkler_equals_brute_force(pairs):
+    found = jaro_winkler_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    assert [round(x, 12) for x in found] == [round(_plain_jaro_winkler(a, b), 12) for a, b in pairs]
