@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
 from lorespan.operators.storage import kept
 
 EPOCH = 1704067200
+SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
 
 
 def seconds(ts: Column) -> Column:
@@ -155,6 +156,32 @@ class Tables:
             kind.alias("kind"), ((c("conv_id") * 37 + c("turn") * 11) % 100 / 100.0).cast("double").alias("quality"), ((c("conv_id") * 13 + c("turn")) % 20).alias("retrieval_count"),
         )
 
+    @cached_property
+    def file_notes(self) -> DataFrame:
+        """The notes, those on files being on the graph's files."""
+        path = F.concat(F.lit("segment/"), F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.substring("anchor_value", 2, 9).try_cast("int") % len(SEGMENTS) + 1)), F.lit(".py"))
+        return self.notes.withColumn("anchor_value", F.when(F.col("anchor_type") == "file", path).otherwise(F.col("anchor_value")))
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """behavioural signals: kind, node_id, detail, timestamp, of misses and edits of a file at the symbol of its number."""
+        kind = F.when(F.col("event_type") == "miss", "FAILED_SEARCH").otherwise("THRASHING")
+        return self.sessions.filter("event_type in ('miss', 'edit')").select(kind.alias("kind"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("node_id"), F.concat("file_path", F.lit(" "), F.col("event_id").cast("string")).alias("detail"), "timestamp")
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        """node versions of customers, an order being one: symbol_hash, version_num, signature, edges_json."""
+        number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+        return self.raw("orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("symbol_hash"), number.alias("version_num"), F.concat(F.lit("sig"), (F.col("o_orderkey") % 3).cast("string")).alias("signature"), F.col("o_orderpriority").alias("edges_json"))
+
+    def sources_of(self, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(nodes with line_start and line_end, files): the files of the given symbols, a line a symbol, a body two lines."""
+        own = self.nodes.join(self.nodes.filter(F.col("key").isin(*keys)).select("file_path").distinct(), "file_path")
+        line = F.row_number().over(Window.partitionBy("file_path").orderBy("seq"))
+        own = own.withColumn("line_start", line).withColumn("line_end", line + 1)
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "signature"))), lambda x: x["signature"]), "\n")
+        return own.filter(F.col("key").isin(*keys)), own.groupBy("file_path").agg(text.alias("content"))
+
     @cached_property
     def files(self) -> DataFrame:
         """file inventory: documents as markdown, pages as code."""
@@ -216,6 +243,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         {EPOCH} + conv_id * 3600 + turn * 600 AS updated_at, ['fact', 'strategy', 'pitfall', 'context'][conv_id % 4 + 1] AS kind,
         ((conv_id * 37 + turn * 11) % 100) / 100.0::DOUBLE AS quality, (conv_id * 13 + turn) % 20 AS retrieval_count
       FROM conversations"""),
+    "file_notes": (("notes",), f"""
+      SELECT * REPLACE (CASE WHEN anchor_type = 'file' THEN 'segment/' || {[*SEGMENTS]}[substr(anchor_value, 2)::INT % {len(SEGMENTS)} + 1] || '.py' ELSE anchor_value END AS anchor_value) FROM notes"""),
+    "signals": (("sessions",), """
+      SELECT CASE event_type WHEN 'miss' THEN 'FAILED_SEARCH' ELSE 'THRASHING' END AS kind, 'c' || k AS node_id, file_path || ' ' || event_id AS detail, timestamp FROM sessions WHERE event_type IN ('miss', 'edit')"""),
+    "versions": ((), """
+      SELECT 'c' || o_custkey AS symbol_hash, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version_num, 'sig' || (o_orderkey % 3) AS signature, o_orderpriority AS edges_json FROM orders"""),
     "files": ((), """
       SELECT file_path, CASE WHEN file_path LIKE '%.md' THEN 'doc' ELSE 'code' END AS file_type,
         strlen(content) // 4 AS raw_token_estimate, md5(content) AS content_hash

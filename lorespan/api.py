@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespan.operators import capsule, memory, retrieval
+from lorespan.config import Settings
+from lorespan.operators import capsule, graph, memory, retrieval
+from lorespan.operators.storage import cut
 from lorespan.sources import Store
 
 C = F.col
@@ -16,31 +18,43 @@ NOTES_LIMIT, DOCS_LIMIT = 20, 10
 class Engine:
     """Reads and writes one branch of a store. ``as_of`` is the clock, in epoch seconds."""
 
-    def __init__(self, store: Store, as_of: int, branch: str = "main"):
-        self.store, self.as_of, self.branch = store, as_of, branch
+    def __init__(self, store: Store, as_of: int, branch: str = "main", settings: Settings = Settings()):
+        self.store, self.as_of, self.branch, self.settings = store, as_of, branch, settings
 
     def _read(self, table: str) -> DataFrame:
         return self.store.read(table, self.branch)
 
-    def get_capsules(self, requests: DataFrame) -> DataFrame:
+    def get_capsules(self, requests: DataFrame, files: DataFrame | None = None, count: bool = True) -> DataFrame:
         """requests (request_id, file, symbol, query, budget, detail): (request_id, capsule, items, token_count).
 
+        files (file_path, content) give the bodies that detailed capsules show. With ``count`` the notes that were
+        served have their retrieval counts raised.
+
         The target is the first symbol of that name, by file and line, whose path contains the file; without a
         name, the first of a file whose path ends so. Requests without a target have no row.
         """
-        nodes = self._read("nodes").select(C("id").alias("key"), "signature", "file_path", "name", "line_start", "centrality")
+        nodes = self._read("nodes").select(C("id").alias("key"), "signature", "signature_hash", "file_path", "name", "line_start", "line_end", "centrality")
         place = F.struct("file_path", "line_start", "key")
         named = requests.join(nodes, (C("name") == C("symbol")) & C("file_path").contains(C("file")))
         whole = requests.filter("symbol is null").join(nodes, C("file_path").endswith(C("file")))
         chosen = named.select(*requests.columns, place.alias("p")).unionByName(whole.select(*requests.columns, place.alias("p"))).groupBy(*requests.columns).agg(F.min("p").alias("p"))
-        asked = chosen.select("request_id", C("p.key").alias("key"), "budget", "detail", "query")
+        asked = cut(chosen.select("request_id", C("p.key").alias("key"), "budget", "detail", "query"))
         edges = self._read("edges").select(C("from_id").alias("src"), C("to_id").alias("dst"), "weight")
         words = asked.filter("trim(query) <> ''").select(C("request_id").alias("qid"), "query")
         chunks = self._chunks()
         hits = retrieval.bm25(chunks.select("id", "text"), words, mode="or")
         best = F.max("score").over(Window.partitionBy("qid"))
-        docs = hits.withColumn("bm25", C("score") / best).join(chunks, "id").select(C("qid").alias("request_id"), "id", "content", "bm25")
-        return capsule.assemble(asked.drop("query"), nodes, edges, self._read("annotations"), nodes.select(C("key").alias("item"), "centrality"), self.as_of, docs)
+        docs = hits.withColumn("bm25", C("score") / best).join(chunks, "id").select(C("qid").alias("request_id"), "id", capsule.doc_text(C("file_path"), C("heading"), C("content")).alias("content"), "bm25")
+        meant = retrieval.intents(asked.select(C("request_id").alias("qid"), F.coalesce("query", F.lit("")).alias("query")))
+        starts = asked.select(C("request_id").alias("qid"), C("key").alias("start")).join(meant, "qid").select("qid", "start", "primary", "secondary")
+        reach = graph.mixed_intents(edges, graph.reversed_edges(edges), starts.select("start", "primary", "secondary").distinct(), self.settings.degree_cap, self.settings.node_budget)
+        reach = starts.select(C("qid").alias("request_id"), "start").join(reach, "start").groupBy("request_id", C("node").alias("item")).agg(F.min("place").alias("place"))
+        notes, requests = self._read("annotations"), asked.drop("query").withColumn("budget", F.coalesce("budget", F.lit(self.settings.budget)))
+        more = {"signals": self._read("behavioral_signals"), "versions": self._read("node_versions"), "reach": reach}
+        kept = cut(capsule.kept_candidates(requests, nodes, edges, notes, nodes.select(C("key").alias("item"), "centrality"), self.as_of, docs, **more))
+        if count and not kept.filter("note_id is not null").isEmpty():
+            self.store.write("annotations", memory.retrieved(notes, capsule.served_notes(kept)), self.branch)
+        return capsule.rendered(kept, None if files is None else capsule.target_bodies(requests, nodes, files))
 
     def _chunks(self) -> DataFrame:
         chunks = self._read("doc_chunks")

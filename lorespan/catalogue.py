@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespan.adapters import Tables
-from lorespan.plans import analytics, graphs, memory, relational, retrieval, sql_surface  # noqa: F401  (they register)
+from lorespan.plans import analytics, graphs, indexing, memory, relational, retrieval, sql_surface  # noqa: F401  (they register)
 from lorespan.plans.registry import ENTRIES, runner
 
 

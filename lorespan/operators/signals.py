@@ -73,7 +73,7 @@ def hotspots(churn: DataFrame, centrality: DataFrame) -> DataFrame:
 
 
 def weight(kind: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for p in WEIGHTS.items() for x in p]), kind)
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in WEIGHTS.items() for x in p]), kind)
 
 
 def triage(found: DataFrame, hot: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
 from lorespan.adapters import EPOCH, Tables
 from lorespan.operators import capsule as cap
+from lorespan.operators import graph as g
+from lorespan.operators import memory
 from lorespan.operators import retrieval as r
+from lorespan.operators.storage import cut
 from lorespan.plans.registry import query
 
 C = F.col
@@ -199,35 +204,100 @@ def greedy_budget_trim(t: Tables) -> DataFrame:
     return cap.trimmed(rows, budgets).groupBy(C("request_id").alias("l_orderkey")).agg(F.count("*").alias("kept"), F.sum("tokens").alias("used"))
 
 
-_REQUESTS = "(1, 'c17', 400, 'standard'), (2, 's3', 300, 'minimal'), (3, 'p7', 900, 'detailed'), (4, 'c34', 150, 'unknown'), (5, 'n4', 500, 'standard'), (6, 'c51', 60, 'detailed')"
+_REQUESTS = "(1, 'p7', 400, 'standard'), (2, 's3', 300, 'minimal'), (3, 'c17', 6000, 'detailed'), (4, 'c34', 350, 'unknown'), (5, 'n4', 500, 'standard'), (6, 'c51', 60, 'detailed')"
 
 
 def _level(field: str) -> str:
     return f"CASE detail WHEN 'minimal' THEN {getattr(cap.LEVELS['minimal'], field)} WHEN 'detailed' THEN {getattr(cap.LEVELS['detailed'], field)} ELSE {getattr(cap.LEVELS['standard'], field)} END"
 
 
-_CAPSULE_SQL = f""" , req(request_id, key, budget, detail) AS (VALUES {_REQUESTS}), cen AS (SELECT to_key AS item, sum(weight) AS centrality FROM links GROUP BY 1),
+_NOTE = "CASE WHEN stale THEN '[STALE]' WHEN kind = 'strategy' THEN '[STRATEGY]' WHEN kind = 'pitfall' THEN '[PITFALL]' WHEN kind = 'context' THEN '[CONTEXT NOTE]' ELSE '[NOTE]' END || ' ' || text"
+_NONE = {"anchor_type": "VARCHAR", "quality": "DOUBLE", "kind": "VARCHAR", "stale": "BOOLEAN", "updated_at": "BIGINT", "bm25": "DOUBLE", "distance": "BIGINT", "significance": "DOUBLE"}
+
+
+def _more(**own: str) -> str:
+    return ", ".join(own.get(c, f"NULL::{k}") + f" AS {c}" for c, k in _NONE.items())
+
+
+_STEP = "SELECT DISTINCT from_key AS src, to_key AS dst FROM links WHERE from_key NOT IN (SELECT from_key FROM links GROUP BY 1 HAVING count(*) > 50)"
+_NOTE_MORE = _more(anchor_type="anchor_type", quality="quality", kind="kind", stale="stale", updated_at="updated_at")
+_CAPSULE_SQL = f""" , req(request_id, key, budget, detail) AS (VALUES {_REQUESTS}), {_CHUNKS[3:]}, d AS (SELECT file_path || '#' || chunk_index AS id, coalesce(heading, '') || ' ' || content AS text FROM chunks)
+{_bm25_sql("(3, 0, 2, 1, 0, 'the', false), (3, 1, 2, 1, 0, 'thing', false), (6, 0, 1, 1, 0, 'de', false)")},
+dc AS (SELECT h.qid AS request_id, h.id, h.score / max(h.score) OVER (PARTITION BY h.qid) AS bm25, '[doc: ' || file_path || ' > ' || coalesce(heading, '(untitled)') || ']' || chr(10) || content AS content, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS place FROM hits h JOIN chunks c ON c.file_path || '#' || c.chunk_index = h.id),
+tgt AS (SELECT req.*, signature, file_path, name FROM req JOIN nodes USING (key)),
 nb AS (SELECT request_id, 'caller' AS source, from_key AS item, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, from_key) AS place, {_level('callers')} AS lim FROM req JOIN links ON to_key = key
  UNION ALL SELECT request_id, 'callee', to_key, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, to_key), {_level('callees')} FROM req JOIN links ON from_key = key),
-nn AS (SELECT request_id, detail, r.key AS label, n.id, '[' || n.kind || '] ' || text AS content, quality, n.kind, stale, updated_at, row_number() OVER (PARTITION BY request_id ORDER BY quality DESC, n.id) AS r, count(*) OVER (PARTITION BY request_id) AS n FROM req r JOIN notes n ON anchor_type = 'node' AND anchor_value = r.key),
-nd AS (SELECT request_id, detail, label, id, content, quality, kind, stale, updated_at FROM nn WHERE n <= 5 OR r <= 3 UNION ALL SELECT request_id, detail, label, NULL, '[+' || (n - 3) || ' more notes on ' || label || ']', quality, kind, stale, updated_at FROM nn WHERE n > 5 AND r = 4),
-nc AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY quality DESC, id NULLS LAST) AS place FROM nd),
-cand AS (SELECT request_id, 'target' AS source, key AS item, signature AS content, 0 AS place, NULL::DOUBLE AS quality, NULL::VARCHAR AS kind, NULL::BOOLEAN AS stale, NULL::BIGINT AS updated_at FROM req JOIN (SELECT key, signature FROM nodes) USING (key)
- UNION ALL SELECT request_id, source, item, signature, place, NULL, NULL, NULL, NULL FROM nb JOIN nodes ON nodes.key = item WHERE place <= lim
- UNION ALL SELECT request_id, 'note', coalesce(id, 'more ' || label), content, place, quality, kind, stale, updated_at FROM nc WHERE place <= {_level('notes')}),
-sc AS (SELECT *, greatest(1, strlen(content) // 4) AS tokens, source <> 'note' AS pinned, CASE source WHEN 'target' THEN 1.0 WHEN 'note' THEN greatest(0, least(1, (0.2 + 0.25 + 0.15 * exp(-0.01 * greatest(0, ({_AS_OF} - updated_at) / 3600.0)) + 0.2 * quality) * CASE WHEN stale THEN 0.6 ELSE 1.0 END * CASE kind WHEN 'pitfall' THEN 1.2 WHEN 'strategy' THEN 1.1 WHEN 'context' THEN 0.8 ELSE 1.0 END)) ELSE 0.0 END::DOUBLE AS score FROM cand),
-lf AS (SELECT r.request_id, floor(r.budget * 0.9) - coalesce(sum(tokens) FILTER (pinned), 0) AS room FROM req r JOIN sc USING (request_id) GROUP BY r.request_id, r.budget),
-od AS (SELECT s.*, room, row_number() OVER (PARTITION BY s.request_id ORDER BY score DESC, source, item) AS r FROM sc s JOIN lf USING (request_id) WHERE NOT pinned AND room > 0),
-walk AS (SELECT request_id, 0::BIGINT AS r, 0::DOUBLE AS used, NULL::VARCHAR AS item, false AS kept FROM lf UNION ALL SELECT o.request_id, o.r, CASE WHEN w.used + o.tokens <= o.room THEN w.used + o.tokens ELSE w.used END, o.item, w.used + o.tokens <= o.room FROM walk w JOIN od o ON o.request_id = w.request_id AND o.r = w.r + 1),
-fin AS (SELECT * FROM sc WHERE pinned UNION ALL SELECT s.* FROM sc s JOIN walk w ON w.kept AND w.request_id = s.request_id AND w.item = s.item WHERE NOT s.pinned),
-sec AS (SELECT request_id, CASE source WHEN 'target' THEN 1 WHEN 'caller' THEN 2 WHEN 'callee' THEN 3 ELSE 4 END AS s, string_agg(content, chr(10) ORDER BY CASE WHEN pinned THEN 0 ELSE -score END, place, item) AS body, count(*) AS n FROM fin GROUP BY 1, 2),
-out AS (SELECT request_id, string_agg(['[!]', '[TARGET]', '[CALLERS]', '[CALLEES]', '[CONTEXT]'][s + 1] || chr(10) || body, chr(10) || chr(10) ORDER BY s) AS capsule, sum(n)::BIGINT AS items FROM sec GROUP BY 1)
+step AS ({_STEP}), far(request_id, node, depth) AS (SELECT request_id, key, 0 FROM req UNION SELECT f.request_id, s.dst, f.depth + 1 FROM far f JOIN step s ON s.src = f.node WHERE f.depth < 2),
+near AS (SELECT request_id, node, min(depth) AS depth FROM far GROUP BY 1, 2 HAVING min(depth) > 0), reached AS (SELECT request_id, node AS item, row_number() OVER (PARTITION BY request_id ORDER BY depth, node) AS ord FROM near QUALIFY ord <= 100),
+ext AS (SELECT x.request_id, x.item, row_number() OVER (PARTITION BY x.request_id ORDER BY ord, x.item) AS place, {_level('extended')} AS lim FROM reached x JOIN req USING (request_id) WHERE x.item <> req.key AND NOT EXISTS (SELECT 1 FROM nb WHERE nb.request_id = x.request_id AND nb.item = x.item AND nb.place <= nb.lim)),
+nn AS (SELECT request_id, detail, anchor_type, anchor_value AS label, n.id, {_NOTE} AS content, quality, n.kind, stale, updated_at, row_number() OVER w AS r, count(*) OVER (PARTITION BY request_id, anchor_type) AS n FROM tgt t JOIN file_notes n ON (anchor_type = 'node' AND anchor_value = t.key) OR (anchor_type = 'file' AND anchor_value = t.file_path) WINDOW w AS (PARTITION BY request_id, anchor_type ORDER BY quality DESC, n.id)),
+pn AS (SELECT id, {_NOTE} AS content, quality, kind, stale, updated_at, row_number() OVER (ORDER BY quality DESC, id) AS place FROM file_notes WHERE anchor_type IS NULL QUALIFY place <= 3),
+vr AS (SELECT request_id, version_num, v.signature, edges_json, row_number() OVER (PARTITION BY request_id ORDER BY version_num DESC) AS place, {_level('history')} AS lim FROM req JOIN versions v ON symbol_hash = key),
+vp AS (SELECT *, lead(signature) OVER w AS older, lead(edges_json) OVER w AS oe FROM vr WHERE place <= lim WINDOW w AS (PARTITION BY request_id ORDER BY place)),
+sg AS (SELECT request_id, s.kind, detail_, row_number() OVER (PARTITION BY request_id ORDER BY timestamp DESC, s.kind, detail_) AS place FROM req JOIN (SELECT kind, node_id, detail AS detail_, timestamp FROM signals) s ON node_id = key),
+cand AS (SELECT request_id, 'target' AS source, key AS item, signature AS content, 0 AS place, {_more()} FROM tgt
+ UNION ALL SELECT request_id, source, item, signature, place, {_more()} FROM nb JOIN nodes ON nodes.key = item WHERE place <= lim
+ UNION ALL SELECT request_id, 'node', item, signature, place, {_more()} FROM ext JOIN nodes ON nodes.key = item WHERE place <= lim
+ UNION ALL SELECT request_id, 'note', id, content, r, {_NOTE_MORE} FROM nn WHERE (n <= 5 OR r <= 3) AND r <= CASE anchor_type WHEN 'node' THEN {_level('notes')} ELSE {_level('file_notes')} END
+ UNION ALL SELECT request_id, 'note', 'more ' || label, '[+' || (n - 3) || ' more notes on ' || label || ']', 0, {_more(anchor_type="anchor_type")} FROM nn WHERE n > 5 AND r = 4
+ UNION ALL SELECT request_id, 'note', id, content, place, {_more(quality="quality", kind="kind", stale="stale", updated_at="updated_at")} FROM req JOIN pn ON place <= {_level('project_notes')}
+ UNION ALL SELECT request_id, 'history', 'v' || version_num, '[CHANGED] ' || CASE WHEN signature <> older THEN 'Signature changed: ' || older || ' → ' || signature WHEN edges_json <> oe THEN 'Dependencies changed' ELSE 'Body modified' END, place, {_more(distance="place", significance="CASE WHEN signature <> older THEN 1.0 WHEN edges_json <> oe THEN 0.7 ELSE 0.4 END")} FROM vp WHERE older IS NOT NULL
+ UNION ALL SELECT request_id, 'signal', kind || ' ' || place, '[!] ' || kind || ': ' || detail_, place, {_more()} FROM sg WHERE place <= 5
+ UNION ALL SELECT request_id, 'activity', event, content, place, {_more(updated_at="timestamp")} FROM act
+ UNION ALL SELECT request_id, 'doc', id, content, place, {_more(bm25="bm25")} FROM dc JOIN req USING (request_id) WHERE place <= {_level('docs')}),
+cn AS (SELECT c.*, coalesce(centrality, 0.0) AS cen FROM cand c LEFT JOIN centrality z ON z.key = c.item),
+points AS (SELECT *, greatest(1, strlen(content) // 4) AS tokens, source IN ('target', 'signal', 'caller', 'callee') AS pinned, max(CASE WHEN source IN ('target', 'caller', 'callee', 'node') THEN cen END) OVER (PARTITION BY request_id) AS best FROM cn),
+sco AS (SELECT *, (CASE WHEN source IN ('target', 'signal') THEN 1.0 WHEN source IN ('caller', 'callee', 'node') THEN 0.4 * cen / greatest(best, 1e-10)
+ WHEN source = 'note' THEN greatest(0, least(1, (0.2 + 0.25 * CASE anchor_type WHEN 'node' THEN 1.0 WHEN 'file' THEN 0.8 ELSE 0.3 END + 0.15 * CASE WHEN updated_at IS NULL THEN 0.5 ELSE exp(-0.01 * greatest(0, ({_AS_OF} - updated_at) / 3600.0)) END + 0.2 * coalesce(quality, 0.5)) * CASE WHEN stale THEN 0.6 ELSE 1.0 END * CASE kind WHEN 'pitfall' THEN 1.2 WHEN 'strategy' THEN 1.1 WHEN 'context' THEN 0.8 ELSE 1.0 END))
+ WHEN source = 'doc' THEN greatest(0, least(1, 0.7 * bm25)) WHEN source = 'history' THEN greatest(0, least(1, 0.6 * significance + 0.4 / distance)) ELSE 0.5 * exp(-0.01 * greatest(0, ({_AS_OF} - updated_at) / 3600.0)) + 0.15 END)::DOUBLE AS score FROM points),
+lf AS (SELECT r.request_id, floor(r.budget * 0.9) - coalesce(sum(tokens) FILTER (pinned), 0) AS room FROM req r JOIN sco USING (request_id) GROUP BY r.request_id, r.budget),
+od AS (SELECT s.*, room, row_number() OVER (PARTITION BY s.request_id ORDER BY score DESC, source, item) AS r FROM sco s JOIN lf USING (request_id) WHERE NOT pinned AND room > 0),
+walk AS (SELECT request_id, 0::BIGINT AS r, 0::DOUBLE AS used, NULL::VARCHAR AS source, NULL::VARCHAR AS item, false AS kept FROM lf UNION ALL SELECT o.request_id, o.r, CASE WHEN w.used + o.tokens <= o.room THEN w.used + o.tokens ELSE w.used END, o.source, o.item, w.used + o.tokens <= o.room FROM walk w JOIN od o ON o.request_id = w.request_id AND o.r = w.r + 1),
+fin AS (SELECT * FROM sco WHERE pinned UNION ALL SELECT s.* FROM sco s JOIN walk w ON w.kept AND w.request_id = s.request_id AND w.item = s.item AND w.source = s.source WHERE NOT s.pinned)"""
+_RENDER_SQL = """, sec AS (SELECT request_id, CASE source WHEN 'signal' THEN 0 WHEN 'target' THEN 1 WHEN 'caller' THEN 2 WHEN 'callee' THEN 3 WHEN 'doc' THEN 5 ELSE 4 END AS s, string_agg(content, chr(10) ORDER BY CASE WHEN pinned THEN 0 ELSE 1 END, CASE WHEN pinned THEN 0 ELSE -score END, place, item) AS body, count(*) AS n FROM fin GROUP BY 1, 2),
+texts AS (SELECT request_id, s, ['[!]', '[TARGET]', '[CALLERS]', '[CALLEES]', '[CONTEXT]', '[DOCUMENTATION]'][s + 1] || chr(10) || body AS text, n FROM sec),
+ln AS (SELECT key, name, file_path, signature, row_number() OVER (PARTITION BY file_path ORDER BY seq) AS line FROM nodes WHERE file_path IN (SELECT file_path FROM tgt)),
+bd AS (SELECT t.request_id, t.name, floor(t.budget * 0.9) AS budget, (SELECT string_agg(signature, chr(10) ORDER BY line) FROM ln x WHERE x.file_path = t.file_path AND x.line BETWEEN l.line AND l.line + 1) AS body FROM tgt t JOIN ln l USING (key) WHERE t.detail = 'detailed'),
+used AS (SELECT request_id, sum(strlen(text) // 4) AS used FROM texts GROUP BY 1), whole AS (SELECT * FROM texts UNION ALL SELECT request_id, 6, '[BODY] ' || name || chr(10) || body, 0 FROM bd JOIN used USING (request_id) WHERE used + strlen(body) // 4 <= budget),
+out AS (SELECT request_id, string_agg(text, chr(10) || chr(10) ORDER BY s) AS capsule, sum(n)::BIGINT AS items FROM whole GROUP BY 1)
 SELECT request_id, capsule, items, strlen(capsule) // 4 AS token_count FROM out"""
+_ACT = """, act AS (SELECT request_id, event_type || ' ' || event_id AS event, '[ACTIVITY] ' || event_type || ' ' || file_path AS content, timestamp, row_number() OVER (PARTITION BY request_id ORDER BY timestamp DESC, event_type || ' ' || event_id) AS place FROM (VALUES {0}) q(request_id, key, budget, detail) JOIN sessions ON detail = 'detailed' AND 'c' || k = key QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY timestamp DESC, event_id DESC) <= 3)""".format(_REQUESTS)
+_VIEWS_OF_CAPSULES = "nodes links file_notes centrality signals versions markdown sessions"
 
 
-@query(_CAPSULE_SQL, "nodes links notes", recursive=True)
-def capsule_sections(t: Tables) -> DataFrame:
+def _capsules(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(requests, nodes, what else a capsule draws on); a request's recent activity is that at its symbol's number."""
     requests = t.spark.sql(f"select * from values {_REQUESTS} as r(request_id, key, budget, detail)")
-    edges = t.links.select(C("from_key").alias("src"), C("to_key").alias("dst"), "weight")
-    centrality = edges.groupBy(C("dst").alias("item")).agg(F.sum("weight").alias("centrality"))
-    return cap.assemble(requests, t.nodes, edges, t.notes, centrality, _AS_OF)
+    nodes = t.nodes.withColumn("signature_hash", C("key"))
+    asked = t.spark.createDataFrame([(3, "the thing"), (6, "de")], "qid int, query string")
+    chunks = r.chunk_markdown(t.markdown).withColumn("id", F.concat("file_path", F.lit("#"), C("chunk_index").cast("string")))
+    hits = r.bm25(chunks.select("id", F.concat_ws(" ", F.coalesce("heading", F.lit("")), "content").alias("text")), asked)
+    content = cap.doc_text(C("file_path"), C("heading"), C("content"))
+    docs = hits.withColumn("bm25", C("score") / F.max("score").over(Window.partitionBy("qid"))).join(chunks.select("id", content.alias("content")), "id").select(C("qid").alias("request_id"), "id", "content", "bm25")
+    reach = g.intent_traversal(t.edges, t.edges_back, requests.select(C("key").alias("start"), F.lit("extend").alias("intent")))
+    reach = requests.select("request_id", C("key").alias("start")).join(reach, "start").select("request_id", C("node").alias("item"), "place")
+    newest = F.row_number().over(Window.partitionBy("request_id").orderBy(C("timestamp").desc(), C("event_id").desc()))
+    own = requests.filter("detail = 'detailed'").join(t.sessions, F.concat(F.lit("c"), C("k").cast("string")) == C("key")).withColumn("n", newest).filter("n <= 3")
+    activity = own.select("request_id", F.concat("event_type", F.lit(" "), C("event_id").cast("string")).alias("item"), F.concat(F.lit("[ACTIVITY] "), "event_type", F.lit(" "), "file_path").alias("content"), C("timestamp").alias("updated_at"))
+    return requests, nodes, {"docs": docs, "signals": t.signals, "versions": t.versions, "reach": reach, "activity": activity}
+
+
+@query(_CAPSULE_SQL.replace(", req(", _ACT + ", req(", 1) + _RENDER_SQL, _VIEWS_OF_CAPSULES, recursive=True)
+def capsule_sections(t: Tables) -> DataFrame:
+    requests, nodes, more = _capsules(t)
+    own, files = t.sources_of([row[1] for row in _request_rows()])
+    kept = cap.kept_candidates(requests, nodes, t.edges, t.file_notes, t.centrality.withColumnRenamed("key", "item"), _AS_OF, **more)
+    return cap.rendered(kept, cap.target_bodies(requests, own, files))
+
+
+@query(_CAPSULE_SQL.replace(", req(", _ACT + ", req(", 1) + " SELECT n.id, n.retrieval_count + count(f.item) AS retrieval_count FROM notes n JOIN fin f ON f.source = 'note' AND f.item = n.id GROUP BY n.id, n.retrieval_count", _VIEWS_OF_CAPSULES, recursive=True)
+def capsule_retrieval_counts(t: Tables) -> DataFrame:
+    """The notes that capsules serve, with their retrieval counts raised."""
+    requests, nodes, more = _capsules(t)
+    kept = cap.kept_candidates(requests, nodes, t.edges, t.file_notes, t.centrality.withColumnRenamed("key", "item"), _AS_OF, **more)
+    served = cut(cap.served_notes(kept))
+    return memory.retrieved(t.notes.join(served, "id", "left_semi"), served).select("id", "retrieval_count")
+
+
+def _request_rows() -> list[tuple]:
+    return [*ast.literal_eval(f"[{_REQUESTS}]")]

@@ -46,7 +46,8 @@ def test_engine(spark, index, tmp_path):
     asked = spark.createDataFrame([(1, "b.py", "helper", "helper", 4000, "detailed"), (2, "src/a.py", None, "", 4000, "standard"), (3, "no.py", "helper", "", 9, "standard")], "request_id int, file string, symbol string, query string, budget int, detail string")
     text = {r["request_id"]: r["capsule"] for r in engine.get_capsules(asked).collect()}
     assert set(text) == {1, 2}
-    assert text[1].startswith("[TARGET]\ndef helper(x):\n\n[CALLERS]\n") and "[CONTEXT]\n[pitfall] mind the gap" in text[1] and "[DOCUMENTATION]\n# Helper" in text[1]
+    assert text[1].startswith("[TARGET]\ndef helper(x):\n\n[CALLERS]\n") and "[CONTEXT]\n[PITFALL] mind the gap\n[NOTE] for all" in text[1] and "[DOCUMENTATION]\n[doc: d.md > Helper]\n# Helper" in text[1]
+    assert {r["id"]: r["retrieval_count"] for r in engine.read_annotations().collect()} == {"a": 1, "c": 1}
     assert text[2] == "[TARGET]\ndef main():\n\n[CALLEES]\ndef helper(x):"
     assert [r["heading"] for r in engine.search_docs(spark.createDataFrame([(0, "helper works")], "qid int, query string")).collect()] == ["Helper"]
     engine.delete_annotations(spark.createDataFrame([("a",)], "id string"))
