@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespan.config import Settings
 from lorespan.operators import capsule, graph, memory, retrieval
+from lorespan.operators.indexing import Index, reindex
 from lorespan.operators.storage import cut
 from lorespan.sources import Store
 
@@ -82,6 +83,23 @@ class Engine:
             return rows.join(hits.select("id", "score"), "id").orderBy(C("score").desc(), "id").limit(limit)
         return rows.orderBy(C("updated_at").desc(), "id").limit(limit)
 
+    def save_index(self, index: Index, notes: DataFrame | None = None) -> None:
+        """Writes an index, and the notes that moved along with it, to the branch."""
+        tables = {"nodes": index.nodes, "raw_edges": index.raw, "edges": index.edges, "files": index.files}
+        for table, rows in (tables if notes is None else tables | {"annotations": notes}).items():
+            self.store.write(table, rows, self.branch)
+
+    def apply_changes(self, files: DataFrame) -> None:
+        """Re-indexes files (file_path, content, mtime) that changed: symbols, edges, ranks and notes, once for all of them."""
+        old = Index(self._read("nodes"), self._read("raw_edges"), self._read("edges"), self._read("files"))
+        self.save_index(*reindex(old, files, self._read("annotations")))
+
+    def switch_branch(self, name: str) -> str:
+        """Goes on with another branch: ``same``, ``warm`` or ``cold``."""
+        found = self.store.switch_branch(name)
+        self.branch = name
+        return found
+
     def write_annotations(self, notes: DataFrame) -> int:
         """notes (id, anchor_type, anchor_value, text, tags, kind), in order of id; unknown kinds are facts. The new version."""
         kind = F.when(C("kind").isin("strategy", "pitfall", "context"), C("kind")).otherwise("fact")
@@ -116,11 +134,6 @@ class Engine:
         return out
 
 
-def branch_of(name: str) -> str:
-    """A branch's name as a partition value."""
-    return "".join("_" if c in '/\\:*?"<>|' else c for c in name)
-
-
 def estimate_without_index(files: DataFrame, ends: DataFrame, seeds: DataFrame) -> DataFrame:
     """Tokens one would read without an index: seeds (file_path), files (file_path, raw_token_estimate), ends (from_file, to_file).
 
@@ -138,4 +151,4 @@ def follow_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("timestamp string, level string, message string, method string").json(path)
 
 
-__all__ = ["DOCS_LIMIT", "NOTES_LIMIT", "Engine", "branch_of", "estimate_without_index", "follow_log"]
+__all__ = ["DOCS_LIMIT", "NOTES_LIMIT", "Engine", "estimate_without_index", "follow_log"]

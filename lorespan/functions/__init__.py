@@ -174,10 +174,11 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of each distinct pair of a batch, once; null where either is null."""
     out = pd.Series(np.nan, index=a.index, dtype="float64")
     known = a.notna() & b.notna()
+    if not known.any():
+        return out.where(known, None)
     pairs = pd.MultiIndex.from_arrays([a[known], b[known]])
     number, distinct = pairs.factorize()
     left, right = distinct.get_level_values(0).tolist(), distinct.get_level_values(1).tolist()
     parts = [jaro_winkler_pairs(left[i : i + _PAIRS], right[i : i + _PAIRS]) for i in range(0, len(left), _PAIRS)]
-    if parts:
-        out[known] = np.concatenate(parts)[number]
+    out[known] = np.concatenate(parts)[number]
     return out.where(known, None)

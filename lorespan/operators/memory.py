@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
 from lorespan import schema
+from lorespan.operators import tables
 
 C = F.col
 
@@ -110,7 +111,32 @@ def session_document(sessions: DataFrame, signals: DataFrame, notes: DataFrame,
     return totals.join(active, "session_id", "left").na.fill({"active_signals": 0}).crossJoin(F.broadcast(stale))  # one row
 
 
-def normalised_edits(rows: DataFrame, keys: list[str], at: str, checksum: str) -> DataFrame:
-    """Adds the similarity of each edit's checksum to the one before it."""
-    before: Column = F.lag(checksum).over(Window.partitionBy(*keys).orderBy(at))
-    return rows.withColumn("similarity", fn.normalised_levenshtein(C(checksum), before))
+def merge_edges(source: DataFrame, target: DataFrame, notes: DataFrame, renamed: DataFrame) -> DataFrame:
+    """target's relations (from_id, to_id, relation, weight, created_at) and the source's, whose ends are merged notes (id).
+
+    Weights of equal ones add up and the first creation time stays. renamed (old_id, new_id): notes that took another id.
+    """
+    for end in ("from_id", "to_id"):
+        own = renamed.select(C("old_id").alias(end), C("new_id").alias("_new"))
+        source = source.join(own, end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new").join(notes.select(C("id").alias(end)), end, "left_semi")
+    return tables.accumulate(target, source.select(*target.columns), ["from_id", "to_id", "relation"], "weight", "created_at")
+
+
+def without_orphans(notes: DataFrame, nodes: DataFrame, as_of: int, days: int = 30) -> DataFrame:
+    """notes less the stale ones on symbols (nodes: key) that are gone, last updated over ``days`` ago."""
+    old = notes.filter((C("anchor_type") == "node") & C("stale") & (C("updated_at") < as_of - days * 86400))
+    gone = old.join(nodes.select(C("key").alias("anchor_value")), "anchor_value", "left_anti").select("id")
+    return notes.join(gone, "id", "left_anti").select(*notes.columns)
+
+
+def append_versions(versions: DataFrame, changed: DataFrame, edges: DataFrame, keep: int = 5) -> DataFrame:
+    """versions (symbol_hash, version_num, signature, edges_json) and the next one of each changed symbol, the newest ``keep``.
+
+    changed (symbol_hash, key, signature); edges (src, dst, kind, weight) go into edges_json, by target and kind.
+    """
+    own = edges.join(changed.select(C("key").alias("src")), "src", "left_semi").groupBy(C("src").alias("key")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(C("dst").alias("to"), "kind")))).alias("edges_json"))
+    last = versions.groupBy("symbol_hash").agg(F.max("version_num").alias("_last"))
+    fresh = changed.join(own, "key", "left").join(last, "symbol_hash", "left")
+    fresh = fresh.select("symbol_hash", (F.coalesce("_last", F.lit(0)) + 1).cast(versions.schema["version_num"].dataType).alias("version_num"), "signature", F.coalesce("edges_json", F.lit("[]")).alias("edges_json"))
+    rank = F.row_number().over(Window.partitionBy("symbol_hash").orderBy(C("version_num").desc()))
+    return versions.select(*fresh.columns).unionByName(fresh).withColumn("_r", rank).filter(C("_r") <= keep).drop("_r")

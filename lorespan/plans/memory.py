@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespan import streaming
 from lorespan.adapters import EPOCH, Tables
 from lorespan.operators import memory as m
 from lorespan.plans.registry import query
@@ -104,3 +105,45 @@ def session_start_document(t: Tables) -> DataFrame:
     out = m.session_document(t.sessions, _signals(t), t.notes, _AS_OF)
     recent = F.array_join(F.transform("recent_events", lambda x: x["event_type"]), ",")
     return out.select("session_id", "total_events", "unique_files", "unique_symbols", recent.alias("recent"), "active_signals", F.array_join("stale_notes", ",").alias("stale_notes"))
+
+
+_RELATIONS = """ , rel AS (SELECT id AS from_id, lead(id) OVER (ORDER BY id) AS to_id, kind AS relation, quality AS weight, created_at FROM notes QUALIFY to_id IS NOT NULL),
+a AS (SELECT * FROM rel WHERE weight < 0.6), b AS (SELECT CASE WHEN from_id = 'a1_0' THEN 'new' ELSE from_id END AS from_id, CASE WHEN to_id = 'a1_0' THEN 'new' ELSE to_id END AS to_id, relation, weight, created_at - 5 AS created_at FROM rel WHERE weight > 0.4)"""
+
+
+def _relations(t: Tables) -> DataFrame:
+    """Each note is related to the next one by id: a chain to test with, over few columns."""
+    rows = t.notes.select(C("id").alias("from_id"), C("kind").alias("relation"), C("quality").alias("weight"), "created_at")
+    later = F.lead("from_id").over(Window.orderBy("from_id"))  # a fixture
+    return rows.withColumn("to_id", later).filter("to_id is not null").select("from_id", "to_id", "relation", "weight", "created_at")
+
+
+@query(_RELATIONS + """ , own AS (SELECT id FROM notes WHERE quality > 0.1 UNION ALL SELECT 'new')
+SELECT from_id, to_id, relation, round(sum(weight), 6) AS weight, min(created_at) AS created_at FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE from_id IN (SELECT id FROM own) AND to_id IN (SELECT id FROM own)) GROUP BY 1, 2, 3""", "notes")
+def merge_note_edges(t: Tables) -> DataFrame:
+    rel = _relations(t)
+    renamed = t.spark.sql("select * from values ('a1_0', 'new') as r(old_id, new_id)")
+    own = t.notes.filter("quality > 0.1").select("id").unionByName(renamed.select(C("new_id").alias("id")))
+    out = m.merge_edges(rel.filter("weight > 0.4").withColumn("created_at", C("created_at") - 5), rel.filter("weight < 0.6"), own, renamed)
+    return out.withColumn("weight", F.round("weight", 6)).select("from_id", "to_id", "relation", "weight", "created_at")
+
+
+@query(f" SELECT id FROM notes WHERE NOT coalesce(anchor_type = 'node' AND stale AND updated_at < {_AS_OF} - 2592000 AND anchor_value NOT IN (SELECT key FROM nodes WHERE seq % 2 = 0), false)", "nodes notes")
+def orphan_notes_deleted(t: Tables) -> DataFrame:
+    return m.without_orphans(t.notes, t.nodes.filter("seq % 2 = 0").select("key"), _AS_OF).select("id")
+
+
+@query(""" , ch AS (SELECT key, signature FROM nodes WHERE key IN ('c11', 'c17', 's3', 'n4', 'r0')), ej AS (SELECT from_key AS key, to_json(list({'to': to_key, 'kind': kind} ORDER BY to_key, kind))::VARCHAR AS edges_json FROM links WHERE from_key IN (SELECT key FROM ch) GROUP BY 1),
+v AS (SELECT * FROM versions WHERE symbol_hash IN ('c11', 'c17', 'c20')), al AS (SELECT * FROM v UNION ALL SELECT key, coalesce((SELECT max(version_num) FROM v WHERE symbol_hash = key), 0) + 1, signature, coalesce(edges_json, '[]') FROM ch LEFT JOIN ej USING (key))
+SELECT symbol_hash, version_num, signature, edges_json FROM al QUALIFY row_number() OVER (PARTITION BY symbol_hash ORDER BY version_num DESC) <= 5""", "nodes links versions")
+def version_append(t: Tables) -> DataFrame:
+    changed = t.nodes.filter(C("key").isin("c11", "c17", "s3", "n4", "r0")).select(C("key").alias("symbol_hash"), "key", "signature")
+    old = t.versions.filter(C("symbol_hash").isin("c11", "c17", "c20"))
+    return m.append_versions(old, changed, t.edges).withColumn("version_num", C("version_num").cast("long"))
+
+
+@query(""" SELECT event_id, session_id, previous FROM (SELECT *, lag(session_id) OVER (PARTITION BY file_path ORDER BY timestamp, session_id) AS previous FROM (SELECT min(event_id) AS event_id, session_id, file_path, timestamp FROM sessions GROUP BY ALL)) WHERE session_id IS DISTINCT FROM previous""", "sessions")
+def session_switches(t: Tables) -> DataFrame:
+    """A file stands for a client here; requests of one second and session are one."""
+    rows = t.sessions.groupBy("session_id", "file_path", C("timestamp").alias("at")).agg(F.min("event_id").alias("event_id"))
+    return streaming.session_switches(rows, "file_path").select("event_id", "session_id", "previous")

@@ -10,6 +10,7 @@ VERSION = 4
 TABLES = {
     "nodes": "id string, kind string, name string, file_path string, line_start int, line_end int, signature string, signature_hash string, docstring string, skeleton string, centrality double, checksum binary",
     "edges": "from_id string, to_id string, kind string, weight double, confidence string",
+    "raw_edges": "from_id string, to_name string",
     "files": "file_path string, file_type string, raw_token_estimate int, last_indexed long, content_hash string",
     "node_versions": "symbol_hash string, version_num int, file_path string, session_id string, node_kind string, signature string, signature_hash string, edges_json string, body_hash binary, created_at long",
     "annotations": "id string, anchor_type string, anchor_value string, text string, tags string, stale boolean, created_at long, updated_at long, kind string, content_hash string, quality double, retrieval_count long",
@@ -23,6 +24,8 @@ TABLES = {
     "metrics_snapshots": "timestamp long, json_blob string",
     "capsule_log": "capsule_id string, timestamp long, session_id string, file string, symbol string, intent string, tokens_served int, items_included int, sections string, total_us long",
 }
+#: Tables of one branch, which a new branch begins with.
+BRANCH_TABLES = ("nodes", "edges", "raw_edges", "files", "node_versions", "annotations", "annotation_edges", "doc_chunks")
 #: The vocabularies of the data model.
 NODE_KINDS = ("File", "Module", "ExportedVar", "Function", "Class", "Interface", "Type", "Enum", "Method")
 EDGE_KINDS = ("Imports", "Calls", "TypeRef", "Extends", "Implements", "Exports", "Contains")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,43 +87,113 @@ def thresholds(path: str) -> dict[str, float]:
 
 
 class Store:
-    """Tables under one root, each in numbered versions; a branch is a partition. Writing makes a new version, readers
-    see the newest complete one, so a writer that dies leaves nothing half done."""
+    """Tables under one root. A branch of a table is a folder of data folders and of numbered manifests that list some.
+
+    A write adds one data folder and commits it by the next manifest, whose name can be taken once; so it costs what it
+    writes, whatever other branches hold, of two writers at once one goes on from the other's commit, and one that dies
+    leaves nothing half done. Readers see the newest manifest.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self, table: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not self._fs.exists(path):
-            return []
-        done = lambda p: self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(path) if s.getPath().getName().startswith("v") and done(s.getPath()))
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+
+    def _folder(self, table: str, branch: str) -> str:
+        return f"{self.root}/{table}/{file_name(branch)}"
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def _newest(self, folder: str) -> tuple[int, list[str]]:
+        """Number and data folders of the newest manifest; 0 and none before the first."""
+        numbers = [int(m.group(1)) for n in self._names(folder) if (m := re.fullmatch(r"v(\d+)", n))]
+        if not numbers:
+            return 0, []
+        return max(numbers), [r["value"] for r in self.spark.read.text(f"{folder}/v{max(numbers)}").collect()]  # a few names
+
+    def _commit(self, folder: str, change: Callable[[list[str]], list[str]]) -> int:
+        while True:
+            number, data = self._newest(folder)
+            ready, target = self._path(folder, f"_ready-{uuid.uuid4().hex}"), self._path(folder, f"v{number + 1}")
+            out = self._fs.create(ready)
+            out.write(bytearray("\n".join(change(data)).encode()))
+            out.close()
+            if not self._fs.exists(target) and self._fs.rename(ready, target):
+                return number + 1
+            self._fs.delete(ready, False)
+
+    def _add(self, table: str, rows: DataFrame, branch: str, change: Callable[[list[str], str], list[str]]) -> int:
+        folder, name = self._folder(table, branch), f"data-{uuid.uuid4().hex}"
+        schema.conform(rows, table).write.parquet(f"{folder}/{name}")
+        return self._commit(folder, lambda data: change(data, name))
 
     def write(self, table: str, rows: DataFrame, branch: str = "main") -> int:
-        """Replaces the branch's rows; the other branches' rows are carried over."""
-        old = self._versions(table)
-        rows = schema.conform(rows, table).withColumn("branch", F.lit(branch))
-        if old:
-            kept = self.spark.read.parquet(f"{self.root}/{table}/v{old[-1]}").filter(C("branch") != branch)
-            rows = rows.unionByName(kept.select(*rows.columns))
-        new = old[-1] + 1 if old else 1
-        rows.write.mode("overwrite").partitionBy("branch").parquet(f"{self.root}/{table}/v{new}")
-        return new
-
-    def append(self, table: str, rows: DataFrame, branch: str = "main") -> None:
+        """Replaces the branch's rows; the number of the new version."""
+        return self._add(table, rows, branch, lambda data, name: [name])
+
+    def append(self, table: str, rows: DataFrame, branch: str = "main") -> int:
         """Adds log rows to the newest version."""
-        version = (self._versions(table) or [1])[-1]
-        schema.conform(rows, table).withColumn("branch", F.lit(branch)).write.mode("append").partitionBy("branch").parquet(f"{self.root}/{table}/v{version}")
+        return self._add(table, rows, branch, lambda data, name: [*data, name])
 
     def read(self, table: str, branch: str = "main") -> DataFrame:
         """The branch's rows; empty where nothing was written."""
-        old = self._versions(table)
-        if not old:
+        folder = self._folder(table, branch)
+        _, data = self._newest(folder)
+        if not data:
             return self.spark.createDataFrame([], schema.TABLES[table])
-        ddl = schema.TABLES[table] + ", branch string"
-        return self.spark.read.schema(ddl).parquet(f"{self.root}/{table}/v{old[-1]}").filter(C("branch") == branch).drop("branch")
+        return self.spark.read.schema(schema.TABLES[table]).parquet(*(f"{folder}/{name}" for name in data))
+
+    def has(self, table: str, branch: str) -> bool:
+        return self._newest(self._folder(table, branch))[0] > 0
+
+    def get_meta(self, key: str, branch: str = "main") -> str | None:
+        row = self.read("daemon_meta", branch).filter(C("key") == key).first()
+        return row["value"] if row else None
+
+    def set_meta(self, key: str, value: str, branch: str = "main") -> int:
+        kept = self.read("daemon_meta", branch).filter(C("key") != key)
+        return self.write("daemon_meta", kept.unionByName(self.spark.createDataFrame([(key, value)], "key string, value string")), branch)
+
+    def switch_branch(self, name: str) -> str:
+        """Makes a branch the current one: ``same``, ``warm`` if it has an index, or ``cold``: it begins with the tables of
+        the branch before, whose files a re-indexing then brings up to date."""
+        now = self.get_meta("current_branch") or "main"
+        if file_name(name) == file_name(now):
+            return "same"
+        warm = self.has("nodes", name)
+        for table in () if warm else schema.BRANCH_TABLES:
+            if self.has(table, now):
+                self.write(table, self.read(table, now), name)
+        self.set_meta("current_branch", name)
+        return "warm" if warm else "cold"
+
+    def federate(self, path: str, at: int) -> int:
+        """Registers another store, which must hold a table."""
+        if not Store(self.spark, path)._names(path):
+            raise ValueError(f"no store at {path}")
+        kept = self.federated_repos().filter(C("path") != path)
+        return self.write("federated_repos", kept.unionByName(self.spark.createDataFrame([(path, at, at)], schema.TABLES["federated_repos"])))
+
+    def unfederate(self, path: str) -> int:
+        return self.write("federated_repos", self.federated_repos().filter(C("path") != path))
+
+    def federated_repos(self) -> DataFrame:
+        """(path, added_at, last_seen) of the registered stores."""
+        return self.read("federated_repos")
+
+    def verified_repos(self) -> DataFrame:
+        """(path, reachable): whether each registered store still holds a table."""
+        paths = [r["path"] for r in self.federated_repos().select("path").collect()]  # a registry, a few rows
+        return self.spark.createDataFrame([(p, bool(self._names(p))) for p in paths], "path string, reachable boolean")
+
+
+def file_name(name: str) -> str:
+    """A branch's name as the name of a folder."""
+    return "".join("_" if c in '/\\:*?"<>|' else c for c in name)
 
 
 def federated(stores: dict[str, Store], table: str, branch: str = "main") -> DataFrame:

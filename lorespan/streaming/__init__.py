@@ -6,29 +6,72 @@ out. Each function gives a streaming DataFrame or starts a query; a batch DataFr
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+if TYPE_CHECKING:
+    from lorespan.api import Engine
+
 C = F.col
 LATE = "10 minutes"
 
 
-def changes(stream: DataFrame, own_folder: str = ".index") -> DataFrame:
-    """Events (path, change) that matter: content changes outside the own folder."""
-    return stream.filter(~C("change").isin("access", "metadata") & ~C("path").contains(f"/{own_folder}/"))
+def changes(stream: DataFrame, own_folder: str = ".index", ignored: tuple[str, ...] = ()) -> DataFrame:
+    """Events (path, change) that matter: content changes outside the own folder, of paths that match none of ``ignored``.
+
+    An ignored pattern is a path's part, or with a ``*`` a part's beginning and end.
+    """
+    rows = stream.filter(~C("change").isin("access", "metadata") & ~C("path").contains(f"/{own_folder}/"))
+    for pattern in ignored:
+        rows = rows.filter(~C("path").rlike("(^|/)" + ".*".join(re.escape(x) for x in pattern.strip("/").split("*")).replace(".*", "[^/]*") + "(/|$)"))
+    return rows
+
 
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "350 milliseconds", locked: Callable[[], bool] | None = None, poll: float = 0.2):
+    """Starts a query that hands over each batch's distinct paths, once each; nothing is lost while a handler fails.
 
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "350 milliseconds"):
-    """Starts a query that hands over each batch's distinct paths, once each; nothing is lost while a handler fails."""
+    While ``locked`` says so (version control is at work), a batch waits; its offsets are committed only after it was
+    handled, so deferred changes are never dropped.
+    """
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    unique = lambda rows, n: handle(rows.select("path").distinct(), n)
+
+    def unique(rows: DataFrame, n: int) -> None:
+        while locked is not None and locked():
+            time.sleep(poll)
+        handle(rows.select("path").distinct(), n)
+
     return stream.writeStream.foreachBatch(unique).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def reindexing(stream: DataFrame, engine: Engine, load: Callable[[DataFrame], DataFrame], checkpoint: str, **options):
+    """Starts a query that re-indexes what changed: symbols, edges, ranks and notes once a batch.
+
+    load: from a batch's paths to files (file_path, content, mtime); options as in ``each_batch``.
+    """
+    return each_batch(stream, lambda paths, _: engine.apply_changes(load(paths)), checkpoint, **options)
+
+
+def session_switches(rows: DataFrame, client: str = "client") -> DataFrame:
+    """Requests (client, at, session_id) at which a client's session is another than before, with ``previous``.
+
+    State of a batch only: the first request of a client is a switch from none.
+    """
+    before = F.lag("session_id").over(Window.partitionBy(client).orderBy("at", "session_id"))
+    return rows.withColumn("previous", before).filter(~C("session_id").eqNullSafe(C("previous")))
+
+
+def retained(snapshot_rows: DataFrame, as_of: int, hours: int = 24, at: str = "start") -> DataFrame:
+    """Snapshots of the last ``hours``."""
+    return snapshot_rows.filter(F.unix_timestamp(at) >= as_of - hours * 3600)
+
+
 def snapshots(stream: DataFrame, seconds: int = 60, late: str = LATE) -> DataFrame:
     """(start, n, total) of tumbling windows."""
     w = F.window("at", f"{seconds} seconds")
@@ -101,8 +144,24 @@ def thrashing(stream: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def failed_searches(stream: DataFrame, least: int = 3, late: str = LATE) -> DataFrame:
-    """(session_id, query, misses) of searches that failed at least so often within an hour."""
-    w = F.window("at", "1 hour")
-    query = F.lower(F.trim("query"))
-    counts = stream.withWatermark("at", late).groupBy(w.alias("w"), "session_id", query.alias("query")).agg(F.count("*").alias("misses"))
-    return counts.filter(C("misses") >= least).select("session_id", "query", "misses")
+    """(session_id, query, misses) once for each search that failed ``least`` times in a session, when it does.
+
+    State goes when the session had no miss of it for 48 hours of event time.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches))
+        state.update((before + len(rows),))
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + 48 * 3600 * 1000)
+        if before < least <= before + len(rows):
+            yield pd.DataFrame([(*key, least)], columns=["session_id", "query", "misses"])
+
+    misses = stream.withWatermark("at", late).select("session_id", F.lower(F.trim("query")).alias("query"), "at")
+    if not stream.isStreaming:
+        counts = misses.groupBy("session_id", "query").agg(F.count("*").alias("misses")).filter(C("misses") >= least)
+        return counts.select("session_id", "query", F.lit(least).cast("long").alias("misses"))
+    return misses.groupBy("session_id", "query").applyInPandasWithState(step, "session_id string, query string, misses long", "n long", "append", GroupStateTimeout.EventTimeTimeout)

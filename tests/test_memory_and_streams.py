@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
 
 import pytest
 from hypothesis import given, settings
@@ -8,9 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespan import config, schema, sources, sql, streaming
+from lorespan.api import Engine
 from lorespan.operators import memory as m
 from lorespan.operators import tables as ops
 from lorespan.operators import windows as win
+from lorespan.operators.indexing import bulk_index
 
 NOTE = "id string, anchor_type string, anchor_value string, text string, quality double, content_hash string"
 
@@ -93,6 +96,70 @@ def test_store_versions_and_branches(spark, tmp_path):
     assert (old["kind"], old["quality"], old["retrieval_count"]) == ("fact", 0.5, 0)
 
 
+def test_two_writers_and_a_dead_one(spark, tmp_path, monkeypatch):
+    a, b = (sources.Store(spark, str(tmp_path / "db")) for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([(i, "v") for i in ids], "key string, value string")
+    a.write("daemon_meta", rows("a"))
+    seen = a._newest
+    stale = [seen(a._folder("daemon_meta", "main"))]
+    monkeypatch.setattr(a, "_newest", lambda folder: stale.pop() if stale else seen(folder))  # a looked before b committed
+    b.append("daemon_meta", rows("b"))
+    assert a.append("daemon_meta", rows("c")) == 3
+    assert sorted(r["key"] for r in b.read("daemon_meta").collect()) == ["a", "b", "c"]
+    rows("x").write.parquet(str(tmp_path / "db/daemon_meta/main/data-dead"))  # never committed
+    assert b.read("daemon_meta").count() == 3
+
+
+def test_branches_and_registry(spark, tmp_path):
+    store = sources.Store(spark, str(tmp_path / "db"))
+    node = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    store.write("nodes", node("a"))
+    assert store.switch_branch("main") == "same" and store.switch_branch("dev/x") == "cold" and store.get_meta("current_branch") == "dev/x"
+    assert [r["id"] for r in store.read("nodes", "dev/x").collect()] == ["a"]
+    store.write("nodes", node("b"), "dev/x")
+    assert store.switch_branch("main") == "warm" and [r["id"] for r in store.read("nodes").collect()] == ["a"]
+    other = sources.Store(spark, str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        store.federate(other.root, 5)
+    other.write("nodes", node("z"))
+    store.federate(other.root, 5)
+    store.federate(other.root, 7)
+    assert [(r["path"], r["added_at"], r["last_seen"]) for r in store.federated_repos().collect()] == [(other.root, 7, 7)]
+    assert [tuple(r) for r in store.verified_repos().collect()] == [(other.root, True)]
+    shutil.rmtree(other.root)
+    assert [tuple(r) for r in store.verified_repos().collect()] == [(other.root, False)]
+    store.unfederate(other.root)
+    assert store.federated_repos().count() == 0
+
+
+def test_changes_reindex_after_the_lock(spark, tmp_path):
+    engine = Engine(sources.Store(spark, str(tmp_path / "db")), as_of=50)
+    text = {"/p/a.py": "def main():\n    helper(1)\n", "/p/b.py": "def helper(x):\n    return x\n"}
+    files = lambda names, at: spark.createDataFrame([(n, text[n], at) for n in names], "file_path string, content string, mtime long")
+    engine.save_index(bulk_index(files(text, 10), rounds=3))
+    text["/p/b.py"] = "def helper(x, y):\n    return x\n"
+    live, _ = _stream(spark, tmp_path, [("/p/b.py", "write"), ("/p/b.py", "write"), ("/p/out/c.py", "write"), ("/p/x.min.js", "write"), ("/p/outer/d.py", "access")], "path string, change string")
+    waits = [True, True, False]
+    q = streaming.reindexing(streaming.changes(live, ignored=("out", "*.min.js")), engine, lambda paths: files([r["path"] for r in paths.collect()], 20), str(tmp_path / "ck"), available_now=True, locked=lambda: waits.pop(0), poll=0.01)
+    q.awaitTermination(120)
+    assert not waits
+    now = {r["name"]: (r["id"], r["signature"]) for r in engine._read("nodes").collect()}
+    assert now["helper"][1] == "def helper(x, y):"
+    assert [(r["from_id"], r["to_id"]) for r in engine._read("edges").collect()] == [(now["main"][0], now["helper"][0])]
+
+
+def test_failed_searches_fire_once(spark, tmp_path):
+    rows = [("s", T0 + dt.timedelta(hours=2 * i), q) for i, q in enumerate((" Foo", "foo", "FOO ", "foo", "foo", "bar"))]
+    live, still = _stream(spark, tmp_path, rows, "session_id string, at timestamp, query string")
+    out = [tuple(r) for r in _drain(spark, streaming.failed_searches(live), "failed").collect()]
+    assert out == [("s", "foo", 3)] == [tuple(r) for r in streaming.failed_searches(still).collect()]
+
+
+def test_retention_and_orphans(spark):
+    rows = spark.createDataFrame([(T0,), (T0 + dt.timedelta(hours=30),)], "start timestamp")
+    assert streaming.retained(rows, int((T0 + dt.timedelta(hours=31)).timestamp())).count() == 1
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "src" / ".hidden").mkdir(parents=True)
     for name in ("a.py", "b.md", "c.txt", ".hidden/d.py", "gen.py"):
