@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
+from lorespan.operators.storage import cut
 
 C = F.col
 
@@ -46,9 +48,24 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
     return kept.select("file_path", number.alias("chunk_index"), "heading", "start_line", "end_line", "content", fn.token_estimate(C("content")).alias("token_estimate"), F.substring(F.md5("content"), 1, 8).alias("content_hash"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs (id, text): (id, pos, term)."""
-    return docs.select("id", F.posexplode(fn.terms(C("text"))).alias("pos", "term"))
+@dataclass
+class TextIndex:
+    """Terms of documents, cut once and stored: documents (id, ts, len) and their number and mean length."""
+
+    documents: DataFrame
+    number: int
+    mean: float
+
+    def postings(self) -> DataFrame:
+        """(id, len, pos, term)."""
+        return self.documents.select("id", "len", F.posexplode("ts").alias("pos", "term"))
+
+
+def text_index(docs: DataFrame) -> TextIndex:
+    """docs (id, text). Documents without terms count for the mean length."""
+    found = cut(docs.select("id", fn.terms(C("text")).alias("ts")).withColumn("len", F.size("ts")))
+    number, mean = found.agg(F.count("*"), F.avg("len")).first()  # of one short column
+    return TextIndex(found, number, mean or 0.0)
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -65,30 +82,27 @@ def phrases(queries: DataFrame) -> DataFrame:
     return out.withColumn("prefix", C("star") & (C("off") == C("size") - 1)).drop("star")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, mode: str = "and", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (id, text), queries (qid, query): (qid, id, score), higher being better; every match.
+def bm25(docs: DataFrame | TextIndex, queries: DataFrame, mode: str = "and", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """docs (id, text) or their index, queries (qid, query): (qid, id, score), higher being better; every match.
 
-    ``and``: documents with all of a query's phrases; ``or``: with any. Rarity is floored at 1e-6. Documents
-    without terms count for the mean length. Queries join postings on terms, so only matched postings move.
+    ``and``: documents with all of a query's phrases; ``or``: with any. Rarity is floored at 1e-6. Postings meet the
+    queries' terms by equality, a prefix by the beginnings of terms of the lengths that are asked, so only matched
+    postings move.
     """
-    tokens = postings(docs)
-    lengths = docs.select("id", F.size(fn.terms(C("text"))).alias("len"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    asked = phrases(queries)
-    # a prefix stands for every term of the vocabulary that begins with it
+    index = docs if isinstance(docs, TextIndex) else text_index(docs)
+    tokens, asked = index.postings(), phrases(queries)
     exact = asked.filter(~C("prefix")).select("qid", "phrase", "phrases", "size", "off", "term")
-    starred = asked.filter("prefix").withColumnRenamed("term", "stem")
-    vocabulary = tokens.select("term").distinct()
-    spread = vocabulary.join(starred, C("term").startswith(C("stem"))).select("qid", "phrase", "phrases", "size", "off", "term")
-    hits = tokens.join(exact.unionByName(spread), "term")
-    whole = hits.groupBy("qid", "phrase", "phrases", "size", "id", (C("pos") - C("off")).alias("at")).agg(F.countDistinct("off").alias("have")).filter("have = size")
-    freq = whole.groupBy("qid", "phrase", "phrases", "id").agg(F.count("*").alias("f"))
-    docs_with = freq.groupBy("qid", "phrase").agg(F.count("*").alias("n"))
-    rows = freq.join(docs_with, ["qid", "phrase"]).join(lengths, "id").crossJoin(F.broadcast(totals))  # one row
-    idf = F.log((C("n_docs") - C("n") + 0.5) / (C("n") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * C("f") * (k1 + 1) / (C("f") + k1 * (1 - b + b * C("len") / C("mean_len")))
-    out = rows.groupBy("qid", "id", "phrases").agg(F.sum(part).alias("score"), F.count("*").alias("have"))
+    starred = asked.filter("prefix").select("qid", "phrase", "phrases", "size", "off", C("term").alias("stem"))
+    lengths = starred.agg(F.collect_set(F.length("stem")).alias("lengths"))  # one row of a few numbers
+    begun = tokens.crossJoin(F.broadcast(lengths)).select("id", "len", "pos", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: C("term").substr(F.lit(1), n))).alias("stem"))
+    columns = ("qid", "phrase", "phrases", "size", "off", "id", "len", "pos")
+    hits = tokens.join(exact, "term").select(*columns).unionByName(begun.join(starred, "stem").select(*columns))
+    whole = hits.groupBy("qid", "phrase", "phrases", "size", "id", "len", (C("pos") - C("off")).alias("at")).agg(F.countDistinct("off").alias("have")).filter("have = size")
+    freq = cut(whole.groupBy("qid", "phrase", "phrases", "id", "len").agg(F.count("*").alias("f")))
+    freq = freq.join(freq.groupBy("qid", "phrase").agg(F.count("*").alias("n")), ["qid", "phrase"])
+    idf = F.log((index.number - C("n") + 0.5) / (C("n") + 0.5))
+    part = F.when(idf <= 0, 1e-6).otherwise(idf) * C("f") * (k1 + 1) / (C("f") + k1 * (1 - b + b * C("len") / F.lit(index.mean)))
+    out = freq.withColumn("part", part).groupBy("qid", "id", "phrases").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
     return out.filter("have = phrases" if mode == "and" else "have > 0").select("qid", "id", "score")
 
 
