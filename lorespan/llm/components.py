@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.store import settle
+from lorespan.llm.store import discard, settle
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -33,10 +33,13 @@ def connected_components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        old, edges = edges, settle(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.settled_at = edges.settled_at
+    return out

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lorespan.llm import text as T
 from lorespan.llm.components import connected_components
-from lorespan.llm.store import settle, split_by_ids
+from lorespan.llm.store import discard, settle, split_by_ids
 from lorespan.llm.substrings import exact_copies, without_copies
 
 #: 64-bit words of the sketch that is compared bit by bit.
@@ -220,11 +220,12 @@ def _dealt_again(members: DataFrame, sets: DataFrame, like: Similarity) -> DataF
     return near.select("key", "token", "k", "s", "c")
 
 
-def _unlike_pairs(members: DataFrame, by: list[str], like: Similarity) -> DataFrame:
-    """(x, y) of members with equal ``by``, of different components, that sizes and sketches allow to be linked.
+def _unlike_pairs(members: DataFrame, like: Similarity) -> DataFrame:
+    """(x, y) of members of one key and token, of different components, that sizes and sketches allow to be linked.
 
     Where one component holds most members, only the others look for partners.
     """
+    by = ["key", "token"]
     sizes = members.groupBy(*by, "c").agg(F.count("*").alias("n_c"))
     main = sizes.groupBy(*by).agg(F.max_by("c", "n_c").alias("main"), F.count("*").alias("n_c")).filter("n_c > 1").drop("n_c")
     x, y = (members.select(*by, F.col("k").alias(n), F.col("c").alias(f"c{n}"), F.col("mark").alias(f"m{n}")) for n in "xy")
@@ -255,16 +256,18 @@ def links(docs: DataFrame, like: Similarity) -> DataFrame:
     ids = settle(keys.join(several(keys).drop("n"), "key").select("k").distinct())
     near = split_by_ids(live, "k", ids)[0].join(ids, "k", "left_semi")
 
-    keys = T.mapped(near, _keys(like, True), f"key long, k {kind}, grp int, most int, blocks int")
+    keys = settle(T.mapped(near, _keys(like, True), f"key long, k {kind}, grp int, most int, blocks int"))
     met = keys.join(several(keys), "key")
     text = Window.partitionBy("k", "grp")
     rank = F.row_number().over(text.orderBy("n", "key"))
     own = F.col("blocks") - F.count("*").over(text)  # keys that no other document has
     shared = settle(met.withColumn("rank", rank).withColumn("own", own).filter("own + rank <= most + 1").select("key", "k"))
 
+    discard(keys, ids)
     seen = shared.groupBy("key").agg(F.min("k").alias("hub"), F.max("k").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("sum")).filter("hub < last")
     once = seen.groupBy("hub", "last", "n", "sum").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "hub", "weight")
     members = settle(shared.join(once, "key"))
+    discard(shared)
     ids = members.select("k").distinct()
     near = split_by_ids(live, "k", ids)[0].join(ids, "k", "left_semi")
     sets = settle(T.mapped(near, _sets(like), f"k {kind}, sketch array<long>, tokens array<long>"))
@@ -279,10 +282,11 @@ def links(docs: DataFrame, like: Similarity) -> DataFrame:
     marks = _marks(sets)
     open_ = settle(placed.join(split, "key").join(marks.select("k", "s").distinct(), "k"))
     few, many = (open_.filter(x).drop("many") for x in ("not many", "many"))
-    pairs = [_unlike_pairs(x.join(marks, ["k", "s"]), by, like) for x, by in ((few, ["key"]), (settle(_dealt_again(many, sets, like)), ["key", "token"]))]
-    rest = pairs[0].unionByName(pairs[1])
-    rest = rest.distinct().join(tried, ["x", "y"], "left_anti")
-    return sure.unionByName(settle(_verified(rest, sets, like))).unionByName(copies.select(F.col("k").alias("x"), F.col("first").alias("y")))
+    dealt = settle(_dealt_again(many, sets, like).unionByName(few.withColumn("token", F.lit(0).cast("long"))))
+    rest = _unlike_pairs(dealt.join(marks, ["k", "s"]), like).join(tried, ["x", "y"], "left_anti")
+    found = settle(_verified(rest, sets, like))
+    discard(members, sets, tried, own, open_, dealt)
+    return sure.unionByName(found).unionByName(copies.select(F.col("k").alias("x"), F.col("first").alias("y")))
 
 
 def similar_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

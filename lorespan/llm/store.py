@@ -3,28 +3,49 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), one in the warehouse."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse of a local session (tests).
+
+    A cluster without the setting is refused: its executors share no folder that could be guessed.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def settle(rows: DataFrame) -> DataFrame:
     """Writes rows as a table in the shared folder and reads it again: the lineage ends there.
 
-    The table goes when the driver ends.
+    The table goes when the driver ends, or with ``discard``.
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/lorespan-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(rows.schema).parquet(path)
+    _files(spark, path, lambda files, at: files.deleteOnExit(at))
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``settle`` that nothing reads any more; others are left alone."""
+    for rows in tables:
+        if path := vars(rows).get("settled_at"):
+            _files(rows.sparkSession, path, lambda files, at: files.delete(at, True))
+
+
+def _files(spark: SparkSession, path: str, act: Callable) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
 
 
 def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:

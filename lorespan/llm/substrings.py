@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.llm import text as T
-from lorespan.llm.store import settle, split_by_ids
+from lorespan.llm.store import discard, settle, split_by_ids
 
 #: A perfect difference set modulo 31, each shift being one difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+SALTS = 16
 
 
 def check_cover(period: int, cover: tuple[int, ...]) -> None:
@@ -159,10 +160,14 @@ def cut_text(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """Of docs (k, t): each k with a text that a smaller k also has, that text's MD5 and its smallest k."""
+    """Of docs (k, t): each k with a text that a smaller k also has, that text's MD5 and its smallest k.
+
+    The copies of one text meet their smallest id in ``SALTS`` tasks.
+    """
     keyed = docs.filter(F.col("k").isNotNull() & F.col("t").isNotNull()).select("k", F.md5("t").alias("m"))
-    first = keyed.groupBy("m").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
-    return settle(keyed.join(first.drop("last"), "m").filter("k > first").distinct())
+    first = keyed.groupBy("m").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").drop("last")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return settle(keyed.withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(salted, ["m", "salt"]).filter("k > first").select("m", "k", "first").distinct())
 
 
 def copied_texts(copies: DataFrame) -> DataFrame:
@@ -197,6 +202,7 @@ def _cut_rows(docs: DataFrame, plan: _Plan, carried: list[str], digest: bool) ->
     found = T.mapped(near, _windows(plan), f"h long, h2 long, k {kinds['k']}")
     least = found.groupBy("h", "h2").agg(F.min("k").alias("lo"))
     gone = settle(found.join(least, ["h", "h2"]).filter("k > lo").select("k", "h"))
+    discard(met)
 
     touched, others = split_by_ids(docs, "k", gone.select("k").unionByName(copies.select("k")))
     lists = gone.groupBy("k").agg(F.collect_list("h").alias("gone"))

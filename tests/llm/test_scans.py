@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -331,6 +332,62 @@ def test_whole_license_texts_and_parts(spark):
     assert not sure.get(104) and {"MIT", "Apache-2.0"} <= sure[105] and {"GPL-3.0", "MIT"} <= sure[106] and not sure.get(107)
 
 
+def _fewest(block, template):
+    """Insertions and deletions that make the block a passage of the template."""
+    row = [0] * (len(template) + 1)
+    for i, x in enumerate(block, 1):
+        new = [i]
+        for j, y in enumerate(template, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] if x == y else len(block) + len(template)))
+        row = new
+    return min(row)
+
+
+def test_ranking_and_verdict_equal_brute_force(spark):
+    scan = licenses.Scan()
+    mit = " ".join(scan.texts["MIT"].split())
+    blocks = [
+        "Released under the MIT License", "Licensed under the Apache License, Version 2.0", "This work is licensed under the GNU General Public License, version 9.",
+        "All rights reserved. Copyright", "no licence for fishing without a copyright on it", mit[mit.index("Permission") :][:400], "license license license license",
+    ]
+    params = zstandard.ZstdCompressionParameters.from_level(scan.level, write_checksum=0, write_content_size=0, write_dict_id=0)
+    scanner = licenses.Scanner(scan)
+    for block in blocks:
+        words, raw = licenses.words_of(block), block.encode()
+        plain = len(zstandard.ZstdCompressor(compression_params=params).compress(raw))
+        gains, tried = {}, []
+        for whole, templates in ((False, scan.templates), (True, scan.texts))[: 2 if len(words) >= licenses.SHORT else 1]:
+            own = {}
+            for name, text in templates.items():
+                text = licenses.undecorated(text) if whole else text
+                known = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own[name] = 1 - len(zstandard.ZstdCompressor(compression_params=params, dict_data=known).compress(raw)) / plain
+                gains[name] = max(gains.get(name, -9), own[name])
+            for name in sorted(own, key=lambda n: (-own[n], n))[: scan.finalists]:
+                known = licenses.words_of(licenses.undecorated(templates[name]) if whole else templates[name])
+                if own[name] >= scan.least and len(words) - len(known) <= scan.tolerance * len(words):
+                    tried.append((_fewest(words, known), -own[name], name))
+        verdict = scanner.judge(raw)
+        assert [(r["license_id"], r["reduction"]) for r in verdict["ranking"]] == sorted(gains.items(), key=lambda x: (-x[1], x[0]))
+        assert verdict["n_words"] == len(words) and (verdict["license_id"] is None) == (not tried)
+        if tried:
+            assert (verdict["n_differences"], verdict["license_id"]) in {(n, name) for n, _, name in tried}
+            assert verdict["n_differences"] == len(verdict["differences"])
+            if verdict["confirmed"]:
+                assert verdict["n_differences"] == min(n for n, _, _ in tried) <= scan.tolerance * len(words)
+    assert [scanner.judge(b.encode())["confirmed"] for b in blocks] == [True, True, False, True, False, True, False]
+
+
+def test_repeated_rows_and_ties_of_licenses(spark):
+    text = "Released under the MIT License. Then prose. All rights reserved."
+    rows = [(1, text), (1, text), (2, text)]
+    out = [tuple(r) for r in licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first", "length", "license_id", "confirmed").collect()]
+    assert len(out) == 6 and sorted(out)[0] == sorted(out)[1] and {r[1:] for r in out if r[0] == 2} == {r[1:] for r in out if r[0] == 1}
+    same = licenses.Scan(templates={"b": "Shared under odd terms of the license.", "a": "Shared under odd terms of the license."}, texts={})
+    tied = licenses.license_notices(spark.createDataFrame([(1, "Shared under odd terms of the license.")], "doc_id long, text string"), same).first()
+    assert tied["license_id"] == "a" and [r["license_id"] for r in tied["ranking"]] == ["a", "b"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6))
 def test_differences_are_fewest(block, template):
