@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespan.config import Settings
-from lorespan.operators import capsule, graph, memory, retrieval
+from lorespan import functions as fn
+from lorespan.operators import capsule, graph, memory, retrieval, windows
 from lorespan.operators.indexing import Index, reindex
 from lorespan.operators.storage import cut
 from lorespan.sources import Store
@@ -26,7 +27,9 @@ class Engine:
         return self.store.read(table, self.branch)
 
     def get_capsules(self, requests: DataFrame, files: DataFrame | None = None, count: bool = True) -> DataFrame:
-        """requests (request_id, file, symbol, query, budget, detail): (request_id, capsule, items, token_count).
+        """requests (request_id, file, symbol, query, budget, detail, and caps): (request_id, capsule, items, token_count).
+
+        Caps (``max_callers``, ..., ``include_body``) are as in ``capsule.with_caps``.
 
         files (file_path, content) give the bodies that detailed capsules show. With ``count`` the notes that were
         served have their retrieval counts raised.
@@ -39,7 +42,8 @@ class Engine:
         named = requests.join(nodes, (C("name") == C("symbol")) & C("file_path").contains(C("file")))
         whole = requests.filter("symbol is null").join(nodes, C("file_path").endswith(C("file")))
         chosen = named.select(*requests.columns, place.alias("p")).unionByName(whole.select(*requests.columns, place.alias("p"))).groupBy(*requests.columns).agg(F.min("p").alias("p"))
-        asked = cut(chosen.select("request_id", C("p.key").alias("key"), "budget", "detail", "query"))
+        caps = [c for c in requests.columns if c.startswith("max_") or c == "include_body"]
+        asked = cut(chosen.select("request_id", C("p.key").alias("key"), "budget", "detail", "query", *caps))
         edges = self._read("edges").select(C("from_id").alias("src"), C("to_id").alias("dst"), "weight")
         words = asked.filter("trim(query) <> ''").select(C("request_id").alias("qid"), "query")
         chunks = self._chunks()
@@ -125,11 +129,29 @@ class Engine:
             raise ValueError(f"{len(found)} sessions begin with {prefix!r}")
         return found[0]
 
+    def session_summary(self, prefix: str) -> DataFrame:
+        """The document of a session: totals, last events, active signals, stale notes."""
+        own = self._read("session_log").filter(C("session_id") == self.resolve_session(prefix)).withColumn("event_id", F.monotonically_increasing_id())
+        return memory.session_document(own, memory.valid_signals(self._read("behavioral_signals")), self._read("annotations"), self.as_of)
+
+    def effectiveness(self) -> DataFrame:
+        """(session_id, capsules, score): how well each session's capsules did, by what followed them."""
+        scores = windows.effectiveness(self._read("capsule_log"), self._read("session_log"))
+        return scores.groupBy("session_id").agg(F.count("*").alias("capsules"), F.avg("score").alias("score"))
+
+    def metrics(self, hours: int = 24) -> DataFrame:
+        """One row on the capsules of the last hours: their number, share of empty ones, tokens, and latencies in microseconds."""
+        rows = memory.pruned(self._read("capsule_log"), "timestamp", self.as_of, hours)
+        latency = lambda p: F.percentile("total_us", p).alias(f"p{int(p * 100)}_us")
+        empty = fn.ratio(F.count_if(C("tokens_served") == 0), F.count("*"))
+        return rows.agg(F.count("*").alias("capsules"), empty.alias("empty"), F.sum("tokens_served").alias("tokens"), latency(0.5), latency(0.95), latency(0.99))
+
     def status(self) -> DataFrame:
-        """(table, rows) of the branch."""
+        """(table, rows, last_indexed) of the branch; the last only of files."""
         out = None
         for table in ("nodes", "edges", "files", "annotations", "doc_chunks", "session_log", "token_log"):
-            one = self._read(table).agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), "rows")
+            last = F.max("last_indexed") if table == "files" else F.lit(None)
+            one = self._read(table).agg(F.count("*").alias("rows"), last.cast("long").alias("last_indexed")).select(F.lit(table).alias("table"), "rows", "last_indexed")
             out = one if out is None else out.unionByName(one)
         return out
 

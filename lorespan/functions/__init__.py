@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -121,6 +123,14 @@ def one_star_glob(value: Column, pattern: str) -> Column:
     return value.startswith(head) & value.endswith(tail) & (F.length(value) >= len(head) + len(tail))
 
 
+def is_ignored(path: Column, pattern: str) -> Column:
+    """Whether a path has a part, or a run of parts, that an ignore pattern names; ``*`` stays within a part, ``**`` does not."""
+    inner = pattern.strip().strip("/")
+    star = {"**/": "(.*/)?", "/**": "(/.*)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    text = re.sub(r"\*\*/|/\*\*|\*\*|\*|\?|[^*?/]+|/", lambda m: star.get(m.group(), re.escape(m.group())), inner)
+    return path.rlike(f"(^|/){text}(/|$)")
+
+
 def branch_name(name: Column) -> Column:
     """Characters that file names do not take become underscores."""
     return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")

@@ -5,7 +5,7 @@ Every stage is one set operation over ``request_id``; requests are data, so a ba
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +37,24 @@ class Level:
 LEVELS = {"minimal": Level(5, 5, 0), "standard": Level(10, 10, 5), "detailed": Level(20, 20, 10, 3, 3, 3, 3, 50, True)}
 
 
+def with_caps(requests: DataFrame) -> DataFrame:
+    """requests with their level's caps as the struct ``detail``; unknown levels are standard.
+
+    A column ``max_callers``, ``max_notes``, ... (or ``include_body``) overrides its cap where it is not null.
+    """
+    def own(field: str) -> Column:
+        name = "include_body" if field == "body" else f"max_{field}"
+        level = F.lit(getattr(LEVELS["standard"], field))
+        for known, caps in LEVELS.items():
+            level = F.when(C("detail") == known, getattr(caps, field)).otherwise(level)
+        return F.coalesce(C(name), level) if name in requests.columns else level
+
+    return requests.withColumn("detail", F.struct(*(own(f.name).alias(f.name) for f in fields(Level))))
+
+
 def cap(field: str) -> Column:
-    """A request's cap for a source; unknown levels are standard."""
-    out = F.lit(getattr(LEVELS["standard"], field))
-    return F.when(C("detail") == "minimal", getattr(LEVELS["minimal"], field)).when(C("detail") == "detailed", getattr(LEVELS["detailed"], field)).otherwise(out)
+    """A request's cap for a source."""
+    return C("detail")[field]
 
 
 def tokens(content: Column) -> Column:
@@ -65,6 +79,8 @@ def distilled(notes: DataFrame, keys: list[str], over: int = 5, keep: int = 3) -
 
 #: What a note's text begins with, by kind; a stale one's with ``[STALE]``.
 NOTE_MARKS = {"strategy": "[STRATEGY]", "pitfall": "[PITFALL]", "context": "[CONTEXT NOTE]"}
+#: Notes on the whole project that a request may ask for at most.
+PROJECT_MOST = 100
 #: Signals of a target, and how its changes read.
 SIGNALS_MOST, CHANGED, DEPENDENCIES, BODY = 5, "Signature changed: ", "Dependencies changed", "Body modified"
 #: What a candidate may carry besides request_id, source, item, content and place.
@@ -98,8 +114,7 @@ def _from_notes(asked: DataFrame, nodes: DataFrame, notes: DataFrame, within) ->
         rows = _placed(few.filter("id is not null"), C("quality").desc(), "id").filter(within(limit)).unionByName(count)
         return rows.select("request_id", F.lit("note").alias("source"), F.coalesce("id", F.concat(F.lit("more "), "label")).alias("item"), "content", "place", F.lit(anchor).alias("anchor_type"), "quality", "kind", "stale", "updated_at", C("id").alias("note_id"))
 
-    most = max(level.project_notes for level in LEVELS.values())
-    project = notes.filter("anchor_type is null").orderBy(C("quality").desc(), "id").limit(most)  # a few rows for all requests
+    project = notes.filter("anchor_type is null").orderBy(C("quality").desc(), "id").limit(PROJECT_MOST)  # a few rows for all requests
     project = project.select("id", text.alias("content"), "quality", "kind", "stale", "updated_at", F.row_number().over(Window.orderBy(C("quality").desc(), "id")).alias("place"))
     whole = asked.join(F.broadcast(project), C("place") <= cap("project_notes"))
     whole = whole.select("request_id", F.lit("note").alias("source"), C("id").alias("item"), "content", "place", "quality", "kind", "stale", "updated_at", C("id").alias("note_id"))
@@ -122,7 +137,7 @@ def gather(
     requests: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame, docs: DataFrame | None = None, strict_caps: bool = True, signals: DataFrame | None = None,
     versions: DataFrame | None = None, reach: DataFrame | None = None, activity: DataFrame | None = None, hits: DataFrame | None = None,
 ) -> DataFrame:
-    """Candidates of requests (request_id, key, budget, detail) from all sources, each within its cap.
+    """Candidates of requests (request_id, key, budget, detail, and caps as in ``with_caps``) from all sources, each within its cap.
 
     nodes (key, signature, file_path; for versions also signature_hash), edges (src, dst, weight), notes (id, anchor_type,
     anchor_value, text, kind, quality, stale, updated_at), docs (request_id, id, content, bm25), signals (node_id, kind,
@@ -131,7 +146,7 @@ def gather(
     symbols). With ``strict_caps`` a cap of zero is none; without, zero leaves notes, documents and reached nodes uncapped.
     """
     skeleton = nodes.select(C("key").alias("item"), C("signature").alias("content"))
-    asked = requests.select("request_id", "key", "detail")
+    asked = with_caps(requests).select("request_id", "key", "detail")
     within = lambda limit: C("place") <= cap(limit) if strict_caps else (cap(limit) == 0) | (C("place") <= cap(limit))
 
     def neighbours(source: str, mine: str, other: str, limit: str) -> DataFrame:
@@ -243,8 +258,7 @@ def served_notes(kept: DataFrame) -> DataFrame:
 
 def target_bodies(requests: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(request_id, name, body, budget) of the requests whose level shows it. nodes: also name, line_start, line_end; files (file_path, content)."""
-    shows = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in LEVELS.items() for x in (k, v.body)]), C("detail")), F.lit(LEVELS["standard"].body))
-    own = requests.filter(shows).join(nodes.select("key", "name", "file_path", "line_start", "line_end"), "key").join(files.select("file_path", C("content").alias("source")), "file_path")
+    own = with_caps(requests).filter(cap("body")).join(nodes.select("key", "name", "file_path", "line_start", "line_end"), "key").join(files.select("file_path", C("content").alias("source")), "file_path")
     return own.select("request_id", "name", lines_of(C("source"), C("line_start"), C("line_end")).alias("body"), F.floor(C("budget") * 0.9).alias("budget"))
 
 

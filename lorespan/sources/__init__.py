@@ -21,14 +21,27 @@ RUN_EVENT = "type string, session_id string, duration_ms long, message struct<id
 LEVELS = ("trace", "debug", "info", "warn", "error")
 
 
+def ignore_patterns(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
+    """The patterns of an ignore file at the root: no comments, blanks or exceptions; none without the file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + name)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(at), "UTF-8"))
+    lines = [line.strip() for line in reader.lines().toList()]
+    reader.close()
+    return [x for x in lines if x and x[0] not in "#!"]
+
+
 def source_files(spark: SparkSession, root: str, ignored: list[str] | None = None, docs: bool = False) -> DataFrame:
-    """(file_path, content, mtime) of files in known languages, or of markdown; hidden paths and paths that contain an
-    ignored pattern (less its ``**/`` and ``/**``) are left out."""
+    """(file_path, content, mtime) of files in known languages, or of markdown; hidden paths and paths under the root that
+    match an ignored pattern (``functions.is_ignored``), given or in the root's ignore file, are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kind = fn.route(C("path"))
     rows = rows.filter(kind == ("doc" if docs else "code")).filter(~C("path").rlike(r"/\.[^/]"))
-    for pattern in ignored or []:
-        rows = rows.filter(~C("path").contains(pattern.replace("**/", "").replace("/**", "")))
+    below = F.split_part(C("path"), F.lit(root.rstrip("/").split(":", 1)[-1].replace("//", "/") + "/"), F.lit(-1))
+    for pattern in [*(ignored or []), *ignore_patterns(spark, root)]:
+        rows = rows.filter(~fn.is_ignored(below, pattern))
     return rows.select(C("path").alias("file_path"), F.decode("content", "utf-8").alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 

@@ -6,7 +6,6 @@ out. Each function gives a streaming DataFrame or starts a query; a batch DataFr
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorespan.functions import is_ignored
+
 if TYPE_CHECKING:
     from lorespan.api import Engine
 
@@ -26,11 +27,11 @@ LATE = "10 minutes"
 def changes(stream: DataFrame, own_folder: str = ".index", ignored: tuple[str, ...] = ()) -> DataFrame:
     """Events (path, change) that matter: content changes outside the own folder, of paths that match none of ``ignored``.
 
-    An ignored pattern is a path's part, or with a ``*`` a part's beginning and end.
+    Patterns are those of ``functions.is_ignored``.
     """
     rows = stream.filter(~C("change").isin("access", "metadata") & ~C("path").contains(f"/{own_folder}/"))
     for pattern in ignored:
-        rows = rows.filter(~C("path").rlike("(^|/)" + ".*".join(re.escape(x) for x in pattern.strip("/").split("*")).replace(".*", "[^/]*") + "(/|$)"))
+        rows = rows.filter(~is_ignored(C("path"), pattern))
     return rows
 
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
+from lorespan.__main__ import arguments, run
 from lorespan.api import Engine, estimate_without_index
+from lorespan.operators.capsule import with_caps
 from lorespan.operators.indexing import bulk_index, reindex
 from lorespan.operators.retrieval import chunk_markdown
 from lorespan.sources import Store
@@ -59,6 +61,35 @@ def test_engine(spark, index, tmp_path):
         engine.resolve_session("ab")
 
 
+def test_command_line(spark, tmp_path):
+    source = tmp_path / "src"
+    (source / "out").mkdir(parents=True)
+    (source / ".gitignore").write_text("# made\nout/\n*.gen.py\n")
+    (source / "a.py").write_text("def main():\n    helper(1)\n")
+    for name in ("out/b.py", "c.gen.py"):
+        (source / name).write_text("def unseen():\n    return 1\n")
+    (source / "b.py").write_text("def helper(x):\n    return x\n")
+    call = lambda *words: run(spark, arguments([str(tmp_path / "db"), *words]))
+    call("index", str(source))
+    assert {r["table"]: r["rows"] for r in call("status").collect()}["nodes"] == 2
+    capsule = call("capsule", "b.py", "--symbol", "helper", "--detail", "minimal").first()["capsule"]
+    assert capsule == "[TARGET]\ndef helper(x):\n\n[CALLERS]\ndef main():"
+    assert sorted(r["name"] for r in call("sql", "select name from nodes").collect()) == ["helper", "main"]
+    with pytest.raises(ValueError):
+        call("sql", "drop table nodes")
+    assert call("switch", "dev").first()["start"] == "cold" and call("switch", "main").first()["start"] == "warm"
+    call("federate", "add", "--path", str(tmp_path / "db"))
+    assert call("federate", "verify").first()["reachable"] and call("federate", "list").count() == 1
+    assert call("metrics").first()["capsules"] == 0 and call("docs", "helper").count() == 0 and call("effectiveness").count() == 0
+
+
+def test_caps_of_a_request(spark):
+    rows = spark.createDataFrame([(1, "minimal", None), (2, "detailed", 2), (3, "odd", 7)], "request_id int, detail string, max_notes int")
+    out = {r["request_id"]: r["detail"] for r in with_caps(rows).collect()}
+    assert (out[1]["notes"], out[2]["notes"], out[3]["notes"]) == (0, 2, 7) and (out[2]["callers"], out[3]["callers"]) == (20, 10)
+    assert out[2]["body"] and not out[1]["body"]
+
+
 def test_estimate(spark):
     files = spark.createDataFrame([("a", 5), ("b", 7), ("c", 11)], "file_path string, raw_token_estimate int")
     ends = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b")], "from_file string, to_file string")
