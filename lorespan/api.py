@@ -52,7 +52,8 @@ class Engine:
         docs = hits.withColumn("bm25", C("score") / best).join(chunks, "id").select(C("qid").alias("request_id"), "id", capsule.doc_text(C("file_path"), C("heading"), C("content")).alias("content"), "bm25")
         meant = retrieval.intents(asked.select(C("request_id").alias("qid"), F.coalesce("query", F.lit("")).alias("query")))
         starts = asked.select(C("request_id").alias("qid"), C("key").alias("start")).join(meant, "qid").select("qid", "start", "primary", "secondary")
-        reach = graph.mixed_intents(edges, graph.reversed_edges(edges), starts.select("start", "primary", "secondary").distinct(), self.settings.degree_cap, self.settings.node_budget)
+        blocked = nodes.filter(C("name").isin(*self.settings.blocklist)).select(C("key").alias("node")) if self.settings.blocklist else None
+        reach = graph.mixed_intents(edges, graph.reversed_edges(edges), starts.select("start", "primary", "secondary").distinct(), self.settings.degree_cap, self.settings.node_budget, blocked)
         reach = starts.select(C("qid").alias("request_id"), "start").join(reach, "start").groupBy("request_id", C("node").alias("item")).agg(F.min("place").alias("place"))
         notes, requests = self._read("annotations"), asked.drop("query").withColumn("budget", F.coalesce("budget", F.lit(self.settings.budget)))
         more = {"signals": self._read("behavioral_signals"), "versions": self._read("node_versions"), "reach": reach}
