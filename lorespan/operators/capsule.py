@@ -6,12 +6,14 @@ Every stage is one set operation over ``request_id``; requests are data, so a ba
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
 from lorespan.operators import retrieval as r
+from lorespan.operators.storage import cut
 
 C = F.col
 
@@ -157,7 +159,8 @@ def gather(
     target = asked.withColumnRenamed("key", "item").join(skeleton, "item").select("request_id", F.lit("target").alias("source"), "item", "content", F.lit(0).alias("place"))
     parts = [target, neighbours("caller", "dst", "src", "callers"), neighbours("callee", "src", "dst", "callees")]
     if reach is not None:
-        known = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("request_id", "item")
+        parts = [cut(reduce(DataFrame.unionByName, parts))]  # read again for what they leave
+        known = parts[0].select("request_id", "item")
         others = reach.withColumnRenamed("place", "order").join(known, ["request_id", "item"], "left_anti").join(asked.drop("key"), "request_id")
         others = _placed(others, "order", "item").filter(within("extended"))
         parts.append(others.join(skeleton, "item").select("request_id", F.lit("node").alias("source"), "item", "content", "place"))
@@ -247,7 +250,7 @@ def rendered(rows: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
 
 def kept_candidates(requests: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame, centrality: DataFrame, as_of: int, docs: DataFrame | None = None, **sources) -> DataFrame:
     """The candidates of requests that fit; a tenth of each budget is kept in reserve. ``sources`` as in ``gather``."""
-    rows = scored(gather(requests, nodes, edges, notes, docs, **sources), centrality, as_of)
+    rows = cut(scored(gather(requests, nodes, edges, notes, docs, **sources), centrality, as_of))  # few, and read four times
     return trimmed(rows, requests.select("request_id", F.floor(C("budget") * 0.9).alias("budget")))
 
 

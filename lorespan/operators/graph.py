@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import count
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lorespan.functions import jaccard, jaro_winkler
@@ -123,16 +123,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks, total = base.withColumn("raw", F.lit(1.0 / n)), 1.0
     sums = F.sum("raw").alias("all"), F.coalesce(F.sum(F.when(C("dangling"), C("raw"))), F.lit(0.0)).alias("loose")
-    state = ranks.agg(*sums).first()
+    state = ranks.agg(*sums).first().asDict()
     for _ in range(rounds):
         loose, tied = state["loose"] / total, (state["all"] - state["loose"]) / total
         share = pairs.join(ranks.select(C("node").alias("src"), (C("raw") / total).alias("rank")), "src")
         into = share.groupBy(C("dst").alias("node")).agg(F.sum(C("rank") * C("times") / C("deg")).alias("in"), F.sum("rank").alias("linked"))
         jump = tied - F.coalesce("linked", F.lit(0.0)) if variant == "reference" else F.lit(tied + loose)
         raw = damping * F.coalesce("in", F.lit(0.0)) + damping * loose / n + (1 - damping) / n * jump
-        old, ranks = ranks, cut(base.join(into, "node", "left").select("node", "dangling", raw.alias("raw")))
+        seen = Observation()  # the sums come with the writing of the ranks
+        old, ranks = ranks, cut(base.join(into, "node", "left").select("node", "dangling", raw.alias("raw")).observe(seen, *sums))
         discard(old)
-        state = ranks.agg(*sums).first()
+        state = seen.get
         total = state["all"] if variant == "reference" else 1.0
     pairs.unpersist()
     return ranks.select("node", (C("raw") / total).alias("rank"))
