@@ -31,8 +31,11 @@ def test_groups_equal_brute_force(spark, like):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), group[r["doc_id"]])
 
 
-@pytest.mark.parametrize("common", [0, 25, 60])
-def test_boilerplate_with_own_words_equals_brute_force(spark, common):
+@pytest.mark.parametrize(("common", "few"), [(0, 2), (25, 2), (60, 16)])
+def test_boilerplate_with_own_words_equals_brute_force(spark, monkeypatch, common, few):
+    import lorespan.llm.parity_join as module
+
+    monkeypatch.setattr(module, "FEW", few)
     rng = random.Random(common)
     base = [f"b{i}" for i in range(60)]
     rows = []
