@@ -61,16 +61,20 @@ def session_summary(t: Tables) -> DataFrame:
 
 _METRICS = """SELECT session_id, count_if(event_type = 'read') AS reads, count_if(event_type = 'grep') AS greps, count_if(event_type = 'edit') AS edits,
   count_if(event_type IN ('read', 'grep', 'miss')) AS navigation, sum(k * 4)::BIGINT AS bytes, (sum(k * 4) // 4)::BIGINT AS est_tokens, max(k)::BIGINT AS peak_context,
-  min(timestamp) AS first_at, max(timestamp) AS last_at, arg_min(event_type, event_id) AS first_event FROM sessions GROUP BY 1"""
+  min(timestamp) AS first_at, max(timestamp) AS last_at, arg_min(event_type, event_id) AS first_event, arg_max(event_type, event_id) AS last_event, max(timestamp) - min(timestamp) AS duration, count(DISTINCT file_path) AS files,
+  count_if(event_type = 'miss') AS searches, count_if(event_type = 'start') AS compactions, count_if(symbol = 'sym0') AS tool_calls, CASE WHEN count_if(symbol = 'sym0') > 0 THEN 'with' ELSE 'without' END AS condition FROM sessions GROUP BY 1"""
 
 
 def tool_metrics(rows: DataFrame) -> DataFrame:
-    """Counts by kind, bytes, peak context and first and last event of each session."""
+    """Counts by kind and of calls of the engine's own tools (here those about sym0), bytes, peak context, files, duration, first
+    and last event, and the condition (with or without the engine) of each session."""
     n = lambda *kinds: F.count_if(C("event_type").isin(*kinds))
     size = F.sum(C("k") * 4)
     return rows.groupBy("session_id").agg(
         n("read").alias("reads"), n("grep").alias("greps"), n("edit").alias("edits"), n("read", "grep", "miss").alias("navigation"), size.alias("bytes"), F.floor(size / 4).cast("long").alias("est_tokens"),
         F.max("k").alias("peak_context"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"), F.min_by("event_type", "event_id").alias("first_event"),
+        F.max_by("event_type", "event_id").alias("last_event"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.countDistinct("file_path").alias("files"), n("miss").alias("searches"), n("start").alias("compactions"),
+        F.count_if(C("symbol") == "sym0").alias("tool_calls"), F.when(F.count_if(C("symbol") == "sym0") > 0, "with").otherwise("without").alias("condition"),
     )
 
 
@@ -119,24 +123,26 @@ def latency_histogram_nearest_rank(t: Tables) -> DataFrame:
     return h.select("event_type", F.size("v").cast("long").alias("n"), F.round("mean", 6).alias("mean"), *(fn.nearest_rank(C("v"), p).alias(f"p{p}") for p in (50, 95, 99)))
 
 
-@query(""" SELECT session_id, round(count(*)::DOUBLE / greatest(1, (max(timestamp) - min(timestamp)) / 60.0), 6) AS per_minute, round(count_if(tokens_served = 0)::DOUBLE / count(*), 6) AS empty_rate, round(sum(tokens_served)::DOUBLE / (count(*) * 8000) * 100, 6) AS utilisation FROM capsules GROUP BY 1""", "capsules")
+@query(""" SELECT session_id, round(count(*)::DOUBLE / greatest(1, (max(timestamp) - min(timestamp)) / 60.0), 6) AS per_minute, round(count_if(tokens_served = 0)::DOUBLE / count(*), 6) AS empty_rate, round(sum(tokens_served)::DOUBLE / (count(*) * 8000) * 100, 6) AS utilisation, round(1 - count(DISTINCT file)::DOUBLE / count(*), 6) AS dedup_rate FROM capsules GROUP BY 1""", "capsules")
 def rates_and_utilisation(t: Tables) -> DataFrame:
     n = F.count("*")
     minutes = F.greatest(F.lit(1.0), (F.max("timestamp") - F.min("timestamp")) / 60.0)
-    return t.capsules.groupBy("session_id").agg(F.round(n / minutes, 6).alias("per_minute"), F.round(F.count_if(C("tokens_served") == 0) / n, 6).alias("empty_rate"), F.round(F.sum("tokens_served") / (n * 8000) * 100, 6).alias("utilisation"))
+    return t.capsules.groupBy("session_id").agg(F.round(n / minutes, 6).alias("per_minute"), F.round(F.count_if(C("tokens_served") == 0) / n, 6).alias("empty_rate"), F.round(F.sum("tokens_served") / (n * 8000) * 100, 6).alias("utilisation"), F.round(1 - F.countDistinct("file") / n, 6).alias("dedup_rate"))
 
 
 def _terms_sql(column: str) -> str:
     return f"regexp_extract_all(translate(lower({column}), '{fn.FOLD_FROM}', '{fn.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-@query(f"""WITH expected AS (SELECT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark), seen AS (SELECT DISTINCT unnest({_terms_sql('text')}) AS term FROM documents)
-SELECT item_id, round(count(s.term)::DOUBLE / count(*), 6) AS recall FROM expected e LEFT JOIN seen s USING (term) GROUP BY 1""")
+@query(f"""WITH expected AS (SELECT item_id, unnest({_terms_sql('text')}[1:5]) AS term FROM benchmark UNION ALL SELECT -1, NULL)
+SELECT e.item_id, CASE WHEN count(e.term) = 0 THEN 1.0 ELSE round(count_if(contains(lower(coalesce(d.text, '')), e.term))::DOUBLE / count(e.term), 6) END AS recall FROM expected e LEFT JOIN documents d ON d.doc_id = e.item_id GROUP BY 1""")
 def eval_recall(t: Tables) -> DataFrame:
-    """Share of each case's expected terms that the corpus holds."""
-    expected = t.raw("benchmark").select("item_id", F.explode(fn.terms(C("text"))).alias("term"))
-    seen = t.raw("documents").select(F.explode(fn.terms(C("text"))).alias("term")).distinct().withColumn("hit", F.lit(1))
-    return expected.join(seen, "term", "left").groupBy("item_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    """Share of each case's first five terms that its context, the document of its number, holds as substrings; 1 without any."""
+    expected = t.raw("benchmark").select("item_id", F.explode(F.slice(fn.terms(C("text")), 1, 5)).alias("term"))
+    expected = expected.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit(None).cast("string").alias("term")))
+    rows = expected.join(t.raw("documents").select(C("doc_id").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("context")), "item_id", "left")
+    found = F.count_if(F.coalesce(F.contains("context", "term"), F.lit(False)))
+    return rows.groupBy("item_id").agg(F.when(F.count("term") == 0, 1.0).otherwise(F.round(F.try_divide(found, F.count("term")), 6)).alias("recall"))
 
 
 @query(""" , m AS (SELECT session_id, event_type AS metric, value / 100.0 AS value FROM sessions WHERE event_type <> 'start')
@@ -180,6 +186,11 @@ def version_numbering(t: Tables) -> DataFrame:
     return _versions(t).select("symbol", "o_orderkey", C("version_num").cast("long").alias("version_num"))
 
 
+@query("WITH " + _VERSIONS[3:] + " SELECT symbol, max(version_num) AS version_num FROM v GROUP BY 1")
+def version_max(t: Tables) -> DataFrame:
+    return _versions(t).groupBy("symbol").agg(F.max("version_num").cast("long").alias("version_num"))
+
+
 @query("WITH " + _VERSIONS[3:] + " SELECT symbol, version_num FROM v QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY version_num DESC) <= 5")
 def version_keep_last5(t: Tables) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("symbol").orderBy(C("version_num").desc()))

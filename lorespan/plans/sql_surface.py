@@ -13,6 +13,8 @@ _SUITE = {
     "sql_joins_suite": (
         """SELECT 'left' AS kind, count(*) AS n, count(o.o_orderkey) AS m FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000
         UNION ALL SELECT 'full', count(*), count(l.doc_id) FROM documents d FULL OUTER JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1
+        UNION ALL SELECT 'right', count(*), count(c.c_custkey) FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000
+        UNION ALL SELECT 'natural', count(*), max(r_regionkey) FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) x NATURAL JOIN region
         UNION ALL SELECT 'cross', count(*), count(DISTINCT r_name) FROM region CROSS JOIN nation
         UNION ALL SELECT 'theta', count(*), max(a.n_nationkey) FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey
         UNION ALL SELECT 'using', count(*), count(DISTINCT doc_id) FROM documents JOIN labels USING (doc_id)
