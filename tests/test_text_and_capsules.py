@@ -5,7 +5,10 @@ import random
 import pytest
 
 from lorespan import functions as fn
+from lorespan.config import Settings
 from lorespan.operators import capsule as cap
+from lorespan.operators.graph import INTENT_HOPS
+from lorespan.operators.signals import WEIGHTS
 from lorespan.operators import retrieval as r
 from lorespan.operators.extract import index, resolved, symbols, symbols_of
 from pyspark.sql import functions as F
@@ -98,6 +101,18 @@ def test_levels(spark):
     assert row["x"] == "f2\nf3"
 
 
+def test_fixed_values():
+    """Written out here, so that the queries' twins, which take the engine's own, are not the only check."""
+    fields = ("callers", "callees", "notes", "file_notes", "project_notes", "docs", "history", "extended", "body")
+    levels = {k: tuple(getattr(v, f) for f in fields) for k, v in cap.LEVELS.items()}
+    assert levels == {"minimal": (5, 5, 0, 0, 0, 0, 0, 0, False), "standard": (10, 10, 5, 0, 0, 0, 0, 0, False), "detailed": (20, 20, 10, 3, 3, 3, 3, 50, True)}
+    assert r.KIND_WEIGHT == {"pitfall": 1.2, "strategy": 1.1, "context": 0.8}
+    assert {k: v[:2] for k, v in INTENT_HOPS.items()} == {"debug": (3, 2), "refactor": (0, 5), "understand": (2, 2), "review": (2, 2), "extend": (0, 2)}
+    assert (r.SPLIT_OVER, r.PIECE, cap.SIGNALS_MOST) == (200, 100, 5)
+    assert {k: WEIGHTS[k] for k in ("THRASHING", "EMPTY_CAPSULE", "FAILED_SEARCH")} == dict.fromkeys(("THRASHING", "EMPTY_CAPSULE", "FAILED_SEARCH"), 2.0) and WEIGHTS["CHURN"] == WEIGHTS["HOTSPOT"] == 1.0
+    assert (Settings().budget, Settings().degree_cap) == (8000, 50)
+
+
 def test_scores(spark):
     lit = F.lit
     score = lambda kind, quality=0.5, stale=False: r.note_score(lit(None).cast("double"), lit(1.0), lit(0.5), lit(quality), lit(stale), lit(kind))
