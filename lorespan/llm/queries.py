@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import decontamination, language, licenses, packed_output, parity_join, quality, sharding, substrings, transducer, vector_packing
+from lorespan.llm import decontamination, hmm, language, lexical, licenses, packed_output, parity_join, quality, sharding, substrings, transducer, turns, vector_packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -66,6 +66,19 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(_documents(spark, sf_dir))
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_documents(spark, sf_dir))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.repair_report(turns.damaged(rows), rows)
+
+
+def op13_quantised_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +92,9 @@ QUERIES = {
         op8_shard_lookup,
         op9_token_transducer,
         op10_difference_cover,
+        op11_hidden_markov,
+        op12_turn_repair,
+        op13_quantised_search,
     )
 }
 
