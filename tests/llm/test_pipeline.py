@@ -22,6 +22,7 @@ def corpus(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(base / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(base / "benchmark.parquet"))
+    spark.createDataFrame([(i // 4, i % 4, "user", f"Turn {i}.") for i in range(40)], "conv_id long, turn long, role string, text string").write.parquet(str(base / "conversations.parquet"))
     return rows, items, str(base)
 
 
@@ -68,11 +69,11 @@ def test_every_stage_against_brute_force(spark, corpus):
 
 
 def test_registered_queries_run(spark, corpus):
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     n = len(corpus[0])
     for name, f in queries.QUERIES.items():
         out = f(spark, corpus[2])
-        if name.split("_")[0] in ("op2", "op5", "op6", "op7", "op8", "op9", "op10"):
+        if name.split("_")[0] in ("op2", "op5", "op6", "op7", "op8", "op9", "op10", "op11"):
             assert out.count() == n
         else:
             assert out.columns
