@@ -138,18 +138,18 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), label_col: str = "
     """Learns from rows with text and label; which rows of a label are sampled depends on a hash of the key only.
 
     Labels are counted over all rows; each row of a label is kept with probability sample / count, the sample being
-    smaller where there are many labels. Raises ValueError if no row has both, or if there are more labels than ``settings.languages``.
+    smaller where there are many labels. Of more labels than ``settings.languages`` the most frequent are learned, of equally
+    frequent ones the first in order. Raises ValueError if no row has both.
     """
     rows = labelled.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{key_col}`").alias("k"))
     rows = rows.filter(F.col("label").isNotNull() & F.col("t").isNotNull())
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(settings.languages + 1).collect()}
+    often = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(settings.languages)
+    sizes = {r["label"]: r["count"] for r in often.collect()}
     if not sizes:
         raise NothingToLearn("no row has a label and a text")
-    if len(sizes) > settings.languages:
-        raise ValueError(f"between 1 and {settings.languages} labels are needed, not {len(sizes)}")
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, min(settings.sample, settings.texts // len(sizes)) / n)))])
     part = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("k").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.filter(part < share[F.col("label")]).select("label", "t")
+    chosen = rows.filter(part < F.try_element_at(share, F.col("label"))).select("label", "t")
     found = T.mapped(chosen, _vectors(settings.bits), "label string, slots array<int>, counts array<float>").toArrow()
     sparse: dict[str, list[tuple[bytes, bytes]]] = {}
     for label, slots, values in zip(found.column("label").to_pylist(), found.column("slots"), found.column("counts"), strict=True):

@@ -309,4 +309,4 @@ def one_of_each_group(docs: DataFrame, like: Similarity = Similarity(), id_col:
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
     gone = settle(connected_components(links(rows, like)).select(F.col("node").alias(id_col)))
     listed, others = split_by_ids(docs, id_col, gone)
-    return others.unionByName(listed.join(gone, id_col, "left_anti"))
+    return others.union(listed.join(gone, listed[f"`{id_col}`"] == gone[f"`{id_col}`"], "left_anti"))

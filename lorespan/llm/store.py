@@ -55,9 +55,12 @@ def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> t
     has to follow. The second never needs one, so its rows need no shuffle. The bitmap is broadcast as at
     most ``2**(bits - 6)`` 64-bit words, whatever the data's size.
     """
-    word = F.expr(f"cast(pmod(xxhash64({key}), {1 << bits}) div 64 as int)")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
-    words = settle(ids.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_")))
-    marked = rows.withColumns({"word_": word, "bit_": bit}).join(F.broadcast(words), "word_", "left")
-    hit = F.coalesce(F.col("bits_").bitwiseAND(F.col("bit_")) != 0, F.lit(False))
-    return tuple(marked.filter(x).select(*rows.columns) for x in (hit, ~hit))
+    free = max([*rows.columns, key], key=len) + "_"  # no column of rows begins so
+    word_at, bit_at, bits_at = (free + n for n in ("word", "bit", "bits"))
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << bits))
+    word = F.floor(place / 64).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))")
+    words = settle(ids.select(word.alias(word_at), bit.alias(bit_at)).groupBy(word_at).agg(F.bit_or(bit_at).alias(bits_at)))
+    marked = rows.withColumns({word_at: word, bit_at: bit}).join(F.broadcast(words), word_at, "left")
+    hit = F.coalesce(F.col(f"`{bits_at}`").bitwiseAND(F.col(f"`{bit_at}`")) != 0, F.lit(False))
+    return tuple(marked.filter(x).select(*(f"`{c}`" for c in rows.columns)) for x in (hit, ~hit))

@@ -81,6 +81,17 @@ def test_one_of_each_group_keeps_columns(spark):
     assert sorted(set(ids) - {None}) == sorted(k for k, g in group.items() if k == g) and None in ids
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    rows = [r for r in awkward() if r[0] is not None]
+    names = ("word_", "bit_", "bits_", "doc_id_word", "a name", "a name_word", "b.c", "Word_2")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *(f"doc_id * {i + 2} AS `{c}`" for i, c in enumerate(names))).withColumnRenamed("doc_id", "the id")
+    out = one_of_each_group(docs, id_col="the id")
+    found = out.collect()
+    group = components({r[0]: shingles(r[1], 5) for r in rows}, 8, 10)
+    assert out.columns == docs.columns and sorted(r["the id"] for r in found) == sorted(k for k, g in group.items() if k == g)
+    assert all(r[c] == r["the id"] * (i + 2) for r in found for i, c in enumerate(names))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert similar_groups(none).count() == 0 and one_of_each_group(none).count() == 0

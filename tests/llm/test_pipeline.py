@@ -83,8 +83,8 @@ def test_other_columns_and_repeated_rows_pass_through(spark, tmp_path):
     rng = random.Random(3)
     shared = prose(rng, 70)
     rows = [(i, f"{prose(rng, 90)} {shared if i % 2 else ''}", "en") for i in range(1, 9)]
-    names = ("n_words_removed", "n_words_before", "n_words", "spans", "row", "copy", "rejected", "c0_", "k0", "t")
-    docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string").selectExpr("*", *(f"doc_id * 10 AS {c}" for c in names))
+    names = ("n_words_removed", "n_words_before", "n_words", "spans", "row", "copy", "rejected", "c0_", "k0", "t", "word_", "bit_", "bits_", "two words", "a.dot")
+    docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string").selectExpr("*", *(f"doc_id * 10 AS `{c}`" for c in names))
     spark.createDataFrame([(1, prose(rng, 15))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))

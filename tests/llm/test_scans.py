@@ -402,3 +402,12 @@ def test_differences_are_fewest(block, template):
 
     best = min(distance(block, template[i:j]) for i in range(len(template) + 1) for j in range(i, len(template) + 1))
     assert len(licenses.differences(block, template)) == best
+
+
+def test_the_most_frequent_of_too_many_labels_are_learned(spark):
+    """300 labels, a dirty column: 256 of them are learned, the two real ones among them, and nothing stops."""
+    rng = random.Random(12)
+    rows = [(i, f"{'die und der nicht' if i % 2 else 'the and of not'} {prose(rng, 8)}", ["en", "de"][i % 2]) for i in range(60)]
+    rows += [(1000 + i, f"x{i} y{i}", f"dirt{i:03}") for i in range(298)]
+    model = language.fit_if_labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 256 and {"en", "de", "dirt000", "dirt253"} <= set(model.labels) and "dirt254" not in model.labels
