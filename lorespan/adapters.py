@@ -69,17 +69,22 @@ class Tables:
             .unionByName(calls(called, key("c", "o_custkey")))
         )
 
+    def _kept(self, name: str, make) -> DataFrame:
+        """A table derived from the graph's tables, stored until one of their files changes."""
+        graph = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")
+        return kept(self.spark, (self.sf_dir, name), make, tuple(f"{self.sf_dir}/{t}.parquet" for t in graph))
+
     @cached_property
     def edges(self) -> DataFrame:
         """The links as src, dst, kind, weight, stored by src: what traversals and ranks read."""
         own = lambda: self.links.select(F.col("from_key").alias("src"), F.col("to_key").alias("dst"), "kind", "weight").repartition("src").sortWithinPartitions("src")
-        return kept(self.spark, (self.sf_dir, "edges"), own)
+        return self._kept("edges", own)
 
     @cached_property
     def edges_back(self) -> DataFrame:
         """The same links turned round (src is called by dst), stored by src."""
         own = lambda: self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "weight").repartition("src").sortWithinPartitions("src")
-        return kept(self.spark, (self.sf_dir, "edges_back"), own)
+        return self._kept("edges_back", own)
 
     @cached_property
     def centrality(self) -> DataFrame:
@@ -87,7 +92,7 @@ class Tables:
         from lorespan.operators.graph import pagerank
 
         own = lambda: pagerank(self.edges.select("src", "dst"), self.nodes.select(F.col("key").alias("node"))).select(F.col("node").alias("key"), F.col("rank").alias("centrality"))
-        return kept(self.spark, (self.sf_dir, "centrality"), own)
+        return self._kept("centrality", own)
 
     @cached_property
     def edits(self) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lorespan.config import Settings
 from lorespan import functions as fn
 from lorespan.operators import capsule, graph, memory, retrieval, windows
-from lorespan.operators.indexing import Index, reindex
+from lorespan.operators.indexing import Index, changes
 from lorespan.operators.storage import cut
-from lorespan.sources import Store
+from lorespan.sources import Moved, Store
 
 C = F.col
 #: How many rows each call gives unless told otherwise.
@@ -37,7 +37,7 @@ class Engine:
         The target is the first symbol of that name, by file and line, whose path contains the file; without a
         name, the first of a file whose path ends so. Requests without a target have no row.
         """
-        nodes = self._read("nodes").select(C("id").alias("key"), "signature", "signature_hash", "file_path", "name", "line_start", "line_end", "centrality")
+        nodes = self._nodes().select(C("id").alias("key"), "signature", "signature_hash", "file_path", "name", "line_start", "line_end", "centrality")
         place = F.struct("file_path", "line_start", "key")
         named = requests.join(nodes, (C("name") == C("symbol")) & C("file_path").contains(C("file")))
         whole = requests.filter("symbol is null").join(nodes, C("file_path").endswith(C("file")))
@@ -59,7 +59,8 @@ class Engine:
         more = {"signals": self._read("behavioral_signals"), "versions": self._read("node_versions"), "reach": reach}
         kept = cut(capsule.kept_candidates(requests, nodes, edges, notes, nodes.select(C("key").alias("item"), "centrality"), self.as_of, docs, **more))
         if count and not kept.filter("note_id is not null").isEmpty():
-            self.store.write("annotations", memory.retrieved(notes, capsule.served_notes(kept)), self.branch)
+            served = cut(capsule.served_notes(kept))
+            self.store.update("annotations", lambda rows: memory.retrieved(rows, served), self.branch)
         return capsule.rendered(kept, None if files is None else capsule.target_bodies(requests, nodes, files))
 
     def _chunks(self) -> DataFrame:
@@ -93,11 +94,57 @@ class Engine:
         tables = {"nodes": index.nodes, "raw_edges": index.raw, "edges": index.edges, "files": index.files}
         for table, rows in (tables if notes is None else tables | {"annotations": notes}).items():
             self.store.write(table, rows, self.branch)
+        if self.store.has("ranks", self.branch):  # those of the index before
+            self._rerank(index.nodes.select("id"))
 
     def apply_changes(self, files: DataFrame) -> None:
-        """Re-indexes files (file_path, content, mtime) that changed: symbols, edges, ranks and notes, once for all of them."""
-        old = Index(self._read("nodes"), self._read("raw_edges"), self._read("edges"), self._read("files"))
-        self.save_index(*reindex(old, files, self._read("annotations")))
+        """Re-indexes files (file_path, content, mtime) that changed: symbols, edges, ranks and notes, once for all of them.
+
+        What is written are the rows of these files, of callers of names in them, and of ranks that differ. The inventory
+        of files comes last: where another writer was first, or this one dies, the files still count as changed, and
+        all is computed anew from what is there.
+        """
+        while True:
+            (nodes, n), (raw, r), (edges, e), (known, f), (notes, a) = (self.store.versioned(t, self.branch) for t in ("nodes", "raw_edges", "edges", "files", "annotations"))
+            new = changes(Index(nodes, raw, edges, known), files, notes)
+            if new.paths.isEmpty():
+                return
+            ends = lambda rows: rows.select(C("to_id").alias("id"))
+            touched = cut(ends(edges.join(new.callers, "from_id", "left_semi")).unionByName(ends(new.edges)).unionByName(new.nodes.select("id")).distinct())
+            before = notes.select("id", C("anchor_value").alias("_value"), C("stale").alias("_stale"))
+            other = ~(C("anchor_value").eqNullSafe(C("_value")) & C("stale").eqNullSafe(C("_stale")))
+            moved = cut(new.notes.join(before, "id").filter(other).drop("_value", "_stale"))
+            try:
+                self.store.swap("nodes", new.nodes, new.paths, self.branch, n)
+                self.store.swap("raw_edges", new.raw, new.gone_ids.select(C("id").alias("from_id")), self.branch, r)
+                self.store.swap("edges", new.edges, new.callers, self.branch, e)
+                if not moved.isEmpty():
+                    self.store.swap("annotations", moved, moved.select("id"), self.branch, a)
+                self._rerank(touched)
+                self.store.swap("files", new.files, new.files.select("file_path"), self.branch, f)
+                return
+            except Moved:
+                continue
+
+    def _rerank(self, touched: DataFrame) -> None:
+        """Brings the ranks up to date with the edges; touched (id): symbols that are new or whose callers changed."""
+        old, number = self.store.versioned("ranks", self.branch)
+        nodes = self._read("nodes").select(C("id").alias("node"))
+        edges = self._read("edges").select(C("from_id").alias("src"), C("to_id").alias("dst"))
+        ranks = cut(nodes.join(old.select(C("id").alias("node"), "weight"), "node", "left").na.fill({"weight": 0.0}))
+        due = nodes if number == 0 else touched.select(C("id").alias("node"))
+        new = cut(graph.pushed_ranks(edges, ranks, due).select(C("node").alias("id"), "weight"))
+        gone = old.select("id").join(nodes.select(C("node").alias("id")), "id", "left_anti")
+        self.store.swap("ranks", new, new.select("id").unionByName(gone), self.branch, number)
+
+    def _nodes(self) -> DataFrame:
+        """The symbols; their centrality is the kept-up rank, where there is one, else that of their indexing."""
+        nodes, ranks = self._read("nodes"), self._read("ranks")
+        if not self.store.has("ranks", self.branch):
+            return nodes
+        total = ranks.agg(F.sum("weight").alias("_total"))
+        now = nodes.join(ranks, "id", "left").crossJoin(F.broadcast(total))  # of one row
+        return now.withColumn("centrality", F.coalesce(C("weight") / C("_total"), "centrality")).select(*nodes.columns)
 
     def switch_branch(self, name: str) -> str:
         """Goes on with another branch: ``same``, ``warm`` or ``cold``."""
@@ -109,16 +156,13 @@ class Engine:
         """notes (id, anchor_type, anchor_value, text, tags, kind), in order of id; unknown kinds are facts. The new version."""
         kind = F.when(C("kind").isin("strategy", "pitfall", "context"), C("kind")).otherwise("fact")
         rows = notes.withColumns({"kind": kind, "quality": F.lit(0.5), "retrieval_count": F.lit(0).cast("long"), "stale": F.lit(False), "created_at": F.lit(self.as_of).cast("long"), "updated_at": F.lit(self.as_of).cast("long"), "arrived": C("id")})
-        old = self._read("annotations")
-        return self.store.write("annotations", memory.upsert_notes(old, memory.with_hash(rows), "arrived"), self.branch)
+        return self.store.update("annotations", lambda old: memory.upsert_notes(old, memory.with_hash(rows), "arrived"), self.branch)
 
     def delete_annotations(self, ids: DataFrame) -> int:
         """ids (id): the notes and their relations go."""
-        edges = self._read("annotation_edges")
         for end in ("from_id", "to_id"):
-            edges = edges.join(ids.select(C("id").alias(end)), end, "left_anti")
-        self.store.write("annotation_edges", edges, self.branch)
-        return self.store.write("annotations", self._read("annotations").join(ids.select("id"), "id", "left_anti"), self.branch)
+            self.store.swap("annotation_edges", self._read("annotation_edges").limit(0), ids.select(C("id").alias(end)), self.branch)
+        return self.store.swap("annotations", self._read("annotations").limit(0), ids.select("id"), self.branch)
 
     def resolve_session(self, prefix: str) -> str:
         """The session of that name, or the only one that begins so; ValueError otherwise."""

@@ -7,11 +7,14 @@ reads the frontier's edges only, and hubs over the degree cap are not expanded.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorespan.functions import jaccard, jaro_winkler
 from lorespan.operators.storage import cut, discard
@@ -139,6 +142,43 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks.select("node", (C("raw") / total).alias("rank"))
 
 
+def _shares(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, dst, share): of each of the sources (src), what part of its rank an edge passes on; parallel edges count."""
+    own = edges.select("src", "dst").join(sources, "src", "left_semi").groupBy("src", "dst").agg(F.count("*").alias("times"))
+    return own.join(own.groupBy("src").agg(F.sum("times").alias("deg")), "src").select("src", "dst", (C("times") / C("deg")).alias("share"))
+
+
+def pushed_ranks(edges: DataFrame, ranks: DataFrame, touched: DataFrame, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """(node, weight) of the nodes whose weight differs after the edges changed; the others keep theirs.
+
+    ranks (node, weight): of every node that exists, its weight so far, 0 if it is new. touched (node): those that are new
+    or whose incoming edges, or these edges' sources' out-degrees, changed. Weights solve w = 1 + damping * (shares of
+    the weights of callers), so that w over their sum is PageRank with the rank of dangling nodes given to all alike.
+
+    Only residuals move: a touched node's is computed from its own callers, and a round adds to weights what is above
+    ``tolerance`` * (1 - damping) / n and passes its damped shares on. The sum of absolute errors stays below the tolerance.
+    """
+    n = ranks.count()
+    least = tolerance * (1 - damping) / max(n, 1)
+    into = edges.select("src", "dst").join(touched.select(C("node").alias("dst")).distinct(), "dst", "left_semi")
+    shares = _shares(edges, into.select("src").distinct()).join(touched.select(C("node").alias("dst")).distinct(), "dst", "left_semi")
+    given = shares.join(ranks.select(C("node").alias("src"), "weight"), "src").groupBy(C("dst").alias("node")).agg(F.sum(C("share") * C("weight")).alias("given"))
+    own = ranks.join(touched.select("node").distinct(), "node", "left_semi").join(given, "node", "left")
+    left = cut(own.select("node", (1 + damping * F.coalesce("given", F.lit(0.0)) - C("weight")).alias("r")))
+    added: list[DataFrame] = []
+    total = lambda rows: rows.groupBy("node").agg(F.sum("r").alias("r"))
+    while not (moving := left.filter(F.abs("r") > least)).isEmpty():
+        added.append(moving)
+        passed = _shares(edges, moving.select(C("node").alias("src"))).join(moving.select(C("node").alias("src"), "r"), "src")
+        passed = passed.join(ranks.select(C("node").alias("dst")), "dst", "left_semi").select(C("dst").alias("node"), (damping * C("r") * C("share")).alias("r"))
+        left = cut(total(left.filter(F.abs("r") <= least).unionByName(passed)))
+        if len(added) == 16:
+            added = [cut(total(reduce(DataFrame.unionByName, added)))]
+    if not added:
+        return ranks.limit(0)
+    return ranks.join(total(reduce(DataFrame.unionByName, added)), "node").select("node", (C("weight") + C("r")).alias("weight"))
+
+
 def reverse_index(edges: DataFrame, files: DataFrame) -> DataFrame:
     """files (node, file_path): (dst, file_path), the distinct files that hold callers of each node, a row each."""
     return edges.select("src", "dst").join(files, C("src") == C("node")).select("dst", "file_path").distinct()
@@ -186,21 +226,73 @@ def affected_files(edges: DataFrame, files: DataFrame, changed: DataFrame) -> Da
     return edges.select("src", "dst").join(own, "dst").join(files, C("src") == C("node")).filter("file_path <> changed").select("changed", "file_path").distinct()
 
 
-def closes_cycle(edges: DataFrame, added: DataFrame, hops: int | None = None) -> DataFrame:
-    """added (src, dst): those whose dst already leads back to src, within ``hops`` if given."""
-    back = bfs(edges, added.select(C("dst").alias("start")).distinct(), hops)
-    direct = added.filter("src = dst")
-    return added.join(back, (C("dst") == C("start")) & (C("src") == C("node")), "left_semi").unionByName(direct).distinct()
+def closes_cycle(edges: DataFrame, added: DataFrame, hops: int | None = None, back: DataFrame | None = None) -> DataFrame:
+    """added (src, dst): those whose dst already leads back to src, within ``hops`` if given.
+
+    Searched from both ends, forwards from dst and backwards from src, at each hop where the frontiers together are the
+    smaller. An edge leaves the search when its two reaches meet or one of them is exhausted, so the rows of a hop are
+    those of undecided edges only.
+    """
+    back = reversed_edges(edges) if back is None else back
+    pairs = cut(added.select("src", "dst").distinct())
+    sides, key = {"dst": edges, "src": back}, ["src", "dst"]
+    reached = {s: pairs.filter("src <> dst").select(*key, C(s).alias("node")) for s in sides}
+    frontier, size, closed = dict(reached), dict.fromkeys(sides, 0), pairs.filter("src = dst")
+    for walked in count() if hops is None else range(hops):
+        side = min(size, key=size.get)
+        other = "src" if side == "dst" else "dst"
+        here = frontier[side].select(C("node").alias("_at")).distinct()
+        steps = sides[side].select(C("src").alias("_at"), C("dst").alias("_next")).join(here, "_at", "left_semi").distinct()
+        found = frontier[side].join(steps, C("node") == C("_at")).select(*key, C("_next").alias("node")).distinct()
+        found = cut(found.join(reached[side], [*key, "node"], "left_anti"))
+        size[side] = found.count()
+        if not size[side]:
+            break
+        met = cut(found.join(reached[other], [*key, "node"], "left_semi").select(*key).distinct())
+        open_ = found.select(*key).distinct().join(met, key, "left_anti")  # the others met, or have nothing new on this side
+        closed = closed.unionByName(met)
+        reached[side] = reached[side].unionByName(found)
+        frontier = {side: found.join(met, key, "left_anti"), other: frontier[other].join(open_, key, "left_semi")}
+        if walked % 8 == 7:  # plans stay short, and hold undecided edges only
+            frontier = {s: cut(rows) for s, rows in frontier.items()}
+            reached = {s: cut(rows.join(open_, key, "left_semi")) for s, rows in reached.items()}
+    return added.join(cut(closed.distinct()), key, "left_semi").distinct()
+
+
+def saturated_reach(edges: DataFrame, starts: DataFrame, most: int, hops: int | None = None) -> DataFrame:
+    """(start, visited): nodes reached from each start, itself counted, or ``most`` + 1 where there are more.
+
+    A start with more than ``most`` nodes leaves the search within four hops, and a hop keeps at most ``most`` + 1 new ones
+    and as many neighbours of a node: these already tell. So the rows of a hop are bounded by the number of starts.
+    """
+    reached = cut(starts.select("start", C("start").alias("node")).distinct())
+    frontier, done = reached, starts.select("start").limit(0)
+    first = lambda by, order: F.row_number().over(Window.partitionBy(by).orderBy(order)) <= most + 1
+    for depth in count(1) if hops is None else range(1, hops + 1):
+        here = frontier.select(C("node").alias("src")).distinct()
+        steps = edges.select("src", "dst").join(here, "src", "left_semi").distinct().withColumn("_f", first("src", "dst")).filter("_f")
+        found = frontier.join(steps, C("node") == C("src")).select("start", C("dst").alias("node")).distinct().join(reached, ["start", "node"], "left_anti")
+        frontier = cut(found.withColumn("_f", first("start", "node")).filter("_f").drop("_f"))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+        if depth % 4 == 0 or depth == 1:
+            full = cut(reached.groupBy("start").count().filter(C("count") > most).select("start"))
+            done = done.unionByName(full)
+            reached = cut(reached.join(full, "start", "left_anti"))
+            frontier = frontier.join(full, "start", "left_anti")
+    out = reached.groupBy("start").agg(F.least(F.count("*"), F.lit(most + 1).cast("long")).alias("visited"))
+    return out.unionByName(done.select("start", F.lit(most + 1).cast("long").alias("visited")))
 
 
 def blast_radius(edges: DataFrame, starts: DataFrame, direct: int = 20, reach: int = 50, hops: int | None = None, back: DataFrame | None = None) -> DataFrame:
     """(start, callers, visited, large): more than ``direct`` callers, or more than ``reach`` nodes lead to it, itself counted.
 
-    At any depth unless ``hops`` is given; ``visited`` counts them all, also beyond ``reach``.
+    At any depth unless ``hops`` is given; ``visited`` counts no further than ``reach`` + 1, where the verdict stands.
     """
     own = edges.select("src", C("dst").alias("start")).join(starts.select("start").distinct(), "start", "left_semi")
     callers = own.distinct().groupBy("start").agg(F.count("*").alias("callers"))
-    seen = bfs(reversed_edges(edges) if back is None else back, starts, hops).groupBy("start").agg((F.count("*") + 1).alias("visited"))
+    seen = saturated_reach(reversed_edges(edges) if back is None else back, starts, reach, hops)
     out = starts.join(callers, "start", "left").join(seen, "start", "left").na.fill({"callers": 0, "visited": 1})
     return out.withColumn("large", (C("callers") > direct) | (C("visited") > reach))
 
@@ -240,21 +332,40 @@ def signature_similarity(old: str, new: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), jaro_winkler(old, new)).otherwise(jaccard(a, b) * 0.6 + same * 0.4)
 
 
-def greedy_matching(scored: DataFrame, group: list[str], rounds: int = 50) -> DataFrame:
+def _taken_in_order(group: list[str], schema: StructType):
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        olds, news, keep = set(), set(), []
+        for i, (old, new) in enumerate(zip(pairs["old_id"].tolist(), pairs["new_id"].tolist(), strict=True)):
+            if old not in olds and new not in news:
+                olds.add(old)
+                news.add(new)
+                keep.append(i)
+        return pairs.iloc[keep][schema.names]
+
+    return lambda pairs: run(pairs.sort_values("_place"))
+
+
+def greedy_matching(scored: DataFrame, group: list[str], head: int = 1 << 16) -> DataFrame:
     """One-to-one pairs, best score first; ties by old, then new id. scored: group columns, old_id, new_id, score.
 
-    Rounds of mutual best: a pair that is the best of both its ends is what the greedy order would take, so the
-    result equals the sequential one, without gathering a group.
+    A round takes the first ``head`` pairs of every group, in order, one after another, each where both its ends are free:
+    what a walk over the whole group would do with them. Their losers conflict with a taken pair, so what is left are
+    later pairs of free ends, and no group is gathered beyond its head. Ties and chains of any length end: every round
+    settles a group's whole head. Pairs without a group match nothing.
     """
-    left, taken = cut(scored.select(*group, "old_id", "new_id", "score")), None
-    best = F.struct((-C("score")).alias("s"), C("old_id").alias("o"), C("new_id").alias("n"))
-    for _ in range(rounds):
-        a = left.groupBy(*group, "old_id").agg(F.min(best).alias("b"))
-        b = left.groupBy(*group, "new_id").agg(F.min(best).alias("c"))
-        chosen = a.select(*group, "old_id", C("b.n").alias("new_id"), (-C("b.s")).alias("score"))
-        mutual = cut(chosen.join(b.select(*group, "new_id", C("c.o").alias("old_id")), [*group, "old_id", "new_id"]))
-        if mutual.isEmpty():
-            return taken if taken is not None else mutual
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        left = cut(left.join(mutual.select(*group, "old_id"), [*group, "old_id"], "left_anti").join(mutual.select(*group, "new_id"), [*group, "new_id"], "left_anti"))
-    raise RuntimeError(f"matching did not end in {rounds} rounds")
+    columns = [*group, "old_id", "new_id", "score"]
+    left, taken = cut(scored.select(*columns).dropna(subset=group)), []
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(C("score").desc(), "old_id", "new_id"))
+    schema = left.schema
+    while True:
+        more = not left.groupBy(*group).count().filter(C("count") > head).isEmpty()
+        first = left.withColumn("_place", place).filter(C("_place") <= head)
+        found = cut(first.groupBy(*group).applyInPandas(_taken_in_order(group, schema), schema))
+        taken.append(found)
+        if not more:
+            return reduce(DataFrame.unionByName, taken)
+        free = left
+        for end in ("old_id", "new_id"):
+            free = free.join(found.select(*group, end), [*group, end], "left_anti")
+        old, left = left, cut(free.select(*columns))
+        discard(old)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: dict[tuple[str, ...], str] = {}
+_KEPT: dict[tuple[str, ...], tuple[str, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster, whose executors are processes of their own
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
@@ -50,13 +52,30 @@ def discard(rows: DataFrame) -> None:
         files.delete(at, True)
 
 
-def kept(spark: SparkSession, name: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of this name, made and stored at its first use in the application; made anew if its files are gone."""
-    key = (spark.sparkContext.applicationId, *name)
-    if key in _KEPT:
-        files, at = _file_system(spark, _KEPT[key] + "/_SUCCESS")
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes whenever a file below the paths is added, removed or written anew: a digest of names, lengths and times."""
+    digest = hashlib.sha256()
+    for path in paths:
+        files, at = _file_system(spark, path)
+        found, listed = [], files.listFiles(at, True) if files.exists(at) else None
+        while listed is not None and listed.hasNext():
+            f = listed.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        digest.update("\n".join([path, *sorted(found), ""]).encode())
+    return digest.hexdigest()
+
+
+def kept(spark: SparkSession, name: tuple[str, ...], make: Callable[[], DataFrame], sources: tuple[str, ...] = ()) -> DataFrame:
+    """The table of this name, made and stored at its first use in the application.
+
+    It is made anew if its own files are gone, or if those of ``sources`` are others than when it was made; it is for
+    the caller to name every path that ``make`` reads.
+    """
+    key, state = (spark.sparkContext.applicationId, *name), fingerprint(spark, *sources)
+    if key in _KEPT and _KEPT[key][0] == state:
+        files, at = _file_system(spark, _KEPT[key][1] + "/_SUCCESS")
         if files.exists(at):
-            return spark.read.parquet(_KEPT[key])
+            return spark.read.parquet(_KEPT[key][1])
     out = cut(make())
-    _KEPT[key] = out.cut_at
+    _KEPT[key] = state, out.cut_at  # a table before it stays as long as the driver: plans may still read it
     return out

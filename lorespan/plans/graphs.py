@@ -174,12 +174,12 @@ walk(start, node) AS (SELECT dst, dst FROM added UNION SELECT w.start, s.dst FRO
 SELECT DISTINCT a.src, a.dst FROM added a JOIN walk w ON w.start = a.dst AND w.node = a.src""", "links", recursive=True)
 def cycle_check(t: Tables) -> DataFrame:
     added = t.spark.sql("select * from values ('r1', 's3'), ('r2', 'c11'), ('p3', 'p4'), ('n4', 'c11'), ('r0', 'n0'), ('n7', 'n7'), ('r0', 's1'), ('r3', 's2') as a(src, dst)")
-    return g.closes_cycle(t.edges, added)
+    return g.closes_cycle(t.edges, added, back=t.edges_back)
 
 
 @query(f""" , step AS ({_IN}), walk(start, node) AS (SELECT start, start FROM (VALUES ('n4'), ('p7'), ('r1'), ('c11'), ('p100')) v(start) UNION SELECT w.start, s.dst FROM walk w JOIN step s ON s.src = w.node),
 near AS (SELECT src AS start, count(*) AS callers FROM step GROUP BY 1)
-SELECT w.start, coalesce(any_value(callers), 0) AS callers, count(*) AS visited, coalesce(any_value(callers), 0) > 20 OR count(*) > 50 AS large FROM walk w LEFT JOIN near USING (start) GROUP BY 1""", "links", recursive=True)
+SELECT w.start, coalesce(any_value(callers), 0) AS callers, least(count(*), 51) AS visited, coalesce(any_value(callers), 0) > 20 OR count(*) > 50 AS large FROM walk w LEFT JOIN near USING (start) GROUP BY 1""", "links", recursive=True)
 def blast_radius(t: Tables) -> DataFrame:
     return g.blast_radius(t.edges, starts(t, "n4", "p7", "r1", "c11", "p100"), back=t.edges_back)
 

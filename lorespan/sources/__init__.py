@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import tomllib
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,12 +101,21 @@ def thresholds(path: str) -> dict[str, float]:
     return walk(tree, "")
 
 
+class Moved(Exception):
+    """A branch of a table has another version than the one that a write was computed from."""
+
+
 class Store:
     """Tables under one root. A branch of a table is a folder of data folders and of numbered manifests that list some.
 
     A write adds one data folder and commits it by the next manifest, whose name can be taken once; so it costs what it
-    writes, whatever other branches hold, of two writers at once one goes on from the other's commit, and one that dies
-    leaves nothing half done. Readers see the newest manifest.
+    writes, whatever other branches hold, and a writer that dies leaves nothing half done. Readers see the newest
+    manifest. What was computed from a version is committed only on top of that version (``update``, ``since``), and
+    computed anew where another writer was first. ``swap`` lists a folder of keys beside its data: rows of earlier folders
+    with these keys are no longer read, so that replacing some rows writes those only.
+
+    Taking a name is renaming a file to it, which is atomic on HDFS and local disks; an object store needs a committer
+    with conditional writes behind the file system. ``vacuum`` removes what no recent version lists.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -121,16 +132,22 @@ class Store:
         path = self._path(folder)
         return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
+    def _numbers(self, folder: str) -> list[int]:
+        return sorted(int(m.group(1)) for n in self._names(folder) if (m := re.fullmatch(r"v(\d+)", n)))
+
+    def _listed(self, folder: str, number: int) -> list[str]:
+        return [r["value"] for r in self.spark.read.text(f"{folder}/v{number}").collect()]  # a few names
+
     def _newest(self, folder: str) -> tuple[int, list[str]]:
-        """Number and data folders of the newest manifest; 0 and none before the first."""
-        numbers = [int(m.group(1)) for n in self._names(folder) if (m := re.fullmatch(r"v(\d+)", n))]
-        if not numbers:
-            return 0, []
-        return max(numbers), [r["value"] for r in self.spark.read.text(f"{folder}/v{max(numbers)}").collect()]  # a few names
+        """Number and folders of the newest manifest; 0 and none before the first."""
+        numbers = self._numbers(folder)
+        return (numbers[-1], self._listed(folder, numbers[-1])) if numbers else (0, [])
 
-    def _commit(self, folder: str, change: Callable[[list[str]], list[str]]) -> int:
+    def _commit(self, folder: str, change: Callable[[list[str]], list[str]], since: int | None = None) -> int:
         while True:
             number, data = self._newest(folder)
+            if since is not None and number != since:
+                raise Moved(f"{folder}: version {number}, not {since}")
             ready, target = self._path(folder, f"_ready-{uuid.uuid4().hex}"), self._path(folder, f"v{number + 1}")
             out = self._fs.create(ready)
             out.write(bytearray("\n".join(change(data)).encode()))
@@ -139,26 +156,74 @@ class Store:
                 return number + 1
             self._fs.delete(ready, False)
 
-    def _add(self, table: str, rows: DataFrame, branch: str, change: Callable[[list[str], str], list[str]]) -> int:
+    def _add(self, table: str, rows: DataFrame, branch: str, change: Callable[[list[str], str], list[str]], since: int | None = None) -> int:
         folder, name = self._folder(table, branch), f"data-{uuid.uuid4().hex}"
         schema.conform(rows, table).write.parquet(f"{folder}/{name}")
-        return self._commit(folder, lambda data: change(data, name))
+        try:
+            return self._commit(folder, lambda data: change(data, name), since)
+        except Moved:
+            self._fs.delete(self._path(folder, name), True)
+            raise
 
-    def write(self, table: str, rows: DataFrame, branch: str = "main") -> int:
-        """Replaces the branch's rows; the number of the new version."""
-        return self._add(table, rows, branch, lambda data, name: [name])
+    def write(self, table: str, rows: DataFrame, branch: str = "main", since: int | None = None) -> int:
+        """Replaces the branch's rows; the number of the new version. ``since``: only on top of that version, else ``Moved``."""
+        return self._add(table, rows, branch, lambda data, name: [name], since)
 
     def append(self, table: str, rows: DataFrame, branch: str = "main") -> int:
         """Adds log rows to the newest version."""
         return self._add(table, rows, branch, lambda data, name: [*data, name])
 
+    def swap(self, table: str, rows: DataFrame, gone: DataFrame, branch: str = "main", since: int | None = None) -> int:
+        """Adds rows in the place of those whose value of the one column of ``gone`` is among its rows; writes both, no more."""
+        folder, keys = self._folder(table, branch), f"gone-{uuid.uuid4().hex}"
+        gone.distinct().write.parquet(f"{folder}/{keys}")
+        return self._add(table, rows, branch, lambda data, name: [*data, keys, name], since)
+
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame], branch: str = "main") -> int:
+        """Replaces the branch's rows by what ``change`` makes of them, again from the start if another writer is first."""
+        while True:
+            rows, number = self.versioned(table, branch)
+            try:
+                return self.write(table, change(rows), branch, number)
+            except Moved:
+                continue
+
     def read(self, table: str, branch: str = "main") -> DataFrame:
         """The branch's rows; empty where nothing was written."""
+        return self.versioned(table, branch)[0]
+
+    def versioned(self, table: str, branch: str = "main") -> tuple[DataFrame, int]:
+        """The branch's rows and the number of their version."""
         folder = self._folder(table, branch)
-        _, data = self._newest(folder)
+        number, names = self._newest(folder)
+        data = [n for n in names if n.startswith("data-")]
         if not data:
-            return self.spark.createDataFrame([], schema.TABLES[table])
-        return self.spark.read.schema(schema.TABLES[table]).parquet(*(f"{folder}/{name}" for name in data))
+            return self.spark.createDataFrame([], schema.TABLES[table]), number
+        read = lambda some: self.spark.read.schema(schema.TABLES[table]).parquet(*(f"{folder}/{n}" for n in some))
+        if len(data) == len(names):
+            return read(data), number
+        gone: dict[str, list[DataFrame]] = {}
+        rows = reduce(DataFrame.unionByName, (read([n]).withColumn("_place", F.lit(i)) for i, n in enumerate(names) if n in data))
+        for i, n in enumerate(names):
+            if n.startswith("gone-"):
+                keys = self.spark.read.parquet(f"{folder}/{n}")
+                gone.setdefault(keys.columns[0], []).append(keys.withColumn("_gone", F.lit(i)))
+        for key, lists in gone.items():
+            last = reduce(DataFrame.unionByName, lists).groupBy(C(key).alias("_key")).agg(F.max("_gone").alias("_gone"))
+            rows = rows.join(last, (C(key) == C("_key")) & (C("_gone") > C("_place")), "left_anti")
+        return rows.drop("_place"), number
+
+    def vacuum(self, table: str, branch: str = "main", keep: int = 2, hours: float = 24) -> int:
+        """Removes folders and manifests that none of the last ``keep`` versions lists, if they are older than ``hours``
+        (younger ones may be a write's that is not committed yet); how many."""
+        folder = self._folder(table, branch)
+        numbers = self._numbers(folder)[-keep:]
+        used = {f"v{n}" for n in numbers} | {name for n in numbers for name in self._listed(folder, n)}
+        before = (time.time() - hours * 3600) * 1000
+        old = [s.getPath() for s in (self._fs.listStatus(self._path(folder)) if numbers else ()) if s.getPath().getName() not in used and s.getModificationTime() < before]
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
 
     def has(self, table: str, branch: str) -> bool:
         return self._newest(self._folder(table, branch))[0] > 0
@@ -168,8 +233,8 @@ class Store:
         return row["value"] if row else None
 
     def set_meta(self, key: str, value: str, branch: str = "main") -> int:
-        kept = self.read("daemon_meta", branch).filter(C("key") != key)
-        return self.write("daemon_meta", kept.unionByName(self.spark.createDataFrame([(key, value)], "key string, value string")), branch)
+        own = self.spark.createDataFrame([(key, value)], "key string, value string")
+        return self.update("daemon_meta", lambda rows: rows.filter(C("key") != key).unionByName(own), branch)
 
     def switch_branch(self, name: str) -> str:
         """Makes a branch the current one: ``same``, ``warm`` if it has an index, or ``cold``: it begins with the tables of
@@ -188,11 +253,11 @@ class Store:
         """Registers another store, which must hold a table."""
         if not Store(self.spark, path)._names(path):
             raise ValueError(f"no store at {path}")
-        kept = self.federated_repos().filter(C("path") != path)
-        return self.write("federated_repos", kept.unionByName(self.spark.createDataFrame([(path, at, at)], schema.TABLES["federated_repos"])))
+        own = self.spark.createDataFrame([(path, at, at)], schema.TABLES["federated_repos"])
+        return self.update("federated_repos", lambda rows: rows.filter(C("path") != path).unionByName(own))
 
     def unfederate(self, path: str) -> int:
-        return self.write("federated_repos", self.federated_repos().filter(C("path") != path))
+        return self.update("federated_repos", lambda rows: rows.filter(C("path") != path))
 
     def federated_repos(self) -> DataFrame:
         """(path, added_at, last_seen) of the registered stores."""

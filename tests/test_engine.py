@@ -61,6 +61,84 @@ def test_engine(spark, index, tmp_path):
         engine.resolve_session("ab")
 
 
+def _sizes(folder) -> dict[str, int]:
+    return {t: sum(1 for _ in (folder / t / "main").glob("data-*")) for t in ("nodes", "raw_edges", "edges", "ranks", "files")}
+
+
+def test_reindexing_one_file_writes_its_rows_only(spark, tmp_path):
+    """20 files that call each other; one changes: the store equals a new index, and the new folders hold that file's rows."""
+    body = lambda i, extra="": f"def f{i}(x):\n    return f{i // 4}(x) + g(x)\n\ndef h{i}():\n    f{i // 2}(1)\n{extra}" if i else f"def f0(x):\n    return x\n\ndef h0():\n    g(1)\n{extra}"
+    rows = [(f"s/{i}.py", body(i), 10) for i in range(20)]
+    store = Store(spark, str(tmp_path / "db"))
+    engine = Engine(store, as_of=1)
+    engine.save_index(bulk_index(spark.createDataFrame(rows, FILES), rounds=2))
+    engine.write_annotations(spark.createDataFrame([("a", "node", "none", "stays", None, "fact")], NOTE))
+    touch = lambda i, text, at: engine.apply_changes(spark.createDataFrame([(f"s/{i}.py", text, at)], FILES))
+    touch(3, body(3, "\ndef added(y):\n    h5()\n"), 20)  # makes ranks of all, once
+    folders = {p.name for p in (tmp_path / "db").glob("*/main/data-*")}
+    second = body(5, "\ndef g(x):\n    return x\n")
+    touch(5, second, 30)
+    new = [p for p in (tmp_path / "db").glob("*/main/data-*") if p.name not in folders]
+    written = {p.parent.parent.name: spark.read.parquet(str(p)).count() for p in new}
+    assert written["nodes"] == 3 and written["files"] == 1 and written["raw_edges"] <= 4 and "annotations" not in written
+    assert written["edges"] <= 4 + 2 * 20  # its own, and all that call the g it brings
+    rows[3], rows[5] = ("s/3.py", body(3, "\ndef added(y):\n    h5()\n"), 20), ("s/5.py", second, 30)
+    whole = bulk_index(spark.createDataFrame(rows, FILES), rounds=2)
+    for table, right in (("nodes", whole.nodes), ("raw_edges", whole.raw), ("edges", whole.edges), ("files", whole.files)):
+        columns = [c for c in store.read(table).columns if c in right.columns and c not in ("centrality", "checksum")]
+        left, right = (sorted(map(tuple, x.select(*columns).collect()), key=repr) for x in (store.read(table), right))
+        assert left == right, table
+    # ranks kept up equal those made from nothing
+    pairs = [(r["from_id"], r["to_id"]) for r in whole.edges.collect()]
+    ids = [r["id"] for r in whole.nodes.collect()]
+    out = {i: [b for a, b in pairs if a == i] for i in ids}
+    weight = dict.fromkeys(ids, 0.0)
+    for _ in range(400):
+        into = dict.fromkeys(ids, 1.0)
+        for a, targets in out.items():
+            for b in targets:
+                into[b] += 0.85 * weight[a] / len(targets)
+        weight = into
+    found = {r["id"]: r["weight"] for r in store.read("ranks").collect()}
+    assert set(found) == set(ids) and max(abs(found[i] - weight[i]) for i in ids) < 1e-9
+    assert abs(sum(r["centrality"] for r in engine._nodes().collect()) - 1) < 1e-9
+    before = _sizes(tmp_path / "db")
+    touch(5, second, 40)  # same content: nothing is written
+    assert _sizes(tmp_path / "db") == before
+
+
+def test_a_second_writer_of_notes_loses_nothing(spark, tmp_path, monkeypatch):
+    a, b = (Engine(Store(spark, str(tmp_path / "db")), as_of=5) for _ in range(2))
+    note = lambda i: spark.createDataFrame([(i, "file", "f", f"text {i}", None, "fact")], NOTE)
+    a.write_annotations(note("first"))
+    read, between = a.store.versioned, [lambda: b.write_annotations(note("from b"))]
+
+    def versioned(table, branch="main"):
+        found = read(table, branch)
+        if between:
+            between.pop()()  # b writes after a looked
+        return found
+
+    monkeypatch.setattr(a.store, "versioned", versioned)
+    a.write_annotations(note("from a"))
+    assert sorted(r["id"] for r in b.read_annotations().collect()) == ["first", "from a", "from b"]
+    between.append(lambda: b.store.set_meta("k", "b"))
+    a.store.set_meta("l", "a")
+    assert (b.store.get_meta("k"), b.store.get_meta("l")) == ("b", "a")
+
+
+def test_vacuum_keeps_what_recent_versions_list(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    rows = lambda *ids: spark.createDataFrame([(i, "v") for i in ids], "key string, value string")
+    for i in range(4):
+        store.write("daemon_meta", rows(f"k{i}"))
+    store.swap("daemon_meta", rows("new"), spark.createDataFrame([("k3",)], "key string"))
+    assert [r["key"] for r in store.read("daemon_meta").collect()] == ["new"]
+    assert store.vacuum("daemon_meta") == 0  # all are young
+    assert store.vacuum("daemon_meta", keep=1, hours=0) > 0
+    assert [r["key"] for r in store.read("daemon_meta").collect()] == ["new"]
+
+
 def test_command_line(spark, tmp_path):
     source = tmp_path / "src"
     (source / "out").mkdir(parents=True)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -112,12 +113,49 @@ def test_detectors(spark):
 
 
 def test_detectors_follow_paths_of_any_depth(spark):
-    n = 52
+    """A chain of 60 is left after as many hops as the verdict needs; a ring of 10 closes."""
+    n = 60
     chain = edges(spark, *[(f"n{i + 1}", f"n{i}") for i in range(n)], *[(f"m{i + 1}", f"m{i}") for i in range(9)], ("m0", "m9"))
-    out = {r["start"]: (r["callers"], r["visited"], r["large"]) for r in g.blast_radius(chain, start(spark, "n0", "n50", "m3")).collect()}
-    assert out == {"n0": (1, n + 1, True), "n50": (1, n - 49, False), "m3": (1, 10, False)}
-    added = spark.createDataFrame([("n0", f"n{n}"), ("n9", "m1"), ("m5", "m6")], "src string, dst string")
-    assert {(r["src"], r["dst"]) for r in g.closes_cycle(chain, added).collect()} == {("n0", f"n{n}"), ("m5", "m6")}
+    out = {r["start"]: (r["callers"], r["visited"], r["large"]) for r in g.blast_radius(chain, start(spark, "n0", "n53", "m3"), reach=12).collect()}
+    assert out == {"n0": (1, 13, True), "n53": (1, 8, False), "m3": (1, 10, False)}
+    added = spark.createDataFrame([("n0", "n14"), ("n9", "m1"), ("m5", "m6")], "src string, dst string")
+    assert {(r["src"], r["dst"]) for r in g.closes_cycle(chain, added).collect()} == {("n0", "n14"), ("m5", "m6")}
+
+
+def test_reach_stops_where_the_verdict_stands(spark, monkeypatch):
+    """A hub of 300 callers, a ring of 8 and a clique: no hop keeps more than 51 new nodes a start (a chain: below)."""
+    pairs = [(f"h{i}", "hub") for i in range(300)] + [(f"g{i}", f"h{i}") for i in range(300)]
+    pairs += [(f"r{(i + 1) % 8}", f"r{i}") for i in range(8)] + [(f"k{i}", f"k{j}") for i in range(60) for j in range(60) if i != j]
+    back = g.reversed_edges(edges(spark, *pairs))
+    sizes = []
+    monkeypatch.setattr(g, "cut", lambda rows, real=g.cut: sizes.append((out := real(rows)).count()) or out)
+    seen = {r["start"]: r["visited"] for r in g.saturated_reach(back, start(spark, "hub", "r3", "k0", "alone", "h7"), 50).collect()}
+    assert seen == {"hub": 51, "r3": 8, "k0": 51, "alone": 1, "h7": 2} and max(sizes) <= 2 * 51 + 10
+
+
+def test_cycles_from_both_ends_equal_plain_reach(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(9), rng.randrange(9)) for _ in range(11)] + [(20, 21), (21, 22), (22, 23)]
+    added = [(a, b) for a in [*range(9), 20, 23] for b in [*range(9), 20, 23]]
+    e = edges(spark, *((str(a), str(b)) for a, b in pairs))
+    asked = spark.createDataFrame([(str(a), str(b)) for a, b in added], "src string, dst string")
+    for most in (2, None):
+        reach = {a: {a} for a, _ in added}
+        for _ in range(9 if most is None else most):
+            reach = {a: r | {b for x, b in pairs if x in r} for a, r in reach.items()}
+        found = {(int(r["src"]), int(r["dst"])) for r in g.closes_cycle(e, asked, most).collect()}
+        assert found == {(a, b) for a, b in added if a in reach[b]}
+
+
+def test_matching_ends_on_ties_and_chains(spark):
+    """60 ties, a chain of 60 in which each pair waits for the one before, and heads smaller than a group."""
+    ties = [("tie", f"o{i:02}", f"n{j:02}", 0.9) for i in range(60) for j in range(60)]
+    chain = [("chain", f"o{i:02}", f"n{i + d:02}", 0.9 - (2 * i + d) / 1000) for i in range(60) for d in (0, 1)]
+    scored = spark.createDataFrame([*ties, *chain, (None, "x", "y", 0.9)], "file string, old_id string, new_id string, score double")
+    expected = {("tie", f"o{i:02}", f"n{i:02}") for i in range(60)} | {("chain", f"o{i:02}", f"n{i:02}") for i in range(60)}
+    for head in (7, 1 << 16):
+        out = g.greedy_matching(scored, ["file"], head)
+        assert {(r["file"], r["old_id"], r["new_id"]) for r in out.collect()} == expected and out.columns == scored.columns
 
 
 def _similar(spark, *rows):
@@ -181,3 +219,25 @@ def _plain_jaro_winkler(a, b):
 def test_jaro_winkler_equals_brute_force(pairs):
     found = jaro_winkler_pairs([a for a, _ in pairs], [b for _, b in pairs])
     assert [round(x, 12) for x in found] == [round(_plain_jaro_winkler(a, b), 12) for a, b in pairs]
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    """A table replaced under the same path: edges, turned edges and ranks are made anew."""
+    import shutil
+
+    from lorespan.adapters import Tables
+
+    base = tmp_path / "sf"
+    shutil.copytree("/root/testdata/sf0.001", base)
+    before = Tables(spark, str(base))
+    counts = before.edges.count(), before.edges_back.count(), before.links.count()
+    assert Tables(spark, str(base)).edges.inputFiles() == before.edges.inputFiles()  # stored once
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500)
+    lines.coalesce(1).write.parquet(str(tmp_path / "lines"))
+    (base / "lineitem.parquet").chmod(0o644)
+    base.chmod(0o755)
+    shutil.copy(next((tmp_path / "lines").glob("part-*")), base / "lineitem.parquet")
+    for crc in base.glob(".*.crc"):
+        crc.unlink()
+    after = Tables(spark, str(base))
+    assert after.edges.count() == after.edges_back.count() == after.links.count() < counts[0] == counts[1] == counts[2]
