@@ -1,8 +1,10 @@
 """Source text to symbols and calls, one row per symbol, for 15 language variants.
 
-Python is parsed; the other languages are scanned: comments and strings are blanked, declarations found by
-each language's patterns, and bodies by matching brackets (Ruby: by the indentation of ``end``). Every file is
-handled on its own, so the operator is one map over files.
+Python is parsed, and where a file has an error its top-level blocks are, one by one, so that the others keep their
+symbols; a broken block has what its headers say. The other languages are scanned: comments and strings are blanked,
+declarations found by each language's patterns, and bodies by brackets matched once for the file (Ruby: by the
+indentation of ``end``). Lines are found by bisection and owners on a stack of open bodies, so the work on a file is in
+proportion to its length. Every file is handled on its own, so the operator is one map over files.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -105,52 +108,61 @@ def _blanked(text: str, language: str) -> str:
     return re.sub(_NOISE.get(language, _SCRIPT if language in ("typescript", "tsx", "javascript", "jsx") else rf"//[^\n]*|{_BLOCK}|{_QUOTED}"), spaces, text, flags=re.S)
 
 
-def _body(clean: str, at: int, language: str) -> tuple[int, int]:
+def _brackets(clean: str) -> dict[int, int]:
+    """The end of each body by the place of its opening bracket; one that is never closed reaches to the end."""
+    ends, open_ = {}, []
+    for m in re.finditer(r"[{}]", clean):
+        if m.group() == "{":
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.end()
+    return ends
+
+
+def _body(clean: str, at: int, language: str, ends: dict[int, int]) -> tuple[int, int]:
     """(start of the body or -1, end) of a declaration whose header's match ends at ``at``."""
     if language == "ruby":
         line = clean.rfind("\n", 0, at) + 1
-        indent = re.match(r"[ \t]*", clean[line:]).group()
+        indent = re.compile(r"[ \t]*").match(clean, line).group()
         close = re.compile(rf"^{indent}end\b", re.M).search(clean, at)
         return clean.find("\n", at), close.end() if close else len(clean)
-    depth, i = 0, at
-    back = clean[:at].rstrip()
-    if back.endswith("("):
-        depth = 1
-    while i < len(clean):
-        c = clean[i]
+    before = at - 1
+    while before >= 0 and clean[before].isspace():
+        before -= 1
+    depth = 1 if before >= 0 and clean[before] == "(" else 0
+    for m in re.compile(r"[()\[\]{};]").finditer(clean, at):
+        c = m.group()
         if c in "([":
             depth += 1
         elif c in ")]":
             depth -= 1
         elif c == ";" and depth <= 0:
-            return -1, i + 1
-        elif c == "{" and depth <= 0:
-            break
-        i += 1
-    else:
-        return -1, len(clean)
-    level = 0
-    for m in re.compile(r"[{}]").finditer(clean, i):
-        level += 1 if m.group() == "{" else -1
-        if not level:
-            return i, m.end()
-    return i, len(clean)
+            return -1, m.end()
+        elif c in "{}" and depth <= 0 or c == "}":  # a closing bracket ends even a header that lacks one of its own
+            return (m.start(), ends.get(m.start(), len(clean))) if c == "{" else (-1, m.start())
+    return -1, len(clean)
 
 
 def _comment_before(text: str, start: int) -> str | None:
     """The comment lines that end right above a declaration."""
-    lines = text[: text.rfind("\n", 0, start) + 1].splitlines()
+    end = text.rfind("\n", 0, start)  # of the line above
+
+    def above() -> str:
+        return text[text.rfind("\n", 0, end) + 1 : end]
+
     out: list[str] = []
-    while lines and re.match(r"\s*(#\[|@\w)", lines[-1]):
-        lines.pop()
-    if lines and lines[-1].rstrip().endswith("*/"):
-        while lines:
-            out.append(lines.pop())
+    while end >= 0 and re.match(r"\s*(#\[|@\w)", above()):
+        end = text.rfind("\n", 0, end)
+    if end >= 0 and above().rstrip().endswith("*/"):
+        while end >= 0:
+            out.append(above())
+            end = text.rfind("\n", 0, end)
             if "/*" in out[-1]:
                 break
     else:
-        while lines and re.match(r"\s*(///?|#(?!!))", lines[-1]):
-            out.append(lines.pop())
+        while end >= 0 and re.match(r"\s*(///?|#(?!!))", above()):
+            out.append(above())
+            end = text.rfind("\n", 0, end)
     said = [re.sub(r"^\s*(///?!?|/\*\*?|\*/|\*(?!/)|#+)\s?|\s*\*/\s*$", "", x).strip() for x in reversed(out)]
     joined = "\n".join(x for x in said if x)
     return joined or None
@@ -166,6 +178,7 @@ def _calls(clean: str, start: int, end: int, declared: set[int]) -> list[str]:
 
 def scan(text: str, language: str) -> list[Symbol]:
     clean, found, declared = _blanked(text, language), [], set()
+    ends = _brackets(clean)
     for kind, pattern in _rules(language):
         for m in pattern.finditer(clean):
             groups = m.groupdict()
@@ -174,23 +187,24 @@ def scan(text: str, language: str) -> list[Symbol]:
             if not name or (kind.startswith("in ") or language in ("c", "cpp")) and name.split("(")[0].strip() in _NOT_NAMES:
                 continue
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            body, end = _body(clean, m.end(), language)
+            body, end = _body(clean, m.end(), language, ends)
             shown = "impl " + name.strip() if groups.get("impl") else re.sub(r"\s+", " ", text[m.start("name") : m.end("name")] if groups.get("name") else name)
             head = text[start:body].rstrip() if body > start else text[start:end].split("\n")[0]
             found.append(Symbol(kind, shown, start, body, end, head))
-    types = [s for s in found if s.kind in ("Class", "Interface", "Enum")]
-    inside = lambda s: any(t.body >= 0 and t.body < s.start and s.end <= t.end for t in types)
-    kept = []
+    kept: list[Symbol] = []
+    open_: list[Symbol] = []
     for s in sorted(found, key=lambda s: (s.start, -s.end)):
+        open_ = [t for t in open_ if t.end > s.start]
+        around = [t for t in open_ if t.body < s.start and s.end <= t.end]
+        if s.body >= 0:
+            open_.append(s)
+        owners = [t for t in around if t.kind in ("Class", "Interface", "Enum")]
         if s.kind.startswith("in "):
-            owner = [t for t in types if t.body >= 0 and t.body < s.start and s.end <= t.end]
-            outer = [f for f in found if not f.kind.startswith("in ") and f.kind in ("Function", "Method") and f.body >= 0 and f.body < s.start and s.end <= f.end]
-            within = [f for f in found if f is not s and f.kind == s.kind and f.body >= 0 and f.body < s.start and s.end <= f.end]
             # a method named like its type is a constructor
-            if not owner or outer or within or max(owner, key=lambda t: t.start).name == s.name:
+            if not owners or owners[-1].name == s.name or any(t.kind in ("Function", "Method", s.kind) for t in around):
                 continue
             s.kind = s.kind[3:]
-        elif language == "php" and s.kind == "Function" and inside(s):
+        elif language == "php" and s.kind == "Function" and owners:
             s.kind = "Method"
         if kept and kept[-1].start == s.start and kept[-1].name == s.name:
             continue
@@ -201,17 +215,21 @@ def scan(text: str, language: str) -> list[Symbol]:
     return kept
 
 
-def scan_python(text: str) -> list[Symbol]:
-    """Functions and classes in source order; a decorated one comes twice, with and without its decorators."""
+def _called(func: ast.expr) -> str:
+    """The last name of what is called."""
+    return func.attr if isinstance(func, ast.Attribute) else func.id if isinstance(func, ast.Name) else ast.unparse(func).split(".")[-1]
+
+
+def _parsed(text: str, at: int = 0) -> list[Symbol] | None:
+    """Symbols of a part of a file that begins at ``at``; None where it does not parse."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return []
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
     starts = [0]
     for line in text.splitlines(keepends=True):
         starts.append(starts[-1] + len(line))
-    raw = text.encode()
-    ascii_only = len(raw) == len(text)
+    ascii_only = text.isascii()
 
     def place(line: int, column: int) -> int:
         if ascii_only:
@@ -219,23 +237,64 @@ def scan_python(text: str) -> list[Symbol]:
         return starts[line - 1] + len(text[starts[line - 1] : starts[line]].encode()[:column].decode(errors="ignore"))
 
     out: list[Symbol] = []
+    waiting: list[ast.AST] = [tree]
+    while waiting:  # in source order, however deep
+        node = waiting.pop()
+        waiting.extend(reversed(list(ast.iter_child_nodes(node))))
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            kind = "Class" if isinstance(node, ast.ClassDef) else "Function"
+            start, end = place(node.lineno, node.col_offset), place(node.end_lineno, node.end_col_offset)
+            body = place(node.body[0].lineno, node.body[0].col_offset)
+            calls = [_called(c.func) for c in ast.walk(node) if isinstance(c, ast.Call)]
+            doc = ast.get_docstring(node)
+            if node.decorator_list:
+                above = place(node.decorator_list[0].lineno, 0)
+                above = text.find("@", above)
+                out.append(Symbol(kind, node.name, at + above, -1, at + end, text[above:end].split("\n")[0], doc, calls))
+            out.append(Symbol(kind, node.name, at + start, at + body, at + end, text[start:body].rstrip(), doc, calls))
+    return out
+
+
+_BLOCK_START = re.compile(r"^(?=[^\s#)\]}'\"])(?!(?:else|elif|except|finally)\b)", re.M)
+_HEADER = re.compile(r"^[ \t]*(?:async[ \t]+)?(?P<what>def|class)[ \t]+(?P<name>\w+)[^\n]*", re.M)
+_PYTHON_NOISE = re.compile(r'"""(?:\\.|[^\\])*?"""|\'\'\'(?:\\.|[^\\])*?\'\'\'|#[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
+
+
+def _headers(text: str, at: int) -> list[Symbol]:
+    """What the headers of a block that does not parse say; a body ends before the next line that is indented no deeper."""
+    clean = _PYTHON_NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    out, open_ = [], []
+    for m in _HEADER.finditer(clean):
+        start = m.end() - len(m.group().lstrip())
+        open_.append(Symbol("Class" if m["what"] == "class" else "Function", m["name"], start, m.end(), len(text), text[start : m.end()].rstrip()))
+    declared = {m.start("name") for m in _HEADER.finditer(clean)}
+    for s in open_:
+        indent = s.start - (clean.rfind("\n", 0, s.start) + 1)
+        after = re.compile(rf"^[ \t]{{0,{indent}}}(?=[^\s)])", re.M).search(clean, s.body)
+        s.end = after.start() if after else len(text)
+        s.end = s.start + len(text[s.start : s.end].rstrip())
+        s.calls = _calls(clean, min(s.body, s.end), s.end, declared)
+        out.append(Symbol(s.kind, s.name, at + s.start, at + s.body, at + s.end, s.signature, None, s.calls))
+    return out
+
 
-    def visit(node: ast.AST) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "Class" if isinstance(child, ast.ClassDef) else "Function"
-                start, end = place(child.lineno, child.col_offset), place(child.end_lineno, child.end_col_offset)
-                body = place(child.body[0].lineno, child.body[0].col_offset)
-                calls = [ast.unparse(c.func).split(".")[-1] for c in ast.walk(child) if isinstance(c, ast.Call)]
-                doc = ast.get_docstring(child)
-                if child.decorator_list:
-                    above = place(child.decorator_list[0].lineno, 0)
-                    above = text.find("@", above)
-                    out.append(Symbol(kind, child.name, above, -1, end, text[above:end].split("\n")[0], doc, calls))
-                out.append(Symbol(kind, child.name, start, body, end, text[start:body].rstrip(), doc, calls))
-            visit(child)
-
-    visit(tree)
+def scan_python(text: str) -> list[Symbol]:
+    """Functions and classes in source order; a decorated one comes twice, with and without its decorators.
+
+    A file with an error is taken by its top-level blocks, decorators with what they decorate.
+    """
+    whole = _parsed(text)
+    if whole is not None:
+        return whole
+    places, last = [], ""
+    for m in _BLOCK_START.finditer(text):
+        if last != "@":
+            places.append(m.start())
+        last = text[m.start()]
+    out: list[Symbol] = []
+    for a, b in zip(places, [*places[1:], len(text)], strict=True):
+        found = _parsed(text[a:b], a)
+        out += _headers(text[a:b], a) if found is None else found
     return out
 
 
@@ -244,10 +303,10 @@ def symbols_of(path: str, text: str) -> list[dict]:
     language = _ENDINGS.get(path.rsplit(".", 1)[-1]) if "." in path.rsplit("/", 1)[-1][1:] else None
     if language is None:
         return []
-    out = []
+    out, ends = [], [m.start() for m in re.finditer("\n", text)]
     for i, s in enumerate(scan_python(text) if language == "python" else scan(text, language)):
-        first = text.count("\n", 0, s.start) + 1
-        out.append({"file_path": path, "language": language, "seq": i, "kind": s.kind, "name": s.name, "line_start": first, "line_end": first + text.count("\n", s.start, s.end), "signature": s.signature, "docstring": s.docstring, "checksum": hashlib.md5(text[s.start : s.end].encode()).hexdigest(), "calls": s.calls})
+        first, last = (bisect_left(ends, x) + 1 for x in (s.start, s.end))
+        out.append({"file_path": path, "language": language, "seq": i, "kind": s.kind, "name": s.name, "line_start": first, "line_end": last, "signature": s.signature, "docstring": s.docstring, "checksum": hashlib.md5(text[s.start : s.end].encode()).hexdigest(), "calls": s.calls})
     return out
 
 
