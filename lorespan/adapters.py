@@ -94,6 +94,14 @@ class Tables:
         own = lambda: pagerank(self.edges.select("src", "dst"), self.nodes.select(F.col("key").alias("node"))).select(F.col("node").alias("key"), F.col("rank").alias("centrality"))
         return self._kept("centrality", own)
 
+    @cached_property
+    def symbol_index(self):
+        """The full-text index of the symbols (name and signature), stored as indexing stores it."""
+        from lorespan.operators.retrieval import text_index
+
+        docs = self.nodes.select(F.col("key").alias("id"), F.concat_ws(" ", "name", "signature").alias("text"))
+        return text_index(docs, keep=lambda name, make: self._kept(f"symbol_{name}", make))
+
     @cached_property
     def edits(self) -> DataFrame:
         """Dense edits for the detectors, from events: session_id, node, file_path, timestamp, checksum, event_id.

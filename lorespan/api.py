@@ -70,7 +70,7 @@ class Engine:
     def search_docs(self, queries: DataFrame, limit: int = DOCS_LIMIT) -> DataFrame:
         """queries (qid, query): (qid, rank, file_path, heading, content, score)."""
         chunks = self._chunks()
-        hits = retrieval.top_hits(retrieval.bm25(chunks.select("id", "text"), queries), limit)
+        hits = retrieval.bm25_top(retrieval.text_index(chunks.select("id", "text")), queries, limit)
         return hits.join(chunks, "id").select("qid", "rank", "file_path", "heading", "content", "score")
 
     def read_annotations(self, anchor_type: str | None = None, anchor_value: str | None = None, tags: str | None = None, query: str | None = None, limit: int = NOTES_LIMIT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,24 +49,70 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
     return kept.select("file_path", number.alias("chunk_index"), "heading", "start_line", "end_line", "content", fn.token_estimate(C("content")).alias("token_estimate"), F.substring(F.md5("content"), 1, 8).alias("content_hash"))
 
 
+#: Documents of a block of postings, about.
+BLOCK_DOCS = 512
+K1, B = 1.2, 0.75
+
+
 @dataclass
 class TextIndex:
-    """Terms of documents, cut once and stored: documents (id, ts, len) and their number and mean length."""
+    """A stored inverted index.
 
+    ``table``: a row for each term and block of documents that hold it, sorted by term: n documents, the most times one
+    holds it, the least length of one, and docs (id, len, f, at: positions). ``documents`` (id, block, len); a document's
+    block follows from its id, so that a changed one is posted anew with its block alone. Documents without terms
+    count for the mean length.
+    """
+
+    table: DataFrame
     documents: DataFrame
-    number: int
-    mean: float
+    blocks: int
+
+    def __post_init__(self):
+        number, mean = self.documents.agg(F.count("*"), F.avg("len")).first()  # of one short column
+        self.number, self.mean = number, mean or 0.0
+
+    def part(self, n: Column, f: Column, length: Column) -> Column:
+        """What a term that n documents hold adds to the score of one of this length that holds it f times."""
+        idf = F.log((self.number - n + 0.5) / (n + 0.5))
+        return F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(self.mean)))
+
+    def renewed(self, docs: DataFrame, gone: DataFrame) -> tuple[TextIndex, DataFrame, DataFrame]:
+        """The index with docs (id, text) new or changed and without the ids ``gone`` (id); the blocks (block) that this
+        touches, and their new rows of the table: what a store has to swap."""
+        fresh = cut(_tokens(docs, self.blocks))
+        ids = fresh.select("id").unionByName(gone.select("id"))
+        touched = cut(ids.select(_block(self.blocks)).distinct())
+        own = self.table.join(touched, "block", "left_semi").select("term", "block", F.inline("docs"))
+        stay = own.select("term", "block", "id", "len", F.explode("at").alias("pos")).join(ids, "id", "left_anti")
+        new = fresh.select("id", "block", "len", F.posexplode("ts").alias("pos", "term"))
+        rows = cut(_posted(stay.unionByName(new.select(*stay.columns))))
+        documents = cut(self.documents.join(ids, "id", "left_anti").unionByName(fresh.select("id", "block", "len")))
+        return TextIndex(self.table.join(touched, "block", "left_anti").select(*rows.columns).unionByName(rows), documents, self.blocks), touched, rows
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
 
-    def postings(self) -> DataFrame:
-        """(id, len, pos, term)."""
-        return self.documents.select("id", "len", F.posexplode("ts").alias("pos", "term"))
 
+def _tokens(docs: DataFrame, blocks: int) -> DataFrame:
+    return docs.select("id", _block(blocks), fn.terms(C("text")).alias("ts")).withColumn("len", F.size("ts"))
 
-def text_index(docs: DataFrame) -> TextIndex:
-    """docs (id, text). Documents without terms count for the mean length."""
-    found = cut(docs.select("id", fn.terms(C("text")).alias("ts")).withColumn("len", F.size("ts")))
-    number, mean = found.agg(F.count("*"), F.avg("len")).first()  # of one short column
-    return TextIndex(found, number, mean or 0.0)
+
+def _posted(tokens: DataFrame) -> DataFrame:
+    """tokens (id, block, len, pos, term): the table; a group holds a block's documents at most."""
+    held = tokens.groupBy("term", "block", "id", "len").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    own = F.struct("id", "len", F.size("at").alias("f"), "at")
+    return held.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.min("len").alias("least"), F.sort_array(F.collect_list(own)).alias("docs"))
+
+
+def text_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda name, make: cut(make())) -> TextIndex:
+    """The index of docs (id, text), stored by ``keep`` (name, how to make it)."""
+    blocks = max(1, -(-docs.count() // block_docs))
+    found = keep("documents", lambda: _tokens(docs, blocks))
+    tokens = found.select("id", "block", "len", F.posexplode("ts").alias("pos", "term"))
+    table = keep("postings", lambda: _posted(tokens).repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+    return TextIndex(table, found.select("id", "block", "len"), blocks)
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -82,30 +129,63 @@ def phrases(queries: DataFrame) -> DataFrame:
     return out.withColumn("prefix", C("star") & (C("off") == C("size") - 1)).drop("star")
 
 
-def bm25(docs: DataFrame | TextIndex, queries: DataFrame, mode: str = "and", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame | TextIndex, queries: DataFrame, mode: str = "and") -> DataFrame:
     """docs (id, text) or their index, queries (qid, query): (qid, id, score), higher being better; every match.
 
-    ``and``: documents with all of a query's phrases; ``or``: with any. Rarity is floored at 1e-6. Postings meet the
-    queries' terms by equality, a prefix by the beginnings of terms of the lengths that are asked, so only matched
-    postings move.
+    ``and``: documents with all of a query's phrases; ``or``: with any. Rarity is floored at 1e-6. The table's rows meet
+    the queries' terms by equality, a prefix by the beginnings of terms of the lengths that are asked; only rows that
+    match are opened.
     """
     index = docs if isinstance(docs, TextIndex) else text_index(docs)
-    tokens, asked = index.postings(), phrases(queries)
+    asked = phrases(queries)
     exact = asked.filter(~C("prefix")).select("qid", "phrase", "phrases", "size", "off", "term")
     starred = asked.filter("prefix").select("qid", "phrase", "phrases", "size", "off", C("term").alias("stem"))
     lengths = starred.agg(F.collect_set(F.length("stem")).alias("lengths"))  # one row of a few numbers
-    begun = tokens.crossJoin(F.broadcast(lengths)).select("id", "len", "pos", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: C("term").substr(F.lit(1), n))).alias("stem"))
-    columns = ("qid", "phrase", "phrases", "size", "off", "id", "len", "pos")
-    hits = tokens.join(exact, "term").select(*columns).unionByName(begun.join(starred, "stem").select(*columns))
+    begun = index.table.select("term", "docs").crossJoin(F.broadcast(lengths)).select("docs", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: C("term").substr(F.lit(1), n))).alias("stem"))
+    columns = ("qid", "phrase", "phrases", "size", "off", "docs")
+    rows = index.table.join(exact, "term").select(*columns).unionByName(begun.join(starred, "stem").select(*columns))
+    opened = rows.select("qid", "phrase", "phrases", "size", "off", F.inline("docs"))
+    hits = opened.select("qid", "phrase", "phrases", "size", "off", "id", "len", F.explode("at").alias("pos"))
     whole = hits.groupBy("qid", "phrase", "phrases", "size", "id", "len", (C("pos") - C("off")).alias("at")).agg(F.countDistinct("off").alias("have")).filter("have = size")
     freq = cut(whole.groupBy("qid", "phrase", "phrases", "id", "len").agg(F.count("*").alias("f")))
     freq = freq.join(freq.groupBy("qid", "phrase").agg(F.count("*").alias("n")), ["qid", "phrase"])
-    idf = F.log((index.number - C("n") + 0.5) / (C("n") + 0.5))
-    part = F.when(idf <= 0, 1e-6).otherwise(idf) * C("f") * (k1 + 1) / (C("f") + k1 * (1 - b + b * C("len") / F.lit(index.mean)))
-    out = freq.withColumn("part", part).groupBy("qid", "id", "phrases").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
+    return _summed(freq.withColumn("part", index.part(C("n"), C("f"), C("len"))), mode)
+
+
+def _summed(parts: DataFrame, mode: str) -> DataFrame:
+    out = parts.groupBy("qid", "id", "phrases").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
     return out.filter("have = phrases" if mode == "and" else "have > 0").select("qid", "id", "score")
 
 
+def bm25_top(index: TextIndex, queries: DataFrame, k: int, mode: str = "and", first: int = 4) -> DataFrame:
+    """(qid, id, score, rank): the k best of ``bm25``, without opening blocks that cannot hold one of them.
+
+    A block's bound is what a document would score that held every term as often as any of the block does and were as short
+    as the shortest. Of each query the ``first`` blocks by bound are opened; then those whose bound reaches the k-th score
+    so found. Bounds come from columns beside the postings. Queries with phrases of several words or prefixes, whose
+    documents must be counted by opening them, go the way of ``bm25``.
+    """
+    asked = cut(phrases(queries))
+    plain = asked.groupBy("qid").agg(F.max(C("prefix") | (C("size") > 1)).alias("complex"))
+    hard = queries.join(plain.filter("complex").select("qid"), "qid", "left_semi")
+    easy = asked.join(plain.filter("not complex").select("qid"), "qid", "left_semi").select("qid", "phrase", "phrases", "term")
+    heads = cut(index.table.select("term", "block", "n", "most", "least").join(easy, "term"))
+    df = heads.groupBy("qid", "phrase").agg(F.sum("n").alias("df"))
+    bound = heads.join(df, ["qid", "phrase"]).withColumn("part", index.part(C("df"), C("most"), C("least")))
+    bound = bound.groupBy("qid", "phrases", "block").agg((F.sum("part") * (1 + 1e-9)).alias("bound"), F.count("*").alias("have"))
+    bound = cut(bound.filter("have = phrases" if mode == "and" else "have > 0").withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))))
+
+    def opened(which: DataFrame) -> DataFrame:
+        own = heads.select("qid", "phrase", "phrases", "term", "block").join(df, ["qid", "phrase"]).join(which.select("qid", "block"), ["qid", "block"])
+        rows = index.table.select("term", "block", "docs").join(own, ["term", "block"]).select("qid", "phrase", "phrases", C("df").alias("n"), F.inline("docs"))
+        return _summed(rows.withColumn("part", index.part(C("n"), C("f"), C("len"))), mode)
+
+    some = cut(top_hits(opened(bound.filter(C("place") <= first)), k).drop("rank"))
+    least = some.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(C("n") == k)
+    rest = bound.filter(C("place") > first).join(least, "qid", "left").filter(C("least").isNull() | (C("bound") >= C("least")))
+    return top_hits(some.unionByName(opened(rest)).unionByName(bm25(index, hard, mode)), k)
+
+
 def top_hits(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(C("score").desc(), "id"))
     return scores.withColumn("rank", rank).filter(C("rank") <= k)

@@ -51,11 +51,11 @@ def _queries(t: Tables, *texts: str) -> DataFrame:
 
 
 def _show(scores: DataFrame, k: int) -> DataFrame:
-    return r.top_hits(scores, k).select("qid", "id", F.round("score", 6).alias("score"))
+    return _shown(r.top_hits(scores, k))
 
 
-def _nodes(t: Tables) -> DataFrame:
-    return t.nodes.select(C("key").alias("id"), F.concat_ws(" ", "name", "signature").alias("text"))
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("qid", "id", F.round("score", 6).alias("score"))
 
 
 _D_NODES = " , d AS (SELECT key AS id, name || ' ' || signature AS text FROM nodes)"
@@ -64,7 +64,7 @@ _SHOW = " SELECT qid, id, round(score, 6) AS score FROM hits WHERE rank <= {0}"
 
 @query(_D_NODES + _bm25_sql("(0, 0, 2, 1, 0, 'red', false), (0, 1, 2, 1, 0, 'widget', false), (1, 0, 1, 1, 0, 'economy', false)") + _SHOW.format(20), "nodes")
 def bm25_nodes(t: Tables) -> DataFrame:
-    return _show(r.bm25(_nodes(t), _queries(t, "red widget", "economy")), 20)
+    return _shown(r.bm25_top(t.symbol_index, _queries(t, "red widget", "economy"), 20))
 
 
 @query(" , d AS (SELECT id, text || ' ' || tags AS text FROM notes)" + _bm25_sql("(0, 0, 2, 1, 0, 'assistant', false), (0, 1, 2, 1, 0, 't3', false), (1, 0, 2, 1, 0, 'the', false), (1, 1, 2, 1, 0, 'user', false)", "or") + _SHOW.format(10), "notes")
@@ -82,26 +82,26 @@ def bm25_docs(t: Tables) -> DataFrame:
 
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'wid', true), (1, 0, 2, 1, 0, 'bl', true), (1, 1, 2, 1, 0, 'small', false)") + _SHOW.format(15), "nodes")
 def bm25_prefix(t: Tables) -> DataFrame:
-    return _show(r.bm25(_nodes(t), _queries(t, "wid*", "bl* small")), 15)
+    return _show(r.bm25(t.symbol_index, _queries(t, "wid*", "bl* small")), 15)
 
 
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 2, 0, 'red', false), (0, 0, 1, 2, 1, 'widget', false), (1, 0, 2, 2, 0, 'small', false), (1, 0, 2, 2, 1, 'ring', false), (1, 1, 2, 1, 0, 'economy', false)") + _SHOW.format(15), "nodes")
 def bm25_phrase(t: Tables) -> DataFrame:
-    return _show(r.bm25(_nodes(t), _queries(t, "red_widget", "small_ring economy")), 15)
+    return _show(r.bm25(t.symbol_index, _queries(t, "red_widget", "small_ring economy")), 15)
 
 
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ ,
 top AS (SELECT h.*, coalesce(centrality, 0.0) AS centrality FROM hits h LEFT JOIN centrality c ON c.key = h.id WHERE rank <= 50)
 SELECT qid, id, round(0.6 * score / greatest(1e-10, max(score) OVER w) + 0.4 * centrality / greatest(1e-10, max(centrality) OVER w), 6) AS combined FROM top WINDOW w AS (PARTITION BY qid)""", "nodes centrality")
 def hybrid_search(t: Tables) -> DataFrame:
-    return r.hybrid(r.bm25(_nodes(t), _queries(t, "ring", "promo")), t.centrality.withColumnRenamed("key", "id")).select("qid", "id", F.round("combined", 6).alias("combined"))
+    return r.hybrid(r.bm25(t.symbol_index, _queries(t, "ring", "promo")), t.centrality.withColumnRenamed("key", "id")).select("qid", "id", F.round("combined", 6).alias("combined"))
 
 
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ SELECT n.key, coalesce(h.qid, -1) AS qid, round(coalesce(score, 0.0), 6) AS score, round(coalesce(centrality, 0.0) * 1e6, 4) AS centrality
 FROM nodes n LEFT JOIN hits h ON h.id = n.key LEFT JOIN centrality c ON c.key = n.key WHERE n.kind IN ('Method', 'Interface')""", "nodes centrality")
 def hybrid_left_join(t: Tables) -> DataFrame:
     """Text scores and centrality of candidates, 0 where there is none."""
-    scores = r.bm25(_nodes(t), _queries(t, "ring", "promo")).withColumnRenamed("id", "key")
+    scores = r.bm25(t.symbol_index, _queries(t, "ring", "promo")).withColumnRenamed("id", "key")
     rows = t.nodes.filter(C("kind").isin("Method", "Interface")).select("key").join(scores, "key", "left").join(t.centrality, "key", "left")
     return rows.select("key", F.coalesce("qid", F.lit(-1)).alias("qid"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.round(F.coalesce("centrality", F.lit(0.0)) * 1e6, 4).alias("centrality"))
 
@@ -109,7 +109,7 @@ def hybrid_left_join(t: Tables) -> DataFrame:
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'bolt', false), (1, 0, 1, 1, 0, 'customer', false)") + " SELECT qid, id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS closeness FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM hits WHERE rank <= 5) WHERE abs(score) <= 1.2 * abs(best)", "nodes")
 def disambiguation(t: Tables) -> DataFrame:
     """The five best symbols of a name, those within 1.2 times the best one's magnitude being its alternatives."""
-    hits = r.top_hits(r.bm25(_nodes(t), _queries(t, "bolt", "customer")), 5)
+    hits = r.bm25_top(t.symbol_index, _queries(t, "bolt", "customer"), 5)
     best = F.max("score").over(Window.partitionBy("qid"))
     close = C("score") / best
     return hits.withColumn("best", best).filter(F.abs("score") <= 1.2 * F.abs("best")).select("qid", "id", C("rank").cast("long").alias("rank"), F.round(close, 6).alias("closeness"))
