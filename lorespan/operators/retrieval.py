@@ -226,9 +226,13 @@ def intents(queries: DataFrame) -> DataFrame:
     """
     rows = _best_two(queries.withColumn("_q", F.lower("query")), keyword_scores(C("_q")), 0.0, "_hits")
     known, rest = rows.filter(F.size("_hits") > 0), rows.filter(F.size("_hits") == 0)
-    words = rest.filter("_q <> ''").select("qid", "_q", F.explode(F.array_distinct(F.concat(F.split(F.trim("_q"), r"\s+"), F.array("_q")))).alias("w"))
-    table = queries.sparkSession.createDataFrame([(i, k, w) for i, (k, ws) in enumerate(KEYWORDS.items()) for w in ws], "place int, intent string, keyword string")
-    near = words.crossJoin(F.broadcast(table)).withColumn("s", fn.jaro_winkler("w", "keyword"))  # a fixed table of some 35 rows
+    rest = cut(rest)
+    words = rest.filter("_q <> ''").select("qid", F.explode(F.array_distinct(F.split(F.trim("_q"), r"\s+"))).alias("w"))
+    table = F.broadcast(queries.sparkSession.createDataFrame([(i, k, w) for i, (k, ws) in enumerate(KEYWORDS.items()) for w in ws], "place int, intent string, keyword string"))  # some 35 rows
+    like = lambda rows: rows.crossJoin(table).withColumn("s", fn.jaro_winkler("w", "keyword")).filter("s > 0.7").groupBy("w", "place", "intent").agg(F.max("s").alias("s"))
+    near = words.join(like(words.select("w").distinct()), "w")  # a word is compared once, however often it is said
+    whole = rest.filter("_q <> ''").select("qid", C("_q").alias("w"))
+    near = near.unionByName(whole.join(like(whole.select("w").distinct()), "w"))
     best = near.groupBy("qid", "place", "intent").agg(F.max("s").alias("s")).filter("s > 0.7")
     fuzzy = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-C("s")).alias("minus"), "place", "intent"))).alias("_near"))
     found = known.select("qid", "query", _pick(C("_hits")).alias("r")).unionByName(rest.join(fuzzy, "qid", "left").select("qid", "query", _pick(C("_near")).alias("r")))

@@ -134,15 +134,22 @@ def _terms_sql(column: str) -> str:
     return f"regexp_extract_all(translate(lower({column}), '{fn.FOLD_FROM}', '{fn.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-@query(f"""WITH expected AS (SELECT item_id, unnest({_terms_sql('text')}[1:5]) AS term FROM benchmark UNION ALL SELECT -1, NULL)
-SELECT e.item_id, CASE WHEN count(e.term) = 0 THEN 1.0 ELSE round(count_if(contains(lower(coalesce(d.text, '')), e.term))::DOUBLE / count(e.term), 6) END AS recall FROM expected e LEFT JOIN documents d ON d.doc_id = e.item_id GROUP BY 1""")
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), expected AS (SELECT item_id, list_distinct({_terms_sql('text')}) AS terms FROM benchmark UNION ALL SELECT -1, []),
+held AS (SELECT DISTINCT item_id, unnest(list_filter(terms, lambda x: contains(lower(coalesce(d.text, '')), x))) AS term FROM n, documents d JOIN expected e ON e.item_id = d.doc_id % n.n)
+SELECT e.item_id, CASE WHEN len(any_value(terms)) = 0 THEN 1.0 ELSE round(count(h.term)::DOUBLE / len(any_value(terms)), 6) END AS recall FROM expected e LEFT JOIN held h USING (item_id) GROUP BY 1""")
 def eval_recall(t: Tables) -> DataFrame:
-    """Share of each case's first five terms that its context, the document of its number, holds as substrings; 1 without any."""
-    expected = t.raw("benchmark").select("item_id", F.explode(F.slice(fn.terms(C("text")), 1, 5)).alias("term"))
-    expected = expected.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit(None).cast("string").alias("term")))
-    rows = expected.join(t.raw("documents").select(C("doc_id").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("context")), "item_id", "left")
-    found = F.count_if(F.coalesce(F.contains("context", "term"), F.lit(False)))
-    return rows.groupBy("item_id").agg(F.when(F.count("term") == 0, 1.0).otherwise(F.round(F.try_divide(found, F.count("term")), 6)).alias("recall"))
+    """Share of each case's different terms that its context holds as substrings; 1 without any.
+
+    All documents are dealt to the cases by number, and a case's context is all of its own.
+    """
+    cases = t.raw("benchmark").select("item_id", F.array_distinct(fn.terms(C("text"))).alias("terms"))
+    cases = cases.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.array().cast("array<string>").alias("terms")))
+    many = t.raw("benchmark").count()
+    docs = t.raw("documents").select((C("doc_id") % many).alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("context"))
+    held = docs.join(cases, "item_id").select("item_id", F.explode(F.filter("terms", lambda x: F.contains("context", x))).alias("term"))
+    found = held.distinct().groupBy("item_id").agg(F.count("*").alias("n"))
+    share = F.round(F.try_divide(F.coalesce("n", F.lit(0)), F.size("terms")), 6)
+    return cases.join(found, "item_id", "left").select("item_id", F.when(F.size("terms") == 0, 1.0).otherwise(share).alias("recall"))
 
 
 @query(""" , m AS (SELECT session_id, event_type AS metric, value / 100.0 AS value FROM sessions WHERE event_type <> 'start')

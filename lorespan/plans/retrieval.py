@@ -120,13 +120,24 @@ _PROMPTS = ["", "why is this function crashing", "fix the bug in auth", "refacto
 _PROMPT_ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PROMPTS))
 
 
-@query(f"SELECT qid, trim(regexp_replace(translate(q, '\"''()*+-:^{{}}', '           '), '\\s+', ' ', 'g')) AS clean FROM (VALUES {_PROMPT_ROWS}) v(qid, q)")
+def _talk(t: Tables) -> DataFrame:
+    """What is said in conversations, accents folded, as queries; without other letters, which not every engine counts alike."""
+    said = F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), fn.FOLD_FROM, fn.FOLD_TO), r"[^\x00-\x7F]", "")
+    return t.raw("conversations").select((C("conv_id") * 1000 + C("turn")).alias("qid"), said.alias("query"))
+
+
+_TALK = f"SELECT conv_id * 1000 + turn AS qid, regexp_replace(translate(lower(coalesce(text, '')), '{fn.FOLD_FROM}', '{fn.FOLD_TO}'), '[^\\x00-\\x7F]', '', 'g') AS query FROM conversations"
+
+
+@query(f"SELECT qid, trim(regexp_replace(translate(query, '\"''()*+-:^{{}}', '           '), '\\s+', ' ', 'g')) AS clean FROM ({_TALK} UNION ALL SELECT -1 - qid, q FROM (VALUES {_PROMPT_ROWS}) v(qid, q))")
 def query_sanitiser(t: Tables) -> DataFrame:
-    return _queries(t, *_PROMPTS).select("qid", fn.sanitise(C("query")).alias("clean"))
+    """Of all that is said, and of prompts with marks in them."""
+    marked = _queries(t, *_PROMPTS).select((-1 - C("qid")).cast("long").alias("qid"), "query")
+    return _talk(t).unionByName(marked).select("qid", fn.sanitise(C("query")).alias("clean"))
 
 
 _KEYWORD_ROWS = ", ".join(f"({i}, '{k}', '{w}')" for i, (k, ws) in enumerate(r.KEYWORDS.items()) for w in ws)
-_INTENT_SQL = f"""WITH p(qid, query) AS (VALUES {_PROMPT_ROWS}), k(place, intent, kw) AS (VALUES {_KEYWORD_ROWS}), pk AS (SELECT qid, lower(query) AS q, place, intent, kw FROM p, k),
+_INTENT_SQL = f"""WITH p AS ({_TALK} UNION ALL SELECT -1 - qid, q FROM (VALUES {_PROMPT_ROWS}) v(qid, q)), k(place, intent, kw) AS (VALUES {_KEYWORD_ROWS}), pk AS (SELECT qid, lower(query) AS q, place, intent, kw FROM p, k),
 ks AS (SELECT qid, place, intent, sum(CASE WHEN contains(q, kw) THEN CASE WHEN starts_with(q, kw) THEN 1.5 ELSE 1.0 END ELSE 0.0 END)::DOUBLE AS s FROM pk GROUP BY ALL HAVING sum(CASE WHEN contains(q, kw) THEN 1 ELSE 0 END) > 0),
 fs AS (SELECT qid, place, intent, max(greatest(jaro_winkler_similarity(q, kw), list_max(list_transform(regexp_split_to_array(trim(q), '\\s+'), lambda w: jaro_winkler_similarity(w, kw))))) AS s FROM pk WHERE q <> '' AND qid NOT IN (SELECT qid FROM ks) GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, place) AS r FROM (SELECT * FROM ks UNION ALL SELECT * FROM fs WHERE s > 0.7)), a AS (SELECT * FROM s WHERE r = 1), b AS (SELECT * FROM s WHERE r = 2)"""
@@ -134,20 +145,34 @@ s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, place) AS r
 
 @query(_INTENT_SQL + " SELECT p.qid, coalesce(a.intent, 'understand') AS primary_intent, CASE WHEN a.s - b.s < 0.1 THEN b.intent END AS secondary, CASE WHEN a.s - b.s < 0.1 THEN 0.6 ELSE 1.0 END::DOUBLE AS primary_weight FROM p LEFT JOIN a USING (qid) LEFT JOIN b USING (qid)")
 def intent_fuzzy(t: Tables) -> DataFrame:
-    return r.intents(_queries(t, *_PROMPTS)).select("qid", C("primary").alias("primary_intent"), "secondary", "primary_weight")
+    """Intents of all that is said in conversations, and of prompts."""
+    return r.intents(_asked(t)).select("qid", C("primary").alias("primary_intent"), "secondary", "primary_weight")
+
+
+def _asked(t: Tables) -> DataFrame:
+    return _talk(t).unionByName(_queries(t, *_PROMPTS).select((-1 - C("qid")).cast("long").alias("qid"), "query"))
 
 
 @query(_INTENT_SQL + " SELECT qid, intent, s AS score FROM ks")
 def intent_keywords(t: Tables) -> DataFrame:
-    rows = _queries(t, *_PROMPTS).withColumn("q", F.lower("query"))
+    rows = _asked(t).withColumn("q", F.lower("query"))
     scores = F.array(*[F.struct(F.lit(k).alias("intent"), s.alias("score")) for k, s in r.keyword_scores(C("q")).items()])
     return rows.select("qid", F.explode(scores).alias("x")).select("qid", "x.intent", "x.score").filter("score > 0")
 
 
-@query(f"SELECT i.name = e.expected AS ok, count(*) AS n FROM ({_INTENT_SQL} SELECT p.qid, coalesce(a.intent, 'understand') AS name FROM p LEFT JOIN a USING (qid)) i JOIN (VALUES (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (8, 'debug'), (9, 'understand'), (10, 'review'), (11, 'understand'), (12, 'understand'), (13, 'debug'), (14, 'extend'), (15, 'understand')) e(qid, expected) USING (qid) GROUP BY 1")
+#: The intent that each prompt is known to have, in the order of the prompts.
+_KNOWN = ("understand", "debug", "debug", "refactor", "understand", "extend", "review", "understand", "debug", "understand", "review", "understand", "understand", "debug", "extend", "understand")
+_KNOWN_ROWS = ", ".join(f"({i}, '{p}', '{k}')" for i, (p, k) in enumerate(zip(_PROMPTS, _KNOWN, strict=True)))
+
+
+@query(f"""{_INTENT_SQL.replace("WITH p AS (" + _TALK + " UNION ALL SELECT -1 - qid, q FROM (VALUES " + _PROMPT_ROWS + ") v(qid, q))", f"WITH e(i, prompt, expected) AS (VALUES {_KNOWN_ROWS}), p AS (SELECT talk.qid, prompt || ' ' || query AS query, expected FROM ({_TALK}) talk JOIN e ON e.i = talk.qid % {len(_PROMPTS)})")}
+SELECT coalesce(a.intent, 'understand') = p.expected AS ok, count(*) AS n FROM p LEFT JOIN a USING (qid) GROUP BY 1""")
 def eval_intent_accuracy(t: Tables) -> DataFrame:
-    expected = t.spark.sql("select * from values (0, 'understand'), (1, 'debug'), (2, 'debug'), (3, 'refactor'), (4, 'understand'), (5, 'extend'), (6, 'review'), (7, 'understand'), (8, 'debug'), (9, 'understand'), (10, 'review'), (11, 'understand'), (12, 'understand'), (13, 'debug'), (14, 'extend'), (15, 'understand') as e(qid, expected)")
-    return r.intents(_queries(t, *_PROMPTS)).join(expected, "qid").groupBy((C("primary") == C("expected")).alias("ok")).agg(F.count("*").alias("n"))
+    """Cases of a known intent: a prompt before each text that is said."""
+    known = t.spark.createDataFrame([(i, p, k) for i, (p, k) in enumerate(zip(_PROMPTS, _KNOWN, strict=True))], "i long, prompt string, expected string")
+    cases = _talk(t).join(F.broadcast(known), C("qid") % len(_PROMPTS) == C("i")).select("qid", F.concat("prompt", F.lit(" "), "query").alias("query"), "expected")
+    found = r.intents(cases.select("qid", "query")).select("qid", "primary").join(cases.select("qid", "expected"), "qid")
+    return found.groupBy((C("primary") == C("expected")).alias("ok")).agg(F.count("*").alias("n"))
 
 
 _AS_OF = EPOCH + 3_000_000
