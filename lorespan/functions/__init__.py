@@ -131,6 +131,43 @@ def is_ignored(path: Column, pattern: str) -> Column:
     return path.rlike(f"(^|/){text}(/|$)")
 
 
+def ignore_rule(line: str, base: str = "") -> tuple[str, bool, bool] | None:
+    """(pattern of a path below the root, exception, folders only) of a line of the ignore file in the folder ``base``.
+
+    None for comments and blank lines. A rule with a slash, but at its end, holds from its folder on, another at any depth
+    below; ``*`` and ``?`` stay within a part of the path, ``**`` spans parts, ``[...]`` is one character of a set.
+    """
+    text = re.sub(r"(?<!\\\\) +$", "", line.rstrip("\r\n"))
+    if not text or text[0] == "#":
+        return None
+    exception = text[0] == "!"
+    text = text[1:] if exception else text[1:] if text[:2] in ("\\#", "\\!") else text
+    folder, inner = text.endswith("/"), text.strip("/")
+    if not inner:
+        return None
+    star = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    one = lambda m: star.get(m.group()) or (f"[{m.group()[1:-1].replace('!', '^', 1) if m.group()[1] == '!' else m.group()[1:-1]}]" if m.group()[0] == "[" else re.escape(m.group()))
+    pattern = re.sub(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]/]+\]|[^*?/\[]+|/|\[", one, inner)
+    head = re.escape(base.strip("/") + "/") if base.strip("/") else ""
+    anywhere = "" if "/" in text.rstrip("/") else "(?:.*/)?"
+    return f"^{head}{anywhere}{pattern}$", exception, folder
+
+
+def ignored_by(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
+    """Whether a file's path below the root is ignored by rules in order: of those that match the last one counts, and what is
+    below an ignored folder is ignored whatever exceptions say."""
+    parts = F.split(path, "/")
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("p"), (i < F.size(parts)).alias("folder")))
+
+    def verdict(x: Column) -> Column:
+        out = F.lit(False)
+        for pattern, exception, folder in rules:
+            out = F.when(x["p"].rlike(pattern) & (x["folder"] if folder else F.lit(True)), F.lit(not exception)).otherwise(out)
+        return out
+
+    return F.exists(whole, verdict) if rules else F.lit(False)
+
+
 def branch_name(name: Column) -> Column:
     """Characters that file names do not take become underscores."""
     return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")

@@ -23,27 +23,34 @@ RUN_EVENT = "type string, session_id string, duration_ms long, message struct<id
 LEVELS = ("trace", "debug", "info", "warn", "error")
 
 
-def ignore_patterns(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
-    """The patterns of an ignore file at the root: no comments, blanks or exceptions; none without the file."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + name)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(at):
+def ignore_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[tuple[str, bool, bool]]:
+    """The rules of all ignore files below the root, those of outer folders first, as ``functions.ignore_rule`` gives them."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
         return []
-    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(at), "UTF-8"))
-    lines = [line.strip() for line in reader.lines().toList()]
-    reader.close()
-    return [x for x in lines if x and x[0] not in "#!"]
+    base, found, listed = files.getFileStatus(top).getPath().toUri().getPath(), [], files.listFiles(top, True)
+    while listed.hasNext():
+        at = listed.next().getPath()
+        if at.getName() == name:
+            found.append((at.getParent().toUri().getPath().removeprefix(base).strip("/"), at))
+    out = []
+    for folder, at in sorted(found, key=lambda x: (x[0].count("/") + bool(x[0]), x[0])):
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(at), "UTF-8"))
+        out += [rule for line in reader.lines().toList() if (rule := fn.ignore_rule(line, folder))]
+        reader.close()
+    return out
 
 
 def source_files(spark: SparkSession, root: str, ignored: list[str] | None = None, docs: bool = False) -> DataFrame:
-    """(file_path, content, mtime) of files in known languages, or of markdown; hidden paths and paths under the root that
-    match an ignored pattern (``functions.is_ignored``), given or in the root's ignore file, are left out."""
+    """(file_path, content, mtime) of files in known languages, or of markdown; hidden paths and paths that are ignored by the
+    given patterns and then by the ignore files of the tree (``functions.ignored_by``) are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kind = fn.route(C("path"))
     rows = rows.filter(kind == ("doc" if docs else "code")).filter(~C("path").rlike(r"/\.[^/]"))
     below = F.split_part(C("path"), F.lit(root.rstrip("/").split(":", 1)[-1].replace("//", "/") + "/"), F.lit(-1))
-    for pattern in [*(ignored or []), *ignore_patterns(spark, root)]:
-        rows = rows.filter(~fn.is_ignored(below, pattern))
+    given = [rule for x in ignored or [] if (rule := fn.ignore_rule(x))]
+    rows = rows.filter(~fn.ignored_by(below, given + ignore_rules(spark, root)))
     return rows.select(C("path").alias("file_path"), F.decode("content", "utf-8").alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
