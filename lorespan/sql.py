@@ -14,6 +14,11 @@ _READS = re.compile(r"^\s*(?:--[^\n]*\n\s*|/\*.*?\*/\s*|\(\s*)*(select|with|expl
 _WRITES = re.compile(r"\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|truncate\s+table|create\s|drop\s|alter\s|update\s+\w+\s+set)\b", re.I)
 
 
+#: ``glob(pattern, value)``: * and ? span anything, line ends too; sets in brackets, ``!`` or ``^`` first for all others.
+GLOB = r"""CREATE OR REPLACE TEMPORARY FUNCTION glob(pattern STRING, value STRING) RETURNS BOOLEAN RETURN value RLIKE concat('(?s)^',
+  replace(replace(replace(regexp_replace(regexp_replace(pattern, r'([.$+(){}|\\])', r'\\$1'), r'(?<!\[)\^', r'\\^'), '[!', '[^'), '*', '.*'), '?', '.'), r'\z')"""
+
+
 def read_only(text: str) -> bool:
     """Whether a text is one reading statement; ``WITH`` may lead to a write, so writes anywhere outside strings do not pass."""
     bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
@@ -29,7 +34,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 
 
 def run(spark: SparkSession, text: str) -> DataFrame:
-    """Runs a reading statement; ValueError for any other."""
+    """Runs a reading statement, which may call ``glob``; ValueError for any other."""
     if not read_only(text):
         raise ValueError("only a single reading statement is run")
+    spark.sql(GLOB)
     return spark.sql(text.strip().rstrip(";"))
