@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +49,40 @@ def version_changes(versions: DataFrame, key: str) -> DataFrame:
     rows = versions.withColumns({"distance": F.row_number().over(w), "_sig": older("signature_hash"), "_edges": older("edges_json"), "_n": older("version_num")})
     change = F.when(C("signature_hash") != C("_sig"), 1.0).when(C("edges_json") != C("_edges"), 0.7).otherwise(0.4)
     return rows.filter(C("_n").isNotNull()).withColumn("significance", change).drop("_sig", "_edges", "_n")
+
+
+#: How an aggregate of parts of a frame becomes that of the frame; null parts are those without a value.
+_MERGED = {"sum": lambda parts: F.when(reduce(or_, [p.isNotNull() for p in parts]), reduce(add, [F.coalesce(p, F.lit(0)) for p in parts])), "count": lambda parts: reduce(add, parts), "min": lambda parts: F.least(*parts) if len(parts) > 1 else parts[0], "max": lambda parts: F.greatest(*parts) if len(parts) > 1 else parts[0]}
+
+
+def framed(rows: DataFrame, name: str, aggregate: str, value: str, partition: list[str], order: list[Column], start: int | None, end: int | None, exclude: str | None = None) -> DataFrame:
+    """Adds ``name``: sum, count, min or max of ``value`` over a GROUPS frame, less what ``exclude`` says.
+
+    The frame goes from ``start`` to ``end`` groups of peers (rows equal in ``order``) around a row's own: negative
+    before it, None without end. ``exclude``: ``current row``, ``group`` (own peers) or ``ties`` (own peers but the row).
+    A group's number is its dense rank, so groups before and after are range frames over that number, and the own group is
+    parted into the row and the peers on either side. Nothing is joined or subtracted, and all parts are windows within the
+    partition's one shuffle. Null keys are peers of each other; a frame without a value gives null, a count of it 0.
+    """
+    if exclude not in (None, "current row", "group", "ties") or aggregate not in _MERGED:
+        raise ValueError(f"unknown exclusion {exclude!r} or aggregate {aggregate!r}")
+    low, high = Window.unboundedPreceding if start is None else start, Window.unboundedFollowing if end is None else end
+    group, own = "_group_" + name, getattr(F, aggregate)(value)
+    by_group = Window.partitionBy(*partition).orderBy(group)
+    peers = Window.partitionBy(*partition, group).orderBy(group)
+    parts = []
+    if low <= 0 <= high and exclude is not None:
+        if low < 0:
+            parts.append(own.over(by_group.rangeBetween(low, -1)))
+        if high > 0:
+            parts.append(own.over(by_group.rangeBetween(1, high)))
+        if exclude == "current row":
+            parts += [own.over(peers.rowsBetween(Window.unboundedPreceding, -1)), own.over(peers.rowsBetween(1, Window.unboundedFollowing))]
+        elif exclude == "ties":
+            parts.append(F.when(C(value).isNotNull(), 1).otherwise(0).cast("long") if aggregate == "count" else C(value))
+    elif low <= high:
+        parts.append(own.over(by_group.rangeBetween(low, high)))
+    kind = rows.select(own).schema[0].dataType
+    empty = F.lit(0 if aggregate == "count" else None)
+    numbered = rows.withColumn(group, F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
+    return numbered.withColumn(name, (_MERGED[aggregate](parts) if parts else empty).cast(kind)).drop(group)

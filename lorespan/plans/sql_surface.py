@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lorespan import sql
 from lorespan.adapters import Tables
-from lorespan.plans.registry import ENTRIES
+from lorespan.operators import documents, windows
+from lorespan.plans.registry import ENTRIES, query
 
 #: Key: (Spark SQL, DuckDB SQL or None where the same text runs on both).
 _SUITE = {
@@ -83,3 +85,32 @@ def _plan(text: str):
 
 for _name, (_spark, _duck) in _SUITE.items():
     ENTRIES[_name] = _plan(_spark), _duck or _spark
+
+
+_OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderpriority GROUPS BETWEEN"
+
+
+@query(f"""SELECT o_orderkey, sum(o_orderkey) {_OVER} 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS near, count(o_orderkey) {_OVER} 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS others,
+  min(o_totalprice) {_OVER} UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS least_before, max(o_totalprice) {_OVER} CURRENT ROW AND 2 FOLLOWING EXCLUDE TIES) AS most_after FROM orders""")
+def groups_frames(t: Tables) -> DataFrame:
+    """Each order among its customer's, in groups of one status and priority."""
+    order, out = [F.col("o_orderstatus"), F.col("o_orderpriority")], t.raw("orders")
+    for name, what, value, start, end, exclude in (
+        ("near", "sum", "o_orderkey", -1, 1, None),
+        ("others", "count", "o_orderkey", -1, 1, "current row"),
+        ("least_before", "min", "o_totalprice", None, 0, "group"),
+        ("most_after", "max", "o_totalprice", 0, 2, "ties"),
+    ):
+        out = windows.framed(out, name, what, value, ["o_custkey"], order, start, end, exclude)
+    return out.select("o_orderkey", "near", "others", "least_before", "most_after")
+
+
+@query("""SELECT event_id, j.key, CASE j.type WHEN 'VARCHAR' THEN 'text' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'BOOLEAN' THEN j.value::VARCHAR ELSE lower(j.type) END AS type,
+  CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(j.value, '$') END AS atom, j.fullkey, j.path
+  FROM (SELECT event_id, '{"at": {"type": "' || event_type || '", "user": ' || user_id || '}, "marks": [' || (event_id % 7) || ', [true, null]], "props": ' || coalesce(props, '{}') || '}' AS doc FROM events) e, json_tree(e.doc) j""")
+def json_tree(t: Tables) -> DataFrame:
+    """Every value of every event's nested record."""
+    part = lambda x: F.lit(x) if x.startswith(('"', "{", "}", ",", "[", "]")) else F.col(x).cast("string")
+    parts = [part('{"at": {"type": "'), part("event_type"), part('", "user": '), part("user_id"), part('}, "marks": ['), (F.col("event_id") % 7).cast("string"), part(', [true, null]], "props": '), F.coalesce("props", F.lit("{}")), part("}")]
+    found = documents.json_tree(t.raw("events").select("event_id", F.concat(*parts).alias("doc")), "doc", ["event_id"])
+    return found.select("event_id", "key", "type", "atom", "fullkey", "path")

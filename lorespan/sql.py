@@ -18,6 +18,10 @@ _WRITES = re.compile(r"\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|t
 GLOB = r"""CREATE OR REPLACE TEMPORARY FUNCTION glob(pattern STRING, value STRING) RETURNS BOOLEAN RETURN value RLIKE concat('(?s)^',
   replace(replace(replace(regexp_replace(regexp_replace(pattern, r'([.$+(){}|\\])', r'\\$1'), r'(?<!\[)\^', r'\\^'), '[!', '[^'), '*', '.*'), '?', '.'), r'\z')"""
 
+#: ``json_each(text)``: a row for each member of the outermost object or array; none for null or broken texts.
+EACH = """CREATE OR REPLACE TEMPORARY FUNCTION json_each(text STRING) RETURNS TABLE (key STRING, value STRING)
+  RETURN SELECT coalesce(m.key, CAST(m.pos AS STRING)), CAST(m.value AS STRING) FROM LATERAL variant_explode(try_parse_json(text)) AS m"""
+
 
 def read_only(text: str) -> bool:
     """Whether a text is one reading statement; ``WITH`` may lead to a write, so writes anywhere outside strings do not pass."""
@@ -34,8 +38,9 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 
 
 def run(spark: SparkSession, text: str) -> DataFrame:
-    """Runs a reading statement, which may call ``glob``; ValueError for any other."""
+    """Runs a reading statement, which may call ``glob`` and ``json_each``; ValueError for any other."""
     if not read_only(text):
         raise ValueError("only a single reading statement is run")
-    spark.sql(GLOB)
+    for function in (GLOB, EACH):
+        spark.sql(function)
     return spark.sql(text.strip().rstrip(";"))
