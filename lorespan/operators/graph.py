@@ -369,3 +369,103 @@ def greedy_matching(scored: DataFrame, group: list[str], head: int = 1 << 16) ->
             free = free.join(found.select(*group, end), [*group, end], "left_anti")
         old, left = left, cut(free.select(*columns))
         discard(old)
+
+
+#: Scores at which a large matching stops to take pairs; the shares below are those of ``symbol_similarity``.
+BANDS = (0.9, 0.8, 0.75, 0.7, 0.65)
+NAME, SIGNATURE, BODY, NEAR = 0.3, 0.25, 0.25, 0.15
+_SLACK = 1e-9
+
+
+def _rare_first(rows: DataFrame, counts: DataFrame, group: list[str], side: str) -> DataFrame:
+    """A row for each neighbour of each symbol: its place by rarity among the symbol's own, and how many those are."""
+    each = rows.select(*group, f"{side}_id", F.explode(F.array_distinct(f"{side}_neighbours")).alias("_token")).join(counts, [*group, "_token"])
+    own = Window.partitionBy(*group, f"{side}_id")
+    return each.withColumns({"_place": F.row_number().over(own.orderBy("_often", "_token")), "_own": F.count("*").over(own)}).drop("_often")
+
+
+def _first(size: Column, share: float) -> Column:
+    """How many members of a set, in a common order, meet those of any set of at least this Jaccard similarity."""
+    return F.least(size, size - F.ceil(size * share - _SLACK) + 1)
+
+
+def similar_candidates(old: DataFrame, new: DataFrame, group: list[str], floor: float) -> DataFrame:
+    """(group, old_id, new_id): all pairs of a group that may score over ``floor``, without comparing all.
+
+    A pair over the floor can lose only so much on names, signatures, bodies and neighbours. Bodies are equal or the loss
+    has room for them; likewise either neighbours are shared, as many as the rest of the loss leaves, and then pairs meet at
+    their rarest ones, or it has room for none. As far as the signatures bind, pairs also meet at a parameter.
+    """
+    sides = {"old": old, "new": new}
+    each = reduce(DataFrame.unionByName, [rows.select(*group, F.explode(F.array_distinct(f"{s}_neighbours")).alias("_token")) for s, rows in sides.items()])
+    counts = each.groupBy(*group, "_token").agg(F.count("*").alias("_often"))
+    near = {s: cut(_rare_first(rows, counts, group, s)) for s, rows in sides.items()}
+    found = []
+
+    def meet(left: float, same_body: bool, share: float | None) -> None:
+        signature, keyed = 1 - left / SIGNATURE, []
+        for side, rows in sides.items():
+            given = F.array_sort(parameters(f"{side}_signature"))
+            some = F.slice(given, 1, F.greatest(F.lit(1), _first(F.size(given), max(0.0, (signature - 0.4) / 0.6)).cast("int")))
+            at = F.when(F.size(given) > 0, some).otherwise(F.array(F.lit(""))) if signature > 0.4 else F.array(F.lit(""))
+            body = C(f"{side}_checksum") if same_body else F.lit("")
+            # without room for any loss on names they are equal: unlike ones of n characters lose 1 / (5 n) or more
+            name = C(f"{side}_name") if left < 10 * _SLACK else F.lit("")
+            rows = rows.select(*group, f"{side}_id", body.alias("_body"), name.alias("_name"), F.explode(at).alias("_at"))
+            if share is not None:
+                rows = rows.join(near[side].filter(C("_place") <= _first(C("_own"), share)).select(*group, f"{side}_id", "_token"), [*group, f"{side}_id"])
+            keyed.append(rows)
+        keys = [*group, "_body", "_name", "_at", *(["_token"] if share is not None else [])]
+        found.append(keyed[0].join(keyed[1], keys).select(*group, "old_id", "new_id"))
+
+    for same_body in (True, False):
+        left = 1 - floor - (0 if same_body else BODY) + _SLACK
+        if left > 0:
+            meet(left, same_body, max(0.0, 1 - left / NEAR))
+        if left - NEAR > 0:
+            meet(left - NEAR, same_body, None)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _at_most(pairs: DataFrame) -> Column:
+    """What a pair can score at most, from lengths and sets alone."""
+    short, long = (f(F.length("old_name"), F.length("new_name")) for f in (F.least, F.greatest))
+    jaro = (F.coalesce(F.try_divide(short, long), F.lit(1.0)) + 2) / 3
+    a, b = parameters("old_signature"), parameters("new_signature")
+    one = returned("old_signature").isNull() != returned("new_signature").isNull()
+    signature = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(jaccard(a, b) * 0.6 + F.when(one, 0.0).otherwise(0.4))
+    body = F.when(C("old_checksum") == C("new_checksum"), BODY).otherwise(0.0)
+    return (jaro + (1 - jaro) * 0.4) * NAME + signature * SIGNATURE + body + jaccard(C("old_neighbours"), C("new_neighbours")) * NEAR + C("same_file") * 0.05
+
+
+def matched_symbols(old: DataFrame, new: DataFrame, group: list[str], same_file: Column, least: float = 0.6, digits: int | None = None, plain: int = 1 << 22) -> DataFrame:
+    """``greedy_matching`` of all old with all new symbols of a group that score over ``least``.
+
+    old, new: group columns and those of ``symbol_similarity`` with old_ or new_ before them; ids are unique in a group.
+    ``digits`` rounds scores first. Up to ``plain`` pairs are all scored. Beyond that pairs are taken in bands from the
+    best score down: what may score over a band's floor is found by its bounds, and matched symbols leave, so that the
+    wide searches of the lower bands are left to the few symbols that changed much. The walk is best first anyhow, so the
+    result is the same.
+    """
+    sides, taken = {"old": old.dropna(subset=group), "new": new.dropna(subset=group)}, []
+    for floor in (*(b for b in BANDS if b > least), least):
+        many = [rows.groupBy(*group).agg(F.count("*").alias(s)) for s, rows in sides.items()]
+        pairs = many[0].join(many[1], group).agg(F.sum(C("old").cast("double") * C("new"))).first()[0] or 0
+        if not pairs:
+            break
+        if pairs <= plain:
+            floor, both = least, sides["old"].join(sides["new"], group)
+        else:
+            both = similar_candidates(sides["old"], sides["new"], group, floor)
+            both = both.join(sides["old"], [*group, "old_id"]).join(sides["new"], [*group, "new_id"])
+        both = both.withColumn("same_file", same_file.cast("double"))
+        if pairs > plain:
+            both = both.filter(_at_most(both) > floor - 2 * _SLACK)
+        scored = symbol_similarity(both)
+        scored = (scored if digits is None else scored.withColumn("score", F.round("score", digits))).filter(C("score") > floor)
+        taken.append(greedy_matching(scored, group))
+        if floor == least:
+            break
+        sides = {s: cut(rows.join(taken[-1].select(*group, f"{s}_id"), [*group, f"{s}_id"], "left_anti")) for s, rows in sides.items()}
+    empty = sides["old"].join(sides["new"], group).select(*group, "old_id", "new_id", F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.unionByName, taken) if taken else empty

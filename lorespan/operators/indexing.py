@@ -86,8 +86,7 @@ def changes(old: Index, files: DataFrame, notes: DataFrame) -> Changes:
         return rows.select("file_path", C("id").alias(f"{name}_id"), C("name").alias(f"{name}_name"), C("signature").alias(f"{name}_signature"), C("checksum").alias(f"{name}_checksum"), F.coalesce("near", F.array().cast("array<string>")).alias(f"{name}_neighbours"))
 
     own_raw = old.raw.join(orphans.select(C("id").alias("from_id")), "from_id", "left_semi")
-    pairs = side(orphans, own_raw, "old").join(side(fresh, new_raw, "new"), "file_path").withColumn("same_file", F.lit(1.0))
-    matches = graph.greedy_matching(graph.symbol_similarity(pairs).filter("score > 0.6"), ["file_path"])
+    matches = graph.matched_symbols(cut(side(orphans, own_raw, "old")), cut(side(fresh, new_raw, "new")), ["file_path"], F.lit(1.0))
     moved = memory.migrate(notes, matches.select("old_id", "new_id"), orphans.select("id"))
 
     names = before.select("name").unionByName(new_nodes.select("name")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
@@ -222,16 +222,19 @@ s AS (SELECT old_id, new_id, block, jaro_winkler_similarity(a, b) * 0.3 + (({_LI
   + CASE WHEN same THEN 0.25 ELSE 0.0 END + ({_LIKE.format('na', 'nb')}) * 0.15 + CASE WHEN here THEN 0.05 ELSE 0.0 END AS score FROM p)"""
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """Old and new symbols of each block; blocks are a file's symbols and stay small."""
-    side = lambda name, new: t.symbols(new).select("block", *(C(c).alias(f"{name}_{c}") for c in ("id", "name", "signature", "checksum", "neighbours", "file_path")))
-    here = F.when(C("old_file_path") == C("new_file_path"), 1.0).otherwise(0.0)
-    return g.symbol_similarity(side("old", False).join(side("new", True), "block").withColumn("same_file", here))
+def _here() -> Column:
+    return F.when(C("old_file_path") == C("new_file_path"), 1.0).otherwise(0.0)
+
+
+def _sides(t: Tables) -> list[DataFrame]:
+    """Old and new symbols with their block."""
+    return [t.symbols(new).select("block", *(C(c).alias(f"{name}_{c}") for c in ("id", "name", "signature", "checksum", "neighbours", "file_path"))) for name, new in (("old", False), ("new", True))]
 
 
 @query(_PAIRS + " SELECT old_id, new_id, round(score, 6) AS score FROM s", "new_symbols")
 def cross_similarity(t: Tables) -> DataFrame:
-    return _pairs(t).select("old_id", "new_id", F.round("score", 6).alias("score"))
+    old, new = _sides(t)
+    return g.symbol_similarity(old.join(new, "block").withColumn("same_file", _here())).select("old_id", "new_id", F.round("score", 6).alias("score"))
 
 
 @query(_PAIRS + """ , o AS MATERIALIZED (SELECT block, old_id, new_id, round(score, 9) AS score, row_number() OVER (PARTITION BY block ORDER BY round(score, 9) DESC, old_id, new_id) AS r FROM s WHERE round(score, 9) > 0.6),
@@ -240,5 +243,4 @@ walk(block, r, used, taken, old_id, new_id, score, kept) AS (SELECT DISTINCT blo
   FROM walk w JOIN o ON o.block = w.block AND o.r = w.r + 1, LATERAL (SELECT NOT list_contains(w.used, o.old_id) AND NOT list_contains(w.taken, o.new_id) AS free))
 SELECT block, old_id, new_id, round(score, 6) AS score FROM walk WHERE kept""", "new_symbols", recursive=True)
 def greedy_identity_match(t: Tables) -> DataFrame:
-    scored = _pairs(t).withColumn("score", F.round("score", 9)).filter("score > 0.6")
-    return g.greedy_matching(scored, ["block"]).withColumn("score", F.round("score", 6))
+    return g.matched_symbols(*_sides(t), ["block"], _here(), digits=9).withColumn("score", F.round("score", 6))
