@@ -62,8 +62,10 @@ def reindexing(stream: DataFrame, engine: Engine, load: Callable[[DataFrame], Da
 def session_switches(rows: DataFrame, client: str = "client") -> DataFrame:
     """Requests (client, at, session_id) at which a client's session is another than before, with ``previous``.
 
-    State of a batch only: the first request of a client is a switch from none.
+    State of a batch only: the first request of a client is a switch from none. ``state.session_switches`` keeps it over
+    batches. Requests without a session change nothing.
     """
+    rows = rows.filter("session_id <> ''")
     before = F.lag("session_id").over(Window.partitionBy(client).orderBy("at", "session_id"))
     return rows.withColumn("previous", before).filter(~C("session_id").eqNullSafe(C("previous")))
 
@@ -97,51 +99,57 @@ def follow_ups(capsules: DataFrame, actions: DataFrame, seconds: int = 300, late
     return a.join(b, near).select("capsule_id", "session_id", "event_type", "at")
 
 
-def _edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
+def nearly_equal(a: str, b: str, alike: float = 0.9) -> bool:
+    """Whether 1 - edit distance / longer length is over ``alike``; only that many edits on either side are looked at."""
+    longest = max(len(a), len(b))
+    if a == b or not longest:
+        return True
+    most = int((1 - alike) * longest) + 1
+    far = most + 1
+    row = [min(j, far) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
-def similarity(a: str, b: str) -> float:
-    return 1.0 if not a and not b else 1 - _edit_distance(a, b) / max(len(a), len(b))
-
-
-def thrashing_in(edits: list[tuple[float, str]], least: int = 3, span: float = 300, alike: float = 0.9) -> bool:
-    """Whether the edits (time, checksum) of the last ``span`` seconds are many and go back and forth."""
-    recent = [c for t, c in edits if t >= edits[-1][0] - span]
-    return len(recent) >= least and sum(similarity(x, y) > alike for x, y in zip(recent, recent[1:], strict=False)) >= 2
+        low, high = max(1, i - most), min(len(b), i + most)
+        if low > high:
+            return False
+        before, row[low - 1] = row[low - 1], i if low == 1 and i <= most else far
+        for j in range(low, high + 1):
+            above = row[j] if j < i + most else far
+            before, row[j] = row[j], min(above + 1, row[j - 1] + 1, before + (x != b[j - 1]), far)
+        if min(row[low - 1 : high + 1]) >= far:
+            return False
+    return row[-1] < far and 1 - row[-1] / longest > alike
 
 
 def thrashing(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """(node, at) once for each node whose edits (node, at, checksum) thrash: a window of edits per node as state.
+    """(node, at) once for each node whose edits (node, at, checksum) thrash, as state: three in 300 seconds, two near the one before.
 
-    State goes when no edit came for 48 hours of event time.
+    An edit is compared with the one before it once, when it comes; the window keeps times and whether the two were
+    nearly equal. State goes when no edit came for 48 hours of event time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        fired, times, sums = state.get if state.exists else (False, [], [])
-        edits = list(zip(times, sums, strict=True))
-        found = []
+        fired, times, near, last = state.get if state.exists else (False, [], [], None)
+        times, near, found = list(times), list(near), []
         rows = pd.concat(list(batches)).sort_values("at")
         for at, checksum in zip(rows["at"], rows["checksum"], strict=True):
-            edits = [e for e in [*edits, (at.timestamp(), checksum)] if e[0] >= at.timestamp() - 300]
-            if not fired and thrashing_in(edits):
+            times.append(at.timestamp())
+            near.append(last is not None and checksum is not None and nearly_equal(last, checksum))
+            last = checksum
+            first = next(i for i, t in enumerate(times) if t >= times[-1] - 300)
+            times, near = times[first:], near[first:]
+            if not fired and len(times) >= 3 and sum(near[1:]) >= 2:  # the first one's neighbour is out of the window
                 fired = True
                 found.append((key[0], at))
-        state.update((fired, [t for t, _ in edits], [c for _, c in edits]))
+        state.update((fired, times, near, last))
         state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + 48 * 3600 * 1000)
         if found:
             yield pd.DataFrame(found, columns=["node", "at"])
 
     keyed = stream.withWatermark("at", late).groupBy("node")
-    return keyed.applyInPandasWithState(step, "node string, at timestamp", "fired boolean, times array<double>, sums array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, "node string, at timestamp", "fired boolean, times array<double>, near array<boolean>, last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def failed_searches(stream: DataFrame, least: int = 3, late: str = LATE) -> DataFrame:
