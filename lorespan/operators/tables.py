@@ -45,3 +45,24 @@ def stale_files(found: DataFrame, indexed: DataFrame, strict: bool = True) -> Da
 def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int | Column, rank: str = "rank") -> DataFrame:
     """The first n rows of each key; Spark limits each map task's groups before the shuffle."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+
+
+def estimates(calls: DataFrame, files: DataFrame, ends: DataFrame) -> DataFrame:
+    """calls (call_id, tool, file_path) with ``tokens``: what would be read without an index.
+
+    A capsule stands for its file and all files next to it (ends: from_file, to_file), a search of documents for all
+    documents, reading notes for their file, anything else for nothing. Unknown and null files count as empty. files:
+    file_path, file_type, raw_token_estimate.
+    """
+    c, none = F.col, F.lit(0).cast("long")
+    asked = calls.filter("tool = 'get_capsule'").select("file_path").distinct()
+    apart = ends.filter("from_file <> to_file")
+    ways = [apart.select(c(a).alias("file_path"), c(b).alias("_other")).join(asked, "file_path", "left_semi") for a, b in (("from_file", "to_file"), ("to_file", "from_file"))]
+    sizes = files.select("file_path", c("raw_token_estimate").cast("long").alias("_own"))
+    near = ways[0].union(ways[1]).distinct().join(sizes.withColumnRenamed("file_path", "_other").withColumnRenamed("_own", "_size"), "_other")
+    near = near.groupBy("file_path").agg(F.sum("_size").alias("_near"))
+    documents = files.filter("file_type = 'doc'").agg(F.coalesce(F.sum("raw_token_estimate").cast("long"), none).alias("_documents"))  # one row
+    own, around = F.coalesce("_own", none), F.coalesce("_near", none)
+    tokens = F.when(c("tool") == "get_capsule", own + around).when(c("tool") == "search_docs", c("_documents")).when(c("tool") == "read_annotations", own).otherwise(none)
+    out = calls.join(sizes, "file_path", "left").join(near, "file_path", "left").crossJoin(F.broadcast(documents))
+    return out.select(*calls.columns, tokens.alias("tokens"))

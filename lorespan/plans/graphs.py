@@ -50,6 +50,20 @@ def bfs_bidirectional(t: Tables) -> DataFrame:
     return g.bfs_both(t.edges, starts(t, "s3", "n4"), 1, back=t.edges_back)
 
 
+_AROUND = "('Module', 'Class', 'Interface')"
+
+
+@query(f""" , near AS (SELECT from_key AS start, to_key AS node, 1 AS side FROM links WHERE from_key IN (SELECT from_key FROM links GROUP BY 1 HAVING count(*) <= 100)
+  UNION SELECT to_key, from_key, 0 FROM links WHERE to_key IN (SELECT to_key FROM links GROUP BY 1 HAVING count(*) <= 100)),
+cut AS (SELECT *, row_number() OVER (PARTITION BY start, side ORDER BY node) AS r FROM near WHERE node <> start AND start IN (SELECT key FROM nodes WHERE kind IN {_AROUND})),
+one AS (SELECT start, node, min(side) AS s FROM cut WHERE r <= CASE side WHEN 0 THEN 25 ELSE 50 END GROUP BY 1, 2)
+SELECT start, node FROM one QUALIFY row_number() OVER (PARTITION BY start ORDER BY s, node) <= 50""", "nodes links")
+def one_hop_neighbours(t: Tables) -> DataFrame:
+    """What is next to each module, class and interface: at most 50, around hubs of over 100 edges nothing."""
+    begin = t.nodes.filter(f"kind IN {_AROUND}").select(C("key").alias("start"))
+    return g.bfs_both(t.edges, begin, 1, degree_cap=100, budget=50, back=t.edges_back).select("start", "node")
+
+
 _BUDGETED = f""" , f AS ({_OUT}), b AS ({_IN}), begin(start) AS (VALUES ('s3'), ('c11'), ('n4')),
 walk(start, side, node, depth) AS (SELECT start, side, start, 0 FROM begin, (VALUES (0), (1)) v(side) UNION
   SELECT w.start, w.side, n.dst, w.depth + 1 FROM walk w JOIN (SELECT 0 AS way, * FROM b UNION ALL SELECT 1, * FROM f) n ON n.src = w.node AND n.way = w.side WHERE w.depth < 2 AND n.dst NOT IN ('n0', 'p7')),

@@ -125,16 +125,29 @@ def hex_anchor_check(t: Tables) -> DataFrame:
     return t.nodes.select(fn.is_node_id(F.when(C("seq") % 2 == 0, C("id")).otherwise(C("key"))).alias("ok")).groupBy("ok").agg(F.count("*").alias("n"))
 
 
-@query("""WITH found AS (SELECT 'd' || doc_id AS file_path, doc_id * 10 AS mtime, md5(text) AS content_hash FROM documents),
+_SEEN = """WITH found AS (SELECT 'd' || doc_id AS file_path, doc_id * 10 AS mtime, md5(text) AS content_hash FROM documents),
 indexed AS (SELECT 'd' || doc_id AS file_path, CASE WHEN doc_id % 3 = 0 THEN doc_id * 10 ELSE doc_id * 10 + doc_id % 3 - 2 END AS last_indexed, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE md5(text) END AS content_hash FROM documents WHERE doc_id % 7 <> 0)
-SELECT f.* FROM found f LEFT JOIN indexed x USING (file_path) WHERE x.file_path IS NULL OR (NOT x.last_indexed > f.mtime AND f.content_hash IS DISTINCT FROM x.content_hash)""")
-def freshness_two_stage(t: Tables) -> DataFrame:
+SELECT f.* FROM found f LEFT JOIN indexed x USING (file_path) WHERE x.file_path IS NULL OR (NOT x.last_indexed {0} f.mtime AND f.content_hash IS DISTINCT FROM x.content_hash)"""
+
+
+def _seen(t: Tables) -> list[DataFrame]:
+    """Files as found and as indexed."""
     d = t.raw("documents")
     path, digest = F.concat(F.lit("d"), C("doc_id").cast("string")).alias("file_path"), F.md5("text")
     found = d.select(path, (C("doc_id") * 10).alias("mtime"), digest.alias("content_hash"))
     at = F.when(C("doc_id") % 3 == 0, C("doc_id") * 10).otherwise(C("doc_id") * 10 + C("doc_id") % 3 - 2)
-    indexed = d.filter("doc_id % 7 <> 0").select(path, at.alias("last_indexed"), F.when(C("doc_id") % 5 == 0, "old").otherwise(digest).alias("content_hash"))
-    return ops.stale_files(found, indexed)
+    return [found, d.filter("doc_id % 7 <> 0").select(path, at.alias("last_indexed"), F.when(C("doc_id") % 5 == 0, "old").otherwise(digest).alias("content_hash"))]
+
+
+@query(_SEEN.format(">"))
+def freshness_two_stage(t: Tables) -> DataFrame:
+    return ops.stale_files(*_seen(t))
+
+
+@query(_SEEN.format(">="))
+def freshness_scan(t: Tables) -> DataFrame:
+    """A file indexed in the second of its change is taken as fresh."""
+    return ops.stale_files(*_seen(t), strict=False)
 
 
 @query(""" SELECT a.file_path AS from_file, b.file_path AS to_file, count(*) AS n FROM links l JOIN nodes a ON a.key = l.from_key JOIN nodes b ON b.key = l.to_key WHERE a.file_path <> b.file_path GROUP BY 1, 2""", "nodes links")
@@ -144,6 +157,25 @@ def edge_endpoint_join(t: Tables) -> DataFrame:
     return joined.filter("from_file <> to_file").groupBy("from_file", "to_file").agg(F.count("*").alias("n"))
 
 
+@query(""" , ends AS (SELECT DISTINCT a.file_path AS x, b.file_path AS y FROM links l JOIN nodes a ON a.key = l.from_key JOIN nodes b ON b.key = l.to_key),
+f AS (SELECT file_path, CASE WHEN file_path LIKE 'region/%' THEN 'doc' ELSE 'code' END AS file_type, sum(length(signature)) AS tokens FROM nodes GROUP BY 1),
+near AS (SELECT x, sum(tokens) AS around FROM (SELECT x, y FROM ends WHERE x <> y UNION SELECT y, x FROM ends WHERE x <> y) JOIN f ON f.file_path = y GROUP BY 1),
+calls AS (SELECT event_id AS call_id, CASE event_id % 4 WHEN 0 THEN 'get_capsule' WHEN 1 THEN 'search_docs' WHEN 2 THEN 'read_annotations' ELSE 'write_annotation' END AS tool, CASE WHEN event_id % 9 > 0 THEN 'nation/' || user_id % 30 || '.ts' END AS file_path FROM events)
+SELECT call_id, tool, (CASE tool WHEN 'get_capsule' THEN coalesce(f.tokens, 0) + coalesce(around, 0) WHEN 'search_docs' THEN (SELECT coalesce(sum(tokens), 0) FROM f WHERE file_type = 'doc') WHEN 'read_annotations' THEN coalesce(f.tokens, 0) ELSE 0 END)::BIGINT AS tokens
+FROM calls LEFT JOIN f USING (file_path) LEFT JOIN near ON near.x = calls.file_path""", "nodes links")
+def estimates_without_index(t: Tables) -> DataFrame:
+    """What each call would have read, by its tool; files are those of the graph."""
+    own = t.nodes.select("key", "file_path")
+    kind = F.when(C("file_path").startswith("region/"), "doc").otherwise("code")
+    files = t.nodes.groupBy("file_path").agg(F.sum(F.length("signature")).alias("raw_token_estimate")).withColumn("file_type", kind)
+    of = lambda key, name: own.select(C("key").alias(key), C("file_path").alias(name))
+    ends = t.links.join(of("from_key", "from_file"), "from_key").join(of("to_key", "to_file"), "to_key").select("from_file", "to_file")
+    tool = F.element_at(F.array(*map(F.lit, ("get_capsule", "search_docs", "read_annotations", "write_annotation"))), (C("event_id") % 4 + 1).cast("int"))
+    path = F.when(C("event_id") % 9 > 0, F.concat(F.lit("nation/"), (C("user_id") % 30).cast("string"), F.lit(".ts")))
+    calls = t.raw("events").select(C("event_id").alias("call_id"), tool.alias("tool"), path.alias("file_path"))
+    return ops.estimates(calls, files, ends).select("call_id", "tool", "tokens")
+
+
 @query(""" , ends AS (SELECT a.file_path AS x, b.file_path AS y FROM links l JOIN nodes a ON a.key = l.from_key JOIN nodes b ON b.key = l.to_key),
 near AS (SELECT y AS file_path FROM ends WHERE x = 'nation/3.ts' AND y <> x UNION SELECT x FROM ends WHERE y = 'nation/3.ts' AND x <> y)
 SELECT file_path, length(file_path) * 10 AS tokens FROM near""", "nodes links")
