@@ -2,7 +2,7 @@
 
 State is kept in the checkpoint, so it outlives a restart, and goes some event time after a key's last row. Rows count in
 order of arrival: batch after batch, within a batch by their time; those later than the watermark are left out. One key's
-rows of one batch meet in a task. Times out by event time: by processing time, a run to the end of what there is never ends.
+rows of one batch meet in a task. Times out by event time: by processing time, an available-now run did not end.
 """
 
 from __future__ import annotations
