@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan import functions as fn
+from lorespan import sql
 from lorespan.adapters import EPOCH, Tables
 from lorespan.operators import capsule as cap
 from lorespan.operators import graph as g
@@ -38,8 +39,8 @@ def markdown_chunks(t: Tables) -> DataFrame:
 
 
 def _bm25_sql(asked: str, mode: str = "and") -> str:
-    """On tables d(id, text) and asked rows (qid, phrase, phrases, size, off, term, prefix)."""
-    return f""", asked(qid, phrase, phrases, size, off, term, prefix) AS (VALUES {asked}), t AS (SELECT id, {_terms('text')} AS ts FROM d), tok AS (SELECT id, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM t),
+    """On tables d(id, text) and asked rows (qid, phrase, phrases, size, off, term, prefix), or what selects them."""
+    return f""", asked(qid, phrase, phrases, size, off, term, prefix) AS ({asked if asked.startswith("SELECT") else "VALUES " + asked}), t AS (SELECT id, {_terms('text')} AS ts FROM d), tok AS (SELECT id, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM t),
 n AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_len FROM t), a AS (SELECT qid, phrase, phrases, size, off, term FROM asked WHERE NOT prefix UNION ALL SELECT qid, phrase, phrases, size, off, v.term FROM asked JOIN (SELECT DISTINCT term FROM tok) v ON starts_with(v.term, asked.term) WHERE prefix),
 w AS (SELECT qid, phrase, phrases, size, id, pos - off AS at FROM tok JOIN a USING (term) GROUP BY ALL HAVING count(DISTINCT off) = size), f AS (SELECT qid, phrase, phrases, id, count(*) AS f FROM w GROUP BY ALL), dn AS (SELECT qid, phrase, count(*) AS n FROM f GROUP BY ALL),
 sc AS (SELECT qid, id, phrases, count(*) AS have, sum((CASE WHEN ln((n_docs - dn.n + 0.5) / (dn.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - dn.n + 0.5) / (dn.n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ts) / mean_len))) AS score FROM f JOIN dn USING (qid, phrase) JOIN t USING (id), n GROUP BY ALL),
@@ -90,6 +91,18 @@ def bm25_phrase(t: Tables) -> DataFrame:
     return _show(r.bm25(t.symbol_index, _queries(t, "red_widget", "small_ring economy")), 15)
 
 
+_TYPE_WORDS = f"SELECT kind, i, len(ts), 1, 0, ts[i + 1], false FROM (SELECT kind, ts, unnest(range(len(ts))) AS i FROM (SELECT p_type AS kind, {_terms('p_type')} AS ts FROM part GROUP BY p_type))"
+
+
+@query(_D_NODES + _bm25_sql(_TYPE_WORDS) + " SELECT qid AS kind, count(*) AS symbols, round(max(score), 6) AS best, count(DISTINCT n.name) AS names FROM sc JOIN nodes n ON n.key = sc.id WHERE have = phrases GROUP BY 1", "nodes")
+def bm25_in_sql(t: Tables) -> DataFrame:
+    """Full-text search called in a guarded text: the symbols that match each type of parts."""
+    sql.register(t.spark, t.sf_dir)
+    sql.full_text(t.spark, t.symbol_index, "search_symbols")
+    return sql.run(t.spark, """SELECT k.kind, count(*) AS symbols, round(max(s.score), 6) AS best, count(DISTINCT n.name) AS names
+      FROM (SELECT DISTINCT p_type AS kind FROM part) AS k, LATERAL search_symbols(k.kind) AS s JOIN nodes n ON n.key = s.id GROUP BY k.kind""")
+
+
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ ,
 top AS (SELECT h.*, coalesce(centrality, 0.0) AS centrality FROM hits h LEFT JOIN centrality c ON c.key = h.id WHERE rank <= 50)
 SELECT qid, id, round(0.6 * score / greatest(1e-10, max(score) OVER w) + 0.4 * centrality / greatest(1e-10, max(centrality) OVER w), 6) AS combined FROM top WINDOW w AS (PARTITION BY qid)""", "nodes centrality")
