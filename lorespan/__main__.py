@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from lorespan.api import Engine
 from lorespan.config import load
 from lorespan.operators.indexing import bulk_index
 from lorespan.sources import Store, as_json, source_files
+from lorespan.sql import full_text
 from lorespan.sql import run as run_sql
 
 
@@ -31,6 +33,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     command("reindex", "source")
     command("capsule", "file", symbol=None, query="", budget=8000, detail="standard")
     command("docs", "query", limit=10)
+    command("search", "query", limit=50)
     command("notes", query="", limit=20)
     command("status")
     command("metrics", hours=24)
@@ -55,6 +58,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
             return engine.get_capsules(spark.createDataFrame([row], "request_id int, file string, symbol string, query string, budget int, detail string"))
         case "docs":
             return engine.search_docs(spark.createDataFrame([(0, args.query)], "qid int, query string"), args.limit)
+        case "search":
+            return engine.search_symbols(spark.createDataFrame([(0, args.query)], "qid int, query string"), args.limit).orderBy("rank")
         case "notes":
             return engine.read_annotations(query=args.query, limit=args.limit)
         case "status":
@@ -72,6 +77,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
         case "sql":
             for table in ("nodes", "edges", "files", "annotations", "doc_chunks", "session_log", "token_log", "capsule_log"):
                 engine._read(table).createOrReplaceTempView(table)
+            for name, index in (("search_symbols", engine.symbol_index), ("search_docs", engine.docs_index)):
+                if re.search(rf"\b{name}\s*\(", args.text):
+                    full_text(spark, index(), name)
             return run_sql(spark, args.text)
     return None
 

@@ -9,12 +9,12 @@ from lorespan.config import Settings
 from lorespan import functions as fn
 from lorespan.operators import capsule, graph, memory, retrieval, windows
 from lorespan.operators.indexing import Index, changes
-from lorespan.operators.storage import cut
+from lorespan.operators.storage import cut, kept
 from lorespan.sources import Moved, Store
 
 C = F.col
 #: How many rows each call gives unless told otherwise.
-NOTES_LIMIT, DOCS_LIMIT = 20, 10
+NOTES_LIMIT, DOCS_LIMIT, SYMBOLS_LIMIT = 20, 10, 50
 
 
 class Engine:
@@ -47,7 +47,7 @@ class Engine:
         edges = self._read("edges").select(C("from_id").alias("src"), C("to_id").alias("dst"), "weight")
         words = asked.filter("trim(query) <> ''").select(C("request_id").alias("qid"), "query")
         chunks = self._chunks()
-        hits = retrieval.bm25(chunks.select("id", "text"), words, mode="or")
+        hits = retrieval.bm25(self.docs_index(), words, mode="or")
         best = F.max("score").over(Window.partitionBy("qid"))
         docs = hits.withColumn("bm25", C("score") / best).join(chunks, "id").select(C("qid").alias("request_id"), "id", capsule.doc_text(C("file_path"), C("heading"), C("content")).alias("content"), "bm25")
         meant = retrieval.intents(asked.select(C("request_id").alias("qid"), F.coalesce("query", F.lit("")).alias("query")))
@@ -56,7 +56,8 @@ class Engine:
         reach = graph.mixed_intents(edges, graph.reversed_edges(edges), starts.select("start", "primary", "secondary").distinct(), self.settings.degree_cap, self.settings.node_budget, blocked)
         reach = starts.select(C("qid").alias("request_id"), "start").join(reach, "start").groupBy("request_id", C("node").alias("item")).agg(F.min("place").alias("place"))
         notes, requests = self._read("annotations"), asked.drop("query").withColumn("budget", F.coalesce("budget", F.lit(self.settings.budget)))
-        more = {"signals": self._read("behavioral_signals"), "versions": self._read("node_versions"), "reach": reach}
+        named = self.search_symbols(words).select(C("qid").alias("request_id"), C("id").alias("item"), C("combined").alias("bm25"))
+        more = {"hits": named, "signals": self._read("behavioral_signals"), "versions": self._read("node_versions"), "reach": reach}
         kept = cut(capsule.kept_candidates(requests, nodes, edges, notes, nodes.select(C("key").alias("item"), "centrality"), self.as_of, docs, **more))
         if count and not kept.filter("note_id is not null").isEmpty():
             served = cut(capsule.served_notes(kept))
@@ -69,9 +70,42 @@ class Engine:
 
     def search_docs(self, queries: DataFrame, limit: int = DOCS_LIMIT) -> DataFrame:
         """queries (qid, query): (qid, rank, file_path, heading, content, score)."""
-        chunks = self._chunks()
-        hits = retrieval.bm25_top(retrieval.text_index(chunks.select("id", "text")), queries, limit)
-        return hits.join(chunks, "id").select("qid", "rank", "file_path", "heading", "content", "score")
+        hits = retrieval.bm25_top(self.docs_index(), queries, limit)
+        return hits.join(self._chunks(), "id").select("qid", "rank", "file_path", "heading", "content", "score")
+
+    def docs_index(self) -> retrieval.TextIndex:
+        """The full-text index of the branch's document chunks, stored until their table has another version."""
+        source = self.store.manifest("doc_chunks", self.branch)
+        keep = lambda name, make: kept(self.store.spark, (self.store.root, self.branch, "doc_chunks", name), make, (source,))
+        return retrieval.text_index(self._chunks().select("id", "text"), self.settings.block_docs, keep)
+
+    def symbol_index(self) -> retrieval.TextIndex:
+        """The full-text index of the branch's symbols (name, signature, docstring); indexing stores it and keeps it up."""
+        return self._versioned_index()[0]
+
+    def _versioned_index(self) -> tuple[retrieval.TextIndex, int, int]:
+        """The symbols' index and the versions of its tables; a store from before these had an index is given one."""
+        if not self.store.has("indexed", self.branch):
+            self._post(self._read("nodes"))
+        (table, p), (documents, d) = (self.store.versioned(t, self.branch) for t in ("postings", "indexed"))
+        blocks = documents.agg(F.max("blocks")).first()[0] or 1
+        return retrieval.TextIndex(table, documents.drop("blocks"), blocks), p, d
+
+    def _post(self, nodes: DataFrame) -> None:
+        """Writes the symbols' index anew."""
+        index = retrieval.text_index(_symbol_text(nodes), self.settings.block_docs)
+        self.store.write("postings", index.table, self.branch)
+        self.store.write("indexed", index.documents.withColumn("blocks", F.lit(index.blocks)), self.branch)
+
+    def search_symbols(self, queries: DataFrame, limit: int = SYMBOLS_LIMIT) -> DataFrame:
+        """queries (qid, query): (qid, rank, id, name, kind, file_path, signature, bm25, centrality, combined) of the ``limit`` best
+        by text, in order of 0.6 of the text score and 0.4 of centrality, each over its best."""
+        asked = queries.select("qid", fn.sanitise(C("query")).alias("query"))
+        nodes = self._nodes().select("id", "name", "kind", "file_path", "signature", "centrality")
+        hits = retrieval.bm25_top(self.symbol_index(), asked, limit).drop("rank").join(nodes.select("id"), "id", "left_semi")
+        both = retrieval.hybrid(hits, nodes.select("id", "centrality"), limit)
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(C("combined").desc(), "id"))
+        return both.select("qid", place.alias("rank"), "id", C("score").alias("bm25"), "centrality", "combined").join(nodes.drop("centrality"), "id")
 
     def read_annotations(self, anchor_type: str | None = None, anchor_value: str | None = None, tags: str | None = None, query: str | None = None, limit: int = NOTES_LIMIT) -> DataFrame:
         """Notes of an anchor, with tags that contain a text, matching a query; newest or best first."""
@@ -94,13 +128,15 @@ class Engine:
         tables = {"nodes": index.nodes, "raw_edges": index.raw, "edges": index.edges, "files": index.files}
         for table, rows in (tables if notes is None else tables | {"annotations": notes}).items():
             self.store.write(table, rows, self.branch)
+        self._post(index.nodes)
         if self.store.has("ranks", self.branch):  # those of the index before
             self._rerank(index.nodes.select("id"))
 
     def apply_changes(self, files: DataFrame) -> None:
         """Re-indexes files (file_path, content, mtime) that changed: symbols, edges, ranks and notes, once for all of them.
 
-        What is written are the rows of these files, of callers of names in them, and of ranks that differ. The inventory
+        What is written are the rows of these files, of callers of names in them, of ranks that differ, and the postings of
+        the symbols' blocks. Postings come first, as those of symbols that are gone are found by the nodes before; the inventory
         of files comes last: where another writer was first, or this one dies, the files still count as changed, and
         all is computed anew from what is there.
         """
@@ -114,7 +150,11 @@ class Engine:
             before = notes.select("id", C("anchor_value").alias("_value"), C("stale").alias("_stale"))
             other = ~(C("anchor_value").eqNullSafe(C("_value")) & C("stale").eqNullSafe(C("_stale")))
             moved = cut(new.notes.join(before, "id").filter(other).drop("_value", "_stale"))
+            index, p, d = self._versioned_index()
+            text = index.renewed(_symbol_text(new.nodes), new.gone_ids)
             try:
+                self.store.swap("postings", text.rows, text.touched, self.branch, p)
+                self.store.swap("indexed", text.documents.withColumn("blocks", F.lit(index.blocks)), text.ids, self.branch, d)
                 self.store.swap("nodes", new.nodes, new.paths, self.branch, n)
                 self.store.swap("raw_edges", new.raw, new.gone_ids.select(C("id").alias("from_id")), self.branch, r)
                 self.store.swap("edges", new.edges, new.callers, self.branch, e)
@@ -201,6 +241,12 @@ class Engine:
         return out
 
 
+def _symbol_text(nodes: DataFrame) -> DataFrame:
+    """(id, text): what is searched of a symbol, which is one row even where a file repeats it."""
+    parts = [C(c) for c in ("name", "signature", "docstring") if c in nodes.columns]
+    return nodes.groupBy("id").agg(F.min(F.concat_ws(" ", *parts)).alias("text"))
+
+
 def estimate_without_index(files: DataFrame, ends: DataFrame, seeds: DataFrame) -> DataFrame:
     """Tokens one would read without an index: seeds (file_path), files (file_path, raw_token_estimate), ends (from_file, to_file).
 

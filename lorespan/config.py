@@ -15,11 +15,12 @@ class Settings:
     node_budget: int = 100
     retention_days: int = 30
     shuffle_partitions: int = 200
+    block_docs: int = 512
     scope_aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)
     blocklist: tuple[str, ...] = ()
 
     #: The range each setting is held to.
-    RANGES: ClassVar[dict[str, tuple[int, int]]] = {"budget": (1000, 100_000), "degree_cap": (5, 500), "node_budget": (10, 10_000), "retention_days": (1, 365)}
+    RANGES: ClassVar[dict[str, tuple[int, int]]] = {"budget": (1000, 100_000), "degree_cap": (5, 500), "node_budget": (10, 10_000), "retention_days": (1, 365), "block_docs": (1, 65_536)}
 
     def clamped(self) -> Settings:
         return replace(self, **{k: min(max(getattr(self, k), low), high) for k, (low, high) in self.RANGES.items()})

@@ -77,9 +77,8 @@ class TextIndex:
         idf = F.log((self.number - n + 0.5) / (n + 0.5))
         return F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(self.mean)))
 
-    def renewed(self, docs: DataFrame, gone: DataFrame) -> tuple[TextIndex, DataFrame, DataFrame]:
-        """The index with docs (id, text) new or changed and without the ids ``gone`` (id); the blocks (block) that this
-        touches, and their new rows of the table: what a store has to swap."""
+    def renewed(self, docs: DataFrame, gone: DataFrame) -> Renewal:
+        """The index with docs (id, text) new or changed and without the ids ``gone`` (id), as what a store has to swap."""
         fresh = cut(_tokens(docs, self.blocks))
         ids = fresh.select("id").unionByName(gone.select("id"))
         touched = cut(ids.select(_block(self.blocks)).distinct())
@@ -87,8 +86,24 @@ class TextIndex:
         stay = own.select("term", "block", "id", "len", F.explode("at").alias("pos")).join(ids, "id", "left_anti")
         new = fresh.select("id", "block", "len", F.posexplode("ts").alias("pos", "term"))
         rows = cut(_posted(stay.unionByName(new.select(*stay.columns))))
-        documents = cut(self.documents.join(ids, "id", "left_anti").unionByName(fresh.select("id", "block", "len")))
-        return TextIndex(self.table.join(touched, "block", "left_anti").select(*rows.columns).unionByName(rows), documents, self.blocks), touched, rows
+        return Renewal(self, touched, rows, ids, fresh.select("id", "block", "len"))
+
+
+@dataclass
+class Renewal:
+    """What documents change of an index: touched (block) and the table's new rows of these blocks; ids (id) that go, and the
+    rows of documents that come."""
+
+    before: TextIndex
+    touched: DataFrame
+    rows: DataFrame
+    ids: DataFrame
+    documents: DataFrame
+
+    def index(self) -> TextIndex:
+        """The whole index afterwards."""
+        table = self.before.table.join(self.touched, "block", "left_anti").select(*self.rows.columns).unionByName(self.rows)
+        return TextIndex(table, cut(self.before.documents.join(self.ids, "id", "left_anti").unionByName(self.documents)), self.before.blocks)
 
 
 def _block(blocks: int) -> Column:

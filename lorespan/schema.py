@@ -12,6 +12,8 @@ TABLES = {
     "edges": "from_id string, to_id string, kind string, weight double, confidence string",
     "raw_edges": "from_id string, to_name string",
     "ranks": "id string, weight double",
+    "postings": "term string, block long, n long, most int, least int, docs array<struct<id:string,len:int,f:int,at:array<int>>>",
+    "indexed": "id string, block long, len int, blocks int",
     "files": "file_path string, file_type string, raw_token_estimate int, last_indexed long, content_hash string",
     "node_versions": "symbol_hash string, version_num int, file_path string, session_id string, node_kind string, signature string, signature_hash string, edges_json string, body_hash binary, created_at long",
     "annotations": "id string, anchor_type string, anchor_value string, text string, tags string, stale boolean, created_at long, updated_at long, kind string, content_hash string, quality double, retrieval_count long",
@@ -26,7 +28,7 @@ TABLES = {
     "capsule_log": "capsule_id string, timestamp long, session_id string, file string, symbol string, intent string, tokens_served int, items_included int, sections string, total_us long",
 }
 #: Tables of one branch, which a new branch begins with.
-BRANCH_TABLES = ("nodes", "edges", "raw_edges", "ranks", "files", "node_versions", "annotations", "annotation_edges", "doc_chunks")
+BRANCH_TABLES = ("nodes", "edges", "raw_edges", "ranks", "postings", "indexed", "files", "node_versions", "annotations", "annotation_edges", "doc_chunks")
 #: The vocabularies of the data model.
 NODE_KINDS = ("File", "Module", "ExportedVar", "Function", "Class", "Interface", "Type", "Enum", "Method")
 EDGE_KINDS = ("Imports", "Calls", "TypeRef", "Extends", "Implements", "Exports", "Contains")

@@ -232,6 +232,12 @@ class Store:
             self._fs.delete(path, True)
         return len(old)
 
+    def manifest(self, table: str, branch: str = "main") -> str:
+        """The path of the newest manifest, which is another one after each write; the table's folder before the first."""
+        folder = self._folder(table, branch)
+        number = self._newest(folder)[0]
+        return f"{folder}/v{number}" if number else folder
+
     def has(self, table: str, branch: str) -> bool:
         return self._newest(self._folder(table, branch))[0] > 0
 

@@ -4,9 +4,10 @@ import pytest
 
 from lorespan.__main__ import arguments, run
 from lorespan.api import Engine, estimate_without_index
+from lorespan.config import Settings
 from lorespan.operators.capsule import with_caps
 from lorespan.operators.indexing import bulk_index, reindex
-from lorespan.operators.retrieval import chunk_markdown
+from lorespan.operators.retrieval import bm25, chunk_markdown
 from lorespan.sources import Store
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_engine(spark, index, tmp_path):
 
 
 def _sizes(folder) -> dict[str, int]:
-    return {t: sum(1 for _ in (folder / t / "main").glob("data-*")) for t in ("nodes", "raw_edges", "edges", "ranks", "files")}
+    return {t: sum(1 for _ in (folder / t / "main").glob("data-*")) for t in ("nodes", "raw_edges", "edges", "ranks", "postings", "files")}
 
 
 def test_reindexing_one_file_writes_its_rows_only(spark, tmp_path):
@@ -70,7 +71,7 @@ def test_reindexing_one_file_writes_its_rows_only(spark, tmp_path):
     body = lambda i, extra="": f"def f{i}(x):\n    return f{i // 4}(x) + g(x)\n\ndef h{i}():\n    f{i // 2}(1)\n{extra}" if i else f"def f0(x):\n    return x\n\ndef h0():\n    g(1)\n{extra}"
     rows = [(f"s/{i}.py", body(i), 10) for i in range(20)]
     store = Store(spark, str(tmp_path / "db"))
-    engine = Engine(store, as_of=1)
+    engine = Engine(store, as_of=1, settings=Settings(block_docs=4))
     engine.save_index(bulk_index(spark.createDataFrame(rows, FILES), rounds=2))
     engine.write_annotations(spark.createDataFrame([("a", "node", "none", "stays", None, "fact")], NOTE))
     touch = lambda i, text, at: engine.apply_changes(spark.createDataFrame([(f"s/{i}.py", text, at)], FILES))
@@ -102,6 +103,13 @@ def test_reindexing_one_file_writes_its_rows_only(spark, tmp_path):
     found = {r["id"]: r["weight"] for r in store.read("ranks").collect()}
     assert set(found) == set(ids) and max(abs(found[i] - weight[i]) for i in ids) < 1e-9
     assert abs(sum(r["centrality"] for r in engine._nodes().collect()) - 1) < 1e-9
+    assert written["postings"] < 0.6 * store.read("postings").count() and written["indexed"] == 3
+    queries = spark.createDataFrame([(0, "f5"), (1, "added"), (2, "g x"), (3, "h*"), (4, "f3_x")], "qid int, query string")
+    texts = whole.nodes.select("id", F.concat_ws(" ", "name", "signature", "docstring").alias("text"))
+    scores = lambda docs: {(r["qid"], r["id"]): round(r["score"], 9) for r in bm25(docs, queries).collect()}
+    assert scores(engine.symbol_index()) == scores(texts) and {q for q, _ in scores(texts)} == {0, 1, 2, 3, 4}
+    best = engine.search_symbols(spark.createDataFrame([(0, "g"), (1, "absent")], "qid int, query string"), 5).collect()
+    assert {r["qid"] for r in best} == {0} and [r["name"] for r in best] == ["g"]
     before = _sizes(tmp_path / "db")
     touch(5, second, 40)  # same content: nothing is written
     assert _sizes(tmp_path / "db") == before
@@ -153,6 +161,8 @@ def test_command_line(spark, tmp_path):
     capsule = call("capsule", "b.py", "--symbol", "helper", "--detail", "minimal").first()["capsule"]
     assert capsule == "[TARGET]\ndef helper(x):\n\n[CALLERS]\ndef main():"
     assert sorted(r["name"] for r in call("sql", "select name from nodes").collect()) == ["helper", "main"]
+    assert [r["name"] for r in call("search", "helper").collect()] == ["helper"]
+    assert [r["name"] for r in call("sql", "select name from search_symbols('help*') s join nodes using (id)").collect()] == ["helper"]
     with pytest.raises(ValueError):
         call("sql", "drop table nodes")
     assert call("switch", "dev").first()["start"] == "cold" and call("switch", "main").first()["start"] == "warm"

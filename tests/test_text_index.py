@@ -46,7 +46,8 @@ def test_blocks_below_the_bound_stay_closed(spark, monkeypatch):
 def test_a_changed_document_is_posted_with_its_block_alone(spark, corpus):
     rows, index = corpus
     changed = [("d7", "w1 w30 w30 fresh"), ("new", "fresh w9")]
-    now, touched, posted = index.renewed(spark.createDataFrame(changed, "id string, text string"), spark.createDataFrame([("d8",)], "id string"))
+    renewal = index.renewed(spark.createDataFrame(changed, "id string, text string"), spark.createDataFrame([("d8",)], "id string"))
+    now, touched, posted = renewal.index(), renewal.touched, renewal.rows
     whole = [x for x in rows if x[0] not in ("d7", "d8")] + changed
     again = r.text_index(spark.createDataFrame(whole, "id string, text string"), block_docs=16)
     queries = spark.createDataFrame([*QUERIES, (9, "fresh")], "qid int, query string")
