@@ -10,7 +10,7 @@ from lorespan import functions as fn
 from lorespan.operators import capsule, graph, memory, retrieval, windows
 from lorespan.operators.indexing import Index, changes
 from lorespan.operators.storage import cut, kept
-from lorespan.sources import Moved, Store
+from lorespan.sources import LOG_LINE, Moved, Store, logged
 
 C = F.col
 #: How many rows each call gives unless told otherwise.
@@ -107,6 +107,18 @@ class Engine:
         place = F.row_number().over(Window.partitionBy("qid").orderBy(C("combined").desc(), "id"))
         return both.select("qid", place.alias("rank"), "id", C("score").alias("bm25"), "centrality", "combined").join(nodes.drop("centrality"), "id")
 
+    def federated_symbols(self, queries: DataFrame, limit: int = 5) -> DataFrame:
+        """(repo, qid, rank, id, name, kind, file_path, signature, score): the ``limit`` best of this store, as ``""``, and of each
+        registered one that is still there, each by its own counts of words; they are not ranked among each other."""
+        found = None
+        reachable = [r["path"] for r in self.store.verified_repos().filter("reachable").collect()]  # a registry, a few rows
+        for repo in ["", *reachable]:
+            one = Engine(Store(self.store.spark, repo), self.as_of, settings=self.settings) if repo else self
+            hits = retrieval.bm25_top(one.symbol_index(), queries.select("qid", fn.sanitise(C("query")).alias("query")), limit)
+            rows = hits.join(one._nodes().select("id", "name", "kind", "file_path", "signature"), "id").withColumn("repo", F.lit(repo))
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
     def read_annotations(self, anchor_type: str | None = None, anchor_value: str | None = None, tags: str | None = None, query: str | None = None, limit: int = NOTES_LIMIT) -> DataFrame:
         """Notes of an anchor, with tags that contain a text, matching a query; newest or best first."""
         rows = self._read("annotations")
@@ -259,9 +271,10 @@ def estimate_without_index(files: DataFrame, ends: DataFrame, seeds: DataFrame)
     return reached.join(files, "file_path").groupBy("seed").agg(F.sum("raw_token_estimate").alias("tokens"))
 
 
-def follow_log(spark: SparkSession, path: str) -> DataFrame:
-    """A growing folder of JSON logs as a stream."""
-    return spark.readStream.schema("timestamp string, level string, message string, method string").json(path)
+def follow_log(spark: SparkSession, path: str, level: str = "info", method: str | None = None) -> DataFrame:
+    """A growing folder of JSON logs as a stream of the lines that ``log_lines`` would show; each line once, broken ones not."""
+    lines = spark.readStream.schema(LOG_LINE).option("mode", "DROPMALFORMED").json(path)
+    return logged(lines, level, method)
 
 
 __all__ = ["DOCS_LIMIT", "NOTES_LIMIT", "Engine", "estimate_without_index", "follow_log"]

@@ -103,6 +103,22 @@ def bm25_in_sql(t: Tables) -> DataFrame:
       FROM (SELECT DISTINCT p_type AS kind FROM part) AS k, LATERAL search_symbols(k.kind) AS s JOIN nodes n ON n.key = s.id GROUP BY k.kind""")
 
 
+_KINDS = ("Method", "Function", "Interface")
+
+
+@query(f""" , t AS (SELECT kind AS repo, key AS id, {_terms("name || ' ' || signature")} AS ts FROM nodes WHERE kind IN {_KINDS}), c AS (SELECT repo, count(*) AS docs, avg(len(ts)) AS mean FROM t GROUP BY 1),
+k AS (SELECT repo, id, term, count(*) AS f FROM (SELECT repo, id, unnest(ts) AS term FROM t) WHERE term IN ('1', 'anodized', 'building') GROUP BY ALL), idf AS (SELECT repo, term, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM k JOIN c USING (repo) GROUP BY ALL),
+s AS (SELECT repo, CASE term WHEN '1' THEN 0 WHEN 'anodized' THEN 1 ELSE 2 END AS qid, id, CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ts) / mean)) AS score FROM k JOIN idf USING (repo, term) JOIN c USING (repo) JOIN t USING (repo, id))
+SELECT repo, qid, id, r AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY repo, qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""", "nodes")
+def federated_search(t: Tables) -> DataFrame:
+    """Three repositories, of parts, customers and suppliers, each with an index of its own: the five best of each, not ranked anew."""
+    texts = t.nodes.select("kind", C("key").alias("id"), F.concat_ws(" ", "name", "signature").alias("text"))
+    indexes = {kind: r.text_index(texts.filter(C("kind") == kind).drop("kind"), keep=lambda name, make, kind=kind: t._kept(f"{kind}_{name}", make)) for kind in _KINDS}
+    asked = _queries(t, "1", "anodized", "building")
+    found = [r.bm25_top(index, asked, 5).withColumn("repo", F.lit(kind)) for kind, index in indexes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("repo", "qid", "id", C("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(_D_NODES + _bm25_sql("(0, 0, 1, 1, 0, 'ring', false), (1, 0, 1, 1, 0, 'promo', false)") + """ ,
 top AS (SELECT h.*, coalesce(centrality, 0.0) AS centrality FROM hits h LEFT JOIN centrality c ON c.key = h.id WHERE rank <= 50)
 SELECT qid, id, round(0.6 * score / greatest(1e-10, max(score) OVER w) + 0.4 * centrality / greatest(1e-10, max(centrality) OVER w), 6) AS combined FROM top WINDOW w AS (PARTITION BY qid)""", "nodes centrality")

@@ -19,6 +19,7 @@ from lorespan import schema
 C = F.col
 METRIC_EVENT = "timestamp string, event string, conversation_id string, generation_id string, model string, tool_name string, input_bytes long, output_bytes long, duration_ms long, context_tokens long, context_window_size long, context_usage_pct double, status string, loop_count int, file_path string"
 RUN_EVENT = "type string, session_id string, duration_ms long, message struct<id:string,usage:struct<input_tokens:long,output_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long>,content:array<struct<type:string,name:string,input:map<string,string>>>>"
+LOG_LINE = "timestamp string, level string, message string, method string"
 #: Log levels from least to most severe.
 LEVELS = ("trace", "debug", "info", "warn", "error")
 
@@ -66,21 +67,35 @@ def run_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_metrics(events: DataFrame) -> DataFrame:
-    """Per session: tokens by kind, tool calls and duration."""
+    """Per session: tokens by kind, turns (ends of runs) and their durations in all, tool calls, and how often each tool was
+    called: ``by_tool`` by name, ``by_service`` those of services (``mcp__service__tool``) by the service's tool."""
     used = C("message.usage")
-    calls = F.size(F.filter(F.coalesce("message.content", F.array()), lambda x: x["type"] == "tool_use"))
     total = lambda c: F.coalesce(F.sum(used[c]), F.lit(0)).alias(c)
-    return events.groupBy("session_id").agg(total("input_tokens"), total("output_tokens"), total("cache_read_input_tokens"), total("cache_creation_input_tokens"), F.sum(calls).alias("tool_calls"), F.max("duration_ms").alias("duration_ms"))
+    ended = C("type") == "result"
+    sums = events.groupBy("session_id").agg(
+        total("input_tokens"), total("output_tokens"), total("cache_read_input_tokens"), total("cache_creation_input_tokens"),
+        F.count_if(ended).alias("turns"), F.coalesce(F.sum(F.when(ended, C("duration_ms"))), F.lit(0)).alias("duration_ms"),
+    )
+    calls = events.select("session_id", F.explode("message.content").alias("x")).filter("x.type = 'tool_use' AND x.name IS NOT NULL")
+    counts = calls.groupBy("session_id", C("x.name").alias("name")).agg(F.count("*").alias("n"))
+    service = C("name").startswith("mcp__")
+    named = lambda name, which: F.map_from_entries(F.sort_array(F.collect_list(F.when(which, F.struct(name, "n")))))
+    maps = counts.groupBy("session_id").agg(F.sum("n").alias("tool_calls"), named(C("name"), F.lit(True)).alias("by_tool"), named(F.substring("name", 6, 1_000), service).alias("by_service"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    out = sums.join(maps.withColumnRenamed("session_id", "_session"), C("session_id").eqNullSafe(C("_session")), "left").drop("_session")
+    return out.withColumns({"tool_calls": F.coalesce("tool_calls", F.lit(0)), "by_tool": F.coalesce("by_tool", none), "by_service": F.coalesce("by_service", none)})
 
 
 def log_lines(spark: SparkSession, path: str, level: str = "info", method: str | None = None, last: int = 50) -> DataFrame:
     """The last lines of a JSON log at or above a level, newest first; schema timestamp, level, message, method."""
-    rows = json_lines(spark, path, "timestamp string, level string, message string, method string")
+    return logged(json_lines(spark, path, LOG_LINE), level, method).orderBy(C("timestamp").desc()).limit(last)
+
+
+def logged(rows: DataFrame, level: str = "info", method: str | None = None) -> DataFrame:
+    """Log rows at or above a level whose method contains a text; of a table or a stream."""
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.lower("level"))
     rows = rows.filter(rank >= LEVELS.index(level) + 1)
-    if method:
-        rows = rows.filter(C("method").contains(method))
-    return rows.orderBy(C("timestamp").desc()).limit(last)
+    return rows.filter(C("method").contains(method)) if method else rows
 
 
 def cases(spark: SparkSession, path: str, key: str = "cases") -> DataFrame:

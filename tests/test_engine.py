@@ -167,6 +167,12 @@ def test_command_line(spark, tmp_path):
         call("sql", "drop table nodes")
     assert call("switch", "dev").first()["start"] == "cold" and call("switch", "main").first()["start"] == "warm"
     call("federate", "add", "--path", str(tmp_path / "db"))
+    other = Engine(Store(spark, str(tmp_path / "db2")), as_of=1)
+    other.save_index(bulk_index(spark.createDataFrame([("x.py", "def helper(a, b):\n    return b\n", 5)], FILES), rounds=2))
+    call("federate", "add", "--path", str(tmp_path / "db2"))
+    call("federate", "remove", "--path", str(tmp_path / "db"))
+    found = Engine(Store(spark, str(tmp_path / "db")), as_of=1).federated_symbols(spark.createDataFrame([(7, "helper")], "qid int, query string"), 1).collect()
+    assert sorted((r["repo"].rsplit("/", 1)[-1], r["signature"]) for r in found) == [("", "def helper(x):"), ("db2", "def helper(a, b):")]
     assert call("federate", "verify").first()["reachable"] and call("federate", "list").count() == 1
     assert call("metrics").first()["capsules"] == 0 and call("docs", "helper").count() == 0 and call("effectiveness").count() == 0
 

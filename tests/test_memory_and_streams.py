@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespan import config, schema, sources, sql, streaming
-from lorespan.api import Engine
+from lorespan.api import Engine, follow_log
 from lorespan.operators import memory as m
 from lorespan.operators import tables as ops
 from lorespan.operators import windows as win
@@ -169,9 +169,11 @@ def test_readers(spark, tmp_path):
     assert sources.source_files(spark, str(tmp_path / "src"), docs=True).count() == 1
     (tmp_path / "m.jsonl").write_text('{"event": "read", "input_bytes": 4}\nbroken\n{"event": "edit"}\n')
     assert sorted(r["event"] for r in sources.json_lines(spark, str(tmp_path / "m.jsonl")).collect()) == ["edit", "read"]
-    (tmp_path / "run.ndjson").write_text('{"type": "assistant", "session_id": "s", "message": {"usage": {"input_tokens": 5, "output_tokens": 2}, "content": [{"type": "tool_use", "name": "Read"}, {"type": "text"}]}}\nno json\n{"type": "result", "session_id": "s", "duration_ms": 9}\n')
-    total = sources.run_metrics(sources.run_events(spark, str(tmp_path / "run.ndjson"))).first()
-    assert (total["input_tokens"], total["output_tokens"], total["tool_calls"], total["duration_ms"]) == (5, 2, 1, 9)
+    (tmp_path / "run.ndjson").write_text('{"type": "assistant", "session_id": "s", "message": {"usage": {"input_tokens": 5, "output_tokens": 2}, "content": [{"type": "tool_use", "name": "Read"}, {"type": "text"}]}}\nno json\n{"type": "result", "session_id": "s", "duration_ms": 9}\n{"type": "assistant", "session_id": "s", "message": {"content": [{"type": "tool_use", "name": "mcp__notes__add"}, {"type": "tool_use", "name": "Read"}]}}\n{"type": "result", "session_id": "s", "duration_ms": 30}\n{"type": "system", "session_id": "t"}\n')
+    total, quiet = sources.run_metrics(sources.run_events(spark, str(tmp_path / "run.ndjson"))).orderBy("session_id").collect()
+    assert (total["input_tokens"], total["output_tokens"], total["tool_calls"], total["turns"], total["duration_ms"]) == (5, 2, 3, 2, 39)
+    assert total["by_tool"] == {"Read": 2, "mcp__notes__add": 1} and total["by_service"] == {"notes__add": 1}
+    assert (quiet["turns"], quiet["duration_ms"], quiet["tool_calls"], quiet["by_tool"], quiet["by_service"]) == (0, 0, 0, {}, {})
     (tmp_path / "log").write_text("".join(f'{{"timestamp": "2024-01-0{i}", "level": "{lv}", "message": "x", "method": "m"}}\n' for i, lv in enumerate(("DEBUG", "INFO", "ERROR"), 1)))
     assert [r["level"] for r in sources.log_lines(spark, str(tmp_path / "log"), "info").collect()] == ["ERROR", "INFO"]
     (tmp_path / "t.toml").write_text("[relevance]\nrecall = 0.8\n[[cases]]\nname = 'a'\nexpected = ['x']\n")
@@ -234,3 +236,18 @@ def test_follow_ups(spark, tmp_path):
     assert streaming.follow_ups(served, acts).count() == 2
     fails = spark.createDataFrame([("s", T0, q) for q in ("  FooBar  ", "foobar", "FOOBAR", "x")], "session_id string, at timestamp, query string")
     assert [tuple(r) for r in streaming.failed_searches(fails).collect()] == [("s", "foobar", 3)]
+
+
+def test_a_followed_log_gives_each_line_once(spark, tmp_path):
+    logs, line = tmp_path / "logs", '{{"timestamp": "{0}", "level": "{1}", "message": "x", "method": "{2}"}}\n'.format
+    logs.mkdir()
+
+    def follow() -> list[str]:
+        stream = follow_log(spark, str(logs), "warn", "search")
+        stream.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(60)
+        return sorted(r["timestamp"] for r in spark.read.schema("timestamp string").json(str(tmp_path / "out")).collect())
+
+    (logs / "1").write_text(line("1", "ERROR", "search_docs") + line("2", "INFO", "search_docs") + "broken\n" + line("3", "WARN", "status"))
+    assert follow() == ["1"]
+    (logs / "2").write_text(line("4", "warn", "search_symbols"))
+    assert follow() == ["1", "4"] and follow() == ["1", "4"]
