@@ -189,3 +189,15 @@ def test_estimate(spark):
     ends = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b")], "from_file string, to_file string")
     out = estimate_without_index(files, ends, spark.createDataFrame([("a",), ("c",)], "file_path string"))
     assert {r["seed"]: r["tokens"] for r in out.collect()} == {"a": 12, "c": 18}
+
+
+def test_documents_are_searched_as_last_written(spark, tmp_path):
+    engine = Engine(Store(spark, str(tmp_path / "db")), as_of=1)
+    asked = spark.createDataFrame([(0, "apples")], "qid int, query string")
+    write = lambda *names: engine.store.write("doc_chunks", chunk_markdown(spark.createDataFrame([(n, f"# {n}\napples of {n}") for n in names], "file_path string, content string")))
+    found = lambda: sorted(r["file_path"] for r in engine.search_docs(asked).collect())
+    assert found() == []
+    write("a.md", "b.md", "c.md")
+    assert found() == ["a.md", "b.md", "c.md"]
+    write("c.md", "d.md")
+    assert found() == ["c.md", "d.md"]
