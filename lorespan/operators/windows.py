@@ -23,6 +23,18 @@ def within_seconds(left: DataFrame, right: DataFrame, key: str, left_at: str, ri
     return joined.filter(C(right_at).between(C(left_at), C(left_at) + span)).drop("_bucket")
 
 
+def session_runs(rows: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
+    """(key, first_at, ends_at, n) of each run of a key's rows, a row less than ``gap`` seconds after the one before it.
+
+    A row exactly ``gap`` seconds later begins a run (``session_window`` would still take it in); a row without a time
+    is a run of its own.
+    """
+    w = Window.partitionBy(key).orderBy(C(at).asc_nulls_last(), C(tie).asc_nulls_last())
+    fresh = F.when(C(at) - F.lag(at).over(w) < gap, 0).otherwise(1)
+    numbered = rows.select(key, at, tie, fresh.alias("_fresh")).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_run").agg(F.min(at).alias("first_at"), (F.max(at) + gap).alias("ends_at"), F.count("*").alias("n")).drop("_run")
+
+
 def effectiveness(capsules: DataFrame, follow: DataFrame) -> DataFrame:
     """Each capsule's reads, greps and edits of its file within 300 seconds, and its score.
 

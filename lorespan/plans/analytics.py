@@ -294,6 +294,4 @@ def sliding_edits(t: Tables) -> DataFrame:
 @query(""" , g AS (SELECT session_id, timestamp, CASE WHEN timestamp - lag(timestamp) OVER w < 7200 THEN 0 ELSE 1 END AS fresh, event_id FROM sessions WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, event_id)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY timestamp, event_id) AS run FROM g) SELECT session_id, min(timestamp) AS first_at, max(timestamp) + 7200 AS ends_at, count(*) AS n FROM r GROUP BY session_id, run""", "sessions")
 def sessionised_events(t: Tables) -> DataFrame:
-    w = F.session_window(F.timestamp_seconds("timestamp"), "2 hours")
-    runs = t.sessions.groupBy("session_id", w.alias("w")).agg(F.count("*").alias("n"))
-    return runs.select("session_id", F.unix_timestamp("w.start").alias("first_at"), F.unix_timestamp("w.end").alias("ends_at"), "n")
+    return win.session_runs(t.sessions, "session_id", "timestamp", "event_id", 7200)
