@@ -210,26 +210,31 @@ def _rarest_shingles(sets: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _dealt_again(members: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """members (key, k, s, c) by shingles of theirs: the same columns and ``token``, without those that no other can be linked with."""
-    own = members.select("k").distinct()
-    keyed = members.join(_rarest_shingles(sets.join(own, "k", "left_semi"), like), ["k", "s"])
-    by_component = keyed.groupBy("key", "token", "c").agg(F.min("place").alias("least"))
-    met = by_component.groupBy("key", "token").agg(F.min("least").alias("least"), F.count("*").alias("n_c")).filter("n_c > 1").drop("n_c")
+    """members (key, k, s, c) by shingles of theirs: (key, token, k, s, c, place), without those that no other can be linked with.
+
+    A member has each of its shingles once, however many keys it was under: what met under a key meets under a shingle.
+    """
+    each = members.select("k", "s", "c").distinct()
+    keyed = each.join(_rarest_shingles(sets.join(each.select("k").distinct(), "k", "left_semi"), like), ["k", "s"])
+    by_component = keyed.groupBy("token", "c").agg(F.min("place").alias("least"))
+    met = by_component.groupBy("token").agg(F.min("least").alias("least"), F.count("*").alias("n_c")).filter("n_c > 1").drop("n_c")
     apart = F.expr(f"(n + n * {like.den} div {like.num}) * {like.den - like.num} div {like.den + like.num}")
-    near = keyed.join(met, ["key", "token"]).filter(F.col("place") - 1 + F.col("least") - 1 <= apart)
-    return near.select("key", "token", "k", "s", "c")
+    near = keyed.join(met, "token").filter(F.col("place") - 1 + F.col("least") - 1 <= apart)
+    return near.select(F.lit(0).cast("long").alias("key"), "token", "k", "s", "c", "place")
 
 
 def _unlike_pairs(members: DataFrame, like: Similarity) -> DataFrame:
-    """(x, y) of members of one key and token, of different components, that sizes and sketches allow to be linked.
+    """(x, y) of members of one key and token, of different components, that sizes, places and sketches allow to be linked.
 
-    Where one component holds most members, only the others look for partners.
+    Where one component holds most members, only the others look for partners. The shingles before the first common one
+    are differences, so a linked pair passes by its places there; under later ones it need not.
     """
     by = ["key", "token"]
     sizes = members.groupBy(*by, "c").agg(F.count("*").alias("n_c"))
     main = sizes.groupBy(*by).agg(F.max_by("c", "n_c").alias("main"), F.count("*").alias("n_c")).filter("n_c > 1").drop("n_c")
-    x, y = (members.select(*by, F.col("k").alias(n), F.col("c").alias(f"c{n}"), F.col("mark").alias(f"m{n}")) for n in "xy")
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))) & _may_link(like, "mx", "my")
+    x, y = (members.select(*by, F.col("k").alias(n), F.col("c").alias(f"c{n}"), F.col("place").alias(f"p{n}"), F.col("mark").alias(f"m{n}")) for n in "xy")
+    first = (F.col("px") + F.col("py") - 2) * (like.den + like.num) <= (F.col("mx.n") + F.col("my.n")) * (like.den - like.num)
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))) & first & _may_link(like, "mx", "my")
     found = x.join(main, by).filter("cx <> main").join(y, by).filter(apart)
     return found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
@@ -282,7 +287,7 @@ def links(docs: DataFrame, like: Similarity) -> DataFrame:
     marks = _marks(sets)
     open_ = settle(placed.join(split, "key").join(marks.select("k", "s").distinct(), "k"))
     few, many = (open_.filter(x).drop("many") for x in ("not many", "many"))
-    dealt = settle(_dealt_again(many, sets, like).unionByName(few.withColumn("token", F.lit(0).cast("long"))))
+    dealt = settle(_dealt_again(many, sets, like).unionByName(few.withColumns({"token": F.lit(0).cast("long"), "place": F.lit(1)})))
     rest = _unlike_pairs(dealt.join(marks, ["k", "s"]), like).join(tried, ["x", "y"], "left_anti")
     found = settle(_verified(rest, sets, like))
     discard(members, sets, tried, own, open_, dealt)

@@ -71,6 +71,19 @@ def test_unlike_documents_of_one_boilerplate_make_no_pairs(spark, monkeypatch):
     assert sum(compared) < 2 * 3000
 
 
+def test_members_of_many_keys_are_dealt_once_a_shingle(spark):
+    """pipeline of round 3: what a member is dealt again by does not grow with the keys that it was open under."""
+    from pyspark.sql import functions as F
+
+    from lorespan.llm.parity_join import _dealt_again
+
+    sets = spark.createDataFrame([(k, [*range(20), 100 + k]) for k in range(6)], "k long, tokens array<long>")
+    members = sets.select("k", F.xxhash64("tokens").alias("s"), F.col("k").alias("c"))
+    one, many = (members.withColumn("key", F.explode(F.array(*map(F.lit, range(n))))) for n in (1, 7))
+    found = [sorted((r["token"], r["k"], r["place"]) for r in _dealt_again(m, sets, Similarity()).collect()) for m in (one, many)]
+    assert found[0] == found[1] and {k for _, k, _ in found[0]} == set(range(6))
+
+
 def test_one_of_each_group_keeps_columns(spark):
     rows = awkward()
     docs = frame(spark, rows, clash=True)
