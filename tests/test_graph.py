@@ -282,3 +282,18 @@ def test_ranks_deal_edges_by_the_size_of_their_files(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     ranks = g.pagerank(edges, spark.createDataFrame([("a",), ("b",), ("c",)], "node string"))
     assert asked == [["src", "dst"]] and {round(x["rank"], 9) for x in ranks.collect()} == {round(1 / 3, 9)}
+
+
+@pytest.mark.parametrize("variant", ["reference", "standard"])
+def test_pagerank_of_distinct_pairs_needs_no_grouping(spark, variant, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 12, (30, 2))} | {(20 + a, b) for a in range(6) for b in (a, 30, 31)} | {(99, 3)}
+    rows, known = edges(spark, *[(str(a), str(b)) for a, b in sorted(pairs)]), nodes(spark, *map(str, range(34)))
+    ranks = lambda **more: {r["node"]: r["rank"] for r in g.pagerank(rows, known, rounds=10, variant=variant, **more).collect()}
+    want, lone = ranks(), ranks(parallel=False)
+    assert len(want) == 34 and lone == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(g, "_FEW", 0)
+    assert ranks(parallel=False) == pytest.approx(want, abs=1e-12)
+    if variant == "reference":  # the edge of 99, which is no node, counts for nothing
+        inside = [(a, b) for a, b in pairs if a != 99]
+        assert np.allclose([want[str(i)] for i in range(34)], _recurrence(inside, 34, 10), atol=1e-9)
