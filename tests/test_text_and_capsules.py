@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lorespan import functions as fn
 from lorespan.config import Settings
+from lorespan.functions import jaro_winkler_pairs
 from lorespan.operators import capsule as cap
 from lorespan.operators.graph import INTENT_HOPS
 from lorespan.operators.signals import WEIGHTS
@@ -67,6 +69,20 @@ def test_intents(spark, query, primary, secondary):
     assert out["primary_weight"] + out["secondary_weight"] == 1.0
 
 
+def test_intents_compare_where_the_texts_are(spark):
+    """Likeness equals that of all pairs, long texts and odd letters included, and no text or word is dealt."""
+    rng = np.random.default_rng(7)
+    words = [w for ws in r.KEYWORDS.values() for w in ws]
+    texts = ["", "x", "é", "\U0001f600bug", "walk me thrugh", "a" * 400, "bug " * 90]
+    texts += ["".join(rng.permutation([*w, *rng.choice([*"abeirst \u0161"], 2)])[rng.integers(0, 3) :]) for w in words for _ in range(20)] + [w[:-1] + "zz" for w in words]
+    want = [[max(s) if (s := [x for x in jaro_winkler_pairs([t] * len(ws), list(ws)) if x > 0.7]) else 0.0 for ws in r.KEYWORDS.values()] for t in texts]
+    assert r._likeness(texts).tolist() == want and sum(map(any, want)) > 100
+    asked = spark.createDataFrame([(1, "creat a thing"), (2, None), (3, "\tcreat\n " + "qqq " * 200), (4, "fix it"), (5, "xyzzy")], "qid int, query string")
+    out = r.intents(asked)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(x["qid"], x["primary"]) for x in out.orderBy("qid").collect()] == [(1, "extend"), (2, "understand"), (3, "extend"), (4, "debug"), (5, "understand")]
+
+
 def _rows(spark, *rows):
     return spark.createDataFrame(list(rows), "request_id int, source string, item string, tokens long, score double, pinned boolean, content string, place int")
 
